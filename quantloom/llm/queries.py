@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from quantloom.llm import quality
+from quantloom.llm import bpe, jaccard, quality
 
-QUERIES = {"op10_quality_rules": quality.query}
+QUERIES = {
+    "op5_ngram_jaccard": jaccard.query,
+    "op9_bpe": bpe.query,
+    "op10_quality_rules": quality.query,
+}
 ORACLES = {"op10_quality_rules": quality.SQL}
