@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, jaccard, quality
+from quantloom.llm import bpe, jaccard, lines, quality
 
 QUERIES = {
     "op5_ngram_jaccard": jaccard.query,
+    "op8_line_dedup": lines.query,
     "op9_bpe": bpe.query,
     "op10_quality_rules": quality.query,
 }
-ORACLES = {"op10_quality_rules": quality.SQL}
+ORACLES = {"op8_line_dedup": lines.SQL, "op10_quality_rules": quality.SQL}

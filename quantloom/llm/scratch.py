@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,11 +30,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: lineage ends here and later plans know the size on disk."""
+    """``df`` written as Parquet and read back: lineage ends here and later plans know the size on disk.
+
+    Spark removes the shuffle files of a plan once the driver has collected its handles as garbage, so a collection is
+    asked for here; what a finished step has shuffled then does not stay on disk while the next one runs.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
