@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, jaccard, lines, quality
+from quantloom.llm import bpe, jaccard, lines, quality, substrings
 
 QUERIES = {
     "op5_ngram_jaccard": jaccard.query,
+    "op7_repeated_phrases": substrings.query,
     "op8_line_dedup": lines.query,
     "op9_bpe": bpe.query,
     "op10_quality_rules": quality.query,
 }
-ORACLES = {"op8_line_dedup": lines.SQL, "op10_quality_rules": quality.SQL}
+ORACLES = {"op7_repeated_phrases": substrings.SQL, "op8_line_dedup": lines.SQL, "op10_quality_rules": quality.SQL}
