@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.quality import words_of
+from quantloom.llm.reduce import split
 from quantloom.llm.scratch import table
 
 THRESHOLD = 0.8
@@ -61,8 +62,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, ranks: Colum
     needed = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
     places = firsts.join(needed, "k", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k")).alias("at"))
     places = table(places, "places")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.split(F.col(f"`{text}`"), "\n").alias("lines"))
-    lines = rows.join(places, "doc_id").select(F.inline(F.transform("at", lambda p: F.struct(p["k"].alias("k"), F.get(F.col("lines"), p["line_no"]).alias("line")))))
+    rows, _ = split(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], places)
+    lines = rows.join(places, "doc_id").withColumn("lines", F.split("text", "\n")).select(F.inline(F.transform("at", lambda p: F.struct(p["k"].alias("k"), F.get(F.col("lines"), p["line_no"]).alias("line")))))
     # Rows may repeat a doc_id with other texts: of such lines only those of the set itself count.
     sets = lines.where("line IS NOT NULL").select("k", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s"))))).where(F.xxhash64("s") == F.col("k"))
     sets = table(sets, "sets")
@@ -129,8 +130,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     A text of which every line goes becomes empty; an empty table stays empty.
     """
     removed = _removed(docs, doc_id, text, t, min_tokens)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    joined = d.join(removed, F.col(f"_row.`{doc_id}`").cast("long") == F.col("_doc"), "left")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").cast("long").alias("_doc"))
+    maybe, clean = split(d, ["_doc"], removed)
+    joined = maybe.join(removed, "_doc", "left").select("_row", "_gone").union(clean.select("_row", F.lit(None).cast("array<int>").alias("_gone")))
     value = F.col(f"_row.`{text}`")
     left = F.array_join(F.filter(F.split(value, "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     new = F.when(F.col("_gone").isNull(), value).otherwise(left)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.reduce import split
 from quantloom.llm.scratch import table
 from quantloom.llm.words import Words, chunks, grams
 
@@ -200,7 +201,8 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     recurring = table(_anchor_bounds(rows, window, anchor), "recurring")
     places = _anchor_places(rows, window, anchor).join(recurring, "h", "left_semi")
     listed = table(places.groupBy("doc_id", "tk").agg(F.collect_list("o").alias("os")), "listed")
-    joined = rows.join(listed, ["doc_id", "tk"]).select("doc_id", "tk", "text", "os")
+    maybe, _ = split(rows, ["doc_id", "tk"], listed)
+    joined = maybe.join(listed, ["doc_id", "tk"]).select("doc_id", "tk", "text", "os")
     found = table(_segments(joined, window, anchor).withColumn("sk", F.xxhash64("segment")), "segments")
     distinct = found.groupBy("h", "sk", "segment").agg(F.min("doc_id").alias("lo"))
     sharded = distinct.select("h", "sk", "segment", "lo").repartition("h").sortWithinPartitions("h")
@@ -225,7 +227,9 @@ def _kept_words(text: str | None, starts, window: int) -> tuple[int, int, bytes]
 def _cut(docs: DataFrame, doc_id: str, text: str, window: int, found: DataFrame, digest: bool) -> DataFrame:
     """Adds n_words, n_removed and the kept words (or their SHA-256) to (doc_id, text)."""
     rows = _input(docs, doc_id, text)
-    joined = rows.join(found, ["doc_id", "tk"], "left").select("doc_id", "text", "starts")
+    maybe, clean = split(rows, ["doc_id", "tk"], found)
+    joined = maybe.join(found, ["doc_id", "tk"], "left").select("doc_id", "text", "starts")
+    joined = joined.union(clean.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
