@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, jaccard, lines, quality, substrings
+from quantloom.llm import bpe, contamination, jaccard, lines, quality, substrings
 
 QUERIES = {
     "op5_ngram_jaccard": jaccard.query,
+    "op6_decontamination": contamination.query,
     "op7_repeated_phrases": substrings.query,
     "op8_line_dedup": lines.query,
     "op9_bpe": bpe.query,
