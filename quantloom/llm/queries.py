@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, contamination, jaccard, lines, quality, substrings
+from quantloom.llm import bpe, contamination, jaccard, lines, quality, substrings, warc
 
 QUERIES = {
+    "op1_warc_bundles": warc.query,
     "op5_ngram_jaccard": jaccard.query,
     "op6_decontamination": contamination.query,
     "op7_repeated_phrases": substrings.query,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_bpe": bpe.query,
     "op10_quality_rules": quality.query,
 }
-ORACLES = {"op7_repeated_phrases": substrings.SQL, "op8_line_dedup": lines.SQL, "op10_quality_rules": quality.SQL}
+ORACLES = {"op1_warc_bundles": warc.SQL, "op7_repeated_phrases": substrings.SQL, "op8_line_dedup": lines.SQL, "op10_quality_rules": quality.SQL}
