@@ -57,26 +57,36 @@ def _tokens(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(hashes, number))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, ranks: Column, doc_id: str, text: str, t: float) -> DataFrame:
-    """Pairs (a, b) of set keys whose token sets, fetched from each set's first line, have Jaccard >= t."""
-    needed = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    places = firsts.join(needed, "k", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k")).alias("at"))
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, ranks: Column, doc_id: str, text: str, t: float) -> DataFrame:
+    """Numbers a of the pairs (a, b) of set numbers whose tokens, fetched from each set's first line, have Jaccard >= t."""
+    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    places = sets.select("sid", "k", "doc_id", "line_no").join(needed, "sid", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "sid", "k")).alias("at"))
     places = table(places, "places")
     rows, _ = split(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], places)
-    lines = rows.join(places, "doc_id").withColumn("lines", F.split("text", "\n")).select(F.inline(F.transform("at", lambda p: F.struct(p["k"].alias("k"), F.get(F.col("lines"), p["line_no"]).alias("line")))))
+    lines = rows.join(places, "doc_id").withColumn("lines", F.split("text", "\n")).select(
+        F.inline(F.transform("at", lambda p: F.struct(p["sid"].alias("sid"), p["k"].alias("k"), F.get(F.col("lines"), p["line_no"]).alias("line"))))
+    )
     # Rows may repeat a doc_id with other texts: of such lines only those of the set itself count.
-    sets = lines.where("line IS NOT NULL").select("k", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s"))))).where(F.xxhash64("s") == F.col("k"))
-    sets = table(sets, "sets")
+    tokens = lines.where("line IS NOT NULL").select("sid", "k", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s"))))).where(F.xxhash64("s") == F.col("k"))
+    tokens = table(tokens.select("sid", "s"), "tokens")
     common = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
-        .join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+        pairs.join(tokens.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
+        .join(tokens.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
+        .where(F.col("sa") != F.col("sb"))  # equal only if rows repeat a doc_id, and then at the same place
         .where(common >= t * (F.size("sa") + F.size("sb") - common) - 1e-9)
-        .select("a", "b")
+        .select("a")
         .distinct()
     )
 
 
+def _fits(x: Column, y: Column, t: float) -> Column:
+    """Length and positional filter on two postings' (size, place of the token) packed in one number."""
+    nx, ix, ny, iy = F.shiftright(x, 24), x.bitwiseAND(F.lit((1 << 24) - 1)), F.shiftright(y, 24), y.bitwiseAND(F.lit((1 << 24) - 1))
+    overlap = F.ceil((nx + ny) * F.lit(t / (1 + t)) - 1e-9)
+    return (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9) & (F.least(nx - ix, ny - iy) >= overlap)
+
+
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, line_no) of every line to remove.
 
@@ -85,37 +95,29 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     (rows that repeat a doc_id) do not remove each other.  Rows with a null id or text have no part in this.
     """
     ranks = rarity_table(docs, text)
-    sets = _lines(docs, doc_id, text).select("doc_id", "line_no", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s")))))
+    lines = _lines(docs, doc_id, text).select("doc_id", "line_no", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s")))))
     n = F.size("s")
     prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
     lines = table(
-        sets.where(n >= min_tokens).select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), F.slice("s", F.lit(1), prefix).alias("p")),
+        lines.where(n >= min_tokens).select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), F.slice("s", F.lit(1), prefix).alias("p")),
         "lines",
     )
-    firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("k", "first.*")
-    firsts = table(firsts.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("k", "f.*"), "firsts")
-
-    posted = lines.select("k", "n", F.posexplode("p").alias("i", "w")).distinct()
-    posted = table(posted.join(firsts.select("k", F.struct("doc_id", "line_no").alias("f")), "k"), "postings")
-    heads = posted.groupBy("w").agg(F.min(F.struct("f", "k", "n", "i")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w", "head")
-
-    def fits(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
-        overlap = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
-        return (F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9) & (1 + F.least(na - ia, nb - ib) - 1 >= overlap)
-
-    h = F.col("head")
-    led = posted.join(heads, "w").where((F.col("k") != h["k"]) & (h["f"] < F.col("f")) & fits(F.col("n"), F.col("i"), h["n"], h["i"]))
-    led = table(led.select(F.col("k").alias("a"), h["k"].alias("b")).distinct(), "led")
-    first_round = table(_verified(led, docs, firsts, ranks, doc_id, text, t), "explained")
-    open_ = posted.join(first_round.select(F.col("a").alias("k")).distinct(), "k", "left_anti")
-    x, y = open_.alias("x"), posted.alias("y")
-    rest = x.join(
-        y, (F.col("x.w") == F.col("y.w")) & (F.col("x.k") != F.col("y.k")) & (F.col("y.f") < F.col("x.f")) & fits(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"))
-    ).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
-    rest = table(rest.distinct().join(led, ["a", "b"], "left_anti"), "rest")
-    second_round = _verified(rest, docs, firsts, ranks, doc_id, text, t)
-    explained = table(first_round.select("a").union(second_round.select("a")).distinct().select(F.col("a").alias("k"), F.lit(True).alias("near")), "near")
-    judged = lines.select("doc_id", "line_no", "k").join(firsts.select("k", F.struct("doc_id", "line_no").alias("f")), "k").join(explained, "k", "left")
+    # One row for each set of tokens, numbered in the order of first lines.
+    firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
+    sets = lines.join(firsts, ["k", "k2"]).where(F.col("f") == F.struct("doc_id", "line_no")).select("k", "k2", "doc_id", "line_no", "n", "p")
+    sets = table(sets.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("sid", F.monotonically_increasing_id()), "sets")
+    postings = sets.select("sid", "n", F.posexplode("p").alias("i", "w")).select("w", "sid", F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long")).alias("at"))
+    heads = postings.groupBy("w").agg(F.min(F.struct("sid", "at")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = table(postings.join(heads, "w").where(F.col("sid") > F.col("head.sid")), "shared")
+    led = table(shared.where(_fits(F.col("at"), F.col("head.at"), t)).select(F.col("sid").alias("a"), F.col("head.sid").alias("b")).distinct(), "led")
+    explained = table(_verified(led, docs, sets, ranks, doc_id, text, t), "explained")
+    crowded = shared.where("c > 2").select("w", "sid", "at")
+    x, y = crowded.join(explained.select(F.col("a").alias("sid")), "sid", "left_anti").alias("x"), crowded.alias("y")
+    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("y.sid") < F.col("x.sid")) & _fits(F.col("x.at"), F.col("y.at"), t))
+    rest = table(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(led, ["a", "b"], "left_anti"), "rest")
+    near = explained.union(_verified(rest, docs, sets, ranks, doc_id, text, t)).distinct().select(F.col("a").alias("sid"), F.lit(True).alias("near"))
+    verdicts = table(sets.select("k", "k2", "sid", F.struct("doc_id", "line_no").alias("f")).join(near, "sid", "left"), "verdicts")
+    judged = lines.select("doc_id", "line_no", "k", "k2").join(verdicts, ["k", "k2"])
     return judged.where(F.col("near").isNotNull() | (F.col("f") < F.struct("doc_id", "line_no"))).select("doc_id", "line_no").distinct()
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, contamination, jaccard, lines, quality, substrings, warc
+from quantloom.llm import bpe, contamination, extraction, jaccard, lines, quality, substrings, urls, warc
 
 QUERIES = {
     "op1_warc_bundles": warc.query,
+    "op2_html_extraction": extraction.query,
+    "op4_url_filter": urls.query,
     "op5_ngram_jaccard": jaccard.query,
     "op6_decontamination": contamination.query,
     "op7_repeated_phrases": substrings.query,

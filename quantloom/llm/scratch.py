@@ -45,10 +45,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables written so far. Call only once every result built on them has been written elsewhere."""
+def written() -> list[str]:
+    """Paths made so far, oldest first."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables. Call only once every result built on them has been written elsewhere."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop().rpartition("/")[0])
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name.rpartition("/")[0])
         path.getFileSystem(conf).delete(path, True)
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
