@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, contamination, extraction, jaccard, lines, quality, substrings, urls, warc
+from quantloom.llm import bpe, contamination, extraction, jaccard, lines, quality, substrings, tool_calls, urls, warc
 
 QUERIES = {
     "op1_warc_bundles": warc.query,
     "op2_html_extraction": extraction.query,
+    "op3_tool_calls": tool_calls.query,
     "op4_url_filter": urls.query,
     "op5_ngram_jaccard": jaccard.query,
     "op6_decontamination": contamination.query,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_bpe": bpe.query,
     "op10_quality_rules": quality.query,
 }
-ORACLES = {"op1_warc_bundles": warc.SQL, "op7_repeated_phrases": substrings.SQL, "op8_line_dedup": lines.SQL, "op10_quality_rules": quality.SQL}
+ORACLES = {"op3_tool_calls": tool_calls.SQL, "op1_warc_bundles": warc.SQL, "op7_repeated_phrases": substrings.SQL, "op8_line_dedup": lines.SQL, "op10_quality_rules": quality.SQL}

@@ -35,7 +35,7 @@ RULES = (
 )
 
 # Words of the small labelled table below.
-_BLOCKED = "spam-farm cheap-pills casino-win free-bets viagra-shop online-casino lottery-winner payday-loans replica-watches hot-dates pills-online bets-now win-cash link-farm spam-links cheap-meds casino-bonus poker-win free-spins free-prize quick-loans slots-win cheap-replica adult-dates".split()
+_BLOCKED = "spam-farm cheap-pills casino-win free-bets viagra-shop online-casino lottery-winner payday-loans replica-watches hot-dates pills-online bets-now win-cash link-farm spam-links cheap-meds casino-bonus poker-win free-spins free-prize quick-loans slots-win cheap-replica adult-dates ads-track ad-server click-track track-ads ads-pixel".split()
 _ALLOWED = "library museum garden weather science history recipes travel school campus research archive gallery nature journal forum village kitchen physics biology letters poetry markets culture".split()
 _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ble tion ing sh ly wh".split()
 _PREFIXES = ("", "www.", "m.", "blog.")
