@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import connected_components
+from quantloom.llm.reduce import split
 from quantloom.llm.scratch import table
 from quantloom.llm.words import chunks, grams, mix
 
@@ -241,7 +242,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         )
     )
     placed = table(placed.select("rep", "comp", "copies", all_seats.alias("seats")), "placed")
-    texts = rows.join(placed, rows.doc_id == placed.rep).select("doc_id", "comp", "copies", "text", F.explode("seats").alias("seat"))
+    maybe, _ = split(rows, ["doc_id"], placed.select(F.col("rep").alias("doc_id")))
+    texts = maybe.join(placed, maybe.doc_id == placed.rep).select("doc_id", "comp", "copies", "text", F.explode("seats").alias("seat"))
     groups = texts.select("doc_id", "comp", "copies", "text", "seat.*").groupBy("comp", "ci", "cj", "si", "sj")
     found = table(groups.applyInArrow(_verify_groups(t, tolerance), "doc_id long, other long, n_links long"), "links")
     classes = table(connected_components(found.where("other IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))), "classes")

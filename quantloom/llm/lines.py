@@ -6,7 +6,8 @@ Any fixed order keeps the join exact; this one keeps the frequent words out of t
 
 For Jaccard >= t two sets of x and y tokens need x >= t y and an overlap of t/(1+t) (x+y), so they share one of their
 first x - ceil(t x) + 1 tokens (prefix filter), their sizes fit (length filter), and the places of that token leave
-room for the overlap (positional filter).  Sets of equal tokens collapse first.  Within a token only the earliest set
+room for the overlap (positional filter).  A 64-bit parity of the tokens bounds the sets' difference from below and
+spares most other pairs the verification.  Sets of equal tokens collapse first.  Within a token only the earliest set
 is tried for each member at first; what it does not explain is tried against the other earlier sets.  Token arrays are
 fetched for candidates only, and similarity is verified on them.
 """
@@ -25,7 +26,7 @@ from quantloom.llm.scratch import table
 THRESHOLD = 0.8
 #: Lines of fewer distinct words are left alone.
 MIN_TOKENS = 5
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Bits of a token number that hold its hash; the bits above hold its rank.
 _HASH_BITS = 57
 
@@ -80,11 +81,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, ranks: Column,
     )
 
 
-def _fits(x: Column, y: Column, t: float) -> Column:
-    """Length and positional filter on two postings' (size, place of the token) packed in one number."""
-    nx, ix, ny, iy = F.shiftright(x, 24), x.bitwiseAND(F.lit((1 << 24) - 1)), F.shiftright(y, 24), y.bitwiseAND(F.lit((1 << 24) - 1))
+#: 64 bits of the tokens ``s``, each the parity of the tokens that fall on it: two sets differ in as many tokens as bits, or more.
+_PARITY = "aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
+
+
+def _fits(x, y, t: float) -> Column:
+    """Length, positional and parity filter on two postings: (size, place of the token) packed as ``at``, and ``sig``."""
+    low = F.lit((1 << 24) - 1)
+    nx, ix, ny, iy = F.shiftright(x["at"], 24), x["at"].bitwiseAND(low), F.shiftright(y["at"], 24), y["at"].bitwiseAND(low)
     overlap = F.ceil((nx + ny) * F.lit(t / (1 + t)) - 1e-9)
-    return (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9) & (F.least(nx - ix, ny - iy) >= overlap)
+    differ = F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= (nx + ny) * F.lit((1 - t) / (1 + t)) + 1e-9
+    return (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9) & differ & (F.least(nx - ix, ny - iy) >= overlap)
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -99,21 +106,22 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = F.size("s")
     prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
     lines = table(
-        lines.where(n >= min_tokens).select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), F.slice("s", F.lit(1), prefix).alias("p")),
+        lines.where(n >= min_tokens).select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), F.slice("s", F.lit(1), prefix).alias("p"), F.expr(_PARITY).alias("sig")),
         "lines",
     )
     # One row for each set of tokens, numbered in the order of first lines.
     firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
-    sets = lines.join(firsts, ["k", "k2"]).where(F.col("f") == F.struct("doc_id", "line_no")).select("k", "k2", "doc_id", "line_no", "n", "p")
+    sets = lines.join(firsts, ["k", "k2"]).where(F.col("f") == F.struct("doc_id", "line_no")).select("k", "k2", "doc_id", "line_no", "n", "p", "sig")
     sets = table(sets.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    postings = sets.select("sid", "n", F.posexplode("p").alias("i", "w")).select("w", "sid", F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long")).alias("at"))
-    heads = postings.groupBy("w").agg(F.min(F.struct("sid", "at")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    postings = sets.select("sid", "n", "sig", F.posexplode("p").alias("i", "w")).select("w", "sid", F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long")).alias("at"), "sig")
+    heads = postings.groupBy("w").agg(F.min(F.struct("sid", "at", "sig")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = table(postings.join(heads, "w").where(F.col("sid") > F.col("head.sid")), "shared")
-    led = table(shared.where(_fits(F.col("at"), F.col("head.at"), t)).select(F.col("sid").alias("a"), F.col("head.sid").alias("b")).distinct(), "led")
+    own = {"at": F.col("at"), "sig": F.col("sig")}
+    led = table(shared.where(_fits(own, F.col("head"), t)).select(F.col("sid").alias("a"), F.col("head.sid").alias("b")).distinct(), "led")
     explained = table(_verified(led, docs, sets, ranks, doc_id, text, t), "explained")
-    crowded = shared.where("c > 2").select("w", "sid", "at")
+    crowded = shared.where("c > 2").select("w", "sid", "at", "sig")
     x, y = crowded.join(explained.select(F.col("a").alias("sid")), "sid", "left_anti").alias("x"), crowded.alias("y")
-    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("y.sid") < F.col("x.sid")) & _fits(F.col("x.at"), F.col("y.at"), t))
+    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("y.sid") < F.col("x.sid")) & _fits({"at": F.col("x.at"), "sig": F.col("x.sig")}, {"at": F.col("y.at"), "sig": F.col("y.sig")}, t))
     rest = table(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(led, ["a", "b"], "left_anti"), "rest")
     near = explained.union(_verified(rest, docs, sets, ranks, doc_id, text, t)).distinct().select(F.col("a").alias("sid"), F.lit(True).alias("near"))
     verdicts = table(sets.select("k", "k2", "sid", F.struct("doc_id", "line_no").alias("f")).join(near, "sid", "left"), "verdicts")

@@ -38,7 +38,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
