@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 P_FLOOR = 1e-16
@@ -121,9 +122,8 @@ def t_quantile(p: float, df: float) -> float:
     return (lo + hi) / 2
 
 
-def with_t_test(df, t: str, n: str, name: str = "p_value"):
+def with_t_test(df: DataFrame, t: str, n: str, name: str = "p_value") -> DataFrame:
     """``df`` with the two-sided p of column ``t`` for ``n`` values."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def p(ts: pd.Series, ns: pd.Series) -> pd.Series:

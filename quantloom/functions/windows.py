@@ -6,19 +6,21 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 KEYS = ["symbol", "interval"]
-#: The window of a series in time order.
-SERIES = Window.partitionBy(*KEYS).orderBy("open_dt")
-RUNNING = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def series():
+    """The window of a series in time order."""
+    return Window.partitionBy(*KEYS).orderBy("open_dt")
 
 
 def roll(n: int):
     """The last n bars."""
-    return SERIES.rowsBetween(-(n - 1), 0)
+    return series().rowsBetween(-(n - 1), 0)
 
 
 def ahead(first: int, last: int):
     """Bars from ``first`` to ``last`` after the current one."""
-    return SERIES.rowsBetween(first, last)
+    return series().rowsBetween(first, last)
 
 
 def full(value: Column, counted: Column, n: int, window=None) -> Column:
@@ -27,11 +29,11 @@ def full(value: Column, counted: Column, n: int, window=None) -> Column:
 
 
 def prev(column: str | Column, k: int = 1) -> Column:
-    return F.lag(column, k).over(SERIES)
+    return F.lag(column, k).over(series())
 
 
 def following(column: str | Column, k: int = 1) -> Column:
-    return F.lead(column, k).over(SERIES)
+    return F.lead(column, k).over(series())
 
 
 def yes(condition: Column) -> Column:
@@ -41,4 +43,4 @@ def yes(condition: Column) -> Column:
 
 def bar_no() -> Column:
     """Position of a bar in its series, from 1."""
-    return F.row_number().over(SERIES)
+    return F.row_number().over(series())

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quantloom.plans import indicator_queries, event_queries, streak_queries, study_queries  # noqa: F401
+from quantloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
