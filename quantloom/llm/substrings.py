@@ -1,5 +1,7 @@
 """Repeated passages: find 13-word windows that recur across documents, with sharded Aho-Corasick automata.
 
+0. Copies.  Of documents with equal texts only that of the smallest doc_id is searched; all windows of the others are
+   repeated.  Equality is by two 64-bit hashes of the whole text.
 1. Anchors.  Each window's anchor is the five-word phrase in it with the smallest hash; equal windows have equal
    anchors, and one word in five starts one.  Only anchors met in two documents at least can belong to a recurring
    window (one shuffle of anchor hashes with the smallest and largest document).
@@ -8,7 +10,9 @@
 3. Automata.  A shard, read in runs of whole anchors, keeps the windows that occur in two documents at least,
    compiles them into an Aho-Corasick automaton over word numbers, and streams its segments through it.  So every
    window of every document passes the automaton that holds all passages it could match, and no automaton is larger
-   than a run of a shard.  For each window the smallest document that has it comes back.
+   than a run of a shard.  For each window the smallest document that has it comes back.  An anchor with very many
+   different segments would still be one task's: the windows of its segments become segments of their own, sharded by
+   their own hash.
 4. A window is repeated in a document if that smallest document is smaller; its words are covered.
 
 Hashes only route; windows are compared word by word.
@@ -31,6 +35,8 @@ from quantloom.llm.words import Words, chunks, grams
 WINDOW, ANCHOR = 13, 5
 #: Segments compiled into one automaton, unless a single anchor has more.
 RUN_SEGMENTS = 20_000
+#: Different segments of one anchor from which on its windows are dealt out one by one.
+CROWDED = 1_000
 
 
 def _anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,31 +196,64 @@ def _locate(distinct: DataFrame, window: int) -> DataFrame:
     return distinct.mapInArrow(run, "h long, sk long, firsts array<long>")
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, tk) of rows whose whole text a smaller doc_id has too."""
+    keys = rows.select("doc_id", "tk", F.xxhash64(F.lit(1), "text").alias("tk2"))
+    owners = keys.groupBy("tk", "tk2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("tk", "tk2", "lo")
+    return table(keys.join(owners, ["tk", "tk2"]).where("doc_id > lo").select("doc_id", "tk").distinct(), "copies")
+
+
+def _without(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    maybe, others = split(rows, ["doc_id", "tk"], copies)
+    return others.union(maybe.join(copies, ["doc_id", "tk"], "left_anti").select(*rows.columns))
+
+
+def _spread(found: DataFrame, window: int) -> DataFrame:
+    """Segments with those of crowded anchors cut into their windows, under the windows' own hashes."""
+    kinds = found.select("h", "sk").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    crowded = table(kinds.where(F.col("c") > CROWDED).select("h"), "crowded")
+    if crowded.isEmpty():
+        return found
+    words = F.split(F.col("segment").cast("string"), " ")
+    pieces = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda i: F.array_join(F.slice(words, i + 1, F.lit(window)), " "))
+    cut = found.join(crowded, "h", "left_semi").select("doc_id", "tk", "start", F.posexplode(pieces).alias("i", "piece"))
+    own = F.xxhash64("piece")
+    cut = cut.select(own.alias("h"), "doc_id", "tk", (F.col("start") + F.col("i")).alias("start"), F.col("piece").cast("binary").alias("segment"), own.alias("sk"))
+    return found.join(crowded, "h", "left_anti").select("h", "doc_id", "tk", "start", "segment", "sk").union(cut)
+
+
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, tk, starts) for each document with repeated windows: the words at which they start.
+    """(doc_id, tk, whole, starts) for each document with repeated windows: all of them, or the words at which they start.
 
     A window of ``window`` words is repeated if its words also make a window of a document with a smaller doc_id.
     ``tk`` is xxhash64 of the text and tells rows apart that repeat a doc_id; those do not count as earlier for each
-    other.  Null texts have no words; rows with a null doc_id are neither searched nor counted as earlier.
+    other.  ``whole`` marks copies of an earlier text, whose starts are null.  Null texts have no words; rows with a
+    null doc_id are neither searched nor counted as earlier.
     """
     rows = _input(docs, doc_id, text).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    copies = _copies(rows)
+    rows = _without(rows, copies)
     recurring = table(_anchor_bounds(rows, window, anchor), "recurring")
     places = _anchor_places(rows, window, anchor).join(recurring, "h", "left_semi")
     listed = table(places.groupBy("doc_id", "tk").agg(F.collect_list("o").alias("os")), "listed")
     maybe, _ = split(rows, ["doc_id", "tk"], listed)
     joined = maybe.join(listed, ["doc_id", "tk"]).select("doc_id", "tk", "text", "os")
-    found = table(_segments(joined, window, anchor).withColumn("sk", F.xxhash64("segment")), "segments")
+    found = _spread(table(_segments(joined, window, anchor).withColumn("sk", F.xxhash64("segment")), "segments"), window)
     distinct = found.groupBy("h", "sk", "segment").agg(F.min("doc_id").alias("lo"))
     sharded = distinct.select("h", "sk", "segment", "lo").repartition("h").sortWithinPartitions("h")
     firsts = table(_locate(sharded, window).where(F.size("firsts") > 0), "firsts")
     hits = found.select("h", "sk", "doc_id", "tk", "start").join(firsts, ["h", "sk"])
     at = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = hits.select("doc_id", "tk", at.alias("at")).where(F.size("at") > 0)
-    return table(hits.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("at")).alias("starts")), "repeated")
+    hits = hits.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("at")).alias("starts"))
+    whole = copies.select("doc_id", "tk", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
+    return table(hits.select("doc_id", "tk", F.lit(False).alias("whole"), "starts").union(whole), "repeated")
 
 
-def _kept_words(text: str | None, starts, window: int) -> tuple[int, int, bytes]:
+def _kept_words(text: str | None, whole: bool, starts, window: int) -> tuple[int, int, bytes]:
     words = (text or "").encode("utf-8").split()  # splits at the ASCII white space that delimits words
+    if whole and len(words) >= window:
+        return len(words), len(words), b""
     if starts is None or not len(starts):
         return len(words), 0, b" ".join(words)
     edge = np.zeros(len(words) + 1, dtype=np.int64)
@@ -228,15 +267,15 @@ def _cut(docs: DataFrame, doc_id: str, text: str, window: int, found: DataFrame,
     """Adds n_words, n_removed and the kept words (or their SHA-256) to (doc_id, text)."""
     rows = _input(docs, doc_id, text)
     maybe, clean = split(rows, ["doc_id", "tk"], found)
-    joined = maybe.join(found, ["doc_id", "tk"], "left").select("doc_id", "text", "starts")
-    joined = joined.union(clean.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts")))
+    joined = maybe.join(found, ["doc_id", "tk"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
+    joined = joined.union(clean.select("doc_id", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, kept = [], [], []
-            for value, starts in zip(batch.column(1), batch.column(2), strict=True):
+            for value, whole, starts in zip(*batch.columns[1:], strict=True):
                 at = starts.values.to_numpy(zero_copy_only=False) if starts.is_valid else None
-                a, b, c = _kept_words(value.as_py(), at, window)
+                a, b, c = _kept_words(value.as_py(), whole.as_py(), at, window)
                 n.append(a)
                 removed.append(b)
                 kept.append(hashlib.sha256(c).hexdigest() if digest else c.decode("utf-8"))
