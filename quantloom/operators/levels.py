@@ -33,7 +33,8 @@ def cluster_prices(prices: DataFrame, tolerance: float, by: tuple[str, ...] = ("
     w = Window.partitionBy(*by).orderBy("price")
     step = F.col("price") - F.lag("price").over(w)
     marked = prices.where("price IS NOT NULL AND NOT isnan(price)").withColumn("_new", F.coalesce((step > tolerance * F.abs(F.lag("price").over(w))).cast("int"), F.lit(1)))
-    numbered = marked.withColumn("_cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # The default frame ends with the last equal price, so equal prices never part.
+    numbered = marked.withColumn("_cluster", F.sum("_new").over(w))
     return numbered.groupBy(*by, "_cluster").agg(F.avg("price").alias("price"), F.count(F.lit(1)).cast("int").alias("touches")).drop("_cluster")
 
 

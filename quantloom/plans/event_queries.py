@@ -53,7 +53,7 @@ def swing_points(spark, sf_dir):
 
 
 @register(f"""WITH {EVENT_BARS}, {SWING}, p AS (SELECT symbol, 'resistance' AS kind, ph AS price FROM sw WHERE sh UNION ALL SELECT symbol, 'support', pl FROM sw WHERE sl),
-c AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, kind ORDER BY price ROWS UNBOUNDED PRECEDING) AS cl FROM (
+c AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, kind ORDER BY price) AS cl FROM (
   SELECT *, CASE WHEN price - lag(price) OVER (PARTITION BY symbol, kind ORDER BY price) <= 0.003 * abs(lag(price) OVER (PARTITION BY symbol, kind ORDER BY price)) THEN 0 ELSE 1 END AS nw FROM p))
 SELECT symbol, kind, 'main' AS timeframe, 'swing' AS source, count(*) AS touches, {s6('avg(price)', 'price')} FROM c GROUP BY symbol, kind, cl HAVING count(*) >= 2""")
 def swing_levels(spark, sf_dir):
@@ -68,7 +68,22 @@ def daily_pivots(spark, sf_dir):
     return show(L.daily_pivots(event_bars(spark, sf_dir)), ["label"], ["price"])
 
 
-@register()
+def _swing_rows(source: str, timeframe: str) -> str:
+    """SQL of swing levels met twice or more in a bar table with rn."""
+    swing = SWING.partition("AS (")[2].rpartition(")")[0].replace("FROM bars", f"FROM {source}")
+    order = "OVER (PARTITION BY symbol, kind ORDER BY price)"
+    return f"""SELECT symbol, kind, '{timeframe}' AS timeframe, 'swing' AS source, '' AS label, count(*) AS touches, avg(price) AS price FROM (
+  SELECT *, sum(nw) OVER (PARTITION BY symbol, kind ORDER BY price) AS cl FROM (
+    SELECT *, CASE WHEN price - lag(price) {order} <= 0.003 * abs(lag(price) {order}) THEN 0 ELSE 1 END AS nw FROM (
+      SELECT symbol, unnest(['resistance', 'support']) AS kind, unnest([CASE WHEN sh THEN ph END, CASE WHEN sl THEN pl END]) AS price FROM ({swing})) WHERE price IS NOT NULL))
+  GROUP BY symbol, kind, cl HAVING count(*) >= 2"""
+
+
+@register(f"""WITH {EVENT_BARS}, {FOUR}, b4 AS (SELECT *, row_number() OVER ({W}) AS rn FROM h4), d AS (SELECT symbol, open_dt::DATE AS day, max(high) AS h, min(low) AS l, arg_max(close, open_dt) AS c FROM bars GROUP BY ALL),
+t AS (SELECT *, (h + l + c) / 3 AS p FROM d QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) <= 3),
+u AS ({_swing_rows('bars', 'main')} UNION ALL {_swing_rows('b4', '4H')} UNION ALL
+  SELECT symbol, 'pivot', '1D', 'pivot', unnest(['P', 'R1', 'S1', 'R2', 'S2']), 1, unnest([p, 2 * p - l, 2 * p - h, p + (h - l), p - (h - l)]) FROM t)
+SELECT symbol, kind, timeframe, source, label, touches, {s6('price')} FROM u""")
 def level_report(spark, sf_dir):
     return show(L.level_report(event_bars(spark, sf_dir), min_touches=2), ["kind", "timeframe", "source", "label", "touches"], ["price"], [])
 
@@ -194,7 +209,12 @@ def monte_carlo_drawdown(spark, sf_dir):
     return show(B.monte_carlo(_risky(spark, sf_dir), runs=200), ["runs"], ["mean_final_pnl", "median_max_dd", "p95_max_dd"], [])
 
 
-@register()
+_SPLIT = _RISKY.replace("FROM sg)", "FROM s2)").replace("JOIN sg b", "JOIN s2 b")
+
+
+@register(f"""WITH {STATES}, {FRAME}, s2 AS (SELECT * EXCLUDE (symbol, n), symbol || '|' || CASE WHEN rn - 100 <= floor((n - 100) * 0.7) THEN 'train' ELSE 'test' END AS symbol FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM sg) WHERE rn > 100), {_SPLIT}
+SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS split, count(*) AS n_trades, count(*) FILTER (oc = 'Liquidation') AS liq_count, {s6('count(*) FILTER (pnl > 0) / count(*)::DOUBLE * 100', 'win_rate')}, {s6('sum(pnl) * 100', 'total_pnl')},
+{s6('avg(pnl) * 100', 'avg_pnl')}, {s6('(product(1 + pnl) - 1) * 100', 'compounded_pnl')} FROM td GROUP BY symbol""")
 def backtest_train_test(spark, sf_dir):
     bars = B.splits(_frame(spark, sf_dir), warm_up=100)
     trades = B.run(bars, "engulfing_long", B.Rules(take_profit=0.4, stop_loss=0.2, max_bars=10, leverage=2), keep=("split",))

@@ -127,7 +127,12 @@ def pullback_score(spark, sf_dir):
     return show(K.signal_score(K.pullback_quality(bars, "matched", 2, 1)), ["score", "confidence"], ["retracement", "vol_ratio"])
 
 
-@register()
+NY = "hour(timezone('America/New_York', timezone('UTC', {}))) // 4"
+
+
+@register(f"""WITH {EVENT_BARS}, d AS (SELECT symbol, open_dt::DATE AS day, arg_min(open_dt, (low, open_dt)) AS l, arg_min(open_dt, (-high, open_dt)) AS h, avg(CASE WHEN open > 0 THEN (high - low) / open * 100 END) AS rg FROM bars GROUP BY ALL),
+p AS (SELECT *, {NY.format('l')} AS lp, {NY.format('h')} AS hp FROM d), t AS (SELECT symbol, count(*) FILTER (lp <> hp) AS n_days, count(*) AS all_days, avg(rg) AS range_pct FROM p GROUP BY symbol)
+SELECT t.symbol, part::BIGINT AS part, n_days, all_days, (SELECT count(*) FROM p WHERE p.symbol = t.symbol AND lp <> hp AND lp = part) AS lows, (SELECT count(*) FROM p WHERE p.symbol = t.symbol AND lp <> hp AND hp = part) AS highs, {s6('range_pct')} FROM t, range(6) r(part)""")
 def intraday_extremes_ny(spark, sf_dir):
     return show(K.intraday_extremes(event_bars(spark, sf_dir)), ["part", "n_days", "all_days", "lows", "highs"], ["range_pct"], [])
 

@@ -51,7 +51,14 @@ def price_projections(spark, sf_dir):
 BASE = {"take_profit": 4.0, "stop_loss": 2.0, "max_hold": 6}
 
 
-@register()
+_SETS = ", ".join(f"({i}, {c['take_profit']!r}::DOUBLE, {c['stop_loss']!r}::DOUBLE, {int(c['max_hold'])})" for i, c in enumerate(sweep.candidates(BASE)))
+
+
+@register(f"""WITH {EVENT_BARS}, ps(param_id, tp, sl, mh) AS (VALUES {_SETS}), n AS (SELECT symbol, count(*) AS n, floor(count(*) * 0.7) AS cut FROM bars GROUP BY symbol),
+e AS (SELECT b.symbol, b.rn, b.close AS ep, CASE WHEN b.rn <= n.cut THEN 'train' ELSE 'test' END AS split, CASE WHEN b.rn <= n.cut THEN n.cut ELSE n.n END AS last FROM bars b JOIN n USING (symbol) WHERE close > open),
+x AS (SELECT e.*, ps.*, b.rn - e.rn AS o, b.low, b.high, b.close, ep * (1 - sl / 100) AS st, ep * (1 + tp / 100) AS tg FROM e JOIN ps ON e.rn + mh <= e.last JOIN bars b ON b.symbol = e.symbol AND b.rn > e.rn AND b.rn <= e.rn + mh),
+y AS (SELECT symbol, param_id, split, rn, arg_min((CASE WHEN low <= st THEN st WHEN high >= tg THEN tg ELSE close END - ep) / ep * 100, o) AS pnl FROM x WHERE low <= st OR high >= tg OR o = mh GROUP BY symbol, param_id, split, rn)
+SELECT symbol, param_id::BIGINT AS param_id, split, count(*) AS n_trades, {s6('count(*) FILTER (pnl > 0) / count(*)::DOUBLE * 100', 'win_rate')}, {s6('sum(pnl)', 'total_pnl')}, {s6('avg(pnl)', 'avg_pnl')} FROM y GROUP BY symbol, param_id, split""")
 def parameter_sweep(spark, sf_dir):
     bars = event_bars(spark, sf_dir).withColumn("green", F.col("close") > F.col("open"))
     out = sweep.evaluate(bars, "green", sweep.candidates(BASE))
