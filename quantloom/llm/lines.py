@@ -8,8 +8,9 @@ For Jaccard >= t two sets of x and y tokens need x >= t y and an overlap of t/(1
 first x - ceil(t x) + 1 tokens (prefix filter), their sizes fit (length filter), and the places of that token leave
 room for the overlap (positional filter).  A 64-bit parity of the tokens bounds the sets' difference from below and
 spares most other pairs the verification.  Sets of equal tokens collapse first.  Within a token only the earliest set
-is tried for each member at first; what it does not explain is tried against the other earlier sets.  Token arrays are
-fetched for candidates only, and similarity is verified on them.
+is tried for each member at first, and long lines try only half of their tokens; what this does not explain is tried
+against all earlier sets under all tokens.  Token arrays are fetched for candidates only, and similarity is verified on
+them.  Postings name tokens by 32-bit hashes: those route only.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.quality import words_of
 from quantloom.llm.reduce import split
-from quantloom.llm.scratch import table
+from quantloom.llm.scratch import release, table, written
 
 THRESHOLD = 0.8
 #: Lines of fewer distinct words are left alone.
 MIN_TOKENS = 5
 BUCKETS = 1 << 18
+#: Sets of more tokens try half of their prefix tokens against the earliest set of each at first.
+SHORT = 20
 #: Bits of a token number that hold its hash; the bits above hold its rank.
 _HASH_BITS = 57
 
@@ -94,6 +97,12 @@ def _fits(x, y, t: float) -> Column:
     return (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9) & differ & (F.least(nx - ix, ny - iy) >= overlap)
 
 
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """(w, sid, at, sig) for each prefix token; ``at`` packs the set's size and the token's place."""
+    rows = prefixes.select("sid", "n", "sig", F.posexplode("p").alias("i", "w"))
+    return rows.select("w", "sid", F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long")).alias("at"), "sig")
+
+
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, line_no) of every line to remove.
 
@@ -105,24 +114,28 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = _lines(docs, doc_id, text).select("doc_id", "line_no", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s")))))
     n = F.size("s")
     prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
-    lines = table(
-        lines.where(n >= min_tokens).select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), F.slice("s", F.lit(1), prefix).alias("p"), F.expr(_PARITY).alias("sig")),
-        "lines",
-    )
+    p = F.transform(F.slice("s", F.lit(1), prefix), lambda x: F.hash(x))
+    wide = table(lines.where(n >= min_tokens).select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), p.alias("p"), F.expr(_PARITY).alias("sig")), "wide_lines")
+    path = written()[-1]
+    lines = table(wide.select("doc_id", "line_no", "k", "k2"), "lines")
     # One row for each set of tokens, numbered in the order of first lines.
-    firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
-    sets = lines.join(firsts, ["k", "k2"]).where(F.col("f") == F.struct("doc_id", "line_no")).select("k", "k2", "doc_id", "line_no", "n", "p", "sig")
-    sets = table(sets.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    postings = sets.select("sid", "n", "sig", F.posexplode("p").alias("i", "w")).select("w", "sid", F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long")).alias("at"), "sig")
-    heads = postings.groupBy("w").agg(F.min(F.struct("sid", "at", "sig")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = table(postings.join(heads, "w").where(F.col("sid") > F.col("head.sid")), "shared")
+    firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("k", "k2", "f.doc_id", "f.line_no")
+    sets = table(firsts.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("sid", F.monotonically_increasing_id()), "sets")
+    prefixes = table(wide.join(sets, ["k", "k2", "doc_id", "line_no"]).select("sid", "n", "sig", "p"), "prefixes")
+    release(docs.sparkSession, [path])  # all that is needed of it is in the three tables since
+
+    postings = _postings(prefixes)
+    some = postings.where((F.shiftright("at", 24) <= SHORT) | (F.col("w").bitwiseAND(F.lit(1)) == 0))
+    heads = some.groupBy("w").agg(F.min("sid").alias("hs"), F.min_by("at", "sid").alias("ha"), F.min_by("sig", "sid").alias("hg"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     own = {"at": F.col("at"), "sig": F.col("sig")}
-    led = table(shared.where(_fits(own, F.col("head"), t)).select(F.col("sid").alias("a"), F.col("head.sid").alias("b")).distinct(), "led")
+    led = some.join(heads, "w").where((F.col("sid") > F.col("hs")) & _fits(own, {"at": F.col("ha"), "sig": F.col("hg")}, t))
+    led = table(led.select(F.col("sid").alias("a"), F.col("hs").alias("b")).distinct(), "led")
     explained = table(_verified(led, docs, sets, ranks, doc_id, text, t), "explained")
-    crowded = shared.where("c > 2").select("w", "sid", "at", "sig")
-    x, y = crowded.join(explained.select(F.col("a").alias("sid")), "sid", "left_anti").alias("x"), crowded.alias("y")
+    done = explained.select(F.col("a").alias("sid"))
+    maybe, others = split(prefixes, ["sid"], done)
+    x, y = _postings(others.union(maybe.join(done, "sid", "left_anti").select(*prefixes.columns))).alias("x"), postings.alias("y")
     rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("y.sid") < F.col("x.sid")) & _fits({"at": F.col("x.at"), "sig": F.col("x.sig")}, {"at": F.col("y.at"), "sig": F.col("y.sig")}, t))
-    rest = table(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(led, ["a", "b"], "left_anti"), "rest")
+    rest = table(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "rest")
     near = explained.union(_verified(rest, docs, sets, ranks, doc_id, text, t)).distinct().select(F.col("a").alias("sid"), F.lit(True).alias("near"))
     verdicts = table(sets.select("k", "k2", "sid", F.struct("doc_id", "line_no").alias("f")).join(near, "sid", "left"), "verdicts")
     judged = lines.select("doc_id", "line_no", "k", "k2").join(verdicts, ["k", "k2"])
