@@ -200,6 +200,7 @@ def _copies(rows: DataFrame) -> DataFrame:
     """(doc_id, tk) of rows whose whole text a smaller doc_id has too."""
     keys = rows.select("doc_id", "tk", F.xxhash64(F.lit(1), "text").alias("tk2"))
     owners = keys.groupBy("tk", "tk2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("tk", "tk2", "lo")
+    owners = table(owners, "copy_owners")  # joined as a table, so that a hot text's rows can be split
     return table(keys.join(owners, ["tk", "tk2"]).where("doc_id > lo").select("doc_id", "tk").distinct(), "copies")
 
 
