@@ -7,7 +7,8 @@ Any fixed order keeps the join exact; this one keeps the frequent words out of t
 For Jaccard >= t two sets of x and y tokens need x >= t y and an overlap of t/(1+t) (x+y), so they share one of their
 first x - ceil(t x) + 1 tokens (prefix filter), their sizes fit (length filter), and the places of that token leave
 room for the overlap (positional filter).  A 64-bit parity of the tokens bounds the sets' difference from below and
-spares most other pairs the verification.  Sets of equal tokens collapse first.  Within a token only the earliest set
+spares most other pairs the verification.  Sets of equal tokens collapse first, which is all that sets need of so few
+tokens that even one token more makes them differ too much (three at t = 0.8): they post nothing.  Within a token only the earliest set
 is tried for each member at first, and long lines try only half of their tokens; what this does not explain is tried
 against all earlier sets under all tokens.  Token arrays are fetched for candidates only, and similarity is verified on
 them.  Postings name tokens by 32-bit hashes: those route only.
@@ -25,8 +26,8 @@ from quantloom.llm.reduce import split
 from quantloom.llm.scratch import release, table, written
 
 THRESHOLD = 0.8
-#: Lines of fewer distinct words are left alone.
-MIN_TOKENS = 5
+#: Lines of fewer distinct words are left alone: only those without a word.
+MIN_TOKENS = 1
 BUCKETS = 1 << 18
 #: Sets of more tokens try half of their prefix tokens against the earliest set of each at first.
 SHORT = 20
@@ -114,14 +115,15 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = _lines(docs, doc_id, text).select("doc_id", "line_no", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s")))))
     n = F.size("s")
     prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
-    p = F.transform(F.slice("s", F.lit(1), prefix), lambda x: F.hash(x))
-    wide = table(lines.where(n >= min_tokens).select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), p.alias("p"), F.expr(_PARITY).alias("sig")), "wide_lines")
+    alone = n < (n + 1) * F.lit(t) - 1e-9  # only equal sets are similar enough
+    p = F.transform(F.slice("s", F.lit(1), F.when(alone, 0).otherwise(prefix)), lambda x: F.hash(x))
+    wide = table(lines.where(n >= max(1, min_tokens)).select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), p.alias("p"), F.expr(_PARITY).alias("sig")), "wide_lines")
     path = written()[-1]
     lines = table(wide.select("doc_id", "line_no", "k", "k2"), "lines")
     # One row for each set of tokens, numbered in the order of first lines.
     firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("k", "k2", "f.doc_id", "f.line_no")
     sets = table(firsts.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    prefixes = table(wide.join(sets, ["k", "k2", "doc_id", "line_no"]).select("sid", "n", "sig", "p"), "prefixes")
+    prefixes = table(wide.join(sets, ["k", "k2", "doc_id", "line_no"]).where(F.size("p") > 0).select("sid", "n", "sig", "p"), "prefixes")
     release(docs.sparkSession, [path])  # all that is needed of it is in the three tables since
 
     postings = _postings(prefixes)

@@ -43,3 +43,13 @@ def test_edges(spark):
     got = sorted(((r.doc_id or 0), r.text) for r in lines.dedup_lines(docs).collect() if r.text is not None)
     assert got == [(0, line), (1, "a b"), (5, line), (5, line), (6, ""), (8, "")]
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_lines_of_few_words(spark):
+    rng = random.Random(4)
+    rows = _rows() + [(1000 + d, "\n".join(" ".join(rng.choice("abcdef") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 30]))) for _ in range(4))) for d in range(60)]
+    rows += [(2000, "w x y z"), (2001, "w x y z v"), (2002, "p q r"), (2003, "p q r s"), (2004, "r  q p q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _brute(rows, least=1)
+    assert want > _brute(rows) and {(2001, 0), (2004, 0)} <= want and (2003, 0) not in want
+    assert {tuple(r) for r in lines.repeated_lines(docs).collect()} == want
