@@ -36,9 +36,9 @@ _HASH_BITS = 57
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, line_no, line) of rows with an id; line_no counts from 0."""
+    """(doc_id, tk, line_no, line) of rows with an id; line_no counts from 0, ``tk`` tells texts of one doc_id apart."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def rarity_table(docs: DataFrame, text: str) -> Column:
@@ -104,22 +104,17 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     return rows.select("w", "sid", F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long")).alias("at"), "sig")
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, line_no) of every line to remove.
-
-    A line of at least ``min_tokens`` distinct words goes if some earlier line of the input, by (doc_id, line_no), has
-    tokens of Jaccard similarity >= ``t``; lines are judged on the input, not on what is left.  Lines of equal place
-    (rows that repeat a doc_id) do not remove each other.  Rows with a null id or text have no part in this.
-    """
+def _judged(docs: DataFrame, doc_id: str, text: str, t: float, min_tokens: int) -> DataFrame:
+    """(doc_id, tk, line_no) of every line to remove."""
     ranks = rarity_table(docs, text)
-    lines = _lines(docs, doc_id, text).select("doc_id", "line_no", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s")))))
+    lines = _lines(docs, doc_id, text).select("doc_id", "tk", "line_no", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s")))))
     n = F.size("s")
     prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
     alone = n < (n + 1) * F.lit(t) - 1e-9  # only equal sets are similar enough
     p = F.transform(F.slice("s", F.lit(1), F.when(alone, 0).otherwise(prefix)), lambda x: F.hash(x))
-    wide = table(lines.where(n >= max(1, min_tokens)).select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), p.alias("p"), F.expr(_PARITY).alias("sig")), "wide_lines")
+    wide = table(lines.where(n >= max(1, min_tokens)).select("doc_id", "tk", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), p.alias("p"), F.expr(_PARITY).alias("sig")), "wide_lines")
     path = written()[-1]
-    lines = table(wide.select("doc_id", "line_no", "k", "k2"), "lines")
+    lines = table(wide.select("doc_id", "tk", "line_no", "k", "k2"), "lines")
     # One row for each set of tokens, numbered in the order of first lines.
     firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("k", "k2", "f.doc_id", "f.line_no")
     sets = table(firsts.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("sid", F.monotonically_increasing_id()), "sets")
@@ -140,24 +135,35 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = table(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "rest")
     near = explained.union(_verified(rest, docs, sets, ranks, doc_id, text, t)).distinct().select(F.col("a").alias("sid"), F.lit(True).alias("near"))
     verdicts = table(sets.select("k", "k2", "sid", F.struct("doc_id", "line_no").alias("f")).join(near, "sid", "left"), "verdicts")
-    judged = lines.select("doc_id", "line_no", "k", "k2").join(verdicts, ["k", "k2"])
-    return judged.where(F.col("near").isNotNull() | (F.col("f") < F.struct("doc_id", "line_no"))).select("doc_id", "line_no").distinct()
+    judged = lines.join(verdicts, ["k", "k2"])
+    return judged.where(F.col("near").isNotNull() | (F.col("f") < F.struct("doc_id", "line_no"))).select("doc_id", "tk", "line_no").distinct()
+
+
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(doc_id, line_no) of every line to remove.
+
+    A line of at least ``min_tokens`` distinct words goes if some earlier line of the input, by (doc_id, line_no), has
+    tokens of Jaccard similarity >= ``t``; lines are judged on the input, not on what is left.  Lines of equal place
+    (rows that repeat a doc_id) do not remove each other.  Rows with a null id or text have no part in this.
+    """
+    return _judged(docs, doc_id, text, t, min_tokens).select("doc_id", "line_no").distinct()
 
 
 def _removed(docs: DataFrame, doc_id: str, text: str, t: float, min_tokens: int) -> DataFrame:
-    gone = repeated_lines(docs, doc_id, text, t, min_tokens)
-    return table(gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone")), "removed")
+    gone = _judged(docs, doc_id, text, t, min_tokens)
+    return table(gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tk").alias("_tk")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone")), "removed")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with the lines of ``repeated_lines`` cut out of ``text``; other columns, null texts and row count stay.
 
-    A text of which every line goes becomes empty; an empty table stays empty.
+    A text of which every line goes becomes empty; an empty table stays empty.  Where rows share a doc_id but not their
+    text, each loses its own repeated lines only.
     """
     removed = _removed(docs, doc_id, text, t, min_tokens)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").cast("long").alias("_doc"))
-    maybe, clean = split(d, ["_doc"], removed)
-    joined = maybe.join(removed, "_doc", "left").select("_row", "_gone").union(clean.select("_row", F.lit(None).cast("array<int>").alias("_gone")))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").cast("long").alias("_doc"), F.xxhash64(F.col(f"`{text}`")).alias("_tk"))
+    maybe, clean = split(d, ["_doc", "_tk"], removed)
+    joined = maybe.join(removed, ["_doc", "_tk"], "left").select("_row", "_gone").union(clean.select("_row", F.lit(None).cast("array<int>").alias("_gone")))
     value = F.col(f"_row.`{text}`")
     left = F.array_join(F.filter(F.split(value, "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     new = F.when(F.col("_gone").isNull(), value).otherwise(left)
@@ -168,8 +174,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many of them go, and their numbers."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     removed = _removed(docs, "doc_id", "text", THRESHOLD, MIN_TOKENS)
-    counts = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    joined = counts.join(removed, F.col("doc_id") == F.col("_doc"), "left")
+    counts = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    joined = counts.join(removed, (F.col("doc_id") == F.col("_doc")) & (F.col("tk") == F.col("_tk")), "left")
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
 

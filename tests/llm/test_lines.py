@@ -53,3 +53,9 @@ def test_lines_of_few_words(spark):
     want = _brute(rows, least=1)
     assert want > _brute(rows) and {(2001, 0), (2004, 0)} <= want and (2003, 0) not in want
     assert {tuple(r) for r in lines.repeated_lines(docs).collect()} == want
+
+
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    line = "one two three four five six"
+    docs = spark.createDataFrame([(1, line), (2, f"{line}\nold words stay here as well"), (2, f"new words stay here as ever\n{line}")], "doc_id long, text string")
+    assert sorted(r.text for r in lines.dedup_lines(docs).collect()) == ["new words stay here as ever", "old words stay here as well", line]
