@@ -33,8 +33,10 @@ HINTS = frozenset(
     "masthead footer sidebar sidebars aside widget widgets comment comments disqus respond replies reply cookie cookies consent notice notices "
     "popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search pager pagination toolbar skip".split()
 )
-#: Words that make a header the article's own.
-ARTICLE_WORDS = frozenset("article entry post story content title".split())
+#: Words that may stand beside hints in the name of a boilerplate element; any other word makes the name mean something else.
+NEUTRAL = frozenset("area bar block body bottom box button buttons col column container first form global group inner item items last left link links list main outer panel posts primary right secondary section site text top wrap wrapper".split())
+#: Hints that also name layouts: an element of such a name that holds most of the page's text is no boilerplate.
+LAYOUT = frozenset("nav navbar navigation menu menus masthead header footer banner sidebar sidebars aside widget widgets toolbar search pager".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Start tags that end an open element of the second kind, within the nearest container.
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -57,22 +59,50 @@ class Block:
 
 
 def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in BOILERPLATE or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
+    return tag in BOILERPLATE or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+
+
+def _hints(attributes: dict[str, str]) -> set[str]:
+    """Hint words of the classes and the id that name boilerplate as a whole ('cookie-notice', not 'has-sidebar')."""
+    found = set()
     for part in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower()))
-        if words & HINTS or "header" in words and not words & ARTICLE_WORDS:
-            return True
-    return False
+        hints = words & HINTS or words & {"header"}
+        if hints and words <= HINTS | NEUTRAL | {"header"}:
+            found |= words & (HINTS | {"header"})
+    return found
+
+
+def _settle(blocks: list[Block], marks: list[tuple], named: list[set[str]], articles: list[tuple]) -> None:
+    """Marks the blocks in elements named boilerplate, except elements round the page's article or most of its text.
+
+    ``marks`` has the numbers of such elements round each block, ``articles`` those round each article or main element.
+    """
+    cleared: set[int] = set()
+    least = min(map(len, articles), default=0)  # articles in more of them are cards in a list or the like
+    for a in articles:
+        if len(a) == least:
+            cleared.update(a)
+    held = [0] * len(named)
+    total = 0
+    for b, mark in zip(blocks, marks, strict=True):
+        if not b.boiler:
+            total += len(b.text) - b.links
+            for h in mark:
+                held[h] += len(b.text) - b.links
+    cleared.update(h for h, words in enumerate(named) if words <= LAYOUT and 2 * held[h] > total)
+    for b, mark in zip(blocks, marks, strict=True):
+        b.boiler = b.boiler or not cleared.issuperset(mark)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order.  ``inside`` has (number, path) for each container round a block."""
     out: list[Block] = []
-    # Open elements: tag, boilerplate within, containers so far, path.
-    stack: list[tuple[str, bool, tuple, str]] = [("", False, (), "")]
+    # Open elements: tag, boilerplate within, elements named boilerplate so far, containers so far, path.
+    stack: list[tuple[str, bool, tuple, tuple, str]] = [("", False, (), (), "")]
+    marks: list[tuple] = []
+    named: list[set[str]] = []
+    articles: list[tuple] = []
     text: list[str] = []
     links = number = link_depth = 0
 
@@ -81,7 +111,8 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             joined = _SPACE.sub(" ", html_lib.unescape("".join(text))).strip()
             if joined:
-                out.append(Block(joined, min(links, len(joined)), stack[-1][1], stack[-1][2]))
+                out.append(Block(joined, min(links, len(joined)), stack[-1][1], stack[-1][3]))
+                marks.append(stack[-1][2])
             text.clear()
         links = 0
 
@@ -147,7 +178,7 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in _SAME:
             close_within(_SAME[tag], {"table", "ul", "ol", "dl", "select"})
         attributes = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[4])} if m[4].strip(" /\t\n") else {}
-        _, boiler, inside, path = stack[-1]
+        _, boiler, hinted, inside, path = stack[-1]
         if tag not in INLINE:
             flush()
             names = sorted(re.sub(r"\d+", "#", c) for c in attributes.get("class", "").lower().split())
@@ -159,10 +190,19 @@ def blocks_of(page: str) -> list[Block]:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end  # raw text is no content
             continue
-        stack.append((tag, boiler or _is_boilerplate(tag, attributes), inside, path))
+        boiler = boiler or _is_boilerplate(tag, attributes)
+        hints = _hints(attributes) if attributes and tag not in ("body", "html") else None
+        if tag in ("article", "main"):
+            if not boiler and not hints:
+                articles.append(hinted)
+        elif hints:
+            hinted = (*hinted, len(named))
+            named.append(hints)
+        stack.append((tag, boiler, hinted, inside, path))
         link_depth += tag == "a"
     pop_to(1)
     flush()
+    _settle(out, marks, named, articles)
     return out
 
 

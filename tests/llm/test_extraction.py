@@ -25,3 +25,12 @@ def test_consensus_decides_for_poor_pages(spark):
     assert len(got) == 12 and got[9] == "Hi." and got[10] == "" and got[None] == TEXT
     assert all(got[i].startswith("A good") and "longer" not in got[i] for i in range(9))
     assert E.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_names_of_layouts_are_no_boilerplate():
+    text = "A good sentence, and again. " * 5
+    for name in ("class='layout has-sidebar'", "class='no-sidebar'", "class='with-comments'", "id='page-search'", "class='sidebar'"):
+        for tag in ("article", "div"):
+            page = f"<body><div {name}><{tag}><p>{text}</{tag}><div class='sidebar'><p>Other news.</div><div class='related-posts'><article><p>A card.</article></div></div></body>"
+            assert E.extract(page) == text.strip(), (name, tag)
+    assert E.extract(f"<body><p>Short.<div id='comments'><article class='comment-body'><p>{text}</article></div></body>") == "Short."
