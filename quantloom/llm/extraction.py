@@ -2,10 +2,11 @@
 
 Every page is parsed once into blocks of text with the generalised tag-class path of each container round them (digits
 in class names become '#').  A page scores its containers: the share of the page's good text inside, less the share of
-what is inside that is no good text; good text is neither link text nor in elements that name themselves boilerplate.
-The best path is the page's vote.  Spark counts votes by host; paths with a tenth of a host's votes or more win there,
-so a host has ten at most.  A second pass takes from each page the container of its host's best winning path that it
-has, or its own best one.
+link text in what would be returned; good text is neither link text nor in elements that name themselves boilerplate,
+and boilerplate inside costs nothing, as it is left out of any result.  A smallest article or main element that holds nearly all
+good text goes first.  The best path is the page's vote.  Spark counts votes by host; paths with a tenth of a host's votes or more win there,
+so a host has ten at most.  A second pass takes from each page the containers of its host's best winning path that hold
+nearly all its good text, or its own best one.  A page of little text takes its host's best path that it has.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from quantloom.llm.scratch import table
 
 MIN_SHARE = 0.1
+#: The share of a page's good text that is nearly all, and the characters of it from which a page speaks for itself.
+NEARLY, RICH = 0.9, 250
 
 # Element names of the HTML standard by the role they play here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,16 +76,19 @@ def _hints(attributes: dict[str, str]) -> set[str]:
     return found
 
 
-def _settle(blocks: list[Block], marks: list[tuple], named: list[set[str]], articles: list[tuple]) -> None:
+def _settle(blocks: list[Block], marks: list[tuple], named: list[set[str]], articles: list[tuple[tuple, int]]) -> None:
     """Marks the blocks in elements named boilerplate, except elements round the page's article or most of its text.
 
-    ``marks`` has the numbers of such elements round each block, ``articles`` those round each article or main element.
+    ``marks`` has the numbers of such elements round each block, ``articles`` those round each article or main element,
+    with its number.
     """
     cleared: set[int] = set()
-    least = min(map(len, articles), default=0)  # articles in more of them are cards in a list or the like
-    for a in articles:
-        if len(a) == least:
-            cleared.update(a)
+    least = min((len(a) for a, _ in articles), default=0)  # articles in more of them are cards in a list or the like
+    own = {number: a for a, number in articles if least and len(a) == least}
+    if own:
+        size = lambda rows: sum(len(b.text) - b.links for b in rows if not b.boiler)
+        if size(b for b in blocks if any(c in own for c, _ in b.inside)) > size(b for b, mark in zip(blocks, marks, strict=True) if len(mark) < least):
+            cleared.update(h for a in own.values() for h in a)
     held = [0] * len(named)
     total = 0
     for b, mark in zip(blocks, marks, strict=True):
@@ -102,7 +108,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, tuple, tuple, str]] = [("", False, (), (), "")]
     marks: list[tuple] = []
     named: list[set[str]] = []
-    articles: list[tuple] = []
+    articles: list[tuple[tuple, int]] = []
     text: list[str] = []
     links = number = link_depth = 0
 
@@ -194,7 +200,7 @@ def blocks_of(page: str) -> list[Block]:
         hints = _hints(attributes) if attributes and tag not in ("body", "html") else None
         if tag in ("article", "main"):
             if not boiler and not hints:
-                articles.append(hinted)
+                articles.append((hinted, number))
         elif hints:
             hinted = (*hinted, len(named))
             named.append(hints)
@@ -206,33 +212,42 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _good(block: Block) -> int:
+    return 0 if block.boiler else len(block.text) - block.links
+
+
 def best_container(blocks: list[Block]) -> tuple[int, str] | None:
     """(number, path) of the container of the best score, the innermost among equals."""
     good: dict[tuple[int, str], int] = {}
-    bad: dict[tuple[int, str], int] = {}
+    links: dict[tuple[int, str], int] = {}
     total = 0
     for b in blocks:
-        n = 0 if b.boiler else len(b.text) - b.links
+        n = _good(b)
         total += n
         for c in b.inside:
             good[c] = good.get(c, 0) + n
-            bad[c] = bad.get(c, 0) + len(b.text) - n
-    scored = [(round(g / total - bad[c] / (g + bad[c]), 6), c[0], c[1]) for c, g in good.items() if g] if total else []
-    if not scored:
+            links[c] = links.get(c, 0) + (0 if b.boiler else b.links)
+    if not total:
         return None
-    _, number, path = max(scored)
-    return number, path
+    own = [c for c, g in good.items() if g >= NEARLY * total and c[1].rpartition("/")[2].partition(".")[0] in ("article", "main")]
+    if own:
+        return max(own)  # all of them are round the same text, so the last is the innermost
+    scored = [(round(g / total - links[c] / (g + links[c]), 6), *c) for c, g in good.items() if g]
+    return max(scored)[1:] if scored else None
 
 
 def extract(page: str | None, winners: list[str] | None = None) -> str:
-    """Text of the first winning path's containers that the page has, or of its own best container, or of all blocks."""
+    """Text of the containers of the first winning path that holds the page's good text, or of its own best container, or of all blocks."""
     blocks = blocks_of(page or "")
     chosen = None
+    total = sum(map(_good, blocks))
     paths = {p for b in blocks if not b.boiler for _, p in b.inside}
     for path in winners or []:
         if path in paths:
-            chosen = [b for b in blocks if any(p == path for _, p in b.inside)]
-            break
+            inside = [b for b in blocks if any(p == path for _, p in b.inside)]
+            if total < RICH or sum(map(_good, inside)) >= NEARLY * total:
+                chosen = inside
+                break
     if chosen is None:
         best = best_container(blocks)
         chosen = [b for b in blocks if best in b.inside] if best else blocks

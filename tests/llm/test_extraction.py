@@ -34,3 +34,16 @@ def test_names_of_layouts_are_no_boilerplate():
             page = f"<body><div {name}><{tag}><p>{text}</{tag}><div class='sidebar'><p>Other news.</div><div class='related-posts'><article><p>A card.</article></div></div></body>"
             assert E.extract(page) == text.strip(), (name, tag)
     assert E.extract(f"<body><p>Short.<div id='comments'><article class='comment-body'><p>{text}</article></div></body>") == "Short."
+
+
+def test_whole_article_beside_boilerplate():
+    a, b, noise = "The first part says it. " * 16, "The second part says it. " * 24, "A reader says so. " * 55
+    split = f"<section class='a'><p>{a}</section><section class='b'><p>{b}</section><div class='comments'><p>{noise}</div>"
+    want = "\n\n".join(["Heading of it all", a.strip(), b.strip()])
+    menu = f"<nav>{noise}</nav>"
+    for page in (f"<body>{menu}<article><h1>Heading of it all</h1>{split}</article><p>Ends here.</body>", f"<body>{menu}<div class='post'><h1>Heading of it all</h1>{split}</div></body>"):
+        assert E.extract(page) == want
+        path = next(p for x in E.blocks_of(page) for _, p in x.inside if p.endswith("section.b"))
+        assert E.extract(page, [path]) == want  # the host's path is one part only
+    twins = f"<body>{menu}<article><p>{a}</article><article><p>{b}</article></body>"
+    assert E.extract(twins) == f"{a.strip()}\n\n{b.strip()}"
