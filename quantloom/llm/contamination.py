@@ -7,16 +7,15 @@ words more or fewer, is within edit distance k = floor(``max_edits`` n) of the i
 A window can be that close only if it keeps all but k of the item's words, so an index of the items' rarer words names
 the starts worth a look; this count filter loses nothing.  Those windows are embedded by the CGK random walk: step j
 writes the current word and moves on if a random bit of (j, word) says so, so close edit distance becomes close Hamming
-distance.  Each repetition hashes
-``SAMPLED`` random positions of its own walk; windows that meet an item of their length in some repetition are
-candidates, and a banded edit distance decides.  The number of repetitions follows from ``RECALL``.
+distance.  The walk's hash of ``SAMPLED`` random positions settles the windows equal to an item, which always meet it.
+How often other close pairs meet falls with the item's length (a chance near 0.2 at 50 words and 0.02 at 1000), so no number
+of repetitions bounds what is missed: the windows left are compared with their items directly, and none is missed.
 
 Items are held in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for each block.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,8 @@ from quantloom.llm.scratch import table
 from quantloom.llm.words import CHUNK_BYTES, mix, split_words, text_buffer
 
 MAX_EDITS = 0.2
-#: Positions hashed in a repetition, the least share of equal positions that close pairs are taken to have, the recall sought.
-SAMPLED, AGREEMENT, RECALL = 2, 0.45, 0.999
+#: Positions of a walk that are hashed.
+SAMPLED = 2
 #: Words of more items than this are left out of an item's count, if enough others remain to ask for ``MIN_HITS`` of them.
 RARE_ITEMS, MIN_HITS = 4, 3
 #: Words of items held by a task at once.
@@ -41,11 +40,6 @@ BATCH_WINDOWS = 4096
 _U = np.uint64
 
 
-def repetitions(sampled: int = SAMPLED, agreement: float = AGREEMENT, recall: float = RECALL) -> int:
-    """Repetitions after which a pair that agrees in a share ``agreement`` of positions was met with chance ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled))
-
-
 def _fold_table() -> np.ndarray:
     out = np.arange(256, dtype=np.uint8)
     out[ord("A") : ord("Z") + 1] += 32
@@ -103,23 +97,20 @@ def edit_distances(windows: np.ndarray, lengths: np.ndarray, items: np.ndarray,
 
 
 class ItemBlock:
-    """Items of a block with an index of their rare words and one LSH table for each repetition."""
+    """Items of a block with an index of their rare words and an LSH table."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], max_edits: float) -> None:
         self.items = [(i, w) for i, w in items if len(w)]
         self.size = np.array([len(w) for _, w in self.items], dtype=np.int64)
         self.most = (max_edits * self.size + 1e-9).astype(np.int64)  # edits allowed
-        self.reps = repetitions()
         width = int((self.size + self.most).max()) if self.items else 1
         self.padded = np.zeros((len(self.items), width), dtype=np.uint64)
         for r, (_, w) in enumerate(self.items):
             self.padded[r, : len(w)] = w
         self._index()
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        for r in range(self.reps if self.items else 0):
-            key = self._key(r, self.padded, self.size, self.size)
-            order = np.argsort(key, kind="stable")
-            self.tables.append((key[order], order))
+        key = self._key(self.padded, self.size, self.size) if self.items else np.zeros(0, dtype=np.uint64)
+        self.order = np.argsort(key, kind="stable")
+        self.known = key[self.order]
 
     def _index(self) -> None:
         """(word, item) pairs sorted by word; words of many items count only for items that have too few others."""
@@ -142,11 +133,11 @@ class ItemBlock:
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[(self.words & _U((1 << 20) - 1)).astype(np.int64)] = True
 
-    def _key(self, r: int, windows: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Each window's key in repetition r; ``sizes`` are the lengths of the items looked for."""
-        places = np.random.default_rng(r).random(SAMPLED) * 2  # in item lengths: walks mostly end after two
+    def _key(self, windows: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Each window's key; ``sizes`` are the lengths of the items looked for."""
+        places = np.random.default_rng(0).random(SAMPLED) * 2  # in item lengths: walks mostly end after two
         spots = (places[None, :] * sizes[:, None]).astype(np.int64)
-        walk = embed(windows, lengths, int(spots.max()) + 1, r)
+        walk = embed(windows, lengths, int(spots.max()) + 1, 0)
         key = mix(sizes.astype(np.uint64))
         for j in range(SAMPLED):
             key = mix(key * _U(0xD6E8FEB86659FD93) + walk[np.arange(len(walk)), spots[:, j]])
@@ -209,27 +200,37 @@ class ItemBlock:
         windows, rest, items, at, doc = windows[keep], rest[keep], items[keep], at[keep], doc[keep]
         if not len(at):
             return
-        cluster = doc * len(self.items) + items
-        live, tried = np.arange(len(at)), np.zeros(0, np.int64)
-        for r in range(self.reps):
-            sizes = self.size[items[live]]
-            key, (known, order) = self._key(r, windows[live], np.minimum(sizes, rest[live]), sizes), self.tables[r]
-            lo = np.searchsorted(known, key, side="left")
-            n = np.searchsorted(known, key, side="right") - lo
-            item = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            pairs = np.setdiff1d(np.repeat(live, n) * len(self.items) + item, tried)
-            if not len(pairs):
-                continue
-            tried = np.union1d(tried, pairs)
-            row, item = pairs // len(self.items), pairs % len(self.items)
-            d, used = edit_distances(windows[row], np.minimum(self.size[item] + self.most[item], rest[row]), self.padded[item], self.size[item])
-            for x in np.flatnonzero(d <= self.most[item]).tolist():
-                yield int(doc[row[x]]), self.items[item[x]][0], int(at[row[x]]), int(used[x]), int(d[x])
-            # Equal windows meet in the first repetition, so a document and item with distance 0 have their answer.
+        # Equal windows meet here, so a document and item with distance 0 have their answer.
+        sizes = self.size[items]
+        key = self._key(windows, np.minimum(sizes, rest), sizes)
+        lo = np.searchsorted(self.known, key, side="left")
+        n = np.searchsorted(self.known, key, side="right") - lo
+        row = np.repeat(np.arange(len(at)), n)
+        item = self.order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        done = np.zeros(0, np.int64)
+        if len(row):
+            d, used = self._compare(windows[row], rest[row], item)
+            yield from self._close(doc[row], at[row], item, d, used)
             done = np.unique((doc[row] * len(self.items) + item)[d == 0])
-            live = live[~np.isin(cluster[live], done)]
-            if not len(live):
-                return
+        live = np.flatnonzero(~np.isin(doc * len(self.items) + items, done))
+        if len(live):
+            d, used = self._compare(windows[live], rest[live], items[live])
+            yield from self._close(doc[live], at[live], items[live], d, used)
+
+    def _compare(self, windows: np.ndarray, rest: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edit distances of each window's prefixes to its item; windows of items of one size are compared at once."""
+        d, used = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
+        reach = self.size + self.most
+        for n in np.unique(self.size[item]).tolist():
+            rows = np.flatnonzero(self.size[item] == n)
+            i = item[rows]
+            m = int(reach[i[0]])
+            d[rows], used[rows] = edit_distances(windows[rows, :m], np.minimum(m, rest[rows]), self.padded[i, :n], self.size[i])
+        return d, used
+
+    def _close(self, doc, at, item, d, used) -> Iterator[tuple[int, int, int, int, int]]:
+        for x in np.flatnonzero(d <= self.most[item]).tolist():
+            yield int(doc[x]), self.items[item[x]][0], int(at[x]), int(used[x]), int(d[x])
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:

@@ -76,3 +76,16 @@ def test_embedding_keeps_equal_windows_together():
     w[1] = w[0]
     e = C.embed(w, np.array([20, 20]), 60, 3)
     assert (e[0] == e[1]).all()
+
+
+def test_long_items_at_the_edit_bound():
+    rng = np.random.default_rng(5)
+    word = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    items = [(i, word(n)) for i, n in enumerate([12, 50, 200, 400, 400, 1000, 1000, 1000])]
+    block = C.ItemBlock(items, C.MAX_EDITS)
+    for i, w in items:
+        bad = rng.permutation(len(w))[: int(C.MAX_EDITS * len(w))]
+        leak = w.copy()
+        leak[bad] = word(len(bad))
+        text = np.concatenate([word(30), leak, word(30)])
+        assert {x[1] for x in block.search(text, np.array([0, len(text)]))} == {i}
