@@ -1,23 +1,29 @@
 """Near-duplicate lines: exact set-similarity join on line tokens (DataFrame functions only).
 
-A line's tokens are its distinct words.  They are ordered by rarity: first by the logarithm of how often their hash
-bucket occurs in the whole corpus (a table of fixed size, ``BUCKETS`` numbers, counted over all documents), then by hash.
-Any fixed order keeps the join exact; this one keeps the frequent words out of the prefixes.
+A line's tokens are its distinct words, as 64-bit hashes.  They are ordered by rarity: first by the logarithm of how often
+their hash bucket occurs in the whole corpus (a table of fixed size, ``BUCKETS`` numbers, counted over all documents and
+read by tasks as a scalar subquery), then by hash.  Any fixed order keeps the join exact; this one keeps the frequent
+words out of the prefixes.
 
 For Jaccard >= t two sets of x and y tokens need x >= t y and an overlap of t/(1+t) (x+y), so they share one of their
 first x - ceil(t x) + 1 tokens (prefix filter), their sizes fit (length filter), and the places of that token leave
 room for the overlap (positional filter).  A 64-bit parity of the tokens bounds the sets' difference from below and
 spares most other pairs the verification.  Sets of equal tokens collapse first, which is all that sets need of so few
-tokens that even one token more makes them differ too much (three at t = 0.8): they post nothing.  Within a token only the earliest set
-is tried for each member at first, and long lines try only half of their tokens; what this does not explain is tried
-against all earlier sets under all tokens.  Token arrays are fetched for candidates only, and similarity is verified on
-them.  Postings name tokens by 32-bit hashes: those route only.
+tokens that even one token more makes them differ too much (three at t = 0.8): they post nothing.
+
+One earlier similar set is enough to remove a set, so not all pairs of a large group need be met:
+
+1. Sets that agree in their two smallest or two largest token hashes, or in the outer ones, look at the earliest set of
+   such a key first.  Where parity and sizes say that the two are similar, the set is led and looks no further.
+2. All other sets are joined with all earlier sets by the filters above.
+3. The pairs of both steps are verified on token arrays, fetched for these sets only.
+4. A set whose lead does not hold is joined with all earlier sets after all, so the result is exact.
+
+Postings name tokens by 32-bit hashes: those route only.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,60 +32,67 @@ from quantloom.llm.reduce import split
 from quantloom.llm.scratch import release, table, written
 
 THRESHOLD = 0.8
-#: Lines of fewer distinct words are left alone: only those without a word.
-MIN_TOKENS = 1
 BUCKETS = 1 << 18
-#: Sets of more tokens try half of their prefix tokens against the earliest set of each at first.
-SHORT = 20
-#: Bits of a token number that hold its hash; the bits above hold its rank.
+#: Bits of a token number that hold its hash; the bits above hold its rank, 0..62.
 _HASH_BITS = 57
 
 
+def _words(line: Column) -> Column:
+    """``words_of`` a line; one whose words are parted by single spaces is spared the regular expression."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (line == "")
+    for white in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(white))
+    return F.when(odd, words_of(line)).otherwise(F.split(line, " "))
+
+
+def _hashes(line: Column) -> Column:
+    """The tokens of a line: hashes of its distinct words in ascending order."""
+    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))))
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, tk, line_no, line) of rows with an id; line_no counts from 0, ``tk`` tells texts of one doc_id apart."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     return rows.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def rarity_table(docs: DataFrame, text: str) -> Column:
-    """An array literal: the rank (0..62, rare first) of each hash bucket, from counts over all words of ``docs``."""
-    words = docs.select(F.explode(words_of(F.col(f"`{text}`"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()  # at most BUCKETS rows
-    ranks = [0] * BUCKETS
-    for b, n in counts:
-        ranks[b] = min(62, int(2 * math.log2(n)))
-    return F.expr(f"cast(split('{' '.join(map(str, ranks))}', ' ') as array<int>)")
+def rarity_table(docs: DataFrame, text: str) -> DataFrame:
+    """One row, ``ranks``: the rank (0..62, rare first) of each hash bucket, from counts over all words of ``docs``."""
+    words = docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
+    counts = table(words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count(), "counts")  # at most BUCKETS rows
+    rank = F.coalesce(F.least(F.lit(62), (2 * F.log2("count")).cast("int")), F.lit(0)).cast("tinyint")
+    every = docs.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", rank.alias("rank")).alias("r"))
+    return table(every.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.transform("r", lambda r: r["rank"]).alias("ranks")), "ranks")
 
 
-def _tokens(line: Column, ranks: Column) -> Column:
-    """Sorted token numbers of a line."""
-    hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
+def _by_rarity(rows: DataFrame, ranks: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``s``: the tokens ``u`` in the order of their rank and hash."""
 
     def number(h: Column) -> Column:
-        rank = F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        rank = F.get(F.col("ranks"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
         return F.shiftleft(rank, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    return F.sort_array(F.transform(hashes, number))
+    return rows.select(*keep, ranks.scalar().alias("ranks")).select(*keep, F.sort_array(F.transform("u", number)).alias("s"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, ranks: Column, doc_id: str, text: str, t: float) -> DataFrame:
-    """Numbers a of the pairs (a, b) of set numbers whose tokens, fetched from each set's first line, have Jaccard >= t."""
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    places = sets.select("sid", "k", "doc_id", "line_no").join(needed, "sid", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "sid", "k")).alias("at"))
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
+    """The sets a of the pairs (a, b) that have Jaccard >= t on tokens fetched from each set's first line, b's being earlier."""
+    needed = table(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "needed")
+    maybe, _ = split(sets, ["sid"], needed)
+    places = maybe.join(needed, "sid", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "sid", "k")).alias("at"))
     places = table(places, "places")
     rows, _ = split(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], places)
     lines = rows.join(places, "doc_id").withColumn("lines", F.split("text", "\n")).select(
-        F.inline(F.transform("at", lambda p: F.struct(p["sid"].alias("sid"), p["k"].alias("k"), F.get(F.col("lines"), p["line_no"]).alias("line"))))
+        "doc_id", F.inline(F.transform("at", lambda p: F.struct(p["line_no"].alias("line_no"), p["sid"].alias("sid"), p["k"].alias("k"), F.get(F.col("lines"), p["line_no"]).alias("line"))))
     )
     # Rows may repeat a doc_id with other texts: of such lines only those of the set itself count.
-    tokens = lines.where("line IS NOT NULL").select("sid", "k", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s"))))).where(F.xxhash64("s") == F.col("k"))
-    tokens = table(tokens.select("sid", "s"), "tokens")
-    common = F.size(F.array_intersect("sa", "sb"))
+    tokens = lines.where("line IS NOT NULL").select("sid", "k", F.struct("doc_id", "line_no").alias("f"), F.inline(F.array(F.struct(_hashes(F.col("line")).alias("u")))))
+    tokens = table(tokens.where(F.xxhash64("u") == F.col("k")).select("sid", "f", "u"), "tokens")
+    common = F.size(F.array_intersect("ua", "ub"))
     return (
-        pairs.join(tokens.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
-        .join(tokens.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
-        .where(F.col("sa") != F.col("sb"))  # equal only if rows repeat a doc_id, and then at the same place
-        .where(common >= t * (F.size("sa") + F.size("sb") - common) - 1e-9)
+        pairs.join(tokens.select(F.col("sid").alias("a"), F.col("f").alias("fa"), F.col("u").alias("ua")), "a")
+        .join(tokens.select(F.col("sid").alias("b"), F.col("f").alias("fb"), F.col("u").alias("ub")), "b")
+        .where((F.col("fb") < F.col("fa")) & (common >= t * (F.size("ua") + F.size("ub") - common) - 1e-9))
         .select("a")
         .distinct()
     )
@@ -87,80 +100,117 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, ranks: Column,
 
 #: 64 bits of the tokens ``s``, each the parity of the tokens that fall on it: two sets differ in as many tokens as bits, or more.
 _PARITY = "aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
+_LOW = (1 << 24) - 1
+#: Marks postings of sets that look for earlier ones.
+_OPEN = 1 << 62
 
 
-def _fits(x, y, t: float) -> Column:
-    """Length, positional and parity filter on two postings: (size, place of the token) packed as ``at``, and ``sig``."""
-    low = F.lit((1 << 24) - 1)
-    nx, ix, ny, iy = F.shiftright(x["at"], 24), x["at"].bitwiseAND(low), F.shiftright(y["at"], 24), y["at"].bitwiseAND(low)
-    overlap = F.ceil((nx + ny) * F.lit(t / (1 + t)) - 1e-9)
-    differ = F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= (nx + ny) * F.lit((1 - t) / (1 + t)) + 1e-9
-    return (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9) & differ & (F.least(nx - ix, ny - iy) >= overlap)
+def _sized(nx: Column, ny: Column, t: float) -> Column:
+    return F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9
 
 
-def _postings(prefixes: DataFrame) -> DataFrame:
-    """(w, sid, at, sig) for each prefix token; ``at`` packs the set's size and the token's place."""
-    rows = prefixes.select("sid", "n", "sig", F.posexplode("p").alias("i", "w"))
-    return rows.select("w", "sid", F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long")).alias("at"), "sig")
+def _may_differ(nx: Column, ny: Column, t: float) -> Column:
+    """In how many tokens similar sets of these sizes differ at most."""
+    return (nx + ny) * F.lit((1 - t) / (1 + t)) + 1e-9
 
 
-def _judged(docs: DataFrame, doc_id: str, text: str, t: float, min_tokens: int) -> DataFrame:
-    """(doc_id, tk, line_no) of every line to remove."""
-    ranks = rarity_table(docs, text)
-    lines = _lines(docs, doc_id, text).select("doc_id", "tk", "line_no", F.inline(F.array(F.struct(_tokens(F.col("line"), ranks).alias("s")))))
-    n = F.size("s")
+def _wide(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
+    """A row for each line with words: its size n, the hashes k, k2 and the parity of its set, its prefix p, and its keys."""
+    lines = _lines(docs, doc_id, text).select("doc_id", "tk", "line_no", F.inline(F.array(F.struct(_hashes(F.col("line")).alias("u"))))).where(F.size("u") > 0)
+    keep = ["doc_id", "tk", "line_no", "u"]
+    n, u = F.size("u"), lambda i: F.get("u", i)
     prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
     alone = n < (n + 1) * F.lit(t) - 1e-9  # only equal sets are similar enough
+    keys = F.array(F.xxhash64(u(F.lit(0)), u(F.lit(1))), F.xxhash64(u(n - 1), u(n - 2)), F.xxhash64(u(F.lit(0)), u(n - 1)))
     p = F.transform(F.slice("s", F.lit(1), F.when(alone, 0).otherwise(prefix)), lambda x: F.hash(x))
-    wide = table(lines.where(n >= max(1, min_tokens)).select("doc_id", "tk", "line_no", n.alias("n"), F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("k2"), p.alias("p"), F.expr(_PARITY).alias("sig")), "wide_lines")
-    path = written()[-1]
-    lines = table(wide.select("doc_id", "tk", "line_no", "k", "k2"), "lines")
+    return _by_rarity(lines, rarity_table(docs, text), keep).select(
+        "doc_id", "tk", "line_no", n.alias("n"), F.xxhash64("u").alias("k"), F.xxhash64(F.lit(1), "u").alias("k2"), p.alias("p"), F.expr(_PARITY).alias("sig"), F.when(~alone, keys).alias("keys")
+    )
+
+
+def _led(prefixes: DataFrame, t: float) -> DataFrame:
+    """(a, b): sets with the earliest set under one of their keys that seems similar, one b for each a."""
+    keyed = prefixes.select("sid", "n", "sig", F.explode("keys").alias("w"))
+    heads = keyed.groupBy("w").agg(F.min("sid").alias("hs"), F.min_by("n", "sid").alias("hn"), F.min_by("sig", "sid").alias("hg"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    bits = F.bit_count(F.col("sig").bitwiseXOR(F.col("hg")))
+    seems = bits <= 32 * (1 - F.pow(F.lit(31 / 32), _may_differ(F.col("n"), F.col("hn"), t))) + 1e-9  # as many bits as so many tokens change in the mean
+    near = keyed.join(heads, "w").where((F.col("sid") > F.col("hs")) & _sized(F.col("n"), F.col("hn"), t) & seems)
+    return near.groupBy(F.col("sid").alias("a")).agg(F.min_by("hs", bits.cast("long")).alias("b"))
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """(w, sid, at, sig) for each prefix token; ``at`` packs whether the set is open, its size and the token's place."""
+    rows = prefixes.select("sid", "n", "sig", "open", F.posexplode("p").alias("i", "w"))
+    at = F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long"))
+    return rows.select("w", "sid", F.when(F.col("open"), at.bitwiseOR(F.lit(_OPEN))).otherwise(at).alias("at"), "sig")
+
+
+def _candidates(x: DataFrame, y: DataFrame, t: float) -> DataFrame:
+    """(a, b): open sets a of the postings ``x`` with the earlier sets b of ``y`` that pass all filters under some token."""
+    x, y = x.alias("x"), y.alias("y")
+    size = lambda at: F.shiftright(at.bitwiseAND(F.lit(_OPEN - 1)), 24)
+    nx, ix, ny, iy = size(F.col("x.at")), F.col("x.at").bitwiseAND(F.lit(_LOW)), size(F.col("y.at")), F.col("y.at").bitwiseAND(F.lit(_LOW))
+    overlap = F.ceil((nx + ny) * F.lit(t / (1 + t)) - 1e-9)
+    earlier = F.when(F.col("x.at") >= _OPEN, F.col("y.sid") < F.col("x.sid")).otherwise(F.lit(False))  # one term, so that both sides stay one exchange
+    fits = earlier & (F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) <= _may_differ(nx, ny, t)) & _sized(nx, ny, t) & (F.least(nx - ix, ny - iy) >= overlap)
+    return x.join(y, (F.col("x.w") == F.col("y.w")) & fits).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
+    """(doc_id, tk, line_no) of every line to remove."""
+    wide = table(_wide(docs, doc_id, text, t), "wide_lines")
+    lines = wide.select("doc_id", "tk", "line_no", "k", "k2")
     # One row for each set of tokens, numbered in the order of first lines.
     firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("k", "k2", "f.doc_id", "f.line_no")
     sets = table(firsts.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    prefixes = table(wide.join(sets, ["k", "k2", "doc_id", "line_no"]).where(F.size("p") > 0).select("sid", "n", "sig", "p"), "prefixes")
-    release(docs.sparkSession, [path])  # all that is needed of it is in the three tables since
-
-    postings = _postings(prefixes)
-    some = postings.where((F.shiftright("at", 24) <= SHORT) | (F.col("w").bitwiseAND(F.lit(1)) == 0))
-    heads = some.groupBy("w").agg(F.min("sid").alias("hs"), F.min_by("at", "sid").alias("ha"), F.min_by("sig", "sid").alias("hg"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    own = {"at": F.col("at"), "sig": F.col("sig")}
-    led = some.join(heads, "w").where((F.col("sid") > F.col("hs")) & _fits(own, {"at": F.col("ha"), "sig": F.col("hg")}, t))
-    led = table(led.select(F.col("sid").alias("a"), F.col("hs").alias("b")).distinct(), "led")
-    explained = table(_verified(led, docs, sets, ranks, doc_id, text, t), "explained")
-    done = explained.select(F.col("a").alias("sid"))
-    maybe, others = split(prefixes, ["sid"], done)
-    x, y = _postings(others.union(maybe.join(done, "sid", "left_anti").select(*prefixes.columns))).alias("x"), postings.alias("y")
-    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("y.sid") < F.col("x.sid")) & _fits({"at": F.col("x.at"), "sig": F.col("x.sig")}, {"at": F.col("y.at"), "sig": F.col("y.sig")}, t))
-    rest = table(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "rest")
-    near = explained.union(_verified(rest, docs, sets, ranks, doc_id, text, t)).distinct().select(F.col("a").alias("sid"), F.lit(True).alias("near"))
-    verdicts = table(sets.select("k", "k2", "sid", F.struct("doc_id", "line_no").alias("f")).join(near, "sid", "left"), "verdicts")
-    judged = lines.join(verdicts, ["k", "k2"])
+    prefixes = wide.where(F.size("p") > 0).join(sets, ["k", "k2", "doc_id", "line_no"]).select("sid", "n", "sig", "p", "keys")
+    prefixes = table(prefixes, "prefixes")
+    scratch = [written()[-1]]
+
+    led = table(_led(prefixes, t), "led")
+    slim = prefixes.drop("keys")
+    maybe, others = split(slim, ["sid"], led.select(F.col("a").alias("sid")))
+    told = maybe.join(led.select(F.col("a").alias("sid"), F.lit(True).alias("led")), "sid", "left").select(*slim.columns, F.col("led").isNull().alias("open"))
+    postings = _postings(others.withColumn("open", F.lit(True)).union(told))
+    rest = table(_candidates(postings, postings, t), "rest")
+    near = table(_verified(led.union(rest), docs, sets, doc_id, text, t), "near")
+    misled = table(led.join(near, "a", "left_anti").select(F.col("a").alias("sid")), "misled")
+    if not misled.isEmpty():
+        maybe, _ = split(slim, ["sid"], misled)
+        x = table(_postings(maybe.join(misled, "sid", "left_semi").withColumn("open", F.lit(True))), "misled_postings")
+        y, _ = split(_postings(slim.withColumn("open", F.lit(False))), ["w"], x.select("w").distinct())
+        again = table(_candidates(x, y, t), "again")
+        near = near.union(_verified(again, docs, sets, doc_id, text, t)).distinct()
+    verdicts = sets.select("k", "k2", "sid", F.struct("doc_id", "line_no").alias("f")).join(near.select(F.col("a").alias("sid"), F.lit(True).alias("near")), "sid", "left")
+    judged = lines.join(table(verdicts, "verdicts"), ["k", "k2"])
+    release(docs.sparkSession, scratch)
     return judged.where(F.col("near").isNotNull() | (F.col("f") < F.struct("doc_id", "line_no"))).select("doc_id", "tk", "line_no").distinct()
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no) of every line to remove.
 
-    A line of at least ``min_tokens`` distinct words goes if some earlier line of the input, by (doc_id, line_no), has
-    tokens of Jaccard similarity >= ``t``; lines are judged on the input, not on what is left.  Lines of equal place
-    (rows that repeat a doc_id) do not remove each other.  Rows with a null id or text have no part in this.
+    A line of at least one word goes if some earlier line of the input, by (doc_id, line_no), has tokens of Jaccard
+    similarity >= ``t``; lines are judged on the input, not on what is left.  Of equal lines the first stays.  Lines of
+    equal place (rows that repeat a doc_id) do not remove each other.  Rows with a null id or text have no part in this;
+    empty texts and lines without a word are never removed; a very long text is one row of its lines; an empty table
+    gives no rows.
     """
-    return _judged(docs, doc_id, text, t, min_tokens).select("doc_id", "line_no").distinct()
+    return _judged(docs, doc_id, text, t).select("doc_id", "line_no").distinct()
 
 
-def _removed(docs: DataFrame, doc_id: str, text: str, t: float, min_tokens: int) -> DataFrame:
-    gone = _judged(docs, doc_id, text, t, min_tokens)
+def _removed(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
+    gone = _judged(docs, doc_id, text, t)
     return table(gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tk").alias("_tk")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone")), "removed")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD) -> DataFrame:
     """``docs`` with the lines of ``repeated_lines`` cut out of ``text``; other columns, null texts and row count stay.
 
     A text of which every line goes becomes empty; an empty table stays empty.  Where rows share a doc_id but not their
-    text, each loses its own repeated lines only.
+    text, each loses its own repeated lines only.  Extra columns may have any name but ``_row``, ``_doc``, ``_tk`` and ``_gone``.
     """
-    removed = _removed(docs, doc_id, text, t, min_tokens)
+    removed = _removed(docs, doc_id, text, t)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").cast("long").alias("_doc"), F.xxhash64(F.col(f"`{text}`")).alias("_tk"))
     maybe, clean = split(d, ["_doc", "_tk"], removed)
     joined = maybe.join(removed, ["_doc", "_tk"], "left").select("_row", "_gone").union(clean.select("_row", F.lit(None).cast("array<int>").alias("_gone")))
@@ -171,9 +221,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Per document: its lines, how many of them go, and their numbers."""
+    """Per document: its lines, how many of them go, and their numbers.  A null text has no lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    removed = _removed(docs, "doc_id", "text", THRESHOLD, MIN_TOKENS)
+    removed = _removed(docs, "doc_id", "text", THRESHOLD)
     counts = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     joined = counts.join(removed, (F.col("doc_id") == F.col("_doc")) & (F.col("tk") == F.col("_tk")), "left")
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
@@ -187,7 +237,7 @@ WITH ln AS (
 tk AS (
   SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM ln),
 st AS (
-  SELECT row_number() OVER () AS k, s, len(s) AS n, min((doc_id, line_no)) AS f FROM tk WHERE len(s) >= 5 GROUP BY s),
+  SELECT row_number() OVER () AS k, s, len(s) AS n, min((doc_id, line_no)) AS f FROM tk WHERE len(s) >= 1 GROUP BY s),
 wd AS (SELECT k, n, f, unnest(s) AS w FROM st),
 df AS (SELECT w, count(*) AS c FROM wd GROUP BY w),
 px AS (
