@@ -1,14 +1,14 @@
 """Near-duplicate lines: exact set-similarity join on line tokens (DataFrame functions only).
 
-A line's tokens are its distinct words, as 64-bit hashes.  They are ordered by rarity: first by the logarithm of how often
+A line's tokens are its distinct words, as 57-bit hashes.  They are ordered by rarity: first by the logarithm of how often
 their hash bucket occurs in the whole corpus (a table of fixed size, ``BUCKETS`` numbers, counted over all documents and
 read by tasks as a scalar subquery), then by hash.  Any fixed order keeps the join exact; this one keeps the frequent
 words out of the prefixes.
 
 For Jaccard >= t two sets of x and y tokens need x >= t y and an overlap of t/(1+t) (x+y), so they share one of their
 first x - ceil(t x) + 1 tokens (prefix filter), their sizes fit (length filter), and the places of that token leave
-room for the overlap (positional filter).  A 64-bit parity of the tokens bounds the sets' difference from below and
-spares most other pairs the verification.  Sets of equal tokens collapse first, which is all that sets need of so few
+room for the overlap (positional filter).  Parities of 128 classes of tokens bound the sets' difference from below and
+spare most other pairs the verification.  Sets of equal tokens collapse first, which is all that sets need of so few
 tokens that even one token more makes them differ too much (three at t = 0.8): they post nothing.
 
 One earlier similar set is enough to remove a set, so not all pairs of a large group need be met:
@@ -39,15 +39,17 @@ _HASH_BITS = 57
 
 def _words(line: Column) -> Column:
     """``words_of`` a line; one whose words are parted by single spaces is spared the regular expression."""
-    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (line == "")
-    for white in ("  ", "\t", "\x0b", "\f", "\r"):
-        odd = odd | F.contains(line, F.lit(white))
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (line == "") | F.contains(line, F.lit("  ")) | F.rlike(line, F.lit(r"[\t\x0B\f\r]"))
     return F.when(odd, words_of(line)).otherwise(F.split(line, " "))
 
 
-def _hashes(line: Column) -> Column:
+def _token(word: Column) -> Column:
+    return F.shiftleft(F.xxhash64(word), 64 - _HASH_BITS)
+
+
+def _tokens(line: Column) -> Column:
     """The tokens of a line: hashes of its distinct words in ascending order."""
-    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), _token)))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -65,14 +67,15 @@ def rarity_table(docs: DataFrame, text: str) -> DataFrame:
     return table(every.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.transform("r", lambda r: r["rank"]).alias("ranks")), "ranks")
 
 
-def _by_rarity(rows: DataFrame, ranks: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``s``: the tokens ``u`` in the order of their rank and hash."""
+def _by_rarity(lines: DataFrame, ranks: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``s``: the tokens of ``line`` in the order of their rank and hash, as rank << 57 | hash."""
 
-    def number(h: Column) -> Column:
-        rank = F.get(F.col("ranks"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    def number(word: Column) -> Column:
+        rank = F.get(F.col("ranks"), F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(_token(word), 64 - _HASH_BITS))
 
-    return rows.select(*keep, ranks.scalar().alias("ranks")).select(*keep, F.sort_array(F.transform("u", number)).alias("s"))
+    # The subquery's column is used once, so that it becomes a part of the expression and is not copied into each row.
+    return lines.select("*", ranks.scalar().alias("ranks")).select(*keep, F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), number))).alias("s"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
@@ -86,7 +89,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, t
         "doc_id", F.inline(F.transform("at", lambda p: F.struct(p["line_no"].alias("line_no"), p["sid"].alias("sid"), p["k"].alias("k"), F.get(F.col("lines"), p["line_no"]).alias("line"))))
     )
     # Rows may repeat a doc_id with other texts: of such lines only those of the set itself count.
-    tokens = lines.where("line IS NOT NULL").select("sid", "k", F.struct("doc_id", "line_no").alias("f"), F.inline(F.array(F.struct(_hashes(F.col("line")).alias("u")))))
+    tokens = lines.where("line IS NOT NULL").select("sid", "k", F.struct("doc_id", "line_no").alias("f"), _tokens(F.col("line")).alias("u"))
     tokens = table(tokens.where(F.xxhash64("u") == F.col("k")).select("sid", "f", "u"), "tokens")
     common = F.size(F.array_intersect("ua", "ub"))
     return (
@@ -98,13 +101,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, t
     )
 
 
-#: 64 bits of the tokens ``s``, each the parity of the tokens that fall on it: two sets differ in as many tokens as bits, or more.
+#: The parity of the tokens that fall on each of 64 bits, and of those among them with another bit set: together the parities
+#: of 128 classes.  Two sets differ in as many tokens as such parities, or more.
 _PARITY = "aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
+_PARITY_OF_SOME = "aggregate(s, 0L, (a, x) -> a ^ shiftleft(shiftright(x, 6) & 1L, cast(x & 63 as int)))"
 _LOW = (1 << 24) - 1
 #: Marks postings of sets that look for earlier ones.
 _OPEN = 1 << 62
 
 
+def _parities(sig: Column, some: Column, other_sig: Column, other_some: Column) -> Column:
+    """How many of the 128 parities of two sets differ."""
+    differ = some.bitwiseXOR(other_some)
+    return F.bit_count(differ) + F.bit_count(sig.bitwiseXOR(other_sig).bitwiseXOR(differ))
+
+
 def _sized(nx: Column, ny: Column, t: float) -> Column:
     return F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9
 
@@ -115,34 +126,37 @@ def _may_differ(nx: Column, ny: Column, t: float) -> Column:
 
 
 def _wide(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
-    """A row for each line with words: its size n, the hashes k, k2 and the parity of its set, its prefix p, and its keys."""
-    lines = _lines(docs, doc_id, text).select("doc_id", "tk", "line_no", F.inline(F.array(F.struct(_hashes(F.col("line")).alias("u"))))).where(F.size("u") > 0)
-    keep = ["doc_id", "tk", "line_no", "u"]
-    n, u = F.size("u"), lambda i: F.get("u", i)
+    """A row for each line: its size n, the hashes k, k2 and the parities of its set, its prefix p, and its keys."""
+    keep = ["doc_id", "tk", "line_no"]
+    rows = _by_rarity(_lines(docs, doc_id, text), rarity_table(docs, text), keep)
+    rows = rows.select(*keep, "s", F.sort_array(F.transform("s", lambda x: F.shiftleft(x, 64 - _HASH_BITS))).alias("u"))
+    n, u = F.size("s"), lambda i: F.get("u", i)
     prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
-    alone = n < (n + 1) * F.lit(t) - 1e-9  # only equal sets are similar enough
+    alone = (n == 0) | (n < (n + 1) * F.lit(t) - 1e-9)  # only equal sets are similar enough
     keys = F.array(F.xxhash64(u(F.lit(0)), u(F.lit(1))), F.xxhash64(u(n - 1), u(n - 2)), F.xxhash64(u(F.lit(0)), u(n - 1)))
     p = F.transform(F.slice("s", F.lit(1), F.when(alone, 0).otherwise(prefix)), lambda x: F.hash(x))
-    return _by_rarity(lines, rarity_table(docs, text), keep).select(
-        "doc_id", "tk", "line_no", n.alias("n"), F.xxhash64("u").alias("k"), F.xxhash64(F.lit(1), "u").alias("k2"), p.alias("p"), F.expr(_PARITY).alias("sig"), F.when(~alone, keys).alias("keys")
-    )
+    return rows.select(
+        *keep, n.alias("n"), F.xxhash64("u").alias("k"), F.xxhash64(F.lit(1), "u").alias("k2"), p.alias("p"),
+        F.expr(_PARITY).alias("sig"), F.expr(_PARITY_OF_SOME).alias("some"), F.when(~alone, keys).alias("keys"),
+    )
 
 
 def _led(prefixes: DataFrame, t: float) -> DataFrame:
     """(a, b): sets with the earliest set under one of their keys that seems similar, one b for each a."""
-    keyed = prefixes.select("sid", "n", "sig", F.explode("keys").alias("w"))
-    heads = keyed.groupBy("w").agg(F.min("sid").alias("hs"), F.min_by("n", "sid").alias("hn"), F.min_by("sig", "sid").alias("hg"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    bits = F.bit_count(F.col("sig").bitwiseXOR(F.col("hg")))
-    seems = bits <= 32 * (1 - F.pow(F.lit(31 / 32), _may_differ(F.col("n"), F.col("hn"), t))) + 1e-9  # as many bits as so many tokens change in the mean
-    near = keyed.join(heads, "w").where((F.col("sid") > F.col("hs")) & _sized(F.col("n"), F.col("hn"), t) & seems)
+    keyed = prefixes.select("sid", "n", "sig", "some", F.explode("keys").alias("w"))
+    of_least = [F.min_by(c, "sid").alias(f"h_{c}") for c in ("n", "sig", "some")]
+    heads = keyed.groupBy("w").agg(F.min("sid").alias("hs"), *of_least, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    bits = _parities(F.col("sig"), F.col("some"), F.col("h_sig"), F.col("h_some"))
+    seems = bits <= 64 * (1 - F.pow(F.lit(63 / 64), _may_differ(F.col("n"), F.col("h_n"), t))) + 1e-9  # as many bits as so many tokens change in the mean
+    near = keyed.join(heads, "w").where((F.col("sid") > F.col("hs")) & _sized(F.col("n"), F.col("h_n"), t) & seems)
     return near.groupBy(F.col("sid").alias("a")).agg(F.min_by("hs", bits.cast("long")).alias("b"))
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
-    """(w, sid, at, sig) for each prefix token; ``at`` packs whether the set is open, its size and the token's place."""
-    rows = prefixes.select("sid", "n", "sig", "open", F.posexplode("p").alias("i", "w"))
+    """(w, sid, at, sig, some) for each prefix token; ``at`` packs whether the set is open, its size and the token's place."""
+    rows = prefixes.select("sid", "n", "sig", "some", "open", F.posexplode("p").alias("i", "w"))
     at = F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long"))
-    return rows.select("w", "sid", F.when(F.col("open"), at.bitwiseOR(F.lit(_OPEN))).otherwise(at).alias("at"), "sig")
+    return rows.select("w", "sid", F.when(F.col("open"), at.bitwiseOR(F.lit(_OPEN))).otherwise(at).alias("at"), "sig", "some")
 
 
 def _candidates(x: DataFrame, y: DataFrame, t: float) -> DataFrame:
@@ -152,18 +166,19 @@ def _candidates(x: DataFrame, y: DataFrame, t: float) -> DataFrame:
     nx, ix, ny, iy = size(F.col("x.at")), F.col("x.at").bitwiseAND(F.lit(_LOW)), size(F.col("y.at")), F.col("y.at").bitwiseAND(F.lit(_LOW))
     overlap = F.ceil((nx + ny) * F.lit(t / (1 + t)) - 1e-9)
     earlier = F.when(F.col("x.at") >= _OPEN, F.col("y.sid") < F.col("x.sid")).otherwise(F.lit(False))  # one term, so that both sides stay one exchange
-    fits = earlier & (F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) <= _may_differ(nx, ny, t)) & _sized(nx, ny, t) & (F.least(nx - ix, ny - iy) >= overlap)
+    differ = _parities(F.col("x.sig"), F.col("x.some"), F.col("y.sig"), F.col("y.some"))
+    fits = earlier & (differ <= _may_differ(nx, ny, t)) & _sized(nx, ny, t) & (F.least(nx - ix, ny - iy) >= overlap)
     return x.join(y, (F.col("x.w") == F.col("y.w")) & fits).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
 def _judged(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
     """(doc_id, tk, line_no) of every line to remove."""
-    wide = table(_wide(docs, doc_id, text, t), "wide_lines")
+    wide = table(_wide(docs, doc_id, text, t), "wide_lines").where("n > 0")
     lines = wide.select("doc_id", "tk", "line_no", "k", "k2")
     # One row for each set of tokens, numbered in the order of first lines.
     firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("k", "k2", "f.doc_id", "f.line_no")
     sets = table(firsts.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    prefixes = wide.where(F.size("p") > 0).join(sets, ["k", "k2", "doc_id", "line_no"]).select("sid", "n", "sig", "p", "keys")
+    prefixes = wide.where(F.size("p") > 0).join(sets, ["k", "k2", "doc_id", "line_no"]).select("sid", "n", "sig", "some", "p", "keys")
     prefixes = table(prefixes, "prefixes")
     scratch = [written()[-1]]
 
