@@ -47,3 +47,51 @@ def test_whole_article_beside_boilerplate():
         assert E.extract(page, [path]) == want  # the host's path is one part only
     twins = f"<body>{menu}<article><p>{a}</article><article><p>{b}</article></body>"
     assert E.extract(twins) == f"{a.strip()}\n\n{b.strip()}"
+
+
+GOOD = "A good sentence, and again. " * 20
+
+
+def test_page_wide_form_and_odd_quotes():
+    assert E.extract(f"<body><form action='x'><div class='a'><article><p>{GOOD}</article></div></form></body>") == GOOD.strip()
+    assert E.extract(f"<body><div class='a'><p>{GOOD}</div><form><p>Name: <input><p>Send it to us.</form></body>") == GOOD.strip()
+    for tag in ("<p title=it's>", '<p title=5">', "<p it's>", '<p "x>', "<p a = 'b>c'>", '<p a="b>c">'):
+        assert E.extract(f"<body><div class='a'>{tag}{GOOD}<p>The second isn't lost.</div></body>") == f"{GOOD.strip()}\n\nThe second isn't lost."
+
+
+def test_deep_nesting_takes_bounded_memory():
+    import tracemalloc
+
+    for page in ("<div class='x sidebar#'>x" * 100_000, "<div>" * 50_000 + "</p></b>" * 50_000, "<a " * 50_000, "<p a='" * 50_000, "<b>" * 50_000 + "<p>x" * 1000):
+        tracemalloc.start()
+        E.extract(page.replace("#", ""), ["/div/div.a"])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200e6, peak
+
+
+def test_pages_of_known_parts(spark):
+    """Random sites: the text is the article's blocks, whatever stands round them."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    say = lambda n: " ".join(word() for _ in range(n)) + "."
+    noise = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{word()}>{word()}</a>' for _ in range(9))}</ul></nav>", lambda: f"<div class='side-bar sidebar'><p>{say(20)}</div>",
+        lambda: f"<footer>&copy; {say(8)}</footer>", lambda: f"<div id=comments><div class=comment><p>{say(30)}</div></div>", lambda: f"<script>if (a<b) {{ {say(5)} }}</script><style>p {{}}</style>",
+        lambda: f"<div class='ad-banner'><a href=x>{say(6)}</a></div>", lambda: f"<form class=search><input><button>{word()}</button></form>", lambda: f"<div class=cookie-notice>{say(9)}</div>", lambda: f"<!-- {say(4)} -->",
+    ]
+    rows, want = [], {}
+    for site in range(8):
+        shell = rng.choice(["<div class='layout has-sidebar'><div class='post n%d'>{}</div></div>", "<main><article>{}</article></main>", "<table><tr><td class=c%d>{}</td></tr></table>", "<div id=p%d><section>{}</section></div>"])
+        for page in range(12):
+            parts = [say(rng.randrange(15, 60)) for _ in range(rng.randrange(4, 9))]
+            body = "".join(f"<p class=x{page}>{p}</p>" if rng.random() < 0.8 else f"<h2>{p}</h2>" for p in parts)
+            around = [f() for f in rng.choices(noise, k=5)]
+            html = "<html><head><title>T</title></head><body>" + "".join(around[:3]) + (shell % page if "%d" in shell else shell).format(body) + "".join(around[3:]) + "</body></html>"
+            rows.append((len(rows), f"http://s{site}.org/{page}", html))
+            want[len(rows) - 1] = "\n\n".join(parts)
+    rows += [rows[3], rows[3]]
+    got = E.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
