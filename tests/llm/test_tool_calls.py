@@ -36,3 +36,53 @@ def test_turns_and_empty(spark):
     got = {(r.conv_id, r.call_id): r for r in T.link(*T.from_turns(conversations), T.REPLY).collect()}
     assert got[1, "turn-1"].status == "linked" and got[1, "turn-3"].status == "missing" and not got[1, "turn-3"].valid
     assert T.link(*T.from_turns(conversations.limit(0)), T.REPLY).count() == 0
+
+
+def test_canonical_json():
+    assert T.canonical(T.parsed('{"b":[1.0,-0.0,1e20,1e21,1e-6,1.5e-7,0.1],"a":"\\u001f\\ud800é","\\ud83d\\ude00":1,"\\ufb33":true,"n":123456789012345678901}')) == (
+        '{"a":"\\u001f\\ud800é","b":[1,0,100000000000000000000,1e+21,0.000001,1.5e-7,0.1],"n":123456789012345678901,"\U0001f600":1,"\ufb33":true}'
+    )
+    for bad in ("1e400", "NaN", "", None, "{", "-Infinity"):
+        try:
+            T.parsed(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    assert T.violations(1.0, {"type": "integer"}) == [] and T.violations(True, {"enum": [1]}) and T.violations(1, {"enum": [1.0]}) == []
+
+
+def _depths(calls):
+    """Longest chain below each call by repeated relaxation; None on or behind a cycle."""
+    deps = {(c, i): {(c, d) for d in ds or () if d is not None} for c, _, _, i, _, _, ds, _ in calls}
+    deps = {k: {d for d in ds if d in deps} for k, ds in deps.items()}
+    out = {}
+    for _ in deps:
+        out |= {k: 1 + max((out[d] for d in ds), default=-1) for k, ds in deps.items() if all(d in out for d in ds)}
+    return {k: out.get(k) for k in deps}
+
+
+def test_layers_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    calls = []
+    for conv in range(6):
+        n = rng.randrange(20, 40)
+        for i in range(n):
+            deps = [f"c{rng.randrange(n if rng.random() < 0.02 else max(1, i))}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+            calls.append((conv, i, 0, f"c{i}", "add", "{}", [d for d in deps if d != f"c{i}" or rng.random() < 0.01] or None, "-"))
+    calls += [(99, 0, 0, "s", "add", "{}", ["s"], "-"), (99, 1, 0, "behind", "add", "{}", ["s", None, "s"], "-")]
+    calls += [(100, i, 0, f"c{i}", "add", "{}", [f"c{i + 1}"], "-") for i in range(300)]  # a long chain against the turns
+    df = spark.createDataFrame(calls, CALLS)
+    want = _depths(calls)
+    assert None in want.values() and want[100, "c0"] == 299
+    assert {(r.conv_id, r.call_id): r.layer for r in T.layers(df).collect()} == want
+
+
+def test_surrogates_and_repeated_rows(spark):
+    call = (1, 1, 0, "x", "add", '{"a":"\\ud800","\\udc00":1}', ["x\x1f"], "-")
+    got = T.link(spark.createDataFrame([call, call], CALLS), spark.createDataFrame([(1, 2, "x", "\x1f" + "long " * 100_000, "-")] * 2, RESULTS), SCHEMAS).collect()
+    assert sorted(r.status for r in got) == ["duplicate", "duplicate", "linked"]
+    linked = next(r for r in got if r.status == "linked")
+    assert linked.errors == ["$.a: not of type number", "$.?: unknown"] and linked.json.startswith('{"arguments":{"\\udc00":1,"a":"\\ud800"},"id":"x"') is False
+    assert linked.arguments_json == '{"a":"\\ud800","\\udc00":1}' and '"result":"\\u001flong ' in linked.json and json.loads(linked.json)["id"] == "x"
