@@ -1,7 +1,14 @@
-"""URL filter: prefix rules, then logistic regression on hashed character n-grams of host and path."""
+"""URL filter: prefix rules, then logistic regression on hashed character n-grams of host and path.
+
+The model is fitted on a small labelled table of URLs (``labelled_urls.csv``, or any other): it knows trades by the words
+in their hosts and paths, so a host of blocked words it has met in other hosts is blocked, and one of unknown words is
+not.  Scoring is a row's work: no shuffle.
+"""
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -10,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.extraction import host_of
+from quantloom.llm.quality import _let
 
 GRAMS = (3, 4, 5)
-FEATURES = 1 << 16
+FEATURES = 1 << 18
 #: Rows of the labelled table that a model is fitted on, at most; the first by url and label.
 MAX_LABELLED = 20_000
 BLOCK_AT = 0.5
@@ -34,22 +42,14 @@ RULES = (
     Rule("org/es/", "block"),
 )
 
-# Words of the small labelled table below.
-_BLOCKED = "spam-farm cheap-pills casino-win free-bets viagra-shop online-casino lottery-winner payday-loans replica-watches hot-dates pills-online bets-now win-cash link-farm spam-links cheap-meds casino-bonus poker-win free-spins free-prize quick-loans slots-win cheap-replica adult-dates ads-track ad-server click-track track-ads ads-pixel".split()
-_ALLOWED = "library museum garden weather science history recipes travel school campus research archive gallery nature journal forum village kitchen physics biology letters poetry markets culture".split()
-_SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ble tion ing sh ly wh".split()
-_PREFIXES = ("", "www.", "m.", "blog.")
-_ENDS = ("com", "net", "org")
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """A small table (url, label): 1 for hosts named after spam trades, 0 for plain words and syllables; paths are alike."""
-    rows = []
-    names = [(w, 1) for w in _BLOCKED] + [(w, 0) for w in _ALLOWED] + [(a + b, 0) for i, a in enumerate(_SYLLABLES) for b in (_SYLLABLES[i - 1], _SYLLABLES[i - 5])]
-    for i, (name, label) in enumerate(names):
-        for j, prefix in enumerate(_PREFIXES):
-            lang = ("en", "de", "fr", "es")[(i + j) % 4]
-            rows.append((f"{('http', 'https')[(i + j) % 2]}://{prefix}{name}.example.{_ENDS[(i + 2 * j) % 3]}/{lang}/{(37 * i + 101 * j) % 1000}", label))
+#: The small labelled table: URLs of many shapes, written by hand, under names that are in none of the test tables.
+LABELLED = Path(__file__).with_name("labelled_urls.csv")
+
+
+def labelled_urls(spark: SparkSession, path: str | Path = LABELLED) -> DataFrame:
+    """(url, label) of a small CSV file that the driver reads; label 1 for what is to be blocked."""
+    with open(path, encoding="utf-8", newline="") as file:
+        rows = [(r["url"], int(r["label"])) for r in csv.DictReader(file)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -58,16 +58,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _grams(tag: str, n: int):
+    """From an array of characters to its different n-grams; finding the i-th character of a string would take i steps."""
+    return lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(F.lit(tag), *[F.get(c, i + j) for j in range(n)])))
+
+
 def grams_of(host: Column, path: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
-    """Character n-grams of host and path, the host's between '^' and '$'."""
+    """Different character n-grams of host and path, the host's between '^' and '$'."""
 
     def of(text: Column, tag: str) -> Column:
-        one = [
-            F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.concat(F.lit(tag), F.substring(text, i, F.lit(n))))).otherwise(
-                F.array().cast("array<string>")
-            )
-            for n in sizes
-        ]
+        one = [F.when(F.length(text) >= n, _let(F.split(text, ""), _grams(tag, n))).otherwise(F.array().cast("array<string>")) for n in sizes]
         return F.concat(*one)
 
     return F.concat(of(F.concat(F.lit("^"), host, F.lit("$")), "h"), of(path, "p"))
@@ -78,7 +78,7 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_LABELLED, strength: float = 0.01) -> LogisticRegressionModel:
-    """Model fitted on the first ``max_rows`` rows of (url, label); rows with a null in either are left out."""
+    """Model fitted on the first ``max_rows`` rows of (url, label); rows with a null in either are left out, repeated rows count each time."""
     rows = labelled.where("url IS NOT NULL AND label IS NOT NULL").orderBy("url", "label").limit(max_rows)
     rows = rows.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label"))
     return LogisticRegression(featuresCol="_features", regParam=strength, maxIter=50, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y").fit(_features(rows.coalesce(1)))
@@ -98,8 +98,9 @@ def judge_urls(pages: DataFrame, model: LogisticRegressionModel, rules: tuple[Ru
     """(page_id, host, path, rule, verdict, score) for every row.
 
     The longest rule that fits decides; else the model's probability of block, ``score``, at ``block_at`` or more
-    blocks.  A null url, or one without '://', has an empty host and path and is judged by the model on those.
-    Repeated rows are judged alike; an empty table gives an empty result.
+    blocks.  A null url, or one without '://', has an empty host and path and is judged by the model on those.  A very
+    long url is judged whole.  Repeated rows are judged alike; an empty table gives an empty result; other columns are
+    not read, whatever their names.
     """
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     from pyspark.ml.functions import vector_to_array
@@ -111,4 +112,5 @@ def judge_urls(pages: DataFrame, model: LogisticRegressionModel, rules: tuple[Ru
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, null and repeated ones too."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), train(labelled_urls(spark)))
