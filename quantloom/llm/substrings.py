@@ -1,21 +1,20 @@
-"""Repeated passages: find 13-word windows that recur across documents, with sharded Aho-Corasick automata.
+"""Repeated passages: confirm recurring passages, compile sharded Aho-Corasick automata, stream the documents through them.
 
 0. Copies.  Of documents with equal texts only that of the smallest doc_id is searched; all windows of the others are
    repeated.  Equality is by two 64-bit hashes of the whole text.
-1. Anchors.  Each window's anchor is the five-word phrase in it with the smallest hash; equal windows have equal
+1. Anchors.  Each 13-word window's anchor is the five-word phrase in it with the smallest hash; equal windows have equal
    anchors, and one word in five starts one.  Only anchors met in two documents at least can belong to a recurring
    window (one shuffle of anchor hashes with the smallest and largest document).
-2. Segments.  Round each such anchor a document's windows form a run; its words, up to 21, are the segment.  Segments
-   go to shards by anchor hash, equal ones collapse to one with the smallest document.
-3. Automata.  A shard, read in runs of whole anchors, keeps the windows that occur in two documents at least,
-   compiles them into an Aho-Corasick automaton over word numbers, and streams its segments through it.  So every
-   window of every document passes the automaton that holds all passages it could match, and no automaton is larger
-   than a run of a shard.  For each window the smallest document that has it comes back.  An anchor with very many
-   different segments would still be one task's: the windows of its segments become segments of their own, sharded by
-   their own hash.
-4. A window is repeated in a document if that smallest document is smaller; its words are covered.
-
-Hashes only route; windows are compared word by word.
+2. Confirmation.  The windows round such anchors, as 64-bit hashes, are counted by document: those met in two documents
+   at least recur, and the smallest of these documents owns them.
+3. Passages.  An owner's recurring windows that follow each other make passages, cut from its text in pieces of at most
+   ``PIECE_WINDOWS`` windows.  Each other document that has the hash of a window of a piece is sent the piece.
+4. Automata.  A task compiles the pieces sent to a run of documents into Aho-Corasick automata of at most about
+   ``SHARD_WINDOWS`` windows over word numbers, and streams the whole documents through each.  The automata alone say
+   where a passage occurs: hashes only choose which pieces a document meets, and words are compared.
+5. A window is repeated in a document if its owner is smaller; its words are covered.
+
+Two different windows of one hash would hide one another (n windows: a chance of about n / 2**64 for each).
 """
 
 from __future__ import annotations
@@ -33,10 +32,14 @@ from quantloom.llm.scratch import table
 from quantloom.llm.words import Words, chunks, grams
 
 WINDOW, ANCHOR = 13, 5
-#: Segments compiled into one automaton, unless a single anchor has more.
-RUN_SEGMENTS = 20_000
-#: Different segments of one anchor from which on its windows are dealt out one by one.
-CROWDED = 1_000
+#: Windows of a passage in one piece, at most.
+PIECE_WINDOWS = 48
+#: Windows compiled into one automaton, about.
+SHARD_WINDOWS = 50_000
+#: Stands for a null doc_id, which no owner is smaller than.
+_NO_ID = -(1 << 63)
+#: Bytes of documents streamed at once, unless one is longer.
+RUN_BYTES = 4 << 20
 
 
 def _anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,94 +109,59 @@ def _anchor_places(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return rows.mapInArrow(run, "h long, doc_id long, tk long, o int")
 
 
-def _segments(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """rows: doc_id, tk, text, os.  One row for each listed anchor: (h, doc_id, tk, start, segment)."""
+def _windows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    """rows: doc_id, tk, text, os.  (wh, doc_id, tk) of each different window under one of the listed anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed, texts = batch.column(3), batch.column(2)
-            for lo, hi, words in chunks(texts):
-                h, doc, first, last = _anchors(words, window, anchor)
+            listed = batch.column(3)
+            for lo, hi, words in chunks(batch.column(2)):
+                _, doc, first, last = _anchors(words, window, anchor)
+                g, _, begin = grams(words, window)
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-                picks, parts = [], []
+                hashes, docs = [], []
                 for d in range(hi - lo):
                     a, b = bounds[d], bounds[d + 1]
                     chosen = listed[lo + d].values.to_numpy(zero_copy_only=False)
-                    chosen = np.unique(chosen[chosen < b - a]) + a
-                    if not len(chosen):
-                        continue
-                    own = texts[lo + d].as_py().encode("utf-8").split()
-                    picks.append(chosen)
-                    parts += [b" ".join(own[x : y + window]) for x, y in zip(first[chosen].tolist(), last[chosen].tolist(), strict=True)]
-                if picks:
-                    at = np.concatenate(picks)
-                    take = pa.array(doc[at] + lo)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[at].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(first[at].astype(np.int32)), pa.array(parts, pa.binary())],
-                        names=["h", "doc_id", "tk", "start", "segment"],
-                    )
-
-    return rows.mapInArrow(run, "h long, doc_id long, tk long, start int, segment binary")
-
-
-def _first_owners(segments: list[list[bytes]], owners: list[int], window: int) -> list[list[int]]:
-    """For each window of each segment, the smallest owner of a segment that has it, by one automaton."""
-    import ahocorasick
-
-    number: dict[bytes, int] = {}
-    coded = [[number.setdefault(w, len(number) + 1) for w in words] for words in segments]
-    least: dict[tuple, int] = {}
-    seen: dict[tuple, int] = {}
-    for codes, owner in zip(coded, owners, strict=True):
-        for i in range(len(codes) - window + 1):
-            key = tuple(codes[i : i + window])
-            least[key] = min(owner, least.get(key, owner))
-            seen[key] = seen.get(key, 0) + 1
-    out = [[owner] * (len(codes) - window + 1) for codes, owner in zip(coded, owners, strict=True)]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    first = []
-    for key, n in seen.items():
-        if n > 1:
-            automaton.add_word(key, len(first))
-            first.append(least[key])
-    if not first:
-        return out
-    automaton.make_automaton()
-    stream: list[int] = []  # all segments, each ended by a number that no pattern has
-    place = []
-    for s, codes in enumerate(coded):
-        place += [(s, i) for i in range(len(codes))]
-        place.append((s, -1))
-        stream += codes
-        stream.append(0)
-    for end, value in automaton.iter(tuple(stream)):
-        s, i = place[end]
-        out[s][i - window + 1] = first[value]
-    return out
+                    edge = np.zeros(begin[d + 1] - begin[d] + 1, dtype=np.int32)
+                    np.add.at(edge, first[a:b][chosen], 1)
+                    np.add.at(edge, last[a:b][chosen] + 1, -1)
+                    own = np.unique(g[begin[d] : begin[d + 1]][np.cumsum(edge[:-1]) > 0])
+                    hashes.append(own)
+                    docs.append(np.full(len(own), lo + d))
+                if hashes:
+                    take = pa.array(np.concatenate(docs))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], names=["wh", "doc_id", "tk"])
 
+    return rows.mapInArrow(run, "wh long, doc_id long, tk long")
 
-def _locate(distinct: DataFrame, window: int) -> DataFrame:
-    """distinct: h, segment, lo, with equal h together and in order.  Returns h, sk and firsts for each segment."""
 
-    def flush(h, sk, segments, owners):
-        found = _first_owners([s.split() for s in segments], owners, window)
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(sk, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["h", "sk", "firsts"])
+def _pieces(rows: DataFrame, window: int) -> DataFrame:
+    """rows: doc_id, text, owned (hashes of the windows that the document owns).  (owner, whs, passage) for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, sk, segments, owners = [], [], [], []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(h) >= RUN_SEGMENTS and row[0] != h[-1]:
-                    yield flush(h, sk, segments, owners)
-                    h, sk, segments, owners = [], [], [], []
-                h.append(row[0])
-                sk.append(row[1])
-                segments.append(row[2])
-                owners.append(row[3])
-        if h:
-            yield flush(h, sk, segments, owners)
+            ids, texts, owned = batch.column(0), batch.column(1), batch.column(2)
+            for lo, hi, words in chunks(texts):
+                g, _, begin = grams(words, window)
+                owners, hashes, passages = [], [], []
+                for d in range(hi - lo):
+                    own = g[begin[d] : begin[d + 1]]
+                    _, once = np.unique(own, return_index=True)
+                    at = np.sort(once[np.isin(own[once], owned[lo + d].values.to_numpy(zero_copy_only=False).view(np.uint64))])
+                    if not len(at):
+                        continue
+                    parts = texts[lo + d].as_py().encode("utf-8").split()  # splits at the ASCII white space that delimits words
+                    for run_ in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                        for i in range(0, len(run_), PIECE_WINDOWS):
+                            piece = run_[i : i + PIECE_WINDOWS]
+                            owners.append(ids[lo + d].as_py())
+                            hashes.append(own[piece].view(np.int64))
+                            passages.append(b" ".join(parts[piece[0] : piece[-1] + window]))
+                if owners:
+                    yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(passages, pa.binary())], names=["owner", "whs", "passage"])
 
-    return distinct.mapInArrow(run, "h long, sk long, firsts array<long>")
+    return rows.mapInArrow(run, "owner long, whs array<long>, passage binary")
 
 
 def _copies(rows: DataFrame) -> DataFrame:
@@ -209,26 +177,11 @@ def _without(rows: DataFrame, copies: DataFrame) -> DataFrame:
     return others.union(maybe.join(copies, ["doc_id", "tk"], "left_anti").select(*rows.columns))
 
 
-def _spread(found: DataFrame, window: int) -> DataFrame:
-    """Segments with those of crowded anchors cut into their windows, under the windows' own hashes."""
-    kinds = found.select("h", "sk").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    crowded = table(kinds.where(F.col("c") > CROWDED).select("h"), "crowded")
-    if crowded.isEmpty():
-        return found
-    words = F.split(F.col("segment").cast("string"), " ")
-    pieces = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda i: F.array_join(F.slice(words, i + 1, F.lit(window)), " "))
-    cut = found.join(crowded, "h", "left_semi").select("doc_id", "tk", "start", F.posexplode(pieces).alias("i", "piece"))
-    own = F.xxhash64("piece")
-    cut = cut.select(own.alias("h"), "doc_id", "tk", (F.col("start") + F.col("i")).alias("start"), F.col("piece").cast("binary").alias("segment"), own.alias("sk"))
-    return found.join(crowded, "h", "left_anti").select("h", "doc_id", "tk", "start", "segment", "sk").union(cut)
+def passages_met(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, tk, whole, pieces): for each document the passages of smaller doc_ids (owner, passage) that it may hold.
 
-
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, tk, whole, starts) for each document with repeated windows: all of them, or the words at which they start.
-
-    A window of ``window`` words is repeated if its words also make a window of a document with a smaller doc_id.
     ``tk`` is xxhash64 of the text and tells rows apart that repeat a doc_id; those do not count as earlier for each
-    other.  ``whole`` marks copies of an earlier text, whose starts are null.  Null texts have no words; rows with a
+    other.  ``whole`` marks copies of an earlier text, whose pieces are null.  Null texts have no words; rows with a
     null doc_id are neither searched nor counted as earlier.
     """
     rows = _input(docs, doc_id, text).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -236,65 +189,134 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = _without(rows, copies)
     recurring = table(_anchor_bounds(rows, window, anchor), "recurring")
     places = _anchor_places(rows, window, anchor).join(recurring, "h", "left_semi")
-    listed = table(places.groupBy("doc_id", "tk").agg(F.collect_list("o").alias("os")), "listed")
+    listed = table(places.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set("o")).alias("os")), "listed")
     maybe, _ = split(rows, ["doc_id", "tk"], listed)
-    joined = maybe.join(listed, ["doc_id", "tk"]).select("doc_id", "tk", "text", "os")
-    found = _spread(table(_segments(joined, window, anchor).withColumn("sk", F.xxhash64("segment")), "segments"), window)
-    distinct = found.groupBy("h", "sk", "segment").agg(F.min("doc_id").alias("lo"))
-    sharded = distinct.select("h", "sk", "segment", "lo").repartition("h").sortWithinPartitions("h")
-    firsts = table(_locate(sharded, window).where(F.size("firsts") > 0), "firsts")
-    hits = found.select("h", "sk", "doc_id", "tk", "start").join(firsts, ["h", "sk"])
-    at = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    hits = hits.select("doc_id", "tk", at.alias("at")).where(F.size("at") > 0)
-    hits = hits.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("at")).alias("starts"))
-    whole = copies.select("doc_id", "tk", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
-    return table(hits.select("doc_id", "tk", F.lit(False).alias("whole"), "starts").union(whole), "repeated")
-
-
-def _kept_words(text: str | None, whole: bool, starts, window: int) -> tuple[int, int, bytes]:
-    words = (text or "").encode("utf-8").split()  # splits at the ASCII white space that delimits words
-    if whole and len(words) >= window:
-        return len(words), len(words), b""
-    if starts is None or not len(starts):
-        return len(words), 0, b" ".join(words)
+    windows = table(_windows(maybe.join(listed, ["doc_id", "tk"]).select("doc_id", "tk", "text", "os"), window, anchor), "windows")
+    confirmed = windows.groupBy("wh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    owned = table(confirmed.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("wh").alias("owned")), "owned")
+    owners, _ = split(rows, ["doc_id"], owned)
+    pieces = _pieces(owners.join(owned, "doc_id").select("doc_id", "text", "owned"), window)
+    pieces = table(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    sent = windows.join(pieces.select("piece", "owner", F.explode("whs").alias("wh")), "wh").where("doc_id > owner").select("doc_id", "tk", "piece").distinct()
+    sent = table(sent, "sent")
+    met = sent.join(pieces.select("piece", "owner", "passage"), "piece").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("owner", "passage")).alias("pieces"))
+    whole = copies.select("doc_id", "tk", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<owner:bigint,passage:binary>>").alias("pieces"))
+    return table(met.select("doc_id", "tk", F.lit(False).alias("whole"), "pieces").union(whole), "met")
+
+
+def _automata(pieces: dict[bytes, int], number: dict[bytes, int], window: int) -> Iterator:
+    """Automata over the windows of the pieces, each pattern with its owner; ``number`` gets a number for each word."""
+    import ahocorasick
+
+    automaton, size = None, 0
+    for passage, owner in pieces.items():
+        codes = [number.setdefault(w, len(number) + 1) for w in passage.split(b" ")]
+        if automaton is None:
+            automaton, size = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
+        for i in range(len(codes) - window + 1):
+            automaton.add_word(tuple(codes[i : i + window]), owner)
+        size += len(codes) - window + 1
+        if size >= SHARD_WINDOWS:
+            automaton.make_automaton()
+            yield automaton
+            automaton = None
+    if automaton is not None:
+        automaton.make_automaton()
+        yield automaton
+
+
+def located(ids: list[int], texts: list[list[bytes]], pieces: dict[bytes, int], window: int) -> list[np.ndarray]:
+    """For each document the words at which a window of ``pieces`` with a smaller owner starts, found by automata."""
+    if not pieces:
+        return [np.zeros(0, np.int64)] * len(ids)
+    number: dict[bytes, int] = {}
+    shards = list(_automata(pieces, number, window))
+    stream: list[int] = []  # all documents; 0, a number that no pattern has, ends each and stands for unknown words
+    begin = [0]
+    for words in texts:
+        stream += [number.get(w, 0) for w in words]
+        stream.append(0)
+        begin.append(len(stream))
+    codes, bounds, own = tuple(stream), np.array(begin), np.array(ids, dtype=np.int64)
+    places, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for automaton in shards:
+        found = np.array([x for hit in automaton.iter(codes) for x in hit], dtype=np.int64).reshape(-1, 2)
+        doc = np.searchsorted(bounds, found[:, 0], side="right") - 1
+        smaller = found[:, 1] < own[doc]
+        docs.append(doc[smaller])
+        places.append(found[smaller, 0] - bounds[doc[smaller]] - window + 1)
+    doc, place = np.concatenate(docs), np.concatenate(places)
+    order = np.lexsort((place, doc))
+    return np.split(place[order], np.searchsorted(doc[order], np.arange(1, len(ids))))
+
+
+def _without_windows(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
+    if not len(starts):
+        return words
     edge = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.asarray(starts) + window, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+    np.add.at(edge, starts + window, -1)
+    return [w for w, n in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not n]
 
 
-def _cut(docs: DataFrame, doc_id: str, text: str, window: int, found: DataFrame, digest: bool) -> DataFrame:
-    """Adds n_words, n_removed and the kept words (or their SHA-256) to (doc_id, text)."""
+def _streamed(docs: DataFrame, doc_id: str, text: str, window: int, anchor: int, digest: bool) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, starts) of every row; kept words or their SHA-256."""
+    met = passages_met(docs, doc_id, text, window, anchor)
     rows = _input(docs, doc_id, text)
-    maybe, clean = split(rows, ["doc_id", "tk"], found)
-    joined = maybe.join(found, ["doc_id", "tk"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
-    joined = joined.union(clean.select("doc_id", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
+    maybe, clean = split(rows, ["doc_id", "tk"], met)
+    joined = maybe.join(met, ["doc_id", "tk"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "pieces")
+    joined = joined.union(clean.select("doc_id", "text", F.lit(False).alias("whole"), F.lit(None).cast(met.schema["pieces"].dataType).alias("pieces")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush():
+            starts = located([_NO_ID if i is None else i for i in ids], texts, pieces, window)
+            starts = [np.arange(len(t) - window + 1) if w and len(t) >= window else s for t, w, s in zip(texts, copied, starts, strict=True)]
+            kept = [_without_windows(t, s, window) for t, s in zip(texts, starts, strict=True)]
+            joined_ = [b" ".join(k) for k in kept]
+            out = [hashlib.sha256(k).hexdigest() for k in joined_] if digest else [k.decode("utf-8") for k in joined_]
+            columns = [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()), pa.array(out, pa.string()), pa.array(starts, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "starts"])
+
         for batch in batches:
-            n, removed, kept = [], [], []
-            for value, whole, starts in zip(*batch.columns[1:], strict=True):
-                at = starts.values.to_numpy(zero_copy_only=False) if starts.is_valid else None
-                a, b, c = _kept_words(value.as_py(), whole.as_py(), at, window)
-                n.append(a)
-                removed.append(b)
-                kept.append(hashlib.sha256(c).hexdigest() if digest else c.decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            ids, texts, copied, pieces, size = [], [], [], {}, 0
+            for i, value, whole, sent in zip(*batch.columns, strict=True):
+                data = (value.as_py() or "").encode("utf-8")
+                ids.append(i.as_py())
+                texts.append(data.split())
+                copied.append(whole.as_py())
+                if sent.is_valid:
+                    at = sent.values
+                    pieces.update(zip(at.field("passage").to_pylist(), at.field("owner").to_pylist(), strict=True))
+                size += len(data)
+                if size >= RUN_BYTES or len(pieces) * PIECE_WINDOWS >= SHARD_WINDOWS:
+                    yield flush()
+                    ids, texts, copied, pieces, size = [], [], [], {}, 0
+            if ids:
+                yield flush()
+
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, starts array<int>")
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, starts) of the rows with repeated windows: the words, from 0, at which one starts.
+
+    A window of ``window`` words is repeated if its words also make a window of a document with a smaller doc_id.
+    """
+    return _streamed(docs, doc_id, text, window, anchor, True).select("doc_id", "starts").where(F.size("starts") > 0)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row: kept words joined by one space, or their SHA-256 with ``digest``.
 
     Null and empty texts have no words; rows with a null doc_id keep all words; repeated rows get equal results; an
-    empty table gives none.
+    empty table gives none.  A very long text is one task's work and is streamed whole; other columns are not read,
+    whatever their names.
     """
-    return _cut(docs, doc_id, text, window, repeated_windows(docs, doc_id, text, window), digest)
+    return _streamed(docs, doc_id, text, window, ANCHOR, digest).select("doc_id", "n_words", "n_removed", "kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Per document its words, how many of them go, and the digest of the rest; null texts have no words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = remove_repeats(docs, digest=True)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))

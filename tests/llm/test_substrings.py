@@ -42,9 +42,9 @@ def test_equals_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t, "h", 1) for d, t in rows], "doc_id long, text string, h string, starts int")
     want = {d: x for (d, _), x in zip(rows, _brute(rows), strict=True)}
     assert sum(x[1] > 0 for x in want.values()) > 20
-    for run, crowded in ((substrings.RUN_SEGMENTS, substrings.CROWDED), (5, 2)):
-        monkeypatch.setattr(substrings, "RUN_SEGMENTS", run)
-        monkeypatch.setattr(substrings, "CROWDED", crowded)
+    for piece, shard in ((substrings.PIECE_WINDOWS, substrings.SHARD_WINDOWS), (5, 7)):
+        monkeypatch.setattr(substrings, "PIECE_WINDOWS", piece)
+        monkeypatch.setattr(substrings, "SHARD_WINDOWS", shard)
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs).collect()} == want
     digests = {r.doc_id: r.kept for r in substrings.remove_repeats(docs, digest=True).collect()}
     assert digests == {d: hashlib.sha256(x[2].encode()).hexdigest() for d, x in want.items()}
@@ -56,3 +56,14 @@ def test_repeated_ids_nulls_and_empty(spark):
     got = sorted(((r.doc_id or 0), r.n_removed) for r in substrings.remove_repeats(docs).collect())
     assert got == [(0, 0), (2, 0), (4, 0), (4, 0), (4, 0), (9, 20)]
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_automata_locate():
+    """Only what the automata find counts: a document that is sent other passages keeps its words."""
+    words = [f"w{i}".encode() for i in range(40)]
+    piece = b" ".join(words[5:25])
+    found = substrings.located([7, 3, 9, 8], [words, words, [b"x", *words[6:20]], [b"y"] * 30], {piece: 5}, 13)
+    assert [x.tolist() for x in found] == [list(range(5, 13)), [], [1, 2], []]
+    assert [x.tolist() for x in substrings.located([7], [words], {}, 13)] == [[]]
+    long = [b"a"] * 200_000 + words
+    assert substrings.located([7], [long], {piece: 5, b" ".join([b"a"] * 13): 6}, 13)[0].tolist()[-8:] == list(range(200_005, 200_013))
