@@ -3,9 +3,11 @@
 1. Every whole text becomes its set of shingle hashes; texts with the same set collapse to one representative.
 2. Representatives get MinHash values; bands of them name buckets.  With 5 values a band and 32 bands a pair of
    similarity 0.8 shares no bucket with probability 3e-6.
-3. Documents that share buckets form candidate components, found from (document, bucket's smallest document) edges.
-   A component is cut into blocks of bounded size by set size (only sizes within the threshold's ratio can match) and
-   hash, and each pair of blocks is one group.
+3. Documents that share buckets form candidate components, found from (document, bucket's smallest document) edges.  A
+   small component is one group.  A larger one is cut into blocks of bounded size, by set size (only sizes within the
+   threshold's ratio can match) and by the first of a document's buckets, so that documents of one bucket mostly sit
+   together.  Two blocks are a group only if some bucket has documents of both, so a component that is long because its
+   buckets form a chain costs no more than its buckets do.
 4. In a group, pairs compare MinHash values step by step.  With m values compared and k equal, the posterior of
    similarity >= t under a uniform prior is 1 - I_t(k + 1, m - k + 1); pairs below ``tolerance`` are dropped.  The rest
    are verified exactly on their shingle sets.
@@ -165,7 +167,7 @@ def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 def _verify_groups(t: float, tolerance: float):
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_numpy()
-        copies, right, cross = group.column("copies").to_numpy(), group.column("side").to_numpy() == 1, group.column("si")[0].as_py() != group.column("sj")[0].as_py() or group.column("ci")[0].as_py() != group.column("cj")[0].as_py()
+        copies, right, cross = group.column("copies").to_numpy(), group.column("side").to_numpy() == 1, group.column("g1")[0].as_py() != group.column("g2")[0].as_py()
         sets: list[np.ndarray] = []
         sig = []
         for g, first in shingle_sets(group.column("text")):
@@ -190,6 +192,28 @@ def _verify_groups(t: float, tolerance: float):
     return run
 
 
+def _small_seats(members: DataFrame) -> DataFrame:
+    """(rep, copies, cut, g1, g2, side): one group for each component."""
+    return members.select("rep", "copies", F.lit(False).alias("cut"), F.col("comp").alias("g1"), F.col("comp").alias("g2"), F.lit(0).alias("side"))
+
+
+def _block_seats(members: DataFrame, keys: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The same for large components: a group for each two blocks, or one, that have documents in a common bucket."""
+    held = table(keys.join(members.select("rep"), "rep").join(buckets.select("key"), "key"), "held_buckets")
+    homes = held.groupBy("rep").agg(F.min(F.xxhash64("key")).alias("home"))
+    at_home = members.select("rep", "copies", "comp", "class", "n").join(homes, "rep")
+    size = at_home.groupBy("comp", "class", "home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    block = F.xxhash64("comp", "class", "home", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    placed = table(at_home.join(size, ["comp", "class", "home"]).select("rep", "copies", "class", block.alias("block")), "placed")
+    present = table(held.join(placed.select("rep", "class", "block"), "rep").select("key", "class", "block").distinct(), "present")
+    x, y = present.alias("x"), present.alias("y")
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.class") - F.col("y.class")) <= 1)
+    met = table(x.join(y, fits).select(F.col("x.block").alias("g1"), F.col("y.block").alias("g2")).distinct(), "block_pairs")
+    left = placed.join(met.withColumnRenamed("g1", "block"), "block").select("rep", "copies", F.lit(True).alias("cut"), F.col("block").alias("g1"), "g2", F.lit(0).alias("side"))
+    right = placed.join(met.where("g1 <> g2").withColumnRenamed("g2", "block"), "block").select("rep", "copies", F.lit(True).alias("cut"), "g1", F.col("block").alias("g2"), F.lit(1).alias("side"))
+    return left.union(right)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of ``docs``.
 
@@ -197,7 +221,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one to four words is one shingle.  class_id is the smallest doc_id of the connected component, n_links the number
     of other documents linked to this one, exact copies included.  Null or empty texts have no shingles and link to
     nothing.  A null doc_id gets a null class and no links.  Rows that repeat a doc_id count as one document made of
-    all of their texts.  An empty table gives an empty result.
+    all of their texts.  An empty table gives an empty result; a very long text is one task's work; other columns are not
+    read, whatever their names.  Of equal texts the smallest doc_id stands for all; links of equal strength need no order.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sketched = table(sketch(rows), "sketches")
@@ -211,40 +236,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * step + 1, F.lit(step))))).alias("key")
     )
     keys = table(keys, "bands")
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
+    buckets = table(keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a"), "buckets")
     edges = keys.join(buckets, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     candidates = table(connected_components(edges), "candidates").withColumnsRenamed({"node": "rep", "root": "comp"})
-    # Blocks: set sizes whose logarithm to the base 1/t rounds alike share a class; only equal or neighbouring classes can match.
+    # Set sizes whose logarithm to the base 1/t rounds alike share a class; only equal or neighbouring classes can match.
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / t)) + 1e-9).cast("int")
     by_rep = reps.groupBy("rep").agg(F.max("n").alias("n"), F.sum("copies").alias("copies"))
     members = table(candidates.join(by_rep, "rep").withColumn("class", size), "members")
-    whole = members.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).where((F.col("c") > BLOCK_DOCS) | (F.col("w") > BLOCK_SHINGLES)).select("comp", F.lit(True).alias("cut"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    parts = members.groupBy("comp", "class").agg(blocks.alias("parts"))
-    near = parts.select("comp", "class", F.col("parts").alias("own")).join(
-        parts.select("comp", (F.col("class") - 1).alias("class"), F.col("parts").alias("above")), ["comp", "class"], "left"
-    ).join(parts.select("comp", (F.col("class") + 1).alias("class"), F.col("parts").alias("below")), ["comp", "class"], "left")
-    plan = table(near.join(whole, "comp").select("comp", "class", "own", "above", "below"), "blocks")
-    placed = members.join(plan, ["comp", "class"], "left").withColumn("sub", F.when(F.col("own").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("own"))).cast("int"))
-
-    def seats(count, body):
-        return F.when(F.coalesce(count, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), count - 1), body)).otherwise(F.array())
-
-    def seat(ci, cj, si, sj, side):
-        return F.struct(ci.cast("int").alias("ci"), cj.cast("int").alias("cj"), si.cast("int").alias("si"), sj.cast("int").alias("sj"), side.cast("int").alias("side"))
-
-    c, s, zero = F.col("class"), F.col("sub"), F.lit(0)
-    all_seats = F.when(F.col("own").isNull(), F.array(seat(zero, zero, zero, zero, zero))).otherwise(
-        F.concat(
-            seats(F.col("own"), lambda k: seat(c, c, F.least(s, k), F.greatest(s, k), (s > k).cast("int"))),
-            seats(F.col("above"), lambda k: seat(c, c + 1, s, k, zero)),
-            seats(F.col("below"), lambda k: seat(c - 1, c, k, s, F.lit(1))),
-        )
-    )
-    placed = table(placed.select("rep", "comp", "copies", all_seats.alias("seats")), "placed")
-    maybe, _ = split(rows, ["doc_id"], placed.select(F.col("rep").alias("doc_id")))
-    texts = maybe.join(placed, maybe.doc_id == placed.rep).select("doc_id", "comp", "copies", "text", F.explode("seats").alias("seat"))
-    groups = texts.select("doc_id", "comp", "copies", "text", "seat.*").groupBy("comp", "ci", "cj", "si", "sj")
+    large = members.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).where((F.col("c") > BLOCK_DOCS) | (F.col("w") > BLOCK_SHINGLES)).select("comp", F.lit(True).alias("cut"))
+    members = table(members.join(large, "comp", "left"), "members")
+    seats = _small_seats(members.where("cut IS NULL"))
+    if not large.isEmpty():
+        seats = table(seats.union(_block_seats(members.where("cut"), keys, buckets)), "seats")
+    maybe, _ = split(rows, ["doc_id"], seats.select(F.col("rep").alias("doc_id")).distinct())
+    texts = maybe.join(seats, maybe.doc_id == seats.rep).select("doc_id", "copies", "text", "cut", "g1", "g2", "side")
+    groups = texts.groupBy("cut", "g1", "g2")
     found = table(groups.applyInArrow(_verify_groups(t, tolerance), "doc_id long, other long, n_links long"), "links")
     classes = table(connected_components(found.where("other IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))), "classes")
     links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("n_links").alias("n"))
@@ -263,4 +269,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document; null texts are classes of their own."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

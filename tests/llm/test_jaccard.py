@@ -67,3 +67,24 @@ def test_nulls_repeats_and_empty(spark):
     assert got == [(-1, None), (-1, None), (2, 2), (4, 4), (4, 4), (9, 4)]
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
     assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+def test_chain_of_documents(spark, monkeypatch):
+    """One component of all documents, in which each is similar to its neighbours only: work follows the buckets."""
+    n, monkey = 3000, {}
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 32)
+    seats = jaccard._block_seats
+    monkeypatch.setattr(jaccard, "_block_seats", lambda *a: monkey.setdefault("seats", seats(*a)))
+    docs = spark.range(n).selectExpr("id AS doc_id", "array_join(transform(sequence(2 * id, 2 * id + 59), x -> substr(sha2(cast(x as string), 256), 1, 8)), ' ') AS text")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()}
+    near = lambda d: sum(0 <= d + k < n and 56 - 2 * abs(k) >= 0.8 * (56 + 2 * abs(k)) for k in range(-9, 10) if k)
+    assert got == {d: (0, near(d)) for d in range(n)}
+    groups = monkey["seats"].select("g1", "g2").distinct()
+    blocks = groups.where("g1 = g2").count()
+    assert blocks > 100 and groups.count() < 60 * blocks < blocks * blocks / 4
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 9973}x{i // 7}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "short")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
