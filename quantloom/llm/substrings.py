@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ WINDOW, ANCHOR = 13, 5
 PIECE_WINDOWS = 48
 #: Windows compiled into one automaton, about.
 SHARD_WINDOWS = 50_000
+#: An automaton reads a word's number as two symbols: it looks through a state's branches one by one, so few are better.
+_BASE = 128
 #: Stands for a null doc_id, which no owner is smaller than.
 _NO_ID = -(1 << 63)
 #: Bytes of documents streamed at once, unless one is longer.
@@ -204,18 +207,24 @@ def passages_met(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return table(met.select("doc_id", "tk", F.lit(False).alias("whole"), "pieces").union(whole), "met")
 
 
+def _symbols(numbers: list[int]) -> tuple[int, ...]:
+    """Two symbols for each word number; 0, for a word of no pattern, is a number like any other."""
+    at = np.array(numbers, dtype=np.int64)
+    return tuple(np.stack([at // _BASE + _BASE, at % _BASE], axis=1).ravel().tolist())
+
+
 def _automata(pieces: dict[bytes, int], number: dict[bytes, int], window: int) -> Iterator:
     """Automata over the windows of the pieces, each pattern with its owner; ``number`` gets a number for each word."""
     import ahocorasick
 
     automaton, size = None, 0
     for passage, owner in pieces.items():
-        codes = [number.setdefault(w, len(number) + 1) for w in passage.split(b" ")]
+        codes = _symbols([number.setdefault(w, len(number) + 1) for w in passage.split(b" ")])
         if automaton is None:
             automaton, size = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
-        for i in range(len(codes) - window + 1):
-            automaton.add_word(tuple(codes[i : i + window]), owner)
-        size += len(codes) - window + 1
+        for i in range(0, len(codes) - 2 * window + 2, 2):
+            automaton.add_word(codes[i : i + 2 * window], owner)
+        size += len(codes) // 2 - window + 1
         if size >= SHARD_WINDOWS:
             automaton.make_automaton()
             yield automaton
@@ -237,14 +246,15 @@ def located(ids: list[int], texts: list[list[bytes]], pieces: dict[bytes, int],
         stream += [number.get(w, 0) for w in words]
         stream.append(0)
         begin.append(len(stream))
-    codes, bounds, own = tuple(stream), np.array(begin), np.array(ids, dtype=np.int64)
+    codes, bounds, own = _symbols(stream), np.array(begin), np.array(ids, dtype=np.int64)
     places, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for automaton in shards:
-        found = np.array([x for hit in automaton.iter(codes) for x in hit], dtype=np.int64).reshape(-1, 2)
-        doc = np.searchsorted(bounds, found[:, 0], side="right") - 1
+        found = np.fromiter(chain.from_iterable(automaton.iter(codes)), dtype=np.int64).reshape(-1, 2)
+        last = found[:, 0] // 2
+        doc = np.searchsorted(bounds, last, side="right") - 1
         smaller = found[:, 1] < own[doc]
         docs.append(doc[smaller])
-        places.append(found[smaller, 0] - bounds[doc[smaller]] - window + 1)
+        places.append(last[smaller] - bounds[doc[smaller]] - window + 1)
     doc, place = np.concatenate(docs), np.concatenate(places)
     order = np.lexsort((place, doc))
     return np.split(place[order], np.searchsorted(doc[order], np.arange(1, len(ids))))
