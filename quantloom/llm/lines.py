@@ -1,6 +1,6 @@
 """Near-duplicate lines: exact set-similarity join on line tokens (DataFrame functions only).
 
-A line's tokens are its distinct words, as 57-bit hashes.  They are ordered by rarity: first by the logarithm of how often
+A line's tokens are its distinct words, as 64-bit hashes.  They are ordered by rarity: first by the logarithm of how often
 their hash bucket occurs in the whole corpus (a table of fixed size, ``BUCKETS`` numbers, counted over all documents and
 read by tasks as a scalar subquery), then by hash.  Any fixed order keeps the join exact; this one keeps the frequent
 words out of the prefixes.
@@ -13,8 +13,8 @@ tokens that even one token more makes them differ too much (three at t = 0.8): t
 
 One earlier similar set is enough to remove a set, so not all pairs of a large group need be met:
 
-1. Sets that agree in their two smallest or two largest token hashes, or in the outer ones, look at the earliest set of
-   such a key first.  Where parity and sizes say that the two are similar, the set is led and looks no further.
+1. Sets that agree in their two smallest, two largest or outermost token hashes look at the one of the smallest doc_id under such a
+   key first.  Where parity and sizes say that the two are similar, the set is led and looks no further.
 2. All other sets are joined with all earlier sets by the filters above.
 3. The pairs of both steps are verified on token arrays, fetched for these sets only.
 4. A set whose lead does not hold is joined with all earlier sets after all, so the result is exact.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.quality import words_of
 from quantloom.llm.reduce import split
-from quantloom.llm.scratch import release, table, written
+from quantloom.llm.scratch import table
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 18
@@ -37,66 +37,80 @@ BUCKETS = 1 << 18
 _HASH_BITS = 57
 
 
-def _words(line: Column) -> Column:
-    """``words_of`` a line; one whose words are parted by single spaces is spared the regular expression."""
-    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (line == "") | F.contains(line, F.lit("  ")) | F.rlike(line, F.lit(r"[\t\x0B\f\r]"))
-    return F.when(odd, words_of(line)).otherwise(F.split(line, " "))
+def _plain(text: Column) -> Column:
+    """Whether the words of each line of ``text`` are parted by single spaces and nothing else."""
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for white in ("  ", " \n", "\n ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(text, F.lit(white))
+    return ~odd
 
 
-def _token(word: Column) -> Column:
-    return F.shiftleft(F.xxhash64(word), 64 - _HASH_BITS)
+def _words(line: Column, plain: Column) -> Column:
+    """``words_of`` a line; a plain one is spared the regular expression."""
+    return F.when(plain & (line != ""), F.split(line, " ")).otherwise(words_of(line))
 
 
-def _tokens(line: Column) -> Column:
+def _tokens(line: Column, plain: Column) -> Column:
     """The tokens of a line: hashes of its distinct words in ascending order."""
-    return F.sort_array(F.array_distinct(F.transform(_words(line), _token)))
+    return F.sort_array(F.array_distinct(F.transform(_words(line, plain), lambda w: F.xxhash64(w))))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, tk, line_no, line) of rows with an id; line_no counts from 0, ``tk`` tells texts of one doc_id apart."""
+    """(doc_id, tk, plain, line_no, line) of rows with an id; line_no counts from 0, ``tk`` tells texts of one doc_id apart."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", F.xxhash64("text").alias("tk"), _plain(F.col("text")).alias("plain"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def rarity_table(docs: DataFrame, text: str) -> DataFrame:
     """One row, ``ranks``: the rank (0..62, rare first) of each hash bucket, from counts over all words of ``docs``."""
-    words = docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
+    value = F.col(f"`{text}`")
+    words = docs.select(_plain(value).alias("plain"), F.explode(F.split(value, "\n")).alias("line")).select(F.explode(_words(F.col("line"), F.col("plain"))).alias("w"))
     counts = table(words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count(), "counts")  # at most BUCKETS rows
     rank = F.coalesce(F.least(F.lit(62), (2 * F.log2("count")).cast("int")), F.lit(0)).cast("tinyint")
     every = docs.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", rank.alias("rank")).alias("r"))
     return table(every.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.transform("r", lambda r: r["rank"]).alias("ranks")), "ranks")
 
 
-def _by_rarity(lines: DataFrame, ranks: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``s``: the tokens of ``line`` in the order of their rank and hash, as rank << 57 | hash."""
-
-    def number(word: Column) -> Column:
-        rank = F.get(F.col("ranks"), F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(_token(word), 64 - _HASH_BITS))
-
-    # The subquery's column is used once, so that it becomes a part of the expression and is not copied into each row.
-    return lines.select("*", ranks.scalar().alias("ranks")).select(*keep, F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), number))).alias("s"))
+def _wide(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
+    """A row for each line, numbered ``sid``: its size n, the hashes k, k2 and the parities of its set, its prefix p, and its keys."""
+    keep = ["doc_id", "tk", "line_no", "sid", "u"]
+    lines = _lines(docs, doc_id, text).select("doc_id", "tk", "line_no", F.monotonically_increasing_id().alias("sid"), _tokens(F.col("line"), F.col("plain")).alias("u"))
+
+    def number(h: Column) -> Column:
+        rank = F.get(F.col("ranks"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+
+    # The subquery's column is used once, and row numbers keep it apart from the tokens, so it becomes a part of the
+    # expression and is not copied into each row.
+    rows = lines.select(*keep, rarity_table(docs, text).scalar().alias("ranks")).select(*keep, F.sort_array(F.transform("u", number)).alias("s"))
+    n, u = F.size("u"), lambda i: F.get("u", i)
+    prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
+    alone = (n == 0) | (n < (n + 1) * F.lit(t) - 1e-9)  # only equal sets are similar enough
+    keys = F.array(F.xxhash64(u(F.lit(0)), u(F.lit(1))), F.xxhash64(u(n - 1), u(n - 2)), F.xxhash64(u(F.lit(0)), u(n - 1)))
+    p = F.transform(F.slice("s", F.lit(1), F.when(alone, 0).otherwise(prefix)), lambda x: F.hash(x))
+    return rows.select(
+        "doc_id", "tk", "line_no", "sid", n.alias("n"), F.xxhash64("u").alias("k"), F.xxhash64(F.lit(1), "u").alias("k2"), p.alias("p"),
+        F.expr(_PARITY).alias("sig"), F.expr(_PARITY_OF_SOME).alias("some"), F.when(~alone, keys).alias("keys"),
+    )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
-    """The sets a of the pairs (a, b) that have Jaccard >= t on tokens fetched from each set's first line, b's being earlier."""
+def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
+    """Of each pair (a, b) of lines with Jaccard >= t, on tokens fetched for these lines only, the later one as ``sid``."""
     needed = table(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "needed")
-    maybe, _ = split(sets, ["sid"], needed)
-    places = maybe.join(needed, "sid", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "sid", "k")).alias("at"))
-    places = table(places, "places")
-    rows, _ = split(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], places)
-    lines = rows.join(places, "doc_id").withColumn("lines", F.split("text", "\n")).select(
-        "doc_id", F.inline(F.transform("at", lambda p: F.struct(p["line_no"].alias("line_no"), p["sid"].alias("sid"), p["k"].alias("k"), F.get(F.col("lines"), p["line_no"]).alias("line"))))
-    )
+    maybe, _ = split(wide.select("sid", "k", "doc_id", "line_no"), ["sid"], needed)
+    places = table(maybe.join(needed, "sid", "left_semi"), "places")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows, _ = split(rows, ["doc_id"], places.select("doc_id").distinct())
+    lines, _ = split(rows.select("doc_id", _plain(F.col("text")).alias("plain"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")), ["doc_id", "line_no"], places)
     # Rows may repeat a doc_id with other texts: of such lines only those of the set itself count.
-    tokens = lines.where("line IS NOT NULL").select("sid", "k", F.struct("doc_id", "line_no").alias("f"), _tokens(F.col("line")).alias("u"))
-    tokens = table(tokens.where(F.xxhash64("u") == F.col("k")).select("sid", "f", "u"), "tokens")
+    tokens = lines.join(places, ["doc_id", "line_no"]).select("sid", "k", F.struct("doc_id", "line_no").alias("f"), _tokens(F.col("line"), F.col("plain")).alias("u"))
+    tokens = table(tokens, "tokens").where(F.xxhash64("u") == F.col("k"))
     common = F.size(F.array_intersect("ua", "ub"))
     return (
         pairs.join(tokens.select(F.col("sid").alias("a"), F.col("f").alias("fa"), F.col("u").alias("ua")), "a")
         .join(tokens.select(F.col("sid").alias("b"), F.col("f").alias("fb"), F.col("u").alias("ub")), "b")
-        .where((F.col("fb") < F.col("fa")) & (common >= t * (F.size("ua") + F.size("ub") - common) - 1e-9))
-        .select("a")
+        .where((F.col("fb") != F.col("fa")) & (common >= t * (F.size("ua") + F.size("ub") - common) - 1e-9))
+        .select(F.when(F.col("fb") < F.col("fa"), F.col("a")).otherwise(F.col("b")).alias("sid"))
         .distinct()
     )
 
@@ -125,81 +139,70 @@ def _may_differ(nx: Column, ny: Column, t: float) -> Column:
     return (nx + ny) * F.lit((1 - t) / (1 + t)) + 1e-9
 
 
-def _wide(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
-    """A row for each line: its size n, the hashes k, k2 and the parities of its set, its prefix p, and its keys."""
-    keep = ["doc_id", "tk", "line_no"]
-    rows = _by_rarity(_lines(docs, doc_id, text), rarity_table(docs, text), keep)
-    rows = rows.select(*keep, "s", F.sort_array(F.transform("s", lambda x: F.shiftleft(x, 64 - _HASH_BITS))).alias("u"))
-    n, u = F.size("s"), lambda i: F.get("u", i)
-    prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
-    alone = (n == 0) | (n < (n + 1) * F.lit(t) - 1e-9)  # only equal sets are similar enough
-    keys = F.array(F.xxhash64(u(F.lit(0)), u(F.lit(1))), F.xxhash64(u(n - 1), u(n - 2)), F.xxhash64(u(F.lit(0)), u(n - 1)))
-    p = F.transform(F.slice("s", F.lit(1), F.when(alone, 0).otherwise(prefix)), lambda x: F.hash(x))
-    return rows.select(
-        *keep, n.alias("n"), F.xxhash64("u").alias("k"), F.xxhash64(F.lit(1), "u").alias("k2"), p.alias("p"),
-        F.expr(_PARITY).alias("sig"), F.expr(_PARITY_OF_SOME).alias("some"), F.when(~alone, keys).alias("keys"),
-    )
-
-
-def _led(prefixes: DataFrame, t: float) -> DataFrame:
-    """(a, b): sets with the earliest set under one of their keys that seems similar, one b for each a."""
-    keyed = prefixes.select("sid", "n", "sig", "some", F.explode("keys").alias("w"))
-    of_least = [F.min_by(c, "sid").alias(f"h_{c}") for c in ("n", "sig", "some")]
-    heads = keyed.groupBy("w").agg(F.min("sid").alias("hs"), *of_least, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+def _led(sets: DataFrame, t: float) -> DataFrame:
+    """(a, b): sets with one of the smallest doc_id under one of their keys that seems similar, one b for each a."""
+    keyed = sets.select("sid", "doc_id", "n", "sig", "some", F.explode("keys").alias("w"))
+    of_least = [F.min_by(c, "doc_id").alias(f"h_{c}") for c in ("sid", "n", "sig", "some")]
+    heads = keyed.groupBy("w").agg(F.min("doc_id").alias("h_doc"), *of_least, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     bits = _parities(F.col("sig"), F.col("some"), F.col("h_sig"), F.col("h_some"))
-    seems = bits <= 64 * (1 - F.pow(F.lit(63 / 64), _may_differ(F.col("n"), F.col("h_n"), t))) + 1e-9  # as many bits as so many tokens change in the mean
-    near = keyed.join(heads, "w").where((F.col("sid") > F.col("hs")) & _sized(F.col("n"), F.col("h_n"), t) & seems)
-    return near.groupBy(F.col("sid").alias("a")).agg(F.min_by("hs", bits.cast("long")).alias("b"))
+    # As many parities as so many tokens change in the mean.
+    seems = bits <= 64 * (1 - F.pow(F.lit(63 / 64), _may_differ(F.col("n"), F.col("h_n"), t))) + 1e-9
+    near = keyed.join(heads, "w").where((F.col("h_doc") <= F.col("doc_id")) & (F.col("sid") != F.col("h_sid")) & _sized(F.col("n"), F.col("h_n"), t) & seems)
+    return near.groupBy(F.col("sid").alias("a")).agg(F.min_by("h_sid", bits.cast("long")).alias("b"))
 
 
-def _postings(prefixes: DataFrame) -> DataFrame:
-    """(w, sid, at, sig, some) for each prefix token; ``at`` packs whether the set is open, its size and the token's place."""
-    rows = prefixes.select("sid", "n", "sig", "some", "open", F.posexplode("p").alias("i", "w"))
+def _postings(sets: DataFrame) -> DataFrame:
+    """(w, sid, doc_id, at, sig, some) for each prefix token; ``at`` packs whether the set is open, its size and the token's place."""
+    rows = sets.select("sid", "doc_id", "n", "sig", "some", "open", F.posexplode("p").alias("i", "w"))
     at = F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("i").cast("long"))
-    return rows.select("w", "sid", F.when(F.col("open"), at.bitwiseOR(F.lit(_OPEN))).otherwise(at).alias("at"), "sig", "some")
+    return rows.select("w", "sid", "doc_id", F.when(F.col("open"), at.bitwiseOR(F.lit(_OPEN))).otherwise(at).alias("at"), "sig", "some")
 
 
 def _candidates(x: DataFrame, y: DataFrame, t: float) -> DataFrame:
-    """(a, b): open sets a of the postings ``x`` with the earlier sets b of ``y`` that pass all filters under some token."""
+    """(a, b): open sets a of the postings ``x`` with the sets b of ``y``, of smaller or equal doc_id, that pass all filters under some token."""
     x, y = x.alias("x"), y.alias("y")
     size = lambda at: F.shiftright(at.bitwiseAND(F.lit(_OPEN - 1)), 24)
     nx, ix, ny, iy = size(F.col("x.at")), F.col("x.at").bitwiseAND(F.lit(_LOW)), size(F.col("y.at")), F.col("y.at").bitwiseAND(F.lit(_LOW))
     overlap = F.ceil((nx + ny) * F.lit(t / (1 + t)) - 1e-9)
-    earlier = F.when(F.col("x.at") >= _OPEN, F.col("y.sid") < F.col("x.sid")).otherwise(F.lit(False))  # one term, so that both sides stay one exchange
+    earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.sid") != F.col("x.sid")))
+    asks = F.when(F.col("x.at") >= _OPEN, earlier).otherwise(F.lit(False))  # one term, so that both sides stay one exchange
     differ = _parities(F.col("x.sig"), F.col("x.some"), F.col("y.sig"), F.col("y.some"))
-    fits = earlier & (differ <= _may_differ(nx, ny, t)) & _sized(nx, ny, t) & (F.least(nx - ix, ny - iy) >= overlap)
+    fits = asks & (differ <= _may_differ(nx, ny, t)) & _sized(nx, ny, t) & (F.least(nx - ix, ny - iy) >= overlap)
     return x.join(y, (F.col("x.w") == F.col("y.w")) & fits).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
+def _marked(rows: DataFrame, sids: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a column that tells whether ``sids`` has their sid; only rows that may be in it are shuffled."""
+    maybe, others = split(rows, ["sid"], sids)
+    told = maybe.join(sids.select("sid", F.lit(True).alias(name)), "sid", "left")
+    return others.withColumn(name, F.lit(False)).union(told.select(*rows.columns, F.coalesce(name, F.lit(False)).alias(name)))
+
+
 def _judged(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
     """(doc_id, tk, line_no) of every line to remove."""
     wide = table(_wide(docs, doc_id, text, t), "wide_lines").where("n > 0")
-    lines = wide.select("doc_id", "tk", "line_no", "k", "k2")
-    # One row for each set of tokens, numbered in the order of first lines.
-    firsts = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("k", "k2", "f.doc_id", "f.line_no")
-    sets = table(firsts.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    prefixes = wide.where(F.size("p") > 0).join(sets, ["k", "k2", "doc_id", "line_no"]).select("sid", "n", "sig", "some", "p", "keys")
-    prefixes = table(prefixes, "prefixes")
-    scratch = [written()[-1]]
-
-    led = table(_led(prefixes, t), "led")
-    slim = prefixes.drop("keys")
-    maybe, others = split(slim, ["sid"], led.select(F.col("a").alias("sid")))
-    told = maybe.join(led.select(F.col("a").alias("sid"), F.lit(True).alias("led")), "sid", "left").select(*slim.columns, F.col("led").isNull().alias("open"))
-    postings = _postings(others.withColumn("open", F.lit(True)).union(told))
+    # The first line of each set of tokens stands for it; only sets that may have several lines are grouped.
+    shared = table(wide.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "k2"), "shared_sets")
+    several = table(split(wide.select("k", "k2", "doc_id", "tk", "line_no", "sid"), ["k", "k2"], shared)[0], "lines_of_shared_sets")
+    firsts = several.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no", "sid")).alias("f"))
+    copies = several.join(firsts, ["k", "k2"]).where(F.col("sid") != F.col("f.sid"))
+    copies = table(copies.select("sid", "doc_id", "tk", "line_no", F.col("f.sid").alias("first"), (F.struct("f.doc_id", "f.line_no") < F.struct("doc_id", "line_no")).alias("later")), "copies")
+    sets = _marked(wide.where(F.size("p") > 0).select("sid", "doc_id", "n", "sig", "some", "p", "keys"), copies.select("sid"), "copy").where("not copy").drop("copy")
+
+    led = table(_led(sets, t), "led")
+    postings = _postings(_marked(sets.drop("keys"), led.select(F.col("a").alias("sid")), "led").withColumn("open", ~F.col("led")))
     rest = table(_candidates(postings, postings, t), "rest")
-    near = table(_verified(led.union(rest), docs, sets, doc_id, text, t), "near")
-    misled = table(led.join(near, "a", "left_anti").select(F.col("a").alias("sid")), "misled")
+    near = table(_verified(led.union(rest), docs, wide, doc_id, text, t), "near")
+    misled = table(led.select(F.col("a").alias("sid")).join(near, "sid", "left_anti"), "misled")
     if not misled.isEmpty():
-        maybe, _ = split(slim, ["sid"], misled)
-        x = table(_postings(maybe.join(misled, "sid", "left_semi").withColumn("open", F.lit(True))), "misled_postings")
-        y, _ = split(_postings(slim.withColumn("open", F.lit(False))), ["w"], x.select("w").distinct())
+        again = _marked(sets.drop("keys"), misled, "open")
+        x = table(_postings(again.where("open")), "misled_postings")
+        y, _ = split(_postings(again), ["w"], x.select("w").distinct())
         again = table(_candidates(x, y, t), "again")
-        near = near.union(_verified(again, docs, sets, doc_id, text, t)).distinct()
-    verdicts = sets.select("k", "k2", "sid", F.struct("doc_id", "line_no").alias("f")).join(near.select(F.col("a").alias("sid"), F.lit(True).alias("near")), "sid", "left")
-    judged = lines.join(table(verdicts, "verdicts"), ["k", "k2"])
-    release(docs.sparkSession, scratch)
-    return judged.where(F.col("near").isNotNull() | (F.col("f") < F.struct("doc_id", "line_no"))).select("doc_id", "tk", "line_no").distinct()
+        near = table(near.union(_verified(again, docs, wide, doc_id, text, t)).distinct(), "near")
+    gone = copies.where("later").select("doc_id", "tk", "line_no")
+    beside = copies.where("not later").join(near.select(F.col("sid").alias("first")), "first", "left_semi").select("doc_id", "tk", "line_no")  # rows that repeat a doc_id
+    return gone.union(beside).union(_marked(wide.select("doc_id", "tk", "line_no", "sid"), near, "near").where("near").select("doc_id", "tk", "line_no")).distinct()
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD) -> DataFrame:

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+_notes = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), a local one that is set now."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a local one that is set now, on local masters only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="quantloom-")
         spark.sparkContext.setCheckpointDir(root)
@@ -26,6 +33,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared root; ``release`` removes it."""
     path = f"{shared_root(spark)}/quantloom/{uuid.uuid4().hex}/{name}"
     _WRITTEN.append(path)
+    for paths in getattr(_notes, "open", []):
+        paths.append(path)
     return path
 
 
@@ -50,6 +59,17 @@ def written() -> list[str]:
     return list(_WRITTEN)
 
 
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths that this thread makes inside the block."""
+    paths: list[str] = []
+    _notes.open = [*getattr(_notes, "open", []), paths]
+    try:
+        yield paths
+    finally:
+        _notes.open = [x for x in _notes.open if x is not paths]
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Remove tables. Call only once every result built on them has been written elsewhere."""
     jvm = spark.sparkContext._jvm
