@@ -49,14 +49,19 @@ def reliability(n: Column) -> Column:
 
 
 def p_label(p: Column) -> Column:
-    return F.when(p < 0.01, "strong").when(p < 0.05, "significant").when(p < 0.1, "weak").otherwise("none")
+    """How far a p-value can be relied on, in words; N/A for null."""
+    # Bounds and labels.
+    return F.when(p < 0.01, "Very High").when(p < 0.05, "High").when(p < 0.1, "Medium").when(p.isNotNull(), "Low").otherwise("N/A")
 
 
 def edge_score(rate: Column, p: Column, n: Column) -> Column:
-    """0..100: 0.45 distance from even odds, 0.25 significance, 0.20 sample size up to 120, 0.10 reliability."""
-    edge = F.least(F.lit(1.0), F.abs(rate - 50) / 50)
-    grade = F.when(n >= 30, 1.0).when(n >= 10, 0.6).otherwise(0.3)
-    return 100 * (0.45 * edge + 0.25 * (1 - F.least(F.lit(1.0), p)) + 0.2 * F.least(F.lit(1.0), n / 120) + 0.1 * grade)
+    """0..100, to two places: 0.45 distance from even odds, 0.25 significance (none for a null p), 0.20 sample size up to
+    120, 0.10 reliability; 0 for a null rate or an empty sample."""
+    edge = F.least(F.lit(100.0), F.abs(rate - 50) * 2)
+    significance = F.coalesce((1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))) * 100, F.lit(0.0))
+    grade = F.when(n >= 30, 90.0).when(n >= 10, 65.0).otherwise(35.0)  # fixed values
+    score = edge * 0.45 + significance * 0.25 + F.least(F.lit(100.0), n / 120 * 100) * 0.20 + grade * 0.10
+    return F.when(rate.isNull() | ~(n > 0), F.lit(0.0)).otherwise(F.round(F.least(F.lit(100.0), score), 2))
 
 
 def sharpe(pnl: str, periods: float = 252.0) -> Column:
@@ -130,3 +135,16 @@ def with_t_test(df: DataFrame, t: str, n: str, name: str = "p_value") -> DataFra
         return pd.Series([None if pd.isna(x) else t_two_sided_p(float(x), float(m) - 1) for x, m in zip(ts, ns, strict=True)], dtype="float64")
 
     return df.withColumn(name, p(F.col(t), F.col(n)))
+
+
+def with_mean_interval(df: DataFrame, mean: str, sd: str, n: str, confidence: float = 0.95) -> DataFrame:
+    """``df`` with ci_lower, ci_upper and ci_width of a mean by Student's t; both ends are the mean without deviation or below two values."""
+
+    @F.pandas_udf("double")
+    def quantile(ns: pd.Series) -> pd.Series:
+        known = {m: t_quantile(1 - (1 - confidence) / 2, m - 1) for m in ns.dropna().unique() if m >= 2}
+        return ns.map(known).astype("float64")
+
+    half = F.when((F.col(n) >= 2) & (F.col(sd) > 0), quantile(F.col(n).cast("double")) * F.col(sd) / F.sqrt(F.col(n))).when(F.col(mean).isNotNull(), F.lit(0.0))
+    out = df.withColumn("_half", half)
+    return out.withColumns({"ci_lower": F.col(mean) - F.col("_half"), "ci_upper": F.col(mean) + F.col("_half"), "ci_width": 2 * F.col("_half")}).drop("_half")

@@ -46,8 +46,6 @@ def run(bars: DataFrame, signal: str, rules: Rules = Rules(), keep: tuple[str, .
     w = Window.partitionBy(*keys).orderBy("open_dt")
     extra = {"connors": ["sma_20"], "squeeze": ["bb_mid"]}.get(r.exit_rule, [])
     own = bars.select(*keys, "open_dt", "open", "high", "low", "close", *extra, "regime", F.col(signal).alias("_signal"))
-    if keep:  # a run is a series of its own
-        own = own.withColumn("interval", F.concat_ws("|", "interval", *[F.col(c).cast("string") for c in keep]))
     own = own.withColumns({
         "bar_no": F.row_number().over(w),
         "entry_dt": F.lead("open_dt").over(w),
@@ -56,7 +54,7 @@ def run(bars: DataFrame, signal: str, rules: Rules = Rules(), keep: tuple[str, .
         "_two": F.lead("open_dt", 2).over(w),
     })
     events = own.where(yes(F.col("_signal")) & F.col("_two").isNotNull()).select(*keys, "bar_no", F.col("open_dt").alias("signal_dt"), "entry_dt", "entry_price", F.col("entry_regime").alias("regime"))
-    paths = follow(events, own, 1, r.max_bars + 1, ["open_dt", "high", "low", "close", *extra])
+    paths = follow(events, own, 1, r.max_bars + 1, ["open_dt", "high", "low", "close", *extra], keys)
     sign = 1 if r.direction == "long" else -1
     e, c = F.col("entry_price"), F.col("f_close")
     liquidation, target, stop = e * (1 - sign / r.leverage), e * (1 + sign * r.take_profit), e * (1 - sign * r.stop_loss)
@@ -73,9 +71,8 @@ def run(bars: DataFrame, signal: str, rules: Rules = Rules(), keep: tuple[str, .
     last = F.struct("offset", F.lit("TimeOut").alias("outcome"), c.alias("price"), F.col("f_open_dt").alias("dt"))
     found = paths.groupBy(*keys, "signal_dt", "entry_dt", "entry_price", "regime").agg(F.coalesce(F.min(ended), F.max(last)).alias("x"))
     pnl = F.when(F.col("x.outcome") == "Liquidation", F.lit(-1.0)).otherwise(sign * (F.col("x.price") - e) / e * r.leverage - 2 * r.fee * r.leverage)
-    interval = F.split_part("interval", F.lit("|"), F.lit(1)) if keep else F.col("interval")
     return found.select(
-        "symbol", interval.alias("interval"), *keep, "signal_dt", "entry_dt", F.col("x.dt").alias("exit_dt"), "entry_price", F.col("x.price").alias("exit_price"),
+        *keys, "signal_dt", "entry_dt", F.col("x.dt").alias("exit_dt"), "entry_price", F.col("x.price").alias("exit_price"),
         F.col("x.outcome").alias("outcome"), F.lit(r.direction).alias("direction"), "regime", pnl.alias("pnl"),
     )
 

@@ -25,18 +25,18 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str], suffix: str, by:
     return both.where("_side = 1").select("_row.*", "_match.*")
 
 
-def follow(events: DataFrame, bars: DataFrame, first: int, last: int, columns: list[str]) -> DataFrame:
+def follow(events: DataFrame, bars: DataFrame, first: int, last: int, columns: list[str], keys: list[str] = KEYS) -> DataFrame:  # noqa: B006
     """One row for each event and each bar ``first`` to ``last`` after it: event columns, ``offset`` and f_{column}.
 
-    Both sides need the series keys and bar_no.  Bars fall into runs as long as the horizon and an event meets two of
+    Both sides need ``keys`` (the series, or more where a series has several runs; nulls match nothing) and bar_no.  Bars fall into runs as long as the horizon and an event meets two of
     them, so this is an equi-join on (series, run): work follows events times horizon, and one long series spreads over
     many tasks.
     """
     width = last - first + 1
     run = lambda no: F.floor(no / F.lit(width)).cast("long")
     e = events.withColumn("_run", F.explode(F.sequence(run(F.col("bar_no") + first), run(F.col("bar_no") + last))))
-    b = bars.select(*KEYS, F.col("bar_no").alias("_no"), run(F.col("bar_no")).alias("_run"), *[F.col(c).alias(f"f_{c}") for c in columns])
-    pairs = e.join(b, [*KEYS, "_run"]).withColumn("offset", (F.col("_no") - F.col("bar_no")).cast("int"))
+    b = bars.select(*keys, F.col("bar_no").alias("_no"), run(F.col("bar_no")).alias("_run"), *[F.col(c).alias(f"f_{c}") for c in columns])
+    pairs = e.join(b, [*keys, "_run"]).withColumn("offset", (F.col("_no") - F.col("bar_no")).cast("int"))
     return pairs.where(F.col("offset").between(first, last)).drop("_run", "_no")
 
 

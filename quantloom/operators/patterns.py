@@ -83,3 +83,15 @@ def streak_match(bars: DataFrame, n: int, bit: str = "target_bit", name: str = "
     if min_body is not None:
         hit = hit & (F.sum("body_pct").over(roll(n)) >= min_body)
     return bars.withColumn(name, yes(hit))
+
+
+def two_segments(first: tuple[str, int], second: tuple[str, int]) -> list[int]:
+    """A sequence of two runs, each given as its colour (green or red) and its length."""
+    return [1 if colour == "green" else -1 for colour, n in (first, second) for _ in range(n)]
+
+
+def profile(sequence: list[int]) -> dict[str, int]:
+    """What a sequence of 1 and -1 is made of, and the colour that is expected after it: the other one than its last."""
+    if not sequence or any(x not in (1, -1) for x in sequence):
+        raise ValueError(f"no sequence of 1 and -1: {sequence}")
+    return {"rises": sequence.count(1), "drops": sequence.count(-1), "last": sequence[-1], "expected": -sequence[-1]}

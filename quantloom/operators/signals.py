@@ -85,3 +85,23 @@ def trend_votes(bars: DataFrame) -> DataFrame:
     )
     out = bars.withColumn("votes", votes)
     return out.withColumn("bias", F.when(F.col("votes") >= 2, "bullish").when(F.col("votes") <= -2, "bearish").otherwise("neutral"))
+
+
+def line_states(bars: DataFrame, k: str, d: str, name: str) -> DataFrame:
+    """Adds {name}_state (golden or dead: which line is above) and {name}_cross, where that changed from the bar before."""
+    a, b, pa, pb = F.col(k), F.col(d), prev(k), prev(d)
+    return bars.withColumns({
+        f"{name}_state": F.when(a > b, "golden").when(a < b, "dead"),
+        f"{name}_cross": F.when((pa <= pb) & (a > b), "golden").when((pa >= pb) & (a < b), "dead"),
+    })
+
+
+def hybrid_report(bars: DataFrame) -> DataFrame:
+    """Per series and hybrid strategy with a signal: signals, their share of all bars in percent, mean RSI and ADX at them."""
+    names = ("sma_adx_strong", "macd_rsi_trend", "pure_trend")
+    long = hybrid_signals(bars).select("symbol", "interval", "rsi_14", "adx_14", F.inline(F.array(*[F.struct(F.lit(x).alias("strategy"), F.col(x).alias("on")) for x in names])))
+    on = F.col("on")
+    out = long.groupBy("symbol", "interval", "strategy").agg(
+        F.count_if(on).alias("signals"), (F.count_if(on) / F.count(F.lit(1)) * 100).alias("signal_rate"), F.avg(F.when(on, F.col("rsi_14"))).alias("avg_rsi"), F.avg(F.when(on, F.col("adx_14"))).alias("avg_adx")
+    )
+    return out.where("signals > 0")

@@ -122,7 +122,7 @@ def reversal_report(bars: DataFrame, n: int = 3, direction: str = "green") -> Da
 
 
 def short_fill(bars: DataFrame, n: int = 3, overbought: float = RSI_OVERBOUGHT, min_signals: int = 3) -> DataFrame:
-    """Per series: shorts after n green bars with a high RSI, entered where the next bar rises by part of its usual rise.
+    """Per series: shorts of the complex study, after n green bars with a high RSI, entered where the next bar rises by part of its usual rise.
 
     The entry is the open raised by max(0.1, 0.6 m) percent, m the mean rise (high over open) of all such bars; filled
     if the high gets there, won if the close is below it.  Series with fewer than ``min_signals`` have no row.
@@ -169,7 +169,7 @@ def pullback_quality(bars: DataFrame, matched: str, rise: int = 3, drop: int = 2
 
 
 def signal_score(df: DataFrame, rsi: str = "rsi_sma") -> DataFrame:
-    """Adds score (0..100) and confidence from retracement, vol_ratio and RSI (50 where unknown)."""
+    """Adds score (0..100) and confidence from retracement, vol_ratio and RSI (50 where unknown); the bounds are fixed values."""
     r, v, s = F.col("retracement"), F.col("vol_ratio"), F.coalesce(F.col(rsi), F.lit(50.0))
     score = (
         F.when(r < 30, 40).when(r < 50, 30).when(r < 70, 15).otherwise(0)
@@ -210,9 +210,56 @@ def weekday_extremes(bars: DataFrame, min_rows: int = 3) -> DataFrame:
     return both.groupBy(*KEYS, F.col("x.d").alias("weekday")).agg(F.sum("x.l").alias("lows"), F.sum("x.h").alias("highs"))
 
 
-def dip_score(bars: DataFrame, matched: str, value: str = "body_pct") -> DataFrame:
-    """Per series: z-score of the latest matched bar's value among all matched ones, and its label."""
-    rows = bars.where(yes(F.col(matched)))
-    sd = F.stddev_samp(value)
-    out = rows.groupBy(*KEYS).agg(F.when(sd > 0, (F.max_by(value, "open_dt") - F.avg(value)) / sd).alias("z"))
+def with_swings(bars: DataFrame) -> DataFrame:
+    """Adds dip and rise: how far low and high are from the open, in percent of it."""
+    o = F.when(F.col("open") != 0, F.col("open"))
+    return bars.withColumns({"dip": (o - F.col("low")) / o * 100, "rise": (F.col("high") - o) / o * 100})
+
+
+def dip_score(bars: DataFrame, matched: str) -> DataFrame:
+    """Per series: z-score of the latest matched bar's dip by the trimmed mean and deviation of all, to two places, and its label."""
+    rows = with_swings(bars.where(yes(F.col(matched))))
+    usual = trimmed(rows, "dip").select(*KEYS, "mean", "std")
+    z = F.round(F.when(F.col("std") > 0, (F.col("dip") - F.col("mean")) / F.col("std")), 2)
+    out = rows.groupBy(*KEYS).agg(F.max_by("dip", "open_dt").alias("dip")).join(usual, KEYS).select(*KEYS, z.alias("z"))
     return out.withColumn("label", F.when(F.abs("z") < 1, "normal").when(F.abs("z") < 2, "unusual").when(F.col("z").isNotNull(), "extreme"))
+
+
+def volatility(bars: DataFrame, matched: str) -> DataFrame:
+    """Per series, of the bars after matched ones: trimmed mean and deviation of the dip, mean rise, mean atr_pct, worst dips."""
+    after = with_swings(bars.withColumn("_after", prev(matched))).where(yes(F.col("_after")))
+    dips, rises = trimmed(after, "dip"), trimmed(after, "rise")
+    all_ = after.groupBy(*KEYS).agg(F.avg("atr_pct").alias("avg_atr_pct"), F.max("dip").alias("extreme_dip"), F.count(F.lit(1)).alias("n"))
+    out = dips.select(*KEYS, F.col("mean").alias("avg_dip"), F.col("std").alias("std_dip"), F.col("max").alias("practical_dip"), "trimmed")
+    return out.join(rises.select(*KEYS, F.col("mean").alias("avg_rise")), KEYS).join(all_, KEYS)
+
+
+def short_signal(bars: DataFrame, n: int = 3, overbought: float = RSI_OVERBOUGHT, min_signals: int = 3) -> DataFrame:
+    """Per series: shorts of the simple study, entered where a bar rises by part of the usual rise of all matched bars.
+
+    Matched bars end n green ones; a signal is a bar after n green ones and a high RSI.  The entry is the open raised by
+    max(0.1, 0.6 m) percent, m the trimmed mean rise of the matched bars (0.5 if there is none).  Series with fewer than
+    ``min_signals`` signals or without a filled one have no row.
+    """
+    green = F.col("is_green").cast("int")
+    out = with_swings(bars).withColumns({"_match": F.sum(green).over(roll(n)) == n, "_run": F.sum(green).over(series().rowsBetween(-n, -1)) == n, "_rsi": prev("rsi_sma")})
+    usual = trimmed(out.where(yes(F.col("_match"))), "rise").select(*KEYS, F.col("mean").alias("_mean"))
+    rows = out.where(yes(F.col("_run")) & yes(F.col("_rsi") >= overbought)).join(usual, KEYS, "left")
+    rows = rows.withColumn("entry_rise", F.greatest(F.lit(0.1), 0.6 * F.coalesce("_mean", F.lit(0.5))))
+    rows = rows.withColumn("_entry", F.col("open") * (1 + F.col("entry_rise") / 100)).withColumn("_filled", F.col("high") >= F.col("_entry"))
+    won = F.col("_filled") & (F.col("close") < F.col("_entry"))
+    gain = F.when(won, (F.col("_entry") - F.col("close")) / F.col("_entry") * 100)
+    sums = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("signals"), F.count_if("_filled").alias("filled"), F.count_if(won).alias("won"), F.max("entry_rise").alias("entry_rise"), F.coalesce(F.avg(gain), F.lit(0.0)).alias("avg_profit"))
+    sums = sums.where((F.col("signals") >= min_signals) & (F.col("filled") > 0))
+    fill = F.col("filled") / F.col("signals") * 100
+    sums = sums.withColumns({"fill_rate": fill, "win_rate": F.col("won") / F.col("filled") * 100, "overall_win_rate": F.col("won") / F.col("signals") * 100})
+    # The bounds of the labels.
+    return sums.withColumns({
+        "reliability": F.when(F.col("fill_rate") >= 70, "high").when(F.col("fill_rate") >= 50, "medium").otherwise("low"),
+        "bias_warning": F.col("fill_rate") < 50, "enabled": (F.col("win_rate") >= 60) & (F.col("fill_rate") >= 50),
+    })
+
+
+def stops_from_means(df: DataFrame, up: str, down: str, k_stop: float = 1.5, k_target: float = 2.0) -> DataFrame:
+    """Adds stop_pct and target_pct: multiples of the mean fall and of the mean rise, both in percent."""
+    return df.withColumns({"stop_pct": k_stop * F.abs(F.col(down)), "target_pct": k_target * F.col(up)})

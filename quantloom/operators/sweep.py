@@ -48,8 +48,9 @@ def _parameter_rows(sets: Sequence[Mapping[str, float]]) -> Column:
 def evaluate(bars: DataFrame, signal: str, sets: Sequence[Mapping[str, float]], train: float = 0.7) -> DataFrame:
     """(series, param_id, split, n_trades, win_rate, total_pnl, avg_pnl) of close-entry long trades under every set.
 
-    The path of an event is made once, to the longest horizon; parameter sets (as many as were passed in) multiply
-    the aggregation, not the shuffle of bars.  Trades whose path passes their split's end are left out.
+    ``split`` is train, test or full.  The path of an event is made once, to the longest horizon, and every set is applied
+    to it inside the row, so the sets (as many as were passed in) multiply neither the shuffle of bars nor the paths.
+    Trades whose path passes their split's end are left out of the split.
     """
     longest = max(int(s["max_hold"]) for s in sets)
     own = bars.withColumns({"bar_no": bar_no()})
@@ -58,24 +59,25 @@ def evaluate(bars: DataFrame, signal: str, sets: Sequence[Mapping[str, float]],
     events = own.where(yes(F.col(signal))).select(*KEYS, "bar_no", F.col("open_dt").alias("entry_dt"), F.col("close").alias("entry_price")).join(size, KEYS)
     events = events.withColumn("split", F.when(F.col("bar_no") <= cut, "train").otherwise("test")).withColumn("_end", F.when(F.col("split") == "train", cut).otherwise(F.col("_n")))
     step = F.struct("offset", F.col("f_high").alias("high"), F.col("f_low").alias("low"), F.col("f_close").alias("close"))
-    paths = follow(events, own, 1, longest, ["high", "low", "close"]).groupBy(*KEYS, "split", "bar_no", "entry_price", "_end").agg(F.sort_array(F.collect_list(step)).alias("path"))
-    trials = paths.select("*", F.inline(_parameter_rows(sets))).where(F.col("bar_no") + F.col("max_hold") <= F.col("_end"))
+    paths = follow(events, own, 1, longest, ["high", "low", "close"]).groupBy(*KEYS, "split", "bar_no", "entry_price", "_n", "_end").agg(F.sort_array(F.collect_list(step)).alias("path"))
     e = F.col("entry_price")
-    stop, target = e * (1 - F.col("stop_loss") / 100), e * (1 + F.col("take_profit") / 100)
 
-    def ends(x: Column) -> Column:
-        return (x["offset"] <= F.col("max_hold")) & ((x["low"] <= stop) | (x["high"] >= target) | (x["offset"] == F.col("max_hold")))
+    def trade(s: Column) -> Column:
+        stop, target = e * (1 - s["stop_loss"] / 100), e * (1 + s["take_profit"] / 100)
+        ends = lambda x: (x["offset"] <= s["max_hold"]) & ((x["low"] <= stop) | (x["high"] >= target) | (x["offset"] == s["max_hold"]))
+        price = F.transform(F.slice(F.filter("path", ends), 1, 1), lambda x: F.when(x["low"] <= stop, stop).when(x["high"] >= target, target).otherwise(x["close"]))
+        return F.struct(s["param_id"].alias("param_id"), s["max_hold"].alias("max_hold"), ((F.get(price, F.lit(0)) - e) / e * 100).alias("pnl"))
 
-    trials = trials.withColumn("x", F.get(F.filter("path", ends), F.lit(0))).where("x IS NOT NULL")
-    price = F.when(F.col("x.low") <= stop, stop).when(F.col("x.high") >= target, target).otherwise(F.col("x.close"))
-    pnl = (price - e) / e * 100
-    return trials.withColumn("pnl", pnl).groupBy(*KEYS, "param_id", "split").agg(
+    trials = paths.select(*KEYS, "bar_no", "_n", "_end", "split", F.inline(F.transform(_parameter_rows(sets), trade))).where("pnl IS NOT NULL")
+    inside = lambda end: F.col("bar_no") + F.col("max_hold") <= F.col(end)
+    trials = trials.select(*KEYS, "param_id", "pnl", F.explode(F.array_compact(F.array(F.when(inside("_end"), F.col("split")), F.when(inside("_n"), "full")))).alias("split"))
+    return trials.groupBy(*KEYS, "param_id", "split").agg(
         F.count(F.lit(1)).alias("n_trades"), (F.count_if(F.col("pnl") > 0) / F.count(F.lit(1)) * 100).alias("win_rate"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("avg_pnl")
     )
 
 
 def score(total: Column, mean: Column, win_rate: Column, trades: Column, liquidations: Column | None = None) -> Column:
-    """Weighted PnL and win rate, less for liquidations and for few trades."""
+    """Weighted PnL and win rate, less for liquidations and for few trades (the weights are fixed values)."""
     raw = total * 0.75 + mean * 0.45 + (win_rate - 50) * 0.3
     if liquidations is not None:
         raw = raw - liquidations * 3.5
@@ -84,19 +86,28 @@ def score(total: Column, mean: Column, win_rate: Column, trades: Column, liquida
 
 
 def best(results: DataFrame) -> DataFrame:
-    """Per series: the set of the best test score, penalised for what training promised beyond it; ties go to the first."""
+    """Per series: the set of the best score, and that score; ties go to the first set.
+
+    The score is that of the test trades, or of all where there are none, mixed with the scores of all and of the training
+    trades, less a penalty for what training promised beyond it.  Sets without test and full trades are left out.
+    """
     scored = results.withColumn("score", score(F.col("total_pnl"), F.col("avg_pnl"), F.col("win_rate"), F.col("n_trades")))
     pick = lambda split, c: F.max(F.when(F.col("split") == split, F.col(c)))
     names = ("score", "win_rate", "total_pnl", "n_trades")
-    both = scored.groupBy(*KEYS, "param_id").agg(*[pick(s, c).alias(f"{s}_{c}") for s in ("train", "test") for c in names]).where("test_score IS NOT NULL")
+    both = scored.groupBy(*KEYS, "param_id").agg(*[pick(s, c).alias(f"{s}_{c}") for s in ("train", "test", "full") for c in names])
+    tested = F.col("test_score").isNotNull()
+    both = both.select("*", *[F.when(tested, F.col(f"test_{c}")).otherwise(F.col(f"full_{c}")).alias(f"focus_{c}") for c in names]).where("focus_score IS NOT NULL")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    # The weights of the parts.
     penalty = (
-        F.abs(zero("train_win_rate") - F.col("test_win_rate")) * 0.25
-        + F.greatest(F.lit(0.0), zero("train_total_pnl") - F.col("test_total_pnl")) * 0.15
-        + F.greatest(F.lit(0), zero("train_n_trades") - F.col("test_n_trades")) * 0.03
-        + F.greatest(F.lit(0), 5 - F.col("test_n_trades")) * 1.2
+        F.abs(zero("train_win_rate") - F.col("focus_win_rate")) * 0.25
+        + F.greatest(F.lit(0.0), zero("train_total_pnl") - F.col("focus_total_pnl")) * 0.15
+        + F.greatest(F.lit(0), zero("train_n_trades") - F.col("focus_n_trades")) * 0.03
+        + F.greatest(F.lit(0), 5 - F.col("focus_n_trades")) * 1.2
     )
-    both = both.withColumn("final", F.col("test_score") + F.coalesce("train_score", "test_score") * 0.05 - penalty)
+    weight = F.when(tested, 0.75).otherwise(0.45)
+    final = F.col("focus_score") * weight + F.coalesce("full_score", "focus_score") * (1 - weight) + F.coalesce("train_score", "focus_score") * 0.05 - penalty
+    both = both.withColumn("final", final)
     return both.groupBy(*KEYS).agg(F.max_by("param_id", F.struct("final", -F.col("param_id"))).alias("param_id"), F.max("final").alias("score"))
 
 

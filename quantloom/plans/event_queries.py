@@ -184,11 +184,11 @@ def trade_summary_by_regime(spark, sf_dir):
     return show(B.summary(_risky(spark, sf_dir), "symbol", "regime"), ["regime", "n_trades", "liq_count"], ["win_rate", "total_pnl", "avg_pnl"], [])
 
 
-@register(f"""WITH {STATES}, {FRAME}, {_RISKY}, c AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol ORDER BY edt ROWS UNBOUNDED PRECEDING) AS cs, sum((pnl >= 0)::INT) OVER (PARTITION BY symbol ORDER BY edt ROWS UNBOUNDED PRECEDING) AS wn FROM td),
-k AS (SELECT *, max(cs) OVER (PARTITION BY symbol ORDER BY edt ROWS UNBOUNDED PRECEDING) AS pk FROM c), l AS (SELECT symbol, wn, count(*) FILTER (pnl < 0) AS ls FROM k GROUP BY ALL)
-SELECT k.symbol, any_value(x.ml)::BIGINT AS max_losses, {s6('max(pk - cs)', 'max_dd')}, {s6('CASE WHEN max(pk) > 0 THEN max(pk - cs) / (max(pk) + 1e-10) * 100 ELSE 0.0 END', 'max_dd_pct')} FROM k JOIN (SELECT symbol, max(ls) AS ml FROM l GROUP BY symbol) x USING (symbol) GROUP BY k.symbol""")
+@register(f"""WITH {STATES}, {FRAME}, {_RISKY}, c AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol ORDER BY edt ROWS UNBOUNDED PRECEDING) AS cs, sum((pnl >= 0)::INT) OVER (PARTITION BY symbol ORDER BY edt ROWS UNBOUNDED PRECEDING) AS wn, product(1 + pnl) OVER (PARTITION BY symbol ORDER BY edt ROWS UNBOUNDED PRECEDING) AS cp FROM td),
+k AS (SELECT *, max(cp) OVER (PARTITION BY symbol ORDER BY edt ROWS UNBOUNDED PRECEDING) AS tp, max(cs) OVER (PARTITION BY symbol ORDER BY edt ROWS UNBOUNDED PRECEDING) AS pk FROM c), l AS (SELECT symbol, wn, count(*) FILTER (pnl < 0) AS ls FROM k GROUP BY ALL)
+SELECT k.symbol, any_value(x.ml)::BIGINT AS max_losses, {s6('max(pk - cs)', 'max_dd')}, {s6('CASE WHEN max(pk) > 0 THEN max(pk - cs) / (max(pk) + 1e-10) * 100 ELSE 0.0 END', 'max_dd_pct')}, {s6('min(CASE WHEN tp <> 0 THEN (cp - tp) / tp END)', 'max_dd_compounded')} FROM k JOIN (SELECT symbol, max(ls) AS ml FROM l GROUP BY symbol) x USING (symbol) GROUP BY k.symbol""")
 def drawdowns(spark, sf_dir):
-    return show(B.drawdowns(_risky(spark, sf_dir)), ["max_losses"], ["max_dd", "max_dd_pct"], [])
+    return show(B.drawdowns(_risky(spark, sf_dir)), ["max_losses"], ["max_dd", "max_dd_pct", "max_dd_compounded"], [])
 
 
 @register(f"""WITH {STATES}, {FRAME}, {_RISKY} SELECT symbol, count(*) AS n_trades, {s6('avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252)', 'sharpe')}, {s6('avg(pnl) / nullif(stddev_samp(pnl) FILTER (pnl < 0), 0) * sqrt(252)', 'sortino')},

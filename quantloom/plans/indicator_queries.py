@@ -176,12 +176,23 @@ def strategy_signals(spark, sf_dir):
     return show(S.strategy_signals(I.strategy_frame(event_bars(spark, sf_dir), main=100), main="sma_100"), ["regime", "squeeze_on", *BOTH], [])
 
 
-@register(f"""WITH {STATES} SELECT {SHOWN}, coalesce(s20 > s50 AND adx > 25, false) AS sma_adx_strong, coalesce(macd - sig > 0 AND rsi > 55 AND close > s200, false) AS macd_rsi_trend, coalesce(close > s200, false) AS pure_trend,
-{s6('CASE WHEN close <> 0 THEN atr14 / close * 100 END', 'atr_pct')} FROM (SELECT *, {rolled('avg', 'close', 20)} AS s20, {rolled('avg', 'close', 50)} AS s50, {rolled('avg', 'close', 200)} AS s200 FROM sx)""")
+_HYBRID = f"""hy AS (SELECT *, coalesce(s20 > s50 AND adx > 25, false) AS sma_adx_strong, coalesce(macd - sig > 0 AND rsi > 55 AND close > s200, false) AS macd_rsi_trend, coalesce(close > s200, false) AS pure_trend,
+CASE WHEN close <> 0 THEN atr14 / close * 100 END AS atr_pct FROM (SELECT *, {rolled('avg', 'close', 20)} AS s20, {rolled('avg', 'close', 50)} AS s50, {rolled('avg', 'close', 200)} AS s200 FROM sx))"""
+
+
+@register(f"WITH {STATES}, {_HYBRID} SELECT {SHOWN}, sma_adx_strong, macd_rsi_trend, pure_trend, {s6('atr_pct')} FROM hy")
 def hybrid_signals(spark, sf_dir):
     return show(S.hybrid_signals(I.live_frame(event_bars(spark, sf_dir))), ["sma_adx_strong", "macd_rsi_trend", "pure_trend"], ["atr_pct"])
 
 
+@register(f"WITH {STATES}, {_HYBRID} " + " UNION ALL ".join(
+    f"SELECT symbol, '{x}' AS strategy, count(*) FILTER ({x}) AS signals, {s6(f'count(*) FILTER ({x}) / count(*)::DOUBLE * 100', 'signal_rate')}, {s6(f'avg(rsi) FILTER ({x})', 'avg_rsi')}, {s6(f'avg(adx) FILTER ({x})', 'avg_adx')} FROM hy GROUP BY symbol HAVING count(*) FILTER ({x}) > 0"
+    for x in ("sma_adx_strong", "macd_rsi_trend", "pure_trend")))
+def hybrid_report(spark, sf_dir):
+    """How often each hybrid strategy signals, and the usual RSI and ADX then."""
+    return show(S.hybrid_report(I.live_frame(event_bars(spark, sf_dir))), ["strategy", "signals"], ["signal_rate", "avg_rsi", "avg_adx"], [])
+
+
 CANDLES = f"""cd AS (SELECT *, close > open AS g, close < open AS r, greatest(open, close) AS bt, least(open, close) AS bb, CASE WHEN close = open THEN 1e-8 ELSE abs(close - open) END AS body,
   CASE WHEN high = low THEN 1e-8 ELSE high - low END AS rng FROM bars),
 ca AS (SELECT *, high - bt AS uw, bb - low AS lw, body / rng AS rel FROM cd),

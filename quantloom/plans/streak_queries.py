@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.functions.stats import edge_score, p_label
 from quantloom.operators import indicators as I
 from quantloom.operators import patterns as P
 from quantloom.operators import streak as K
@@ -93,6 +94,15 @@ def trimmed_bodies(spark, sf_dir):
     return show(K.trimmed(rows, "body_pct", "symbol", "interval"), ["n", "trimmed"], ["mean", "std", "min", "max"], [])
 
 
+def _trim(value: str, rows: str) -> str:
+    """Trimmed mean and deviation of ``value`` per series: without one smallest and one largest of three or more."""
+    return f"""(SELECT symbol, max(n) AS n, max(n) >= 3 AS trimmed, avg(v) AS mean, stddev_samp(v) AS std, max(v) AS top FROM (SELECT symbol, v, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY v) AS i, row_number() OVER (PARTITION BY symbol ORDER BY v DESC) AS j
+  FROM (SELECT symbol, {value} AS v FROM {rows}) WHERE v IS NOT NULL) WHERE n < 3 OR (i > 1 AND j > 1) GROUP BY symbol)"""
+
+
+DIP, RISE = "(open - low) / nullif(open, 0) * 100", "(high - open) / nullif(open, 0) * 100"
+
+
 def _study(spark, sf_dir):
     return I.disparity(I.rsi_cutler(I.directional(event_bars(spark, sf_dir))))
 
@@ -114,6 +124,34 @@ def short_fill(spark, sf_dir):
     return show(K.short_fill(_study(spark, sf_dir), n=2, overbought=55), ["signals", "filled", "won"], ["entry_rise", "avg_profit"], [])
 
 
+@register(f"""WITH {EVENT_BARS}, {GREEN}, {TR}, t14 AS (SELECT symbol, open_dt, {rolled('avg', 'tr', 14)} AS atr FROM tr), w AS (SELECT mt.*, t14.atr / nullif(close, 0) * 100 AS ap, lag(m) OVER (PARTITION BY mt.symbol ORDER BY mt.open_dt) AS am FROM mt JOIN t14 USING (symbol, open_dt)), a AS (SELECT * FROM w WHERE am),
+d AS {_trim(DIP, 'a')}, r AS {_trim(RISE, 'a')}, g AS (SELECT symbol, count(*) AS n, avg(ap) AS ap, max({DIP}) AS worst FROM a GROUP BY symbol)
+SELECT g.symbol, g.n, d.trimmed, {s6('d.mean', 'avg_dip')}, {s6('d.std', 'std_dip')}, {s6('d.top', 'practical_dip')}, {s6('r.mean', 'avg_rise')}, {s6('g.ap', 'avg_atr_pct')}, {s6('g.worst', 'extreme_dip')} FROM g JOIN d USING (symbol) JOIN r USING (symbol)""")
+def volatility_after_streak(spark, sf_dir):
+    """The bars after three green ones: usual and worst dips, rises and range."""
+    rows = I.atr_mean(_streaks(spark, sf_dir))
+    return show(K.volatility(rows, "matched"), ["n", "trimmed"], ["avg_dip", "std_dip", "practical_dip", "avg_rise", "avg_atr_pct", "extreme_dip"], [])
+
+
+@register(f"""WITH {EVENT_BARS}, {CUTLER}, {STUDY}, f AS (SELECT *, sum(g::INT) {frame(-1, 0)} = 2 AS mm, sum(g::INT) {frame(-2, -1)} AS rg, lag(rsi_sma) OVER ({W}) AS pr FROM sd), mb AS (SELECT * FROM f WHERE mm), u AS {_trim(RISE, 'mb')},
+h AS (SELECT f.*, greatest(0.1, 0.6 * coalesce(u.mean, 0.5)) AS er FROM f LEFT JOIN u USING (symbol) WHERE rg = 2 AND pr >= 55), e AS (SELECT *, open * (1 + er / 100) AS en FROM h),
+q AS (SELECT symbol, count(*) AS signals, count(*) FILTER (high >= en) AS filled, count(*) FILTER (high >= en AND close < en) AS won, max(er) AS er, coalesce(avg((en - close) / en * 100) FILTER (high >= en AND close < en), 0) AS ap FROM e GROUP BY symbol HAVING count(*) >= 3 AND count(*) FILTER (high >= en) > 0),
+z AS (SELECT *, filled / signals::DOUBLE * 100 AS fr, won / filled::DOUBLE * 100 AS wr, won / signals::DOUBLE * 100 AS ow FROM q)
+SELECT symbol, signals, filled, won, CASE WHEN fr >= 70 THEN 'high' WHEN fr >= 50 THEN 'medium' ELSE 'low' END AS reliability, fr < 50 AS bias_warning, wr >= 60 AND fr >= 50 AS enabled, {s6('er', 'entry_rise')}, {s6('ap', 'avg_profit')}, {s6('fr', 'fill_rate')}, {s6('wr', 'win_rate')}, {s6('ow', 'overall_win_rate')} FROM z""")
+def short_signal(spark, sf_dir):
+    return show(K.short_signal(_study(spark, sf_dir), n=2, overbought=55), ["signals", "filled", "won", "reliability", "bias_warning", "enabled"], ["entry_rise", "avg_profit", "fill_rate", "win_rate", "overall_win_rate"], [])
+
+
+@register(f"""WITH {EVENT_BARS}, {GREEN}, c AS (SELECT symbol, count(*) FILTER (m AND c1 IS NOT NULL) AS n, count(*) FILTER (m AND c1) AS k FROM mt GROUP BY symbol), o AS (SELECT symbol, n, {odds('k', 'n')} FROM c)
+SELECT symbol, CASE WHEN p_value IS NULL THEN 'N/A' WHEN p_value < 0.01 THEN 'Very High' WHEN p_value < 0.05 THEN 'High' WHEN p_value < 0.1 THEN 'Medium' ELSE 'Low' END AS p_label,
+{s6("CASE WHEN n = 0 OR rate IS NULL THEN 0 ELSE round(least(100, abs(rate - 50) * 2) * 0.45 + greatest(0, 1 - p_value) * 100 * 0.25 + least(100, n / 120.0::DOUBLE * 100) * 0.2 + CASE reliability WHEN 'high' THEN 90 WHEN 'medium' THEN 65 ELSE 35 END * 0.1, 2) END", 'edge_score')} FROM o""")
+def edge_scores(spark, sf_dir):
+    """How much an edge is worth, and how far its p-value can be relied on."""
+    rows = K.streak_odds(_streaks(spark, sf_dir))
+    rows = rows.withColumns({c: F.round(c, 6) for c in ("rate", "p_value")})
+    return show(rows.withColumns({"p_label": p_label(F.col("p_value")), "edge_score": edge_score(F.col("rate"), F.col("p_value"), F.col("n"))}), ["p_label"], ["edge_score"], [])
+
+
 SEG = ", ".join(f"lag({c}, {k}) OVER ({W}) AS {c}{k}" for c in ("open", "high", "low", "close", "volume") for k in (1, 2))
 
 
@@ -143,7 +181,7 @@ def weekday_extremes(spark, sf_dir):
     return show(K.weekday_extremes(event_bars(spark, sf_dir)), ["weekday", "lows", "highs"], [], [])
 
 
-@register(f"""WITH {EVENT_BARS}, {GREEN}, z AS (SELECT symbol, (arg_max(body_pct, open_dt) - avg(body_pct)) / nullif(stddev_samp(body_pct), 0) AS z FROM mt WHERE m GROUP BY symbol)
+@register(f"""WITH {EVENT_BARS}, {GREEN}, m AS (SELECT * FROM mt WHERE m), u AS {_trim(DIP, 'm')}, z AS (SELECT m.symbol, round((arg_max({DIP}, open_dt) - any_value(u.mean)) / nullif(any_value(u.std), 0), 2) AS z FROM m JOIN u USING (symbol) GROUP BY m.symbol)
 SELECT symbol, CASE WHEN abs(z) < 1 THEN 'normal' WHEN abs(z) < 2 THEN 'unusual' WHEN z IS NOT NULL THEN 'extreme' END AS label, {s6('z')} FROM z""")
 def dip_score(spark, sf_dir):
     return show(K.dip_score(_streaks(spark, sf_dir), "matched"), ["label"], ["z"], [])

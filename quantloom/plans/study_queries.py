@@ -11,7 +11,7 @@ from quantloom.operators import scan as C
 from quantloom.operators import signals as S
 from quantloom.operators import sweep
 from quantloom.operators.streak import with_odds
-from quantloom.plans.base import BB, EVENT_BARS, SHOWN, W, frame, register, s6, show
+from quantloom.plans.base import BB, EVENT_BARS, SHOWN, W, frame, register, rolled, s6, show
 from quantloom.plans.indicator_queries import CUTLER, FRAME, SIG, STATES
 from quantloom.plans.streak_queries import ODDS, odds
 from quantloom.sources.bars import event_bars, part_bars
@@ -34,6 +34,24 @@ def band_cross_probability(spark, sf_dir):
     return show(with_odds(E.next_bar_probability(bars, S.crosses_above("close", "bb_up"), F.col("close") < F.col("open"))), ["n", "k", "reliability"], ODDS, [])
 
 
+@register(f"""WITH {EVENT_BARS}, x AS (SELECT *, {rolled('avg', 'close', 5)} AS k, {rolled('avg', 'close', 20)} AS d FROM bars), y AS (SELECT *, lag(k) OVER ({W}) AS pk, lag(d) OVER ({W}) AS pd FROM x)
+SELECT {SHOWN}, CASE WHEN k > d THEN 'golden' WHEN k < d THEN 'dead' END AS line_state, CASE WHEN pk <= pd AND k > d THEN 'golden' WHEN pk >= pd AND k < d THEN 'dead' END AS line_cross FROM y""")
+def line_states(spark, sf_dir):
+    """Which of two lines is above, and where they cross."""
+    return show(S.line_states(I.moving_averages(event_bars(spark, sf_dir), (5, 20)), "sma_5", "sma_20", "line"), ["line_state", "line_cross"], [])
+
+
+@register(f"""WITH {EVENT_BARS}, r AS (SELECT symbol, (close / nullif(lag(close) OVER ({W}), 0) - 1) * 100 AS r FROM bars), m AS (SELECT symbol, avg(r) FILTER (r > 0) AS up, avg(r) FILTER (r < 0) AS down FROM r GROUP BY symbol)
+SELECT symbol, {s6('1.5 * abs(down)', 'stop_pct')}, {s6('2 * up', 'target_pct')} FROM m""")
+def stops_from_means(spark, sf_dir):
+    from quantloom.functions.windows import prev
+    from quantloom.operators.streak import stops_from_means as stops
+
+    change = F.when(prev("close") != 0, (F.col("close") / prev("close") - 1) * 100)
+    rows = event_bars(spark, sf_dir).withColumn("_r", change).groupBy("symbol").agg(F.avg(F.when(F.col("_r") > 0, F.col("_r"))).alias("up"), F.avg(F.when(F.col("_r") < 0, F.col("_r"))).alias("down"))
+    return show(stops(rows, "up", "down"), [], ["stop_pct", "target_pct"], [])
+
+
 @register(f"WITH {STATES}, {FRAME}, l AS (SELECT * FROM sg QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_dt DESC) = 2) " + " UNION ALL ".join(
     f"SELECT {SHOWN}, '{s}' AS strategy, coalesce({s}_long, false) AS long, coalesce({s}_short, false) AS short FROM l" for s in SIG))
 def strategy_scan(spark, sf_dir):
@@ -54,18 +72,27 @@ BASE = {"take_profit": 4.0, "stop_loss": 2.0, "max_hold": 6}
 _SETS = ", ".join(f"({i}, {c['take_profit']!r}::DOUBLE, {c['stop_loss']!r}::DOUBLE, {int(c['max_hold'])})" for i, c in enumerate(sweep.candidates(BASE)))
 
 
-@register(f"""WITH {EVENT_BARS}, ps(param_id, tp, sl, mh) AS (VALUES {_SETS}), n AS (SELECT symbol, count(*) AS n, floor(count(*) * 0.7) AS cut FROM bars GROUP BY symbol),
-e AS (SELECT b.symbol, b.rn, b.close AS ep, CASE WHEN b.rn <= n.cut THEN 'train' ELSE 'test' END AS split, CASE WHEN b.rn <= n.cut THEN n.cut ELSE n.n END AS last FROM bars b JOIN n USING (symbol) WHERE close > open),
+_SWEEP = f"""{EVENT_BARS}, ps(param_id, tp, sl, mh) AS (VALUES {_SETS}), n AS (SELECT symbol, count(*) AS n, floor(count(*) * 0.7) AS cut FROM bars GROUP BY symbol),
+e1 AS (SELECT b.symbol, b.rn, b.close AS ep, n.n, n.cut FROM bars b JOIN n USING (symbol) WHERE close > open),
+e AS (SELECT symbol, rn, ep, CASE WHEN rn <= cut THEN 'train' ELSE 'test' END AS split, CASE WHEN rn <= cut THEN cut ELSE n END AS last FROM e1 UNION ALL SELECT symbol, rn, ep, 'full', n FROM e1),
 x AS (SELECT e.*, ps.*, b.rn - e.rn AS o, b.low, b.high, b.close, ep * (1 - sl / 100) AS st, ep * (1 + tp / 100) AS tg FROM e JOIN ps ON e.rn + mh <= e.last JOIN bars b ON b.symbol = e.symbol AND b.rn > e.rn AND b.rn <= e.rn + mh),
-y AS (SELECT symbol, param_id, split, rn, arg_min((CASE WHEN low <= st THEN st WHEN high >= tg THEN tg ELSE close END - ep) / ep * 100, o) AS pnl FROM x WHERE low <= st OR high >= tg OR o = mh GROUP BY symbol, param_id, split, rn)
-SELECT symbol, param_id::BIGINT AS param_id, split, count(*) AS n_trades, {s6('count(*) FILTER (pnl > 0) / count(*)::DOUBLE * 100', 'win_rate')}, {s6('sum(pnl)', 'total_pnl')}, {s6('avg(pnl)', 'avg_pnl')} FROM y GROUP BY symbol, param_id, split""")
+y AS (SELECT symbol, param_id, split, rn, arg_min((CASE WHEN low <= st THEN st WHEN high >= tg THEN tg ELSE close END - ep) / ep * 100, o) AS pnl FROM x WHERE low <= st OR high >= tg OR o = mh GROUP BY symbol, param_id, split, rn),
+sw AS (SELECT symbol, param_id, split, count(*) AS n_trades, count(*) FILTER (pnl > 0) / count(*)::DOUBLE * 100 AS win_rate, sum(pnl) AS total_pnl, avg(pnl) AS avg_pnl FROM y GROUP BY symbol, param_id, split)"""
+
+
+@register(f"WITH {_SWEEP} SELECT symbol, param_id::BIGINT AS param_id, split, n_trades, {s6('win_rate')}, {s6('total_pnl')}, {s6('avg_pnl')} FROM sw")
 def parameter_sweep(spark, sf_dir):
     bars = event_bars(spark, sf_dir).withColumn("green", F.col("close") > F.col("open"))
     out = sweep.evaluate(bars, "green", sweep.candidates(BASE))
     return show(out, ["param_id", "split", "n_trades"], ["win_rate", "total_pnl", "avg_pnl"], [])
 
 
-@register()
+@register(f"""WITH {_SWEEP}, sc AS (SELECT *, (total_pnl * 0.75 + avg_pnl * 0.45 + (win_rate - 50) * 0.3 - greatest(0, 10 - n_trades) * 0.8) * greatest(0.35, least(1.0, n_trades / 80.0)) AS score FROM sw),
+p AS (SELECT symbol, param_id, {", ".join(f"max({c}) FILTER (split = '{k}') AS {k}_{c}" for k in ("train", "test", "full") for c in ("score", "win_rate", "total_pnl", "n_trades"))} FROM sc GROUP BY symbol, param_id),
+f AS (SELECT *, {", ".join(f"CASE WHEN test_score IS NOT NULL THEN test_{c} ELSE full_{c} END AS f_{c}" for c in ("score", "win_rate", "total_pnl", "n_trades"))}, CASE WHEN test_score IS NOT NULL THEN 0.75 ELSE 0.45 END AS w FROM p),
+g AS (SELECT symbol, param_id, f_score * w + coalesce(full_score, f_score) * (1 - w) + coalesce(train_score, f_score) * 0.05 - abs(coalesce(train_win_rate, 0) - f_win_rate) * 0.25
+  - greatest(0, coalesce(train_total_pnl, 0) - f_total_pnl) * 0.15 - greatest(0, coalesce(train_n_trades, 0) - f_n_trades) * 0.03 - greatest(0, 5 - f_n_trades) * 1.2 AS final FROM f WHERE f_score IS NOT NULL)
+SELECT symbol, arg_max(param_id, (final, -param_id))::BIGINT AS param_id, {s6('max(final)', 'score')} FROM g GROUP BY symbol""")
 def sweep_best(spark, sf_dir):
     bars = event_bars(spark, sf_dir).withColumn("green", F.col("close") > F.col("open"))
     return show(sweep.best(sweep.evaluate(bars, "green", sweep.candidates(BASE))), ["param_id"], ["score"], [])

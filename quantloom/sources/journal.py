@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The names of the columns.
 _TEXT = ("datetime", "symbol", "timeframe", "direction", "strategy_id")
 JOURNAL_SCHEMA = ", ".join([
     "id bigint", *[f"{c} string" for c in _TEXT], *[f"{c} double" for c in ("size", "entry_price", "exit_price", "pnl_pct", "r_multiple")],
@@ -16,7 +18,11 @@ PRESET_SCHEMA = "coin string, interval string, strat_id string, direction string
 
 
 class Journal:
-    """Rows in numbered versions below ``path``; each change writes a new version whole, readers take the newest."""
+    """Rows in numbered versions below ``path``; each change writes a new version whole, readers take the newest.
+
+    A version's number is claimed by creating a file that must not exist yet; who loses the claim, or finds a newer version
+    after winning it, starts again from the newest rows, so no change is lost and none is applied twice.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -24,32 +30,66 @@ class Journal:
         self._hadoop = jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.path).getFileSystem(conf)
 
-    def _version(self) -> int:
+    def _at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}")
+
+    def _newest(self) -> tuple[int, str | None]:
+        """Number and folder of the newest version."""
         root = self._hadoop.Path(self.path)
-        if not self._fs.exists(root):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(root) if self._fs.exists(self._hadoop.Path(s.getPath(), "_SUCCESS"))]
-        return max([int(n.partition("-")[0]) for n in names if n.partition("-")[0].isdigit()], default=0)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        found = [(int(n.partition("-")[0]), n) for n in names if n.partition("-")[0].isdigit() and "-" in n and self._fs.exists(self._at(f"{n}/_SUCCESS"))]
+        return max(found, default=(0, None))
 
     def rows(self) -> DataFrame:
-        if not (n := self._version()):
-            return self.spark.createDataFrame([], JOURNAL_SCHEMA)
-        return self.spark.read.schema(JOURNAL_SCHEMA).parquet(f"{self.path}/{n:08d}-*")
+        return self._read(self._newest()[1])
 
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/{self._version() + 1:08d}-{uuid.uuid4().hex}")
+    def _read(self, name: str | None) -> DataFrame:
+        if name is None:
+            return self.spark.createDataFrame([], JOURNAL_SCHEMA)
+        return self.spark.read.schema(JOURNAL_SCHEMA).parquet(f"{self.path}/{name}")
+
+    def _change(self, make, patience: float = 60.0) -> None:
+        """Publishes ``make(rows)``; ``patience`` seconds after a claim without a version its writer counts as lost."""
+        while True:
+            number, name = self._newest()
+            new = f"new-{uuid.uuid4().hex}"
+            make(self._read(name)).write.parquet(f"{self.path}/{new}")
+            target, waited = number + 1, 0.0
+            while not self._claim(target) and self._newest()[0] == number:
+                if waited >= patience:
+                    target, waited = target + 1, 0.0
+                    continue
+                time.sleep(0.2)
+                waited += 0.2
+            if self._newest()[0] == number and self._fs.rename(self._at(new), self._at(f"{target:08d}-{new[4:]}")):
+                return
+            self._fs.delete(self._at(new), True)
+
+    def _claim(self, number: int) -> bool:
+        return self._fs.createNewFile(self._at(f"{number:08d}.claim"))
 
     def insert(self, new: DataFrame) -> None:
         """Adds rows; missing columns are null, ids go on from the largest."""
-        have = self.rows()
-        top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("t")).first()["t"]
-        names = [c for c in have.columns if c != "id"]
-        full = new.select(*[F.col(c).cast(have.schema[c].dataType).alias(c) if c in new.columns else F.lit(None).cast(have.schema[c].dataType).alias(c) for c in names])
-        numbered = full.select((top + F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in names]))).cast("bigint").alias("id"), *names)
-        self._write(have.unionByName(numbered))
+        kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], JOURNAL_SCHEMA).schema}
+        names = [c for c in kinds if c != "id"]
+        full = new.select(*[F.col(c).cast(kinds[c]).alias(c) if c in new.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names])
+        # Numbers go on from partition to partition: each knows how many rows are before it.
+        placed = full.sort(*[F.col(c).asc_nulls_first() for c in names]).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).cache()
+        before, total = {}, 0
+        for part, n in sorted(placed.groupBy("_part").count().collect()):  # a row for each partition
+            before[part], total = total, total + n
+        nth = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+        offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part")) if before else F.lit(0)
+
+        def make(have: DataFrame) -> DataFrame:
+            top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("t")).first()["t"]
+            return have.unionByName(placed.select((top + offset + nth).cast("bigint").alias("id"), *names))
+
+        self._change(make)
+        placed.unpersist()
 
     def delete(self, ids: list[int]) -> None:
-        self._write(self.rows().where(~F.col("id").isin(ids)))
+        self._change(lambda have: have.where(~F.col("id").isin(ids)))
 
     def import_csv(self, path: str) -> None:
         """Rows of a CSV journal that are not there yet, compared without id."""
@@ -75,3 +115,8 @@ def write_presets(presets: DataFrame, path: str) -> None:
     """Presets as JSON text, one object by name (a few dozen rows)."""
     fields = F.struct("coin", "interval", "strat_id", "direction", "params")
     presets.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", fields)))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def delete_presets(presets: DataFrame, names: list[str]) -> DataFrame:
+    """``presets`` without the named ones."""
+    return presets.where(~F.col("name").isin(names))

@@ -29,18 +29,27 @@ def stream_bars(ticks: DataFrame, symbol: str, ts: str, value: str, tie: str, un
 
 
 def stream_ema(bars: DataFrame, span: int = 20) -> DataFrame:
-    """(symbol, open_dt, close, ema) with each series' mean kept as state; bars of a trigger are taken in time order."""
+    """(symbol, open_dt, close, ema) with each series' mean kept as state; bars of a trigger are taken in time order.
+
+    A bar without a close has the mean before it and leaves the state alone.  A bar that is not later than the series'
+    last one has come too late to count: its ema is null and the state stays.
+    """
     a = 2 / (span + 1)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("open_dt")
-        last = state.get[0] if state.exists else None
+        last, seen = state.get if state.exists else (None, None)
         out = []
-        for x in rows["close"].tolist():
-            last = x if last is None else (1 - a) * last + a * x
+        for t, x in zip(rows["open_dt"].astype("int64").tolist(), rows["close"].tolist(), strict=True):
+            if seen is not None and t <= seen:
+                out.append(None)
+                continue
+            seen = t
+            if x is not None and x == x:
+                last = float(x) if last is None else (1 - a) * last + a * x
             out.append(last)
-        state.update((float(last),))
+        state.update((last, seen))
         yield pd.DataFrame({"symbol": key[0], "open_dt": rows["open_dt"].to_numpy(), "close": rows["close"].to_numpy(), "ema": out})
 
     own = bars.select("symbol", "open_dt", "close")
-    return own.groupBy("symbol").applyInPandasWithState(step, "symbol string, open_dt timestamp_ntz, close double, ema double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return own.groupBy("symbol").applyInPandasWithState(step, "symbol string, open_dt timestamp_ntz, close double, ema double", "last double, seen long", "append", GroupStateTimeout.NoTimeout)

@@ -111,3 +111,28 @@ def test_parameter_effects(spark):
     got = sweep.parameter_effects(trials, ["a", "b"]).collect()
     assert [r.parameter for r in got] == ["a"] and got[0].effect > 0
     assert sweep.parameter_effects(trials.limit(5), ["a"]).count() == 0
+
+
+def test_runs_of_one_series(spark):
+    """Run keys of any spelling stay apart, and the interval stays what it is."""
+    df = bars(spark, wave(40), interval="1|h").withColumns({"sig": F.col("close") > F.col("open"), "regime": F.lit("r")})
+    both = df.withColumn("run", F.explode(F.array(F.lit("a|b"), F.lit("a"))))
+    got = B.run(both, "sig", B.Rules(max_bars=3), keep=("run",)).groupBy("interval", "run").agg(F.count("*"), F.round(F.sum("pnl"), 9)).collect()
+    alone = B.run(df, "sig", B.Rules(max_bars=3)).agg(F.count("*"), F.round(F.sum("pnl"), 9)).first()
+    assert sorted(got) == [("1|h", "a", *alone), ("1|h", "a|b", *alone)]
+
+
+def test_sequences():
+    from quantloom.operators import patterns as P
+
+    assert P.two_segments(("green", 2), ("red", 1)) == [1, 1, -1]
+    assert P.profile([1, 1, -1]) == {"rises": 2, "drops": 1, "last": -1, "expected": 1}
+    with pytest.raises(ValueError):
+        P.profile([1, 0])
+
+
+def test_mean_interval(spark):
+    from quantloom.functions.stats import with_mean_interval
+
+    got = with_mean_interval(spark.createDataFrame([(1.0, 2.0, 10), (1.0, 0.0, 10), (1.0, None, 1), (None, None, 0)], "m double, s double, n int"), "m", "s", "n").collect()
+    assert got[0].ci_upper - 1 == pytest.approx(2.2621571627 * 2 / 10**0.5) and got[1].ci_lower == 1 and got[2].ci_width == 0 and got[3].ci_lower is None

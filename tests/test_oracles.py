@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,7 +26,9 @@ def _cell(x):
         return None
     if isinstance(x, float):
         return float(x)
-    return int(x) if hasattr(x, "__index__") and not isinstance(x, bool) else x
+    if isinstance(x, bool | np.bool_):
+        return bool(x)
+    return int(x) if hasattr(x, "__index__") else x
 
 
 def _rows(df):

@@ -87,3 +87,70 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.table("live_ema").orderBy("symbol", "open_dt").toPandas()
     want = folds.fold(want, ["ema_20"]).orderBy("symbol", "open_dt").toPandas()
     assert got["ema"].tolist() == pytest.approx(want["ema_20"].tolist())
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    ms = 1_704_067_200_000
+    (tmp_path / "BTCUSDT-1h-merged.csv").write_text(f"open_time, Close ,high,low,open,volume,extra\n{ms},1.5,2,0.5,1,10,x\n{ms + 3_600_000},1.6,2,0.5,1.5,10,x\n")
+    (tmp_path / "ETHUSDT-1d-merged.csv").write_text("datetime,open,high,low,close,volume\n2024-01-01 00:00:00,7,9,6,8,1\n")
+    got = {(r.symbol, r.open_dt.hour): (r.open, r.high, r.low, r.close) for r in S.read_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {("BTC", 0): (1, 2, 0.5, 1.5), ("BTC", 1): (1.5, 2, 0.5, 1.6), ("ETH", 0): (7, 9, 6, 8)}
+    (tmp_path / "XRPUSDT-1d-merged.csv").write_text("open_time,open,high,low,close\n1,1,1,1,1\n")
+    with pytest.raises(ValueError, match="volume"):
+        S.read_csv(spark, str(tmp_path / "*.csv"))
+
+
+def test_small_source_helpers(spark, tmp_path):
+    a, b = bars(spark, wave(5)), bars(spark, wave(3), "Y", "1d")
+    S.write_parquet(a, str(tmp_path / "a"))
+    S.write_parquet(b.union(a), str(tmp_path / "b"))
+    assert S.load_all(spark, [str(tmp_path / "none"), str(tmp_path / "a"), str(tmp_path / "b")]).count() == 8
+    assert S.page_totals(a, 2).first()[:] == (5, 3) and S.page(a, ["open_dt"], 3, 2).count() == 1
+    odd = bars(spark, [(1, 2, 0.5, float("nan")), (1, 2, 0.5, 1.0)])
+    assert S.drop_incomplete(odd, ["close", "absent"]).count() == 1
+    assert json.loads(S.sane_json(odd.select("close")).first().json) in ({"close": None}, {"close": 1.0})
+    out = S.export(a, "cache", 2).first()
+    assert out.n_records == 2 and out.source == "cache" and json.loads(out.records)[1]["close"] == wave(5)[4][3]
+    assert S.time_index(a.withColumnRenamed("open_dt", "datetime")).columns[0] == "open_dt"
+    with pytest.raises(ValueError):
+        S.time_index(a.drop("open_dt"))
+
+
+def test_resample_in_another_zone(spark):
+    day = bars(spark, wave(30))
+    want = {(r.open_dt, r.close) for r in S.resample(day, "1 day", "1d").collect()}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert {(r.open_dt, r.close) for r in S.resample(day, "1 day", "1d").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {t.hour for t, _ in want} == {0}
+
+
+def test_journal_writers_do_not_undo_each_other(spark, tmp_path, monkeypatch):
+    one, two = Journal(spark, str(tmp_path / "j")), Journal(spark, str(tmp_path / "j"))
+    row = lambda x: spark.createDataFrame([(x, 1.0)], "symbol string, pnl_pct double")
+    one.insert(row("A"))
+    claim, other = Journal._claim, []
+
+    def late(self, number):  # another writer publishes between reading and claiming
+        if self is one and not other:
+            other.append(1)
+            two.insert(row("B"))
+        return claim(self, number)
+
+    monkeypatch.setattr(Journal, "_claim", late)
+    one.insert(row("C"))
+    assert sorted((r.id, r.symbol) for r in two.rows().collect()) == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_stream_mean_of_missing_and_late_bars(spark, tmp_path):
+    rows = bars(spark, [(1, 1, 1, c) for c in (1.0, 2.0, 3.0)])
+    first = rows.withColumn("close", F.when(F.col("close") != 2.0, F.col("close")))
+    late = bars(spark, [(1, 1, 1, 9.0)])
+    for i, part in enumerate((first, late)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "bars"))
+        query = stream_ema(spark.readStream.schema(part.schema).parquet(str(tmp_path / "bars")), 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted((r.open_dt.hour, r.close or 0, r.ema) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.ema is not None)
+    assert got == [(0, 1.0, 1.0), (1, 0, 1.0), (2, 3.0, 2.0)]
