@@ -1,7 +1,8 @@
 """Recursive indicators (exponential means and what builds on them) in one grouped fold per series.
 
 A bounded window cannot carry the state, so all recursive columns of a pipeline are computed in a single
-``applyInArrow``-style pass over each series: one shuffle by (symbol, interval), linear time.
+``applyInPandas`` pass over each series: one shuffle by (symbol, interval), linear time.  Values stay float64 from Arrow to
+Arrow; a value that is not there yet is NaN inside the pass and null outside.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ def rma(x: pd.Series, n: int) -> pd.Series:
 
 
 def rsi(close: pd.Series, n: int = 14) -> pd.Series:
-    """100 where nothing was lost, then 0 where nothing was gained (a flat series is 0)."""
-    delta = close.diff()
-    up, down = rma(delta.clip(lower=0.0), n), rma(-delta.clip(upper=0.0), n)
-    value = 100 - 100 / (1 + up / down.where(down != 0))
-    value = value.mask(down == 0, 100.0)
-    value = value.mask(up == 0, 0.0)
-    return value.where(up.notna())
+    """Wilder's index: 100 g / (g + l) of the mean gain g and mean loss l; 0 where nothing was gained."""
+    step = np.diff(close.to_numpy(dtype=float), prepend=np.nan)
+    gain = rma(pd.Series(np.where(np.isnan(step), np.nan, np.maximum(step, 0.0)), index=close.index), n)
+    loss = rma(pd.Series(np.where(np.isnan(step), np.nan, np.maximum(-step, 0.0)), index=close.index), n)
+    both = gain + loss
+    return (100 * gain / both.where(both != 0)).mask(both == 0, 0.0)
 
 
 def true_range(b: pd.DataFrame) -> pd.Series:
@@ -65,18 +65,17 @@ def supertrend(b: pd.DataFrame, n: int = 10, multiplier: float = 3.0) -> tuple[p
     middle = ((b["high"] + b["low"]) / 2).to_numpy()
     width = multiplier * true_range(b).ewm(alpha=1 / n, adjust=False).mean().to_numpy()
     line = np.full(len(b), np.nan)
-    state: tuple[float, float, bool] | None = None  # upper band, lower band, whether the line is the upper one
+    upper = lower = 0.0
+    falling = True  # the line is the upper band
     for i in range(n - 1, len(b)):
-        upper, lower = middle[i] + width[i], middle[i] - width[i]
-        if state is None:
-            on_upper = True
+        high, low = middle[i] + width[i], middle[i] - width[i]
+        if i >= n:
+            upper = high if high < upper or close[i - 1] > upper else upper
+            lower = low if low > lower or close[i - 1] < lower else lower
+            falling = close[i] <= upper if falling or upper <= lower else close[i] < lower
         else:
-            last_upper, last_lower, was_upper = state
-            upper = upper if upper < last_upper or close[i - 1] > last_upper else last_upper
-            lower = lower if lower > last_lower or close[i - 1] < last_lower else last_lower
-            on_upper = close[i] <= upper if was_upper else close[i] < lower
-        line[i] = upper if on_upper else lower
-        state = upper, lower, abs(line[i] - upper) < 1e-9
+            upper, lower = high, low
+        line[i] = upper if falling else lower
     return pd.Series(line, index=b.index), pd.Series(np.where(close > line, 1, -1), index=b.index)
 
 
@@ -110,7 +109,6 @@ def fold(bars: DataFrame, names: list[str]) -> DataFrame:
     def run(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values("open_dt", kind="stable").reset_index(drop=True)
         values = [v for n in names for v in FOLDS[n][1](series)]
-        new = pd.DataFrame(dict(zip(columns, values, strict=True))).astype({c: object for c in columns})
-        return pd.concat([series, new.where(new.notna(), None)], axis=1)
+        return pd.concat([series, pd.DataFrame(dict(zip(columns, values, strict=True)))], axis=1)
 
     return bars.groupBy("symbol", "interval").applyInPandas(run, schema)
