@@ -98,6 +98,20 @@ def band_mid_touch(spark, sf_dir):
     return show(E.mid_touch(_bands(spark, sf_dir), "upper"), ["events", "success", "failed", *[f"late_{k}" for k in range(1, 6)]], ["mean_bars"], [])
 
 
+_TWO = EVENT_BARS.replace("bars AS", "b0 AS", 1) + """, bars AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_dt) AS rn FROM (SELECT symbol || '|1h' AS symbol, open_dt, open, high, low, close, volume FROM b0
+  UNION ALL SELECT symbol || '|4h', time_bucket(INTERVAL 4 HOUR, open_dt)::TIMESTAMP AS t, arg_min(open, open_dt), max(high), min(low), arg_max(close, open_dt), sum(volume) FROM b0 GROUP BY symbol, t))"""
+
+
+@register(f"""WITH {_TWO}, {BB}, {EVENT}, m AS (SELECT *, list_position(list(t_mid::INT) {frame(1, 7)}, 1) AS hit, list(t_mid::INT) {frame(8, 12)} AS late FROM ev)
+SELECT symbol, count(*) AS events, count(*) FILTER (hit > 0) AS success, {s6('avg(hit) FILTER (hit > 0)', 'mean_bars')}, count(*) FILTER (coalesce(hit, 0) = 0 AND len(late) = 5) AS failed FROM m WHERE ev AND nx IS NOT NULL GROUP BY symbol""")
+def band_report_intervals(spark, sf_dir):
+    """The band study for several intervals in one job: an interval is a part of a series' key."""
+    hourly = event_bars(spark, sf_dir)
+    both = hourly.union(resample(hourly, "4 hours", "4h").select(hourly.columns))
+    out = E.mid_touch(I.band_touches(I.bollinger(I.moving_averages(both, (5, 20, 50)))), side="upper")
+    return show(out.withColumn("symbol", F.concat_ws("|", "symbol", "interval")), ["events", "success", "failed"], ["mean_bars"], [])
+
+
 @register(f"""WITH {EVENT_BARS}, {BB}, {EVENT}, m AS (SELECT *, (max(high) {frame(1, 7)} - close) / close * 100 AS mfe, (min(low) {frame(1, 7)} - close) / close * 100 AS mae, (last_value(close) {frame(1, 7)} - close) / close * 100 AS end_ret FROM ev)
 SELECT {SHOWN}, {s6('CASE WHEN close > 0 THEN mfe END', 'mfe')}, {s6('CASE WHEN close > 0 THEN mae END', 'mae')}, {s6('CASE WHEN close > 0 THEN end_ret END', 'end_ret')} FROM m WHERE ev""")
 def event_excursions(spark, sf_dir):
