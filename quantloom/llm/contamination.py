@@ -250,7 +250,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """(doc_id, item_id, start_word, n_words, edits): the closest, then first, window of each document and item.
 
     Null or empty texts and items match nothing, null ids are skipped, repeated rows give one result, empty tables an
-    empty one.
+    empty one.  Of windows equally close the first counts, then the shortest; items of equal text are found each.  A very
+    long text is searched whole in one task, a longer item than a block is a block; other columns are not read.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL")
     schema = "doc_id long, item_id long, start_word long, n_words long, edits long"
@@ -298,4 +299,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The closest window of each document and benchmark item that are close; null texts and ids have none."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -58,13 +58,22 @@ def _tokens(line: Column, plain: Column) -> Column:
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, tk, plain, line_no, line) of rows with an id; line_no counts from 0, ``tk`` tells texts of one doc_id apart."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.select("doc_id", F.xxhash64("text").alias("tk"), _plain(F.col("text")).alias("plain"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return _exploded(rows.select("doc_id", F.xxhash64("text").alias("tk"), _plain(F.col("text")).alias("plain"), F.split("text", "\n").alias("lines")))
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    """A row for each of ``lines``, with line_no and line; what stands beside was computed once for the text, which is not carried along.
+
+    Outer, here and for words, because a plain one is planned with a filter on the array's size, which splits the text twice.
+    """
+    return rows.select(*[c for c in rows.columns if c != "lines"], F.posexplode_outer("lines").alias("line_no", "line"))
 
 
 def rarity_table(docs: DataFrame, text: str) -> DataFrame:
     """One row, ``ranks``: the rank (0..62, rare first) of each hash bucket, from counts over all words of ``docs``."""
     value = F.col(f"`{text}`")
-    words = docs.select(_plain(value).alias("plain"), F.explode(F.split(value, "\n")).alias("line")).select(F.explode(_words(F.col("line"), F.col("plain"))).alias("w"))
+    lines = _exploded(docs.select(_plain(value).alias("plain"), F.split(value, "\n").alias("lines")))
+    words = lines.select(F.explode_outer(_words(F.col("line"), F.col("plain"))).alias("w")).where("w IS NOT NULL")
     counts = table(words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count(), "counts")  # at most BUCKETS rows
     rank = F.coalesce(F.least(F.lit(62), (2 * F.log2("count")).cast("int")), F.lit(0)).cast("tinyint")
     every = docs.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", rank.alias("rank")).alias("r"))
@@ -101,7 +110,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, doc_id: str, t
     places = table(maybe.join(needed, "sid", "left_semi"), "places")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows, _ = split(rows, ["doc_id"], places.select("doc_id").distinct())
-    lines, _ = split(rows.select("doc_id", _plain(F.col("text")).alias("plain"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")), ["doc_id", "line_no"], places)
+    lines, _ = split(_exploded(rows.select("doc_id", _plain(F.col("text")).alias("plain"), F.split("text", "\n").alias("lines"))), ["doc_id", "line_no"], places)
     # Rows may repeat a doc_id with other texts: of such lines only those of the set itself count.
     tokens = lines.join(places, ["doc_id", "line_no"]).select("sid", "k", F.struct("doc_id", "line_no").alias("f"), _tokens(F.col("line"), F.col("plain")).alias("u"))
     tokens = table(tokens, "tokens").where(F.xxhash64("u") == F.col("k"))

@@ -116,7 +116,9 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     """Rule counts, base_failed, host_rejected and kept of each row of ``docs``, with its columns ``keep`` (all by default).
 
     Null or empty text has no words and fails; a null host is judged by its own text alone; repeated rows are judged
-    alike; an empty table gives an empty result.  ``kept`` is false where the rules fail or the host is rejected.
+    alike; an empty table gives an empty result; a text is one row however long.  Columns pass through inside ``_row``,
+    so their names clash with nothing.  ``kept`` is false where the rules fail or the host is rejected.  Windows are told
+    apart by 64-bit hashes.
     The counts are written once to the shared folder and used twice.
     """
     names = docs.columns if keep is None else keep
@@ -129,6 +131,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Rule counts and verdict of every document; a null text has no words and fails."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = judge(docs, keep=["doc_id"])
     return out.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -59,3 +59,12 @@ def test_rows_of_one_id_lose_their_own_lines(spark):
     line = "one two three four five six"
     docs = spark.createDataFrame([(1, line), (2, f"{line}\nold words stay here as well"), (2, f"new words stay here as ever\n{line}")], "doc_id long, text string")
     assert sorted(r.text for r in lines.dedup_lines(docs).collect()) == ["new words stay here as ever", "old words stay here as well", line]
+
+
+def test_very_long_text_and_clashing_names(spark):
+    names = ["sid", "k", "k2", "u", "s", "p", "open", "led", "near", "copy", "plain", "line", "tk", "_spot"]
+    own = lambda i: " ".join(f"w{i * 8 + j}" for j in range(8))
+    text = "\n".join(own(i % 1500) for i in range(6000))
+    docs = spark.createDataFrame([(1, text, *names), (2, "short line of a few words\n" + "w " * 100_000, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert got[1].text == "\n".join(map(own, range(1500))) and got[1].sid == "sid" and got[1].open == "open" and got[2].text == docs.where("doc_id = 2").first().text

@@ -62,3 +62,20 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_clashing_names(spark, tmp_path):
+    rows, items = _documents()
+    names = ["sid", "k", "host", "class_id", "open", "keys"]
+    rows = [(*r, *names) for r in rows] + [(*rows[1], *names)] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name.replace(" ", "_")))
+        docs = spark.read.parquet(str(tmp_path / name.replace(" ", "_")))
+    kept = docs.where("doc_id = 1").collect()
+    assert len(kept) == 3 and all(r.sid == "sid" and r.keys == "keys" for r in kept)
