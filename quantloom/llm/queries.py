@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, contamination, extraction, jaccard, lines, quality, substrings, tool_calls, urls, warc
+from quantloom.llm import bpe, contamination, exact, extraction, jaccard, lines, quality, substrings, tool_calls, urls, warc
 
 QUERIES = {
     "op1_warc_bundles": warc.query,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_line_dedup": lines.query,
     "op9_bpe": bpe.query,
     "op10_quality_rules": quality.query,
+    "op13_exact_dedup": exact.query,
+}
+ORACLES = {
+    "op1_warc_bundles": warc.SQL,
+    "op3_tool_calls": tool_calls.SQL,
+    "op7_repeated_phrases": substrings.SQL,
+    "op8_line_dedup": lines.SQL,
+    "op10_quality_rules": quality.SQL,
+    "op13_exact_dedup": exact.SQL,
 }
-ORACLES = {"op3_tool_calls": tool_calls.SQL, "op1_warc_bundles": warc.SQL, "op7_repeated_phrases": substrings.SQL, "op8_line_dedup": lines.SQL, "op10_quality_rules": quality.SQL}
