@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, contamination, exact, extraction, jaccard, lines, quality, spelling, substrings, tool_calls, urls, warc
+from quantloom.llm import bpe, contamination, exact, extraction, jaccard, lines, phrases, quality, spelling, substrings, tool_calls, urls, warc
 
 QUERIES = {
     "op1_warc_bundles": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.query,
     "op9_bpe": bpe.query,
     "op10_quality_rules": quality.query,
+    "op11_collocations": phrases.query,
     "op12_spelling_variants": spelling.query,
     "op13_exact_dedup": exact.query,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op7_repeated_phrases": substrings.SQL,
     "op8_line_dedup": lines.SQL,
     "op10_quality_rules": quality.SQL,
+    "op11_collocations": phrases.SQL,
     "op12_spelling_variants": spelling.SQL,
     "op13_exact_dedup": exact.SQL,
 }

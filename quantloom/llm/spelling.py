@@ -301,8 +301,8 @@ WITH RECURSIVE
 runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
 low AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM runs WHERE length(r) >= {LEAST_LENGTH} GROUP BY ALL),
 hexed AS (SELECT r, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM low),
-halves AS (SELECT r, n, list_transform(range(length(x)), i -> (instr('0123456789ABCDEF', substr(x, (i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END)::INT, 1)) - 1)::BIGINT) AS x FROM hexed),
-sums AS (SELECT r, n, xor(4294967295, list_reduce([4294967295::BIGINT] || x, (c, b) -> xor(c >> 4, [{_HALVES}][((xor(c, b)) & 15) + 1]::BIGINT))) AS h FROM halves),
+halves AS (SELECT r, n, list_transform(range(length(x)), lambda i: (instr('0123456789ABCDEF', substr(x, (i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END)::INT, 1)) - 1)::BIGINT) AS x FROM hexed),
+sums AS (SELECT r, n, xor(4294967295, list_reduce([4294967295::BIGINT] || x, lambda c, b: xor(c >> 4, [{_HALVES}][((xor(c, b)) & 15) + 1]::BIGINT))) AS h FROM halves),
 noisy AS (SELECT CASE WHEN h % {NOISE} = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, n FROM sums),
 v AS (SELECT word, sum(n)::BIGINT AS n FROM noisy WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
 d AS (SELECT word, n, p, substr(word, 1, (p - 1)::INT) || substr(word, (p + 1)::INT) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
