@@ -35,6 +35,8 @@ COVERED = 50
 #: Bits broadcast for the frequent phrases of a level: eight for each, 2**MAX_BITS at most (32 MB); past that more
 #: phrases are counted, and none is lost.
 MAX_BITS = 28
+#: Bytes of text counted at once; a task holds some thirty times as much.
+SLICE_BYTES = 4 << 20
 #: Parts in which a language's candidates are ranked first.
 SALTS = 64
 
@@ -44,15 +46,25 @@ _GAP = np.array([i in b" \t" for i in range(256)])
 _BLOCK = 16  # a row of the bit table has 2**16 bits
 
 
-def _hash(lang: str, phrase: str) -> int:
-    """What ``F.xxhash64(lang, phrase)`` gives, without sign."""
-    return xxhash.xxh64_intdigest(phrase, xxhash.xxh64_intdigest(lang, 42))
+def _hash(lang: str, word: str) -> int:
+    """What ``F.xxhash64(lang, word)`` gives, without sign."""
+    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang, 42))
 
 
-def bit_table(level: DataFrame) -> np.ndarray:
-    """The bits of (lang, phrase) as one array of bytes, whose length is a power of two up to the bound."""
+def _turned(h: np.ndarray, i: int) -> np.ndarray:
+    return h if not i else (h << np.uint64(7 * i)) | (h >> np.uint64(64 - 7 * i))
+
+
+def bit_table(level: DataFrame, words: int) -> np.ndarray:
+    """The bits of phrases of so many words as one array of bytes, whose length is a power of two up to the bound.
+
+    A phrase's bit comes from the hashes of its words, each turned by its place.
+    """
     bits = min(MAX_BITS, max(_BLOCK, math.ceil(math.log2(8 * max(1, level.count())))))
-    spots = level.select(F.xxhash64("lang", "phrase").bitwiseAND(F.lit((1 << bits) - 1)).alias("spot"))
+    part = F.split("phrase", " ")
+    turned = [F.xxhash64("lang", part[i]) for i in range(words)]
+    turned = [h if not i else F.shiftleft(h, 7 * i).bitwiseOR(F.shiftrightunsigned(h, 64 - 7 * i)) for i, h in enumerate(turned)]
+    spots = level.select(reduce(lambda a, b: a.bitwiseXOR(b), turned).bitwiseAND(F.lit((1 << bits) - 1)).alias("spot"))
 
     def packed(held: pd.DataFrame) -> pd.DataFrame:
         marks = np.zeros(1 << _BLOCK, dtype=bool)
@@ -66,17 +78,20 @@ def bit_table(level: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _known(bits: np.ndarray, langs: list[str], phrases: list[str]) -> np.ndarray:
-    spots = np.fromiter((_hash(a, b) for a, b in zip(langs, phrases, strict=True)), np.uint64, len(phrases)) & np.uint64(8 * len(bits) - 1)
+def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    spots = hashes & np.uint64(8 * len(bits) - 1)
     return (bits[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number from 0 for each key, the different keys by number)."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
+
+
 def _counted(rows: DataFrame, k: int, bits) -> DataFrame:
     """rows: lang, text.  ``_ROW`` for the phrases of ``k`` words of each slice, added up within it only."""
 
-    def joined(words: pa.Array, *places: np.ndarray) -> pa.Array:
-        return pc.binary_join_element_wise(*(words.take(pa.array(p)) for p in places), pa.scalar(" ", pa.large_string()))
-
     def of_slice(langs: list[str], doc_lang: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch | None:
         broken = _BREAK[raw]
         starts, ends = spans(~(broken | _GAP[raw]), bounds)
@@ -84,38 +99,40 @@ def _counted(rows: DataFrame, k: int, bits) -> DataFrame:
             return None
         doc = np.searchsorted(bounds, starts, side="right") - 1
         # Words of one piece share a number: breaks before them, and one more for each document.
-        piece = np.cumsum(broken, dtype=np.int64)[starts] + doc
+        piece = np.cumsum(broken, dtype=np.int32)[starts] + doc.astype(np.int32)
         coded = strings(lowered(raw), starts, ends).dictionary_encode()
-        words, code, lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64), doc_lang[doc]
-        size = len(words)
-        # keys: the phrases of j words that start at each word, as (lang, number); firsts: a place for each phrase.
-        keys, at = lang * size + code, np.arange(len(code))
-        for j in range(1, k + 1):
-            if j > 1:  # keys and at: the frequent phrases of j - 1 words
-                after = np.full(len(code) + 1, -1, dtype=np.int64)
-                after[at] = keys
-                whole = (at + j - 1 < len(code)) & (piece[at] == piece[np.minimum(at + j - 1, len(code) - 1)]) & (after[at + 1] >= 0)
-                at, before = at[whole], keys[whole]
-                _, dense = np.unique(before, return_inverse=True)
-                keys = dense.astype(np.int64) * size + code[at + j - 1] if len(at) else before
+        del broken, starts, ends
+        words, size = coded.dictionary, len(coded.dictionary)
+        keys, named = _numbered(doc_lang[doc] * size + coded.indices.to_numpy())  # a word of a language has one number
+        lang, code = named // size, named % size
+        at = np.arange(len(keys))
+        if k > 1:
+            hashes = np.fromiter((_hash(langs[g], w) for g, w in zip(lang.tolist(), words.take(pa.array(code)).to_pylist(), strict=True)), np.uint64, len(code))
+            grams = reduce(np.bitwise_xor, (_turned(hashes[keys[i : len(keys) - k + 2 + i]], i) for i in range(k - 1)))
+            known = _known(bits.value, grams)  # of the k - 1 words from each one on
+            at = np.flatnonzero(known[:-1] & known[1:] & (piece[: len(keys) - k + 1] == piece[k - 1 :]))
             if not len(at):
                 return None
-            if j >= k - 1:
-                _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-                place = at[first]
-                phrases = joined(words, *(code[place + i] for i in range(j)))
-                named = pa.array([langs[i] for i in lang[place]], pa.string())
-                if j == k:
-                    return pa.RecordBatch.from_arrays([named, phrases.cast(pa.string()), pa.array(counts)], names=["lang", "phrase", "n"])
-                frequent = _known(bits.value, named.to_pylist(), phrases.to_pylist())[inverse]
-                at, keys = at[frequent], keys[frequent]
-        return None
+        # A phrase's number comes from that of its first words and its last one.
+        number, ways = keys[at], []
+        for i in range(1, k):
+            number, pairs = _numbered(number * len(code) + keys[at + i])
+            ways.append(pairs)
+        counts = np.bincount(number) if k > 1 else np.bincount(keys, minlength=len(code))
+        parts, first = [], np.arange(len(counts))
+        for pairs in reversed(ways):
+            first, last = pairs[first] // len(code), pairs[first] % len(code)
+            parts.append(last)
+        parts = [words.take(pa.array(code[p])) for p in (first, *reversed(parts))]
+        phrases = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+        tongue = pa.DictionaryArray.from_arrays(pa.array(lang[first].astype(np.int32)), pa.array(langs, pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([tongue, phrases.cast(pa.string()), pa.array(counts)], names=["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(0).dictionary_encode()
             langs, doc_lang = names.dictionary.to_pylist(), names.indices.to_numpy().astype(np.int64)
-            for first, raw, bounds in slices(batch.column(1), _BREAK):
+            for first, raw, bounds in slices(batch.column(1), _BREAK, SLICE_BYTES):
                 out = of_slice(langs, doc_lang[first:], raw, bounds)
                 if out is not None:
                     yield out
@@ -130,7 +147,7 @@ def levels(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
     total = table(first.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     found = [table(first.where(F.col("n") >= least), "level")]
     for k in range(2, words + 1):
-        bits = docs.sparkSession.sparkContext.broadcast(bit_table(found[-1]))
+        bits = docs.sparkSession.sparkContext.broadcast(bit_table(found[-1], k - 1))
         found.append(table(_counted(rows, k, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "level"))
         bits.destroy()
     return total, found

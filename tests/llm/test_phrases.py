@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import phrases, slices
+from quantloom.llm import phrases
 
 
 def _brute(rows, longest, least, top):
@@ -45,7 +45,7 @@ def test_equals_brute_force(spark, monkeypatch, longest, least, top):
     want = _brute(rows, longest, least, top)
     for bits, size in ((28, 8 << 20), (16, 40)):
         monkeypatch.setattr(phrases, "MAX_BITS", bits)
-        monkeypatch.setattr(slices.slices, "__defaults__", (size,))
+        monkeypatch.setattr(phrases, "SLICE_BYTES", size)
         got = {(r.lang, r["rank"]): (r.phrase, r.a, r.l, r.r, r.n, r.score) for r in phrases.collocations(docs, words=longest, least=least, top=top).collect()}
         assert got == want
 
@@ -54,10 +54,10 @@ def test_levels_emit_only_phrases_of_frequent_parts(spark):
     docs = spark.createDataFrame([("a b c d. " * 10 + "a b x y z. b c", "en")], "text string, lang string")
     rows = docs.select("lang", "text")
     _, found = phrases.levels(docs)
-    bits = spark.sparkContext.broadcast(phrases.bit_table(found[0]))
+    bits = spark.sparkContext.broadcast(phrases.bit_table(found[0], 1))
     pairs = {r.phrase: r.n for r in phrases._counted(rows, 2, bits).collect()}
     assert pairs == {"a b": 11, "b c": 11, "c d": 10}  # x, y and z are rare
-    bits = spark.sparkContext.broadcast(phrases.bit_table(found[1]))
+    bits = spark.sparkContext.broadcast(phrases.bit_table(found[1], 2))
     assert {r.phrase: r.n for r in phrases._counted(rows, 3, bits).collect()} == {"a b c": 10, "b c d": 10}
 
 
