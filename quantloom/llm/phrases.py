@@ -36,7 +36,7 @@ COVERED = 50
 #: phrases are counted, and none is lost.
 MAX_BITS = 28
 #: Bytes of text counted at once; a task holds some thirty times as much.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Parts in which a language's candidates are ranked first.
 SALTS = 64
 
