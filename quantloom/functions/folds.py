@@ -1,7 +1,8 @@
 """Recursive indicators (exponential means and what builds on them) in one grouped fold per series.
 
 A bounded window cannot carry the state, so all recursive columns of a pipeline are computed in a single
-``applyInPandas`` pass over each series: one shuffle by (symbol, interval), linear time.  Values stay float64 from Arrow to
+``applyInPandas`` pass over each series: one shuffle by (symbol, interval), linear time, in the partitioning that the
+series windows of the same pipeline need.  ``scan.recursive`` has the linear ones without Python and for long series.  Values stay float64 from Arrow to
 Arrow; a value that is not there yet is NaN inside the pass and null outside.
 """
 

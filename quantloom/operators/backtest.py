@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import profit_factor, sharpe, sortino, t_statistic
 from quantloom.functions.windows import KEYS, bar_no, yes
-from quantloom.operators.joins import follow
+from quantloom.operators.passage import first_passage
 
 TRADE = "symbol string, interval string, signal_dt timestamp_ntz, entry_dt timestamp_ntz, exit_dt timestamp_ntz, entry_price double, exit_price double, outcome string, direction string, regime string, pnl double"
 
@@ -53,23 +53,31 @@ def run(bars: DataFrame, signal: str, rules: Rules = Rules(), keep: tuple[str, .
         "entry_regime": F.lead("regime").over(w),
         "_two": F.lead("open_dt", 2).over(w),
     })
-    events = own.where(yes(F.col("_signal")) & F.col("_two").isNotNull()).select(*keys, "bar_no", F.col("open_dt").alias("signal_dt"), "entry_dt", "entry_price", F.col("entry_regime").alias("regime"))
-    paths = follow(events, own, 1, r.max_bars + 1, ["open_dt", "high", "low", "close", *extra], keys)
+    own = own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    events = own.where(yes(F.col("_signal")) & F.col("_two").isNotNull()).select(
+        *keys, "bar_no", F.col("open_dt").alias("signal_dt"), "entry_dt", "entry_price", F.col("entry_regime").alias("regime"),
+        (F.col("bar_no") + 1).alias("_from"), F.least(F.col("bar_no") + r.max_bars + 1, F.col("_n")).alias("_to"),
+    )
     sign = 1 if r.direction == "long" else -1
     e, c = F.col("entry_price"), F.col("f_close")
     liquidation, target, stop = e * (1 - sign / r.leverage), e * (1 + sign * r.take_profit), e * (1 - sign * r.stop_loss)
+    against = (F.greatest if sign > 0 else F.least)(liquidation, stop)
+    low, high = (against, target) if sign > 0 else (target, against)
+
+    def leaves(close: Column, mean: Column) -> Column:
+        over = (close > mean) == F.lit(sign > 0) if r.exit_rule == "connors" else (close < mean) == F.lit(sign > 0)
+        return (close != mean) & over
+
+    flag = leaves(F.col("close"), F.col(extra[0])) if extra else None
+    found = first_passage(events, own, r.max_bars + 1, low, high, ["open_dt", "high", "low", "close", *extra], keys, flag)
     reaches = lambda level, up: F.col("f_high") >= level if up else F.col("f_low") <= level
-    outcome = F.when(reaches(liquidation, sign < 0), "Liquidation")
+    outcome = F.when(~F.col("met"), "TimeOut").when(reaches(liquidation, sign < 0), "Liquidation")
     if extra:
-        mean = F.col(f"f_{extra[0]}")
-        over = (c > mean) == F.lit(sign > 0) if r.exit_rule == "connors" else (c < mean) == F.lit(sign > 0)
-        outcome = outcome.when((c != mean) & over, "Exit")
+        outcome = outcome.when(leaves(c, F.col(f"f_{extra[0]}")), "Exit")
     outcome = outcome.when(reaches(stop, sign < 0), "SL").when(reaches(target, sign > 0), "TP")
-    paths = paths.withColumn("outcome", outcome)
-    price = F.when(F.col("outcome") == "Liquidation", liquidation).when(F.col("outcome") == "SL", stop).when(F.col("outcome") == "TP", target).otherwise(c)
-    ended = F.when(F.col("outcome").isNotNull(), F.struct("offset", "outcome", price.alias("price"), F.col("f_open_dt").alias("dt")))
-    last = F.struct("offset", F.lit("TimeOut").alias("outcome"), c.alias("price"), F.col("f_open_dt").alias("dt"))
-    found = paths.groupBy(*keys, "signal_dt", "entry_dt", "entry_price", "regime").agg(F.coalesce(F.min(ended), F.max(last)).alias("x"))
+    found = found.withColumn("_outcome", outcome)
+    price = F.when(F.col("_outcome") == "Liquidation", liquidation).when(F.col("_outcome") == "SL", stop).when(F.col("_outcome") == "TP", target).otherwise(c)
+    found = found.withColumn("x", F.struct(F.col("_outcome").alias("outcome"), price.alias("price"), F.col("f_open_dt").alias("dt")))
     pnl = F.when(F.col("x.outcome") == "Liquidation", F.lit(-1.0)).otherwise(sign * (F.col("x.price") - e) / e * r.leverage - 2 * r.fee * r.leverage)
     return found.select(
         *keys, "signal_dt", "entry_dt", F.col("x.dt").alias("exit_dt"), "entry_price", F.col("x.price").alias("exit_price"),
@@ -80,15 +88,15 @@ def run(bars: DataFrame, signal: str, rules: Rules = Rules(), keep: tuple[str, .
 def run_at_close(bars: DataFrame, signal: str, take_profit: float = 2.0, stop_loss: float = 1.0, max_hold: int = 5) -> DataFrame:
     """Long trades entered at the signal's close, percentages; signals without ``max_hold`` bars after them are skipped."""
     own = bars.withColumns({"bar_no": bar_no(), "_n": F.count(F.lit(1)).over(Window.partitionBy(*KEYS))})
-    events = own.where(yes(F.col(signal)) & (F.col("bar_no") <= F.col("_n") - max_hold)).select(*KEYS, "bar_no", F.col("open_dt").alias("entry_dt"), F.col("close").alias("entry_price"))
+    events = own.where(yes(F.col(signal)) & (F.col("bar_no") <= F.col("_n") - max_hold)).select(
+        *KEYS, "bar_no", F.col("open_dt").alias("entry_dt"), F.col("close").alias("entry_price"), (F.col("bar_no") + 1).alias("_from"), (F.col("bar_no") + max_hold).alias("_to")
+    )
     e = F.col("entry_price")
     target, stop = e * (1 + take_profit / 100), e * (1 - stop_loss / 100)
-    paths = follow(events, own, 1, max_hold, ["open_dt", "high", "low", "close"])
-    reason = F.when(F.col("f_low") <= stop, "SL").when(F.col("f_high") >= target, "TP").when(F.col("offset") == max_hold, "Time")
-    paths = paths.withColumn("reason", reason)
-    price = F.when(F.col("reason") == "SL", stop).when(F.col("reason") == "TP", target).otherwise(F.col("f_close"))
-    x = F.min(F.when(F.col("reason").isNotNull(), F.struct("offset", "reason", price.alias("price"), F.col("f_open_dt").alias("dt")))).alias("x")
-    found = paths.groupBy(*KEYS, "entry_dt", "entry_price").agg(x)
+    found = first_passage(events, own, max_hold, stop, target, ["open_dt", "high", "low", "close"])
+    reason = F.when(F.col("met") & (F.col("f_low") <= stop), "SL").when(F.col("met") & (F.col("f_high") >= target), "TP").otherwise("Time")
+    price = F.when(F.col("_reason") == "SL", stop).when(F.col("_reason") == "TP", target).otherwise(F.col("f_close"))
+    found = found.withColumn("_reason", reason).withColumn("x", F.struct("offset", F.col("_reason").alias("reason"), price.alias("price"), F.col("f_open_dt").alias("dt")))
     pnl = (F.col("x.price") - e) / e * 100
     return found.select(*KEYS, "entry_dt", F.col("x.dt").alias("exit_dt"), "entry_price", F.col("x.price").alias("exit_price"), pnl.alias("pnl"), F.col("x.reason").alias("reason"), F.col("x.offset").alias("hold"), (pnl > 0).alias("is_win"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.folds import fold
+from quantloom.functions.scan import recursive
 from quantloom.functions.windows import KEYS, ahead, full, prev, roll
 
 #: Stands for a body or range of 0 where something is divided by it.
@@ -139,14 +140,15 @@ def daily_ema(bars: DataFrame, span: int = 200, lag_days: int = 0) -> DataFrame:
     day = F.to_date("open_dt")
     days = bars.groupBy("symbol", "interval", day.alias("open_dt")).agg(F.max_by("close", "open_dt").alias("close"))
     name = f"ema_{span}"
-    means = fold(days, [name]).select(*KEYS, F.col("open_dt").alias("_day"), F.col(name).alias("daily_ema"))
+    means = recursive(days, [name]).select(*KEYS, F.col("open_dt").alias("_day"), F.col(name).alias("daily_ema"))
     if lag_days:
         means = means.withColumn("daily_ema", F.lag("daily_ema", lag_days).over(Window.partitionBy(*KEYS).orderBy("_day")))
     return bars.withColumn("_day", day).join(means, [*KEYS, "_day"], "left").drop("_day")
 
 
 def strategy_frame(bars: DataFrame, main: int = 200, fast: int = 20, slow: int = 60, adx_level: float = 25.0, donch: int = 20, bb: int = 20, bb_k: float = 2.0, kc_k: float = 1.5) -> DataFrame:
-    """All columns that the strategy signals read.  Recursive ones come from a single pass over each series."""
+    """All columns that the strategy signals read.  Recursive ones come from a single pass over each series,
+    in the partitioning that the windows need anyway."""
     out = fold(bars, ["adx_14", "rsi_14", "macd", "atr_20"])
     out = moving_averages(out, tuple(dict.fromkeys((main, fast, slow, 200))))
     out = volume_spike(donchian(keltner(bollinger(out, bb, bb_k), kc_k), donch))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.folds import fold
+from quantloom.functions.scan import recursive
 from quantloom.functions.windows import KEYS
 from quantloom.operators.indicators import strategy_frame
 from quantloom.operators.signals import STRATEGIES, strategy_signals
@@ -42,7 +42,7 @@ def projections(bars: DataFrame, k: int = 5, min_bars: int = 20) -> DataFrame:
     """Per series of ``min_bars`` or more: the next close that would bring RSI to 30 and 70 and %K to 20 and 80."""
     recent = Window.partitionBy(*KEYS).orderBy("open_dt").rowsBetween(-(k - 2), 0)
     n = F.count(F.lit(1)).over(Window.partitionBy(*KEYS))
-    out = fold(bars, ["rma_state"]).withColumns({"stoch_hh": F.max("high").over(recent), "stoch_ll": F.min("low").over(recent), "_bars": n})
+    out = recursive(bars, ["rma_state"]).withColumns({"stoch_hh": F.max("high").over(recent), "stoch_ll": F.min("low").over(recent), "_bars": n})
     last = latest(out.where(F.col("_bars") >= min_bars))
     at = lambda x: F.col("stoch_ll") + x * (F.col("stoch_hh") - F.col("stoch_ll"))
     return last.select(*KEYS, "close", _price_for_rsi(30.0).alias("rsi_30"), _price_for_rsi(70.0).alias("rsi_70"), at(0.2).alias("stoch_20"), at(0.8).alias("stoch_80"), "stoch_hh", "stoch_ll")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.folds import fold
+from quantloom.functions.scan import recursive
 from quantloom.operators import indicators as I
 from quantloom.operators import patterns as P
 from quantloom.operators import signals as S
@@ -125,18 +126,18 @@ sx AS (SELECT st.*, CASE WHEN d.rn >= 27 THEN d.adx END AS adx FROM st LEFT JOIN
 
 @register(f"WITH {STATES} SELECT {SHOWN}, {s6('e12', 'ema_12')}, {s6('e200', 'ema_200')}, {s6('macd')}, {s6('sig', 'macd_signal')}, {s6('macd - sig', 'macd_hist')} FROM sx")
 def ema_macd(spark, sf_dir):
-    return show(fold(event_bars(spark, sf_dir), ["ema_12", "ema_200", "macd"]), [], ["ema_12", "ema_200", "macd", "macd_signal", "macd_hist"])
+    return show(recursive(event_bars(spark, sf_dir), ["ema_12", "ema_200", "macd"]), [], ["ema_12", "ema_200", "macd", "macd_signal", "macd_hist"])
 
 
 @register(f"WITH {STATES} SELECT {SHOWN}, {s6('rsi', 'rsi_14')}, {s6('atr14', 'atr_14')}, {s6('atr20', 'atr_20')}, {s6('adx', 'adx_14')} FROM sx")
 def wilder(spark, sf_dir):
-    return show(fold(event_bars(spark, sf_dir), ["rsi_14", "atr_14", "atr_20", "adx_14"]), [], ["rsi_14", "atr_14", "atr_20", "adx_14"])
+    return show(recursive(event_bars(spark, sf_dir), ["rsi_14", "atr_14", "atr_20", "adx_14"]), [], ["rsi_14", "atr_14", "atr_20", "adx_14"])
 
 
 @register(f"""WITH {STATES}, k AS (SELECT *, {rolled('avg', 'f', 3)} AS k FROM (SELECT *, 100 * (rsi - lo) / (hi - lo + 1e-10) AS f FROM (SELECT *, {rolled('min', 'rsi', 14)} AS lo, {rolled('max', 'rsi', 14)} AS hi FROM st)))
 SELECT {SHOWN}, {s6('k', 'stoch_rsi_k')}, {s6(rolled('avg', 'k', 3), 'stoch_rsi_d')} FROM k""")
 def stochastic_rsi(spark, sf_dir):
-    return show(fold(event_bars(spark, sf_dir), ["stoch_rsi"]), [], ["stoch_rsi_k", "stoch_rsi_d"])
+    return show(recursive(event_bars(spark, sf_dir), ["stoch_rsi"]), [], ["stoch_rsi_k", "stoch_rsi_d"])
 
 
 @register(f"""WITH RECURSIVE {EVENT_BARS}, {TR}, a AS (SELECT symbol, rn, tr AS a FROM tr WHERE rn = 1 UNION ALL SELECT b.symbol, b.rn, b.tr / 10 + a.a * 9 / 10 FROM a JOIN tr b ON b.symbol = a.symbol AND b.rn = a.rn + 1),
