@@ -251,7 +251,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many of them go, and their numbers.  A null text has no lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     removed = _removed(docs, "doc_id", "text", THRESHOLD)
-    counts = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    counts = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     joined = counts.join(removed, (F.col("doc_id") == F.col("_doc")) & (F.col("tk") == F.col("_tk")), "left")
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))

@@ -68,3 +68,12 @@ def test_very_long_text_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, text, *names), (2, "short line of a few words\n" + "w " * 100_000, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
     got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
     assert got[1].text == "\n".join(map(own, range(1500))) and got[1].sid == "sid" and got[1].open == "open" and got[2].text == docs.where("doc_id = 2").first().text
+
+
+def test_null_texts_have_no_lines_without_ansi(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, "a\nb")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert {r.doc_id: r.n_lines for r in lines.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 2}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
