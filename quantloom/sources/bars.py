@@ -114,8 +114,12 @@ def write_parquet(bars: DataFrame, path: str) -> None:
     bars.repartition("symbol", "interval").write.partitionBy("symbol", "interval").mode("overwrite").parquet(path)
 
 
+class NoBars(ValueError):
+    """None of the paths exists, or none has enough bars."""
+
+
 def load(spark: SparkSession, paths: list[str], min_rows: int = 1) -> DataFrame:
-    """Bars of the first path that has some; a ValueError if none has."""
+    """Bars of the first path that has some; ``NoBars`` if none has."""
     for path in paths:
         try:
             bars = read_csv(spark, path) if path.endswith(".csv") else read_parquet(spark, path)
@@ -124,19 +128,19 @@ def load(spark: SparkSession, paths: list[str], min_rows: int = 1) -> DataFrame:
         except Exception as error:  # a missing path is tried past; anything else is not
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-    raise ValueError(f"no bars in {paths}")
+    raise NoBars(f"no bars in {paths}")
 
 
 def load_all(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The bars of all paths that exist, one row per bar; a ValueError if none exists."""
+    """The bars of all paths that exist, one row per bar; ``NoBars`` if none exists.  A file that cannot be read is an error."""
     found = []
     for path in paths:
         try:
             found.append(load(spark, [path], 0).select(*BAR_SCHEMA.names))
-        except ValueError:
+        except NoBars:
             continue
     if not found:
-        raise ValueError(f"no bars in {paths}")
+        raise NoBars(f"no bars in {paths}")
     out = found[0]
     for bars in found[1:]:
         out = out.union(bars)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The names of the columns.
@@ -15,13 +18,29 @@ JOURNAL_SCHEMA = ", ".join([
     *[f"{c} string" for c in ("outcome", "emotion", "tags", "mistakes", "notes", "created_at")],
 ])
 PRESET_SCHEMA = "coin string, interval string, strat_id string, direction string, params map<string,double>"
+#: What a change has beside a journal's columns: the place of a new row in its change, and whether the id is gone.
+_CHANGE = f"{JOURNAL_SCHEMA}, place bigint, gone boolean"
+_NAME = re.compile(r"(\d{8})-(\d+)-(\d+)-(add|end|all)-[0-9a-f]{32}")
+
+
+class _Change(NamedTuple):
+    number: int
+    base: int  # the largest id before it
+    top: int  # and after it
+    kind: str  # add: new or changed rows, end: ids that are gone, all: the rows as they then were
+    folder: str
 
 
 class Journal:
-    """Rows in numbered versions below ``path``; each change writes a new version whole, readers take the newest.
+    """A log of changes below ``path``: each insert, update or delete appends one folder with just its own rows.
+
+    A folder's name has its number, the largest ids before and after it and its kind, so a writer learns what it needs from
+    a listing, and new rows are stored by their place and get their ids from the name: nothing is read or written again
+    when another writer comes first.  Readers take each id's newest change since the newest compaction.
 
-    A version's number is claimed by creating a file that must not exist yet; who loses the claim, or finds a newer version
-    after winning it, starts again from the newest rows, so no change is lost and none is applied twice.
+    A change's number is claimed by creating a file that must not exist yet; who loses the claim takes the next number, so
+    no change is lost and none is applied twice.  Local and HDFS folders create files so; an object store may not, and then
+    needs one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -33,63 +52,107 @@ class Journal:
     def _at(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}")
 
-    def _newest(self) -> tuple[int, str | None]:
-        """Number and folder of the newest version."""
+    def _changes(self) -> list[_Change]:
+        """All published changes by number."""
         root = self._hadoop.Path(self.path)
         names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
-        found = [(int(n.partition("-")[0]), n) for n in names if n.partition("-")[0].isdigit() and "-" in n and self._fs.exists(self._at(f"{n}/_SUCCESS"))]
-        return max(found, default=(0, None))
+        return sorted(_Change(int(m[1]), int(m[2]), int(m[3]), m[4], n) for n in names if (m := _NAME.fullmatch(n)))
+
+    def _live(self, changes: list[_Change]) -> list[_Change]:
+        """The newest compaction and what came after it."""
+        starts = [i for i, c in enumerate(changes) if c.kind == "all"]
+        return changes[starts[-1] :] if starts else changes
 
     def rows(self) -> DataFrame:
-        return self._read(self._newest()[1])
+        """The journal as it is: each id's newest change, without those that are gone."""
+        return self._read(self._live(self._changes()))
 
-    def _read(self, name: str | None) -> DataFrame:
-        if name is None:
+    def _read(self, changes: list[_Change]) -> DataFrame:
+        if not changes:
             return self.spark.createDataFrame([], JOURNAL_SCHEMA)
-        return self.spark.read.schema(JOURNAL_SCHEMA).parquet(f"{self.path}/{name}")
-
-    def _change(self, make, patience: float = 60.0) -> None:
-        """Publishes ``make(rows)``; ``patience`` seconds after a claim without a version its writer counts as lost."""
-        while True:
-            number, name = self._newest()
-            new = f"new-{uuid.uuid4().hex}"
-            make(self._read(name)).write.parquet(f"{self.path}/{new}")
+        stored = self.spark.read.schema(_CHANGE).parquet(*[f"{self.path}/{c.folder}" for c in changes])
+        name = F.split(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "-")
+        rows = stored.withColumns({"_number": name[0].cast("bigint"), "id": F.coalesce("id", name[1].cast("bigint") + F.col("place"))})
+        if all(c.kind == "add" and c.top > c.base for c in changes):  # every id is new
+            newest = rows
+        else:
+            fields = F.struct(*[c for c in rows.columns if c not in ("id", "_number")])
+            newest = rows.groupBy("id").agg(F.max_by(fields, "_number").alias("r")).select("id", "r.*")
+        return newest.where("NOT coalesce(gone, false)").drop("gone", "place", "_number")
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        """Stores rows under a name that no reader looks at."""
+        folder = f"{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _publish(self, staged: str, kind: str, added: int = 0, still: Callable[[list[_Change]], bool] = lambda changes: True, patience: float = 60.0) -> bool:
+        """Gives a stored folder the next number; False, and the folder goes, if ``still`` does not hold for what is there.
+
+        ``patience`` seconds after a claim without a change its writer counts as lost.
+        """
+        while still(changes := self._changes()):
+            number, top = (changes[-1].number, changes[-1].top) if changes else (0, 0)
             target, waited = number + 1, 0.0
-            while not self._claim(target) and self._newest()[0] == number:
+            while not self._claim(target) and self._changes() == changes:
                 if waited >= patience:
                     target, waited = target + 1, 0.0
                     continue
                 time.sleep(0.2)
                 waited += 0.2
-            if self._newest()[0] == number and self._fs.rename(self._at(new), self._at(f"{target:08d}-{new[4:]}")):
-                return
-            self._fs.delete(self._at(new), True)
+            name = f"{target:08d}-{top}-{top + added}-{kind}-{staged.rpartition('-')[2]}"
+            if self._changes() == changes and self._fs.rename(self._at(staged), self._at(name)):
+                return True
+        self._fs.delete(self._at(staged), True)
+        return False
 
     def _claim(self, number: int) -> bool:
         return self._fs.createNewFile(self._at(f"{number:08d}.claim"))
 
+    def _whole(self, new: DataFrame, names: list[str]) -> DataFrame:
+        kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], _CHANGE).schema}
+        return new.select(*[(F.col(c) if c in new.columns and c in names else F.lit(None)).cast(kinds[c]).alias(c) for c in kinds])
+
     def insert(self, new: DataFrame) -> None:
-        """Adds rows; missing columns are null, ids go on from the largest."""
-        kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], JOURNAL_SCHEMA).schema}
-        names = [c for c in kinds if c != "id"]
-        full = new.select(*[F.col(c).cast(kinds[c]).alias(c) if c in new.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names])
-        # Numbers go on from partition to partition: each knows how many rows are before it.
-        placed = full.sort(*[F.col(c).asc_nulls_first() for c in names]).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).cache()
+        """Adds rows; missing columns are null, ids go on from the largest in the order of the columns.
+
+        The rows are sorted and stored once, then numbered from what was stored: a lost executor cannot deal them out anew.
+        """
+        names = [f.name for f in self.spark.createDataFrame([], JOURNAL_SCHEMA).schema if f.name != "id"]
+        ordered = self._whole(new, names).sort(*[F.col(c).asc_nulls_first() for c in names])
+        raw = self._write(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "raw")
+        stored = self.spark.read.parquet(f"{self.path}/{raw}")
         before, total = {}, 0
-        for part, n in sorted(placed.groupBy("_part").count().collect()):  # a row for each partition
+        for part, n in sorted(stored.groupBy("_part").count().collect()):  # a row for each partition
             before[part], total = total, total + n
-        nth = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-        offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part")) if before else F.lit(0)
-
-        def make(have: DataFrame) -> DataFrame:
-            top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("t")).first()["t"]
-            return have.unionByName(placed.select((top + offset + nth).cast("bigint").alias("id"), *names))
+        if total:
+            offset: Column = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part"))
+            nth = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+            staged = self._write(stored.withColumn("place", (offset + nth).cast("bigint")).drop("_part", "_at"), "new")
+            self._publish(staged, "add", total)
+        self._fs.delete(self._at(raw), True)
 
-        self._change(make)
-        placed.unpersist()
+    def update(self, rows: DataFrame) -> None:
+        """Puts rows with ids in place of those that have the ids; columns that are missing become null."""
+        self._publish(self._write(self._whole(rows.where("id IS NOT NULL"), rows.columns), "new"), "add")
 
     def delete(self, ids: list[int]) -> None:
-        self._change(lambda have: have.where(~F.col("id").isin(ids)))
+        """Marks ids as gone; those that nothing has are passed over."""
+        marks = self.spark.createDataFrame([(i,) for i in ids], "id bigint").withColumn("gone", F.lit(True))
+        self._publish(self._write(self._whole(marks, marks.columns), "new"), "end")
+
+    def compact(self) -> None:
+        """Writes the rows as they are as one change, from which readers start; again, if another change comes first."""
+        while changes := self._changes():
+            rows = self._read(self._live(changes))
+            if self._publish(self._write(self._whole(rows, rows.columns), "new"), "all", 0, lambda now, then=changes: now == then):
+                return
+
+    def vacuum(self) -> None:
+        """Removes changes that the newest compaction holds; readers that listed them before fail."""
+        changes = self._changes()
+        for change in changes[: len(changes) - len(self._live(changes))]:
+            self._fs.delete(self._at(change.folder), True)
 
     def import_csv(self, path: str) -> None:
         """Rows of a CSV journal that are not there yet, compared without id."""

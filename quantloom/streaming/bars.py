@@ -19,13 +19,20 @@ def read_ticks(spark: SparkSession, folder: str, schema, files_per_trigger: int
 
 
 def stream_bars(ticks: DataFrame, symbol: str, ts: str, value: str, tie: str, unit: str = "hour", interval: str = "1h", delay: str = "2 hours") -> DataFrame:
-    """Closed bars (append mode): a bar comes out once the watermark passes its end; later ticks are dropped."""
-    timed = ticks.where(F.col(value).isNotNull()).withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
-    order = F.struct("_ts", tie)
+    """Closed bars (append mode): a bar comes out once the watermark passes its end; later ticks are dropped.
+
+    Bars open by the clock of the session's zone, as those of ``bars_from_ticks`` do: times are shifted to that clock first,
+    so ``delay`` has to cover the hour that a clock is set back.
+    """
+    zone = ticks.sparkSession.conf.get("spark.sql.session.timeZone")
+    own = ticks.where(F.col(value).isNotNull()).withColumn("_at", F.col(ts).cast("timestamp"))
+    timed = own.withColumn("_ts", F.from_utc_timestamp("_at", zone)).withWatermark("_ts", delay)
+    order = F.struct("_at", tie)
     bars = timed.groupBy(F.col(symbol).alias("symbol"), F.window("_ts", _WIDTH[unit]).alias("w")).agg(
         F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"), F.count(F.lit(1)).cast("double").alias("volume")
     )
-    return bars.select("symbol", F.lit(interval).alias("interval"), F.col("w.start").cast("timestamp_ntz").alias("open_dt"), *PRICES, "volume")
+    opened = F.expr("timestampadd(MICROSECOND, unix_micros(w.start), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    return bars.select("symbol", F.lit(interval).alias("interval"), opened.alias("open_dt"), *PRICES, "volume")
 
 
 def stream_ema(bars: DataFrame, span: int = 20) -> DataFrame:

@@ -154,3 +154,56 @@ def test_stream_mean_of_missing_and_late_bars(spark, tmp_path):
         query.awaitTermination()
     got = sorted((r.open_dt.hour, r.close or 0, r.ema) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.ema is not None)
     assert got == [(0, 1.0, 1.0), (1, 0, 1.0), (2, 3.0, 2.0)]
+
+
+def test_load_all_reports_files_it_cannot_read(spark, tmp_path):
+    (tmp_path / "BTCUSDT-1h-merged.csv").write_text("open_time,open,high,low,close,volume\n1704067200000,1,2,0.5,1.5,10\n")
+    (tmp_path / "ETHUSDT-1h-merged.csv").write_text("open_time,open,high,low,close\n1704067200000,1,2,0.5,1.5\n")
+    paths = [str(tmp_path / f"{c}USDT-1h-merged.csv") for c in ("BTC", "ETH", "XRP")]
+    with pytest.raises(ValueError, match="volume"):
+        S.load_all(spark, paths)
+    assert S.load_all(spark, [paths[0], paths[2]]).count() == 1
+    with pytest.raises(S.NoBars):
+        S.load_all(spark, paths[2:])
+
+
+@pytest.mark.parametrize(("zone", "unit", "interval"), [("America/New_York", "day", "1d"), ("Asia/Kolkata", "hour", "1h")])
+def test_stream_bars_open_by_the_clock_of_the_zone(spark, tmp_path, zone, unit, interval):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        ticks = spark.sql("SELECT 'X' AS s, timestamp_seconds(1704067200 + id * 2700) AS ts, cast(id % 17 AS double) AS v, id FROM range(200)")
+        ticks.coalesce(1).write.parquet(str(tmp_path / "in"))
+        args = ("s", "ts", "v", "id", unit, interval)
+        live = stream_bars(read_ticks(spark, str(tmp_path / "in"), ticks.schema), *args)
+        live.writeStream.format("memory").queryName(f"zone_{unit}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        got, want = spark.table(f"zone_{unit}").collect(), S.bars_from_ticks(ticks, *args).collect()
+        assert len(got) > 2 and set(got) <= set(want)
+        assert unit == "hour" or {r.open_dt.hour for r in got} == {0}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_journal_is_a_log(spark, tmp_path):
+    """A change stores its own rows only; updates, tombstones and compaction give the newest rows."""
+    root = tmp_path / "j"
+    j = Journal(spark, str(root))
+    j.insert(spark.range(2000).select(F.col("id").cast("double").alias("pnl_pct"), F.lit("A").alias("symbol")).repartition(3))
+    assert j.rows().agg(F.min("id"), F.max("id"), F.count_distinct("id")).first()[:] == (1, 2000, 2000)
+    assert j.rows().where("id <> pnl_pct + 1").count() == 0  # in the order of the columns
+    size = lambda: {p.name: spark.read.parquet(str(p)).count() for p in root.iterdir() if p.is_dir()}
+    before = size()
+    j.insert(spark.createDataFrame([("B", 1.0)], "symbol string, pnl_pct double"))
+    j.delete([1, 2, 99999])
+    j.update(spark.createDataFrame([(3, "C", 7.0)], "id long, symbol string, pnl_pct double"))
+    after = size()
+    assert before.items() <= after.items() and sorted(n for k, n in after.items() if k not in before) == [1, 1, 3]
+    state = lambda: {(r.id, r.symbol, r.pnl_pct) for r in j.rows().where("id < 5 OR id > 1999").collect()}
+    want = {(3, "C", 7.0), (4, "A", 3.0), (2000, "A", 1999.0), (2001, "B", 1.0)}
+    assert state() == want and j.rows().count() == 1999
+    j.compact()
+    j.vacuum()
+    assert len(size()) == 1 and state() == want and j.rows().count() == 1999
+    j.insert(spark.createDataFrame([("D", 2.0)], "symbol string, pnl_pct double"))
+    assert j.rows().where("symbol = 'D'").first().id == 2002
+    j.insert(spark.createDataFrame([], "symbol string, pnl_pct double"))
+    assert j.rows().count() == 2000
