@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions import tails
+
 P_FLOOR = 1e-16
 
 
@@ -24,15 +25,7 @@ def wilson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Colu
 
 def binomial_p(k: Column, n: Column) -> Column:
     """Two-sided exact p of k successes in n trials of chance one half; 1 for n = 0."""
-    tail = F.least(k, n - k)
-    start = F.struct((-n * F.lit(math.log(2.0))).alias("term"), F.lit(0.0).alias("sum"))
-    fold = F.aggregate(
-        F.sequence(F.lit(0), tail.cast("int")),
-        start,
-        lambda a, i: F.struct((a["term"] + F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).alias("term"), (a["sum"] + F.exp(a["term"])).alias("sum")),
-        lambda a: a["sum"],
-    )
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * fold))
+    return tails.binomial_two_sided(k, n)
 
 
 def floored(p: Column) -> Column:
@@ -129,22 +122,11 @@ def t_quantile(p: float, df: float) -> float:
 
 def with_t_test(df: DataFrame, t: str, n: str, name: str = "p_value") -> DataFrame:
     """``df`` with the two-sided p of column ``t`` for ``n`` values."""
-
-    @F.pandas_udf("double")
-    def p(ts: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) else t_two_sided_p(float(x), float(m) - 1) for x, m in zip(ts, ns, strict=True)], dtype="float64")
-
-    return df.withColumn(name, p(F.col(t), F.col(n)))
+    return df.withColumn(name, tails.t_two_sided(F.col(t), F.col(n) - 1))
 
 
 def with_mean_interval(df: DataFrame, mean: str, sd: str, n: str, confidence: float = 0.95) -> DataFrame:
     """``df`` with ci_lower, ci_upper and ci_width of a mean by Student's t; both ends are the mean without deviation or below two values."""
-
-    @F.pandas_udf("double")
-    def quantile(ns: pd.Series) -> pd.Series:
-        known = {m: t_quantile(1 - (1 - confidence) / 2, m - 1) for m in ns.dropna().unique() if m >= 2}
-        return ns.map(known).astype("float64")
-
-    half = F.when((F.col(n) >= 2) & (F.col(sd) > 0), quantile(F.col(n).cast("double")) * F.col(sd) / F.sqrt(F.col(n))).when(F.col(mean).isNotNull(), F.lit(0.0))
+    half = F.when((F.col(n) >= 2) & (F.col(sd) > 0), tails.t_upper(confidence, (F.col(n) - 1).cast("double")) * F.col(sd) / F.sqrt(F.col(n))).when(F.col(mean).isNotNull(), F.lit(0.0))
     out = df.withColumn("_half", half)
     return out.withColumns({"ci_lower": F.col(mean) - F.col("_half"), "ci_upper": F.col(mean) + F.col("_half"), "ci_width": 2 * F.col("_half")}).drop("_half")

@@ -63,3 +63,20 @@ SHOWN = "symbol, open_dt::VARCHAR AS open_dt"
 
 BB = f"""bb AS (SELECT *, mid + 2 * sd AS up, mid - 2 * sd AS dn, coalesce(low <= mid - 2 * sd, false) AS t_low, coalesce(low <= mid AND mid <= high, false) AS t_mid, coalesce(high >= mid + 2 * sd, false) AS t_up
   FROM (SELECT *, {rolled('avg', 'close', 20)} AS mid, {rolled('stddev_samp', 'close', 20)} AS sd, {rolled('avg', 'close', 50)} AS sma50, {rolled('avg', 'close', 5)} AS sma5, {rolled('avg', 'close', 20)} AS sma20 FROM bars))"""
+
+
+def sql_t_two_sided(t: str, df: str) -> str:
+    """Two-sided p of Student's t: the incomplete beta function by its continued fraction, 200 terms."""
+
+    def tail(a: str, b: str, x: str) -> str:
+        m = "floor((e.j + 1) / 2)"
+        num = f"CASE WHEN e.j % 2 = 1 THEN {m} * ({b} - {m}) * {x} / (({a} + 2 * ({m}) - 1) * ({a} + 2 * ({m}))) ELSE -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * ({m})) * ({a} + 2 * ({m}) + 1)) END"
+        c, d = f"(1 + ({num}) / s.c)", f"(1 / (1 + ({num}) * s.d))"
+        first = f"1 / (1 - ({a} + {b}) * {x} / ({a} + 1))"
+        steps = f"[{{'j': 0::DOUBLE, 'c': 1::DOUBLE, 'd': {first}, 'h': {first}}}] || list_transform(range(1, 401), lambda j: {{'j': j::DOUBLE, 'c': 0::DOUBLE, 'd': 0::DOUBLE, 'h': 0::DOUBLE}})"
+        front = f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x}))"
+        return f"{front} / {a} * list_reduce({steps}, lambda s, e: {{'j': e.j, 'c': {c}, 'd': {d}, 'h': s.h * {c} * {d}}}).h"
+
+    a, x = f"({df} / 2.0::DOUBLE)", f"({df} / ({df} + {t} * {t}))"
+    y = f"({t} * {t} / ({df} + {t} * {t}))"
+    return f"CASE WHEN {t} = 0 THEN 1.0 WHEN {x} < ({a} + 1) / ({a} + 2.5) THEN {tail(a, '0.5::DOUBLE', x)} ELSE 1 - {tail('0.5::DOUBLE', a, y)} END"

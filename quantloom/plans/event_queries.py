@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.functions.stats import with_t_test
+from quantloom.functions.stats import with_mean_interval, with_t_test
 from quantloom.operators import backtest as B
 from quantloom.operators import events as E
 from quantloom.operators import indicators as I
@@ -12,7 +12,7 @@ from quantloom.operators import joins as J
 from quantloom.operators import levels as L
 from quantloom.operators import patterns as P
 from quantloom.operators import signals as S
-from quantloom.plans.base import BB, EVENT_BARS, SHOWN, W, frame, register, rolled, s6, show
+from quantloom.plans.base import BB, EVENT_BARS, SHOWN, W, frame, register, rolled, s6, show, sql_t_two_sided
 from quantloom.plans.indicator_queries import CANDLES, FRAME, PATTERN_SQL, STATES
 from quantloom.sources.bars import event_bars, resample
 
@@ -212,12 +212,25 @@ def trade_risk(spark, sf_dir):
     return show(B.risk(_risky(spark, sf_dir)), ["n_trades"], ["sharpe", "sortino", "profit_factor", "avg_win", "avg_loss", "t_statistic"], [])
 
 
-@register()
+_T = "t AS (SELECT symbol, count(*) AS n_trades, avg(pnl) AS mean, stddev_samp(pnl) AS sd, avg(pnl) / nullif(stddev_samp(pnl) / sqrt(count(*)), 0) AS t_statistic FROM td GROUP BY symbol)"
+
+
+@register(f"WITH {STATES}, {FRAME}, {_RISKY}, {_T} SELECT symbol, n_trades, {s6('t_statistic')}, {s6(sql_t_two_sided('t_statistic', '(n_trades - 1)'), 'p_value')} FROM t")
 def trade_t_test(spark, sf_dir):
     risk = with_t_test(B.risk(_risky(spark, sf_dir)), "t_statistic", "n_trades")
     return show(risk, ["n_trades"], ["t_statistic", "p_value"], [])
 
 
+@register(f"""WITH {STATES}, {FRAME}, {_RISKY}, {_T}, q AS (SELECT symbol, n_trades, mean, sd, 0.0::DOUBLE AS lo, 100.0::DOUBLE AS hi, 0 AS i FROM t
+  UNION ALL SELECT symbol, n_trades, mean, sd, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END, i + 1 FROM (SELECT *, {sql_t_two_sided('mid', '(n_trades - 1)')} AS p FROM (SELECT *, (lo + hi) / 2 AS mid FROM q WHERE i < 60))),
+h AS (SELECT symbol, n_trades, mean, CASE WHEN n_trades >= 2 AND sd > 0 THEN lo * sd / sqrt(n_trades) ELSE 0.0 END AS half FROM q WHERE i = 60)
+SELECT symbol, n_trades, {s6('mean')}, {s6('mean - half', 'ci_lower')}, {s6('mean + half', 'ci_upper')}, {s6('2 * half', 'ci_width')} FROM h""")
+def trade_mean_interval(spark, sf_dir):
+    """The mean PnL of a series' trades with its 95 % interval by Student's t."""
+    means = _risky(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_trades"), F.avg("pnl").alias("mean"), F.stddev_samp("pnl").alias("sd"))
+    return show(with_mean_interval(means, "mean", "sd", "n_trades"), ["n_trades"], ["mean", "ci_lower", "ci_upper", "ci_width"], [])
+
+
 @register()
 def monte_carlo_drawdown(spark, sf_dir):
     return show(B.monte_carlo(_risky(spark, sf_dir), runs=200), ["runs"], ["mean_final_pnl", "median_max_dd", "p95_max_dd"], [])
