@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,13 +102,16 @@ def run_at_close(bars: DataFrame, signal: str, take_profit: float = 2.0, stop_lo
     return found.select(*KEYS, "entry_dt", F.col("x.dt").alias("exit_dt"), "entry_price", F.col("x.price").alias("exit_price"), pnl.alias("pnl"), F.col("x.reason").alias("reason"), F.col("x.offset").alias("hold"), (pnl > 0).alias("is_win"))
 
 
-def run_one_at_a_time(bars: DataFrame, take_profit: float, stop_loss: float, pullback: float, oversold: float = 30.0, uptrend: str = "uptrend") -> DataFrame:
+def run_one_at_a_time(bars: DataFrame, take_profit: float, stop_loss: float, pullback: float, oversold: float = 30.0, uptrend: str = "uptrend", sharpes: DataFrame | None = None, least_sharpe: float = 0.0) -> DataFrame:
     """Long trades of which a series holds one at a time; each depends on when the last ended, so a fold carries it.
 
     Enters at the open of a green bar in an uptrend if the bar before fell by ``pullback`` percent and its RSI was
     oversold; stop (first) or target from the next bar on.  A trade still open at the end is dropped.  ``bars`` needs
-    rsi_sma and the boolean ``uptrend``.
+    rsi_sma and the boolean ``uptrend``.  With ``sharpes`` (symbol, sharpe of a higher timeframe) only symbols whose ratio
+    is above ``least_sharpe`` are traded.
     """
+    if sharpes is not None:
+        bars = bars.join(sharpes.where(F.col("sharpe") > least_sharpe).select("symbol"), "symbol", "left_semi")
     schema = "symbol string, interval string, entry_dt timestamp_ntz, exit_dt timestamp_ntz, entry_price double, exit_price double, pnl double, reason string"
     own = bars.select(*KEYS, "open_dt", "open", "high", "low", "close", "rsi_sma", yes(F.col(uptrend)).alias("_trend"))
 
@@ -178,22 +182,54 @@ def risk(trades: DataFrame, pnl: str = "pnl") -> DataFrame:
     )
 
 
+def _drawn(seed: int) -> Column:
+    """A digest of (seed, run, trade): the same on every cluster and in any engine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("run").cast("string"), F.col("entry_dt").cast("string"), F.col("signal_dt").cast("string")))
+
+
+def _each_run(trades: DataFrame, runs: int, pnl: str) -> DataFrame:
+    rows = trades.select(*KEYS, "entry_dt", "signal_dt", F.col(pnl).alias("pnl"))
+    return rows.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+
+
 def monte_carlo(trades: DataFrame, runs: int = 300, seed: int = 7, pnl: str = "pnl", min_trades: int = 5) -> DataFrame:
     """Per series with enough trades: final PnL, and median and 95 % largest drawdown, in percent, over shuffled orders.
 
-    A shuffle is an order by a hash of (seed, run, trade), so it is the same on every cluster; each (series, run) is a
+    A shuffle is an order by a digest of (seed, run, trade), so it is the same on every cluster; each (series, run) is a
     window of its own.
     """
-    rows = trades.select(*KEYS, "entry_dt", "signal_dt", F.col(pnl).alias("pnl"))
-    enough = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_trades).select(*KEYS)
-    rows = rows.join(enough, KEYS, "left_semi").withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    w = Window.partitionBy(*KEYS, "run").orderBy(F.xxhash64(F.lit(seed), "run", "entry_dt", "signal_dt"), "entry_dt", "signal_dt").rowsBetween(Window.unboundedPreceding, 0)
+    enough = trades.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_trades).select(*KEYS)
+    rows = _each_run(trades.join(enough, KEYS, "left_semi"), runs, pnl)
+    w = Window.partitionBy(*KEYS, "run").orderBy(_drawn(seed), "entry_dt", "signal_dt").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum("pnl").over(w))
     rows = rows.withColumn("_fall", F.max("_sum").over(w) - F.col("_sum"))
     each = rows.groupBy(*KEYS, "run").agg(F.sum("pnl").alias("final"), F.max("_fall").alias("fall"))
     return each.groupBy(*KEYS).agg((F.avg("final") * 100).alias("mean_final_pnl"), (F.percentile("fall", 0.5) * 100).alias("median_max_dd"), (F.percentile("fall", 0.95) * 100).alias("p95_max_dd"), F.count(F.lit(1)).alias("runs"))
 
 
+#: Chances that a Poisson variable of mean 1 is at most 0, 1, 2, ...; past the last one a draw has no chance in 52 bits.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(18))
+
+
+def bootstrap(trades: DataFrame, runs: int = 300, seed: int = 7, pnl: str = "pnl", min_trades: int = 5) -> DataFrame:
+    """Per series: mean, 95 % interval, worst and best final PnL in percent over resamples of its trades with replacement.
+
+    A run draws each trade as often as a Poisson variable of mean 1 says, made from a digest of (seed, run, trade), so
+    runs need neither a driver nor each other and add up map-side in one pass; a run's sum is scaled to the number of
+    trades.  A series of fewer than ``min_trades`` trades has a row of nulls.
+    """
+    draw = F.conv(F.substring(_drawn(seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    times = sum(((draw >= p).cast("int") for p in POISSON), F.lit(0))
+    rows = _each_run(trades, runs, pnl).withColumn("_w", F.when(F.col("pnl").isNotNull(), times))
+    each = rows.groupBy(*KEYS, "run").agg(F.sum(F.col("_w") * F.col("pnl")).alias("sum"), F.sum("_w").alias("w"), F.count("pnl").alias("n"))
+    final = F.when(F.col("n") >= min_trades, F.col("sum") / F.when(F.col("w") > 0, F.col("w")) * F.col("n")) * 100
+    each = each.select(*KEYS, "n", final.alias("final"))
+    return each.groupBy(*KEYS).agg(
+        F.max("n").alias("n_trades"), F.count("final").alias("runs"), F.avg("final").alias("mean_final_pnl"), F.percentile("final", 0.025).alias("ci_lower"), F.percentile("final", 0.975).alias("ci_upper"),
+        F.min("final").alias("worst_case"), F.max("final").alias("best_case"),
+    )
+
+
 def splits(bars: DataFrame, train: float = 0.7, warm_up: int = 0) -> DataFrame:
     """Adds split (train or test) by position after dropping ``warm_up`` bars of series that are longer than that."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*KEYS))

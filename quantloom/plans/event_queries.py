@@ -12,9 +12,9 @@ from quantloom.operators import joins as J
 from quantloom.operators import levels as L
 from quantloom.operators import patterns as P
 from quantloom.operators import signals as S
-from quantloom.plans.base import BB, EVENT_BARS, SHOWN, W, frame, register, rolled, s6, show, sql_t_two_sided
-from quantloom.plans.indicator_queries import CANDLES, FRAME, PATTERN_SQL, STATES
-from quantloom.sources.bars import event_bars, resample
+from quantloom.plans.base import BB, EVENT_BARS, ORDER_BARS, SHOWN, W, frame, register, rolled, s6, show, sql_t_two_sided
+from quantloom.plans.indicator_queries import CANDLES, CUTLER, FRAME, PATTERN_SQL, STATES
+from quantloom.sources.bars import event_bars, order_bars, resample
 
 FOUR = f"""h4 AS (SELECT symbol, time_bucket(INTERVAL 4 HOUR, open_dt)::TIMESTAMP AS open_dt, arg_min(open, open_dt) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_dt) AS close FROM bars GROUP BY ALL),
 hs AS (SELECT *, {rolled('avg', 'close', 5)} AS sma_5 FROM h4)"""
@@ -146,6 +146,61 @@ def pattern_hit_rates(spark, sf_dir):
     return show(E.pattern_hits(P.patterns(event_bars(spark, sf_dir)), list(PATTERN_SQL)), ["pattern", "signals", "last_on"], ["hit_rate"], [])
 
 
+_LONG = f"b2 AS (SELECT *, {rolled('avg', 'close', 200)} AS s200 FROM bb)"
+
+
+def _masked(side: str, regime: str) -> str:
+    """SQL of first touches of one band above or below the long mean."""
+    touch = f"coalesce(t_{side} AND close {'>' if regime == 'above_sma200' else '<'} s200, false)"
+    return f"{_LONG}, mk AS (SELECT *, {touch} AS mk FROM b2), ev AS (SELECT *, mk AND NOT coalesce(lag(mk) OVER ({W}), false) AS ev, lead(open_dt) OVER ({W}) AS nx FROM mk)"
+
+
+def _long_bands(bars):
+    return I.band_touches(I.bollinger(I.moving_averages(bars, (5, 20, 50, 200))))
+
+
+_TWO_DAILY = ORDER_BARS.replace("bars AS", "b0 AS", 1) + """, bars AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_dt) AS rn FROM (SELECT symbol || '|1d' AS symbol, open_dt, open, high, low, close, volume FROM b0
+  UNION ALL SELECT symbol || '|3d', time_bucket(INTERVAL 3 DAY, open_dt)::TIMESTAMP AS t, arg_min(open, open_dt), max(high), min(low), arg_max(close, open_dt), sum(volume) FROM b0 GROUP BY symbol, t))"""
+
+
+_HIT = f"m AS (SELECT *, list_position(list(t_mid::INT) {frame(1, 7)}, 1) AS hit, list(t_mid::INT) {frame(8, 12)} AS late FROM ev)"
+
+
+@register(f"""WITH {ORDER_BARS}, {BB}, {_masked('low', 'above_sma200')}, {_HIT}
+SELECT symbol, count(*) AS events, count(*) FILTER (hit > 0) AS success, {s6('avg(hit) FILTER (hit > 0)', 'mean_bars')}, count(*) FILTER (coalesce(hit, 0) = 0 AND len(late) = 5) AS failed FROM m WHERE ev AND nx IS NOT NULL GROUP BY symbol""")
+def band_mid_touch_lower(spark, sf_dir):
+    """First touches of the lower band above the long mean."""
+    return show(E.mid_touch(_long_bands(order_bars(spark, sf_dir)), "lower", regime="above_sma200"), ["events", "success", "failed"], ["mean_bars"], [])
+
+
+@register(f"""WITH {ORDER_BARS}, {BB}, {_masked('low', 'below_sma200')}, p AS (SELECT *, CASE WHEN up - dn > 0 THEN least(1.0, greatest(0.0, (high - dn) / (up - dn))) END AS pl FROM ev), q AS (SELECT *, max(pl) {frame(1, 7)} AS x FROM p)
+SELECT symbol, count(*) FILTER (x <= 0.25) AS q1, count(*) FILTER (x > 0.25 AND x <= 0.5) AS q2, count(*) FILTER (x > 0.5 AND x <= 0.75) AS q3, count(*) FILTER (x > 0.75) AS q4, count(*) AS total FROM q WHERE ev AND x IS NOT NULL GROUP BY symbol""")
+def quartile_reach_lower(spark, sf_dir):
+    """How far prices climbed after a first touch of the lower band below the long mean."""
+    return show(E.quartile_reach(_long_bands(order_bars(spark, sf_dir)), "lower", regime="below_sma200"), ["q1", "q2", "q3", "q4", "total"], [], [])
+
+
+@register(f"""WITH {_TWO_DAILY}, {BB}, {_masked('low', 'above_sma200')}, {_HIT}
+SELECT symbol, count(*) AS events, count(*) FILTER (hit > 0) AS success, {s6('avg(hit) FILTER (hit > 0)', 'mean_bars')} FROM m WHERE ev AND nx IS NOT NULL GROUP BY symbol""")
+def band_report_lower(spark, sf_dir):
+    """The lower band's study above the long mean, for several intervals in one job."""
+    daily = order_bars(spark, sf_dir)
+    both = daily.union(resample(daily, "3 days", "3d").select(daily.columns))
+    out = E.mid_touch(_long_bands(both), "lower", regime="above_sma200")
+    return show(out.withColumn("symbol", F.concat_ws("|", "symbol", "interval")), ["events", "success"], ["mean_bars"], [])
+
+
+@register(f"""WITH {ORDER_BARS}, {BB}, f AS (SELECT *, t_low AND NOT coalesce(lag(t_low) OVER ({W}), false) AS a, t_up AND NOT coalesce(lag(t_up) OVER ({W}), false) AS b,
+  coalesce((t_low OR t_up) AND NOT coalesce(lag(t_low OR t_up) OVER ({W}), false) AND max(t_mid::INT) {frame(1, 7)} = 1, false) AS c FROM bb)
+SELECT {SHOWN}, a AS lower_touch, b AS upper_touch, c AS mid_reversion FROM f WHERE a OR b OR c""")
+def band_filter_modes(spark, sf_dir):
+    """Bars that one of the band filter's modes lets through."""
+    out = _long_bands(order_bars(spark, sf_dir))
+    for mode in ("lower_touch", "upper_touch", "mid_reversion"):
+        out = E.band_filter(out, mode).withColumnRenamed("bb_filter", mode)
+    return show(out.where("lower_touch OR upper_touch OR mid_reversion"), ["lower_touch", "upper_touch", "mid_reversion"], [])
+
+
 def _frame(spark, sf_dir):
     return S.strategy_signals(I.strategy_frame(event_bars(spark, sf_dir), main=100), main="sma_100")
 
@@ -175,9 +230,9 @@ def backtest_fixed(spark, sf_dir):
     return _show_trades(B.run(_frame(spark, sf_dir), "engulfing_long"))
 
 
-@register(f"WITH {STATES}, {FRAME}, {_trades('rsi_short', 'short', 'connors', bars=20)} SELECT {TRADES} FROM td")
+@register(f"WITH {STATES}, {FRAME}, {_trades('engulfing_short', 'short', 'connors', bars=20)} SELECT {TRADES} FROM td")
 def backtest_connors_short(spark, sf_dir):
-    return _show_trades(B.run(_frame(spark, sf_dir), "rsi_short", B.Rules(direction="short", exit_rule="connors", max_bars=20)))
+    return _show_trades(B.run(_frame(spark, sf_dir), "engulfing_short", B.Rules(direction="short", exit_rule="connors", max_bars=20)))
 
 
 @register(f"WITH {STATES}, {FRAME}, {_trades('bb_breakout_long', 'long', 'squeeze', tp=0.5, sl=0.4, lev=2)} SELECT {TRADES} FROM td")
@@ -231,11 +286,27 @@ def trade_mean_interval(spark, sf_dir):
     return show(with_mean_interval(means, "mean", "sd", "n_trades"), ["n_trades"], ["mean", "ci_lower", "ci_upper", "ci_width"], [])
 
 
-@register()
+_DRAWN = "md5(concat_ws('|', '7', run, edt, sdt))"
+_RUNS = f"{STATES}, {FRAME}, {_RISKY}, mc AS (SELECT td.symbol, edt, sdt, pnl, run, {_DRAWN} AS h FROM td, range(1, 201) AS x(run))"
+
+
+@register(f"""WITH {_RUNS}, c AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol, run ORDER BY h, edt, sdt ROWS UNBOUNDED PRECEDING) AS cs FROM mc),
+f AS (SELECT symbol, run, pnl, max(cs) OVER (PARTITION BY symbol, run ORDER BY h, edt, sdt ROWS UNBOUNDED PRECEDING) - cs AS fall FROM c), e AS (SELECT symbol, run, sum(pnl) AS final, max(fall) AS fall, count(*) AS n FROM f GROUP BY symbol, run)
+SELECT symbol, count(*) AS runs, {s6('avg(final) * 100', 'mean_final_pnl')}, {s6('quantile_cont(fall, 0.5) * 100', 'median_max_dd')}, {s6('quantile_cont(fall, 0.95) * 100', 'p95_max_dd')} FROM e WHERE n >= 5 GROUP BY symbol""")
 def monte_carlo_drawdown(spark, sf_dir):
     return show(B.monte_carlo(_risky(spark, sf_dir), runs=200), ["runs"], ["mean_final_pnl", "median_max_dd", "p95_max_dd"], [])
 
 
+@register(f"""WITH {_RUNS}, u AS (SELECT *, ('0x' || substr(h, 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u FROM mc),
+w AS (SELECT *, {" + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in B.POISSON)} AS w FROM u), e AS (SELECT symbol, run, sum(w * pnl) / nullif(sum(w), 0) * count(*) * 100 AS final, count(*) AS n FROM w GROUP BY symbol, run),
+g AS (SELECT symbol, n, CASE WHEN n >= 18 THEN final END AS final FROM e)
+SELECT symbol, max(n) AS n_trades, count(final) AS runs, {s6('avg(final)', 'mean_final_pnl')}, {s6('quantile_cont(final, 0.025)', 'ci_lower')}, {s6('quantile_cont(final, 0.975)', 'ci_upper')}, {s6('min(final)', 'worst_case')}, {s6('max(final)', 'best_case')} FROM g GROUP BY symbol""")
+def pnl_bootstrap(spark, sf_dir):
+    """Resamples of each series' trades; series of fewer than 18 of them have nulls."""
+    out = B.bootstrap(_risky(spark, sf_dir), runs=200, min_trades=18)
+    return show(out, ["n_trades", "runs"], ["mean_final_pnl", "ci_lower", "ci_upper", "worst_case", "best_case"], [])
+
+
 _SPLIT = _RISKY.replace("FROM sg)", "FROM s2)").replace("JOIN sg b", "JOIN s2 b")
 
 
@@ -259,14 +330,37 @@ def backtest_at_close(spark, sf_dir):
     return show(B.run_at_close(bars, "green"), ["reason", "hold", "is_win"], ["entry_price", "exit_price", "pnl"], ["entry_dt"])
 
 
-@register()
-def backtest_one_at_a_time(spark, sf_dir):
-    bars = I.rsi_cutler(I.moving_averages(event_bars(spark, sf_dir), (20,)))
-    bars = bars.withColumn("uptrend", F.col("close") > F.col("sma_20"))
-    trades = B.run_one_at_a_time(bars, take_profit=40.0, stop_loss=20.0, pullback=10.0, oversold=60.0)
+_CHAIN = f"""RECURSIVE {EVENT_BARS}, {CUTLER}, m AS (SELECT *, {rolled('avg', 'close', 20)} AS m20 FROM cu),
+rd AS (SELECT *, (lag(close) OVER ({W}) / nullif(lag(open) OVER ({W}), 0) - 1) * 100 <= -10.0 AND lag(rsi_sma) OVER ({W}) < 60 AND close > open AND close > m20 AS ready FROM m),
+en AS (SELECT symbol, rn, open_dt AS edt, open AS ep, open * (1 - 20.0::DOUBLE / 100) AS st, open * (1 + 40.0::DOUBLE / 100) AS tg FROM rd WHERE ready),
+ex AS (SELECT en.*, (SELECT min(b.rn) FROM bars b WHERE b.symbol = en.symbol AND b.rn > en.rn AND (b.low <= st OR b.high >= tg)) AS xr FROM en),
+ch AS (SELECT * FROM ex QUALIFY row_number() OVER ({W.replace('open_dt', 'rn')}) = 1
+  UNION ALL SELECT ex.* FROM ch JOIN ex ON ex.symbol = ch.symbol AND ex.rn > ch.xr QUALIFY row_number() OVER (PARTITION BY ex.symbol ORDER BY ex.rn) = 1),
+tr1 AS (SELECT ch.*, b.open_dt AS xdt, b.low <= st AS sl, b.high >= tg AS tp FROM ch JOIN bars b ON b.symbol = ch.symbol AND b.rn = ch.xr),
+one AS (SELECT symbol, edt, xdt, ep, CASE WHEN sl THEN st ELSE tg END AS xp, CASE WHEN sl AND tp THEN 'SL and TP' WHEN sl THEN 'SL' ELSE 'TP' END AS reason FROM tr1)"""
+_ONE = f"SELECT symbol, edt::VARCHAR AS entry_dt, xdt::VARCHAR AS exit_dt, reason, {s6('ep', 'entry_price')}, {s6('xp', 'exit_price')}, {s6('(xp - ep) / ep * 100', 'pnl')} FROM one"
+
+
+def _one_at_a_time(spark, sf_dir, gated: bool):
+    bars = event_bars(spark, sf_dir)
+    sharpes = I.series_returns(resample(bars, "4 hours", "4h")) if gated else None
+    bars = I.rsi_cutler(I.moving_averages(bars, (20,))).withColumn("uptrend", F.col("close") > F.col("sma_20"))
+    trades = B.run_one_at_a_time(bars, take_profit=40.0, stop_loss=20.0, pullback=10.0, oversold=60.0, sharpes=sharpes, least_sharpe=3.0)
     return show(trades, ["reason"], ["entry_price", "exit_price", "pnl"], ["entry_dt", "exit_dt"])
 
 
+@register(f"WITH {_CHAIN} {_ONE}")
+def backtest_one_at_a_time(spark, sf_dir):
+    return _one_at_a_time(spark, sf_dir, False)
+
+
+@register(f"""WITH {_CHAIN}, {FOUR.partition('hs AS')[0].rstrip().rstrip(',')}, g4 AS (SELECT symbol, close / nullif(lag(close) OVER ({W}), 0) - 1 AS ret FROM h4),
+sh AS (SELECT symbol FROM g4 GROUP BY symbol HAVING avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) > 3) {_ONE} WHERE symbol IN (SELECT symbol FROM sh)""")
+def backtest_gated(spark, sf_dir):
+    """One trade at a time, only where the four-hour Sharpe ratio is above 3."""
+    return _one_at_a_time(spark, sf_dir, True)
+
+
 @register(f"""WITH {EVENT_BARS}, p AS (SELECT *, close > open AND lag(close < open) OVER ({W}) AS ev, (lead(close, 5) OVER ({W}) / nullif(close, 0) - 1) * 100 AS r FROM bars)
 SELECT symbol, count(*) AS events, count(r) AS complete, {s6('avg(r)', 'avg_ret')} FROM p WHERE ev GROUP BY symbol""")
 def five_bar_return(spark, sf_dir):

@@ -39,9 +39,22 @@ def resample_4h(spark, sf_dir):
     return show(resample(event_bars(spark, sf_dir), "4 hours", "4h"), [], ["open", "high", "low", "close", "volume"])
 
 
-@register(f"WITH {EVENT_BARS} SELECT symbol, count(*) AS n FROM bars WHERE high < low OR open NOT BETWEEN low AND high OR close NOT BETWEEN low AND high GROUP BY symbol")
+#: Prices spoiled by the hour, so that every kind of fault is there.
+_SPOILED = {
+    "high": "CASE WHEN hour(open_dt) % 8 = 1 THEN low - 1 ELSE high END", "open": "CASE hour(open_dt) % 8 WHEN 3 THEN high + 1 WHEN 6 THEN CAST('NaN' AS DOUBLE) ELSE open END",
+    "close": "CASE hour(open_dt) % 8 WHEN 5 THEN low - 1 WHEN 7 THEN NULL WHEN 2 THEN CAST('Infinity' AS DOUBLE) ELSE close END",
+}
+
+
+@register(f"""WITH {EVENT_BARS}, f AS (SELECT symbol, open_dt, low, {", ".join(f"{c} AS {n}" for n, c in _SPOILED.items())} FROM bars),
+v AS (SELECT symbol, CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR NOT isfinite(open) OR NOT isfinite(close) THEN 'not finite' WHEN high < low THEN 'high under low'
+  WHEN open NOT BETWEEN low AND high THEN 'open outside' WHEN close NOT BETWEEN low AND high THEN 'close outside' END AS violation FROM f)
+SELECT symbol, violation, count(*) AS n FROM v WHERE violation IS NOT NULL GROUP BY ALL""")
 def bar_violations(spark, sf_dir):
-    return violations(event_bars(spark, sf_dir)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    """Bars that cannot be, by kind, among bars of which some were spoiled."""
+    bars = event_bars(spark, sf_dir)
+    spoiled = bars.select("symbol", "interval", "open_dt", "low", "volume", *[F.expr(c).alias(n) for n, c in _SPOILED.items()])
+    return violations(spoiled).groupBy("symbol", "violation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(f"WITH {EVENT_BARS} SELECT {SHOWN}, " + ", ".join(s6(rolled("avg", "close", n), f"sma_{n}") for n in (5, 20, 50, 200)) + " FROM bars")
@@ -140,13 +153,16 @@ def stochastic_rsi(spark, sf_dir):
     return show(recursive(event_bars(spark, sf_dir), ["stoch_rsi"]), [], ["stoch_rsi_k", "stoch_rsi_d"])
 
 
-@register(f"""WITH RECURSIVE {EVENT_BARS}, {TR}, a AS (SELECT symbol, rn, tr AS a FROM tr WHERE rn = 1 UNION ALL SELECT b.symbol, b.rn, b.tr / 10 + a.a * 9 / 10 FROM a JOIN tr b ON b.symbol = a.symbol AND b.rn = a.rn + 1),
+SUPERTREND = f"""{TR}, a AS (SELECT symbol, rn, tr AS a FROM tr WHERE rn = 1 UNION ALL SELECT b.symbol, b.rn, b.tr / 10 + a.a * 9 / 10 FROM a JOIN tr b ON b.symbol = a.symbol AND b.rn = a.rn + 1),
 bd AS (SELECT tr.*, (high + low) / 2 + 3 * a AS ub, (high + low) / 2 - 3 * a AS lb FROM tr JOIN a USING (symbol, rn)),
 s AS (SELECT symbol, rn, close, ub AS u, lb AS l, true AS onu FROM bd WHERE rn = 10
   UNION ALL
   SELECT symbol, rn, close, u, l, CASE WHEN onu THEN close <= u ELSE close < l END FROM (
     SELECT b.symbol, b.rn, b.close, CASE WHEN b.ub < s.u OR s.close > s.u THEN b.ub ELSE s.u END AS u, CASE WHEN b.lb > s.l OR s.close < s.l THEN b.lb ELSE s.l END AS l, s.onu
-    FROM s JOIN bd b ON b.symbol = s.symbol AND b.rn = s.rn + 1))
+    FROM s JOIN bd b ON b.symbol = s.symbol AND b.rn = s.rn + 1))"""
+
+
+@register(f"""WITH RECURSIVE {EVENT_BARS}, {SUPERTREND}
 SELECT b.symbol, b.open_dt::VARCHAR AS open_dt, (CASE WHEN b.close > CASE WHEN onu THEN u ELSE l END THEN 1 ELSE -1 END)::BIGINT AS supertrend_dir, {s6('CASE WHEN onu THEN u ELSE l END', 'supertrend')} FROM bars b LEFT JOIN s USING (symbol, rn)""")
 def supertrend(spark, sf_dir):
     return show(fold(event_bars(spark, sf_dir), ["supertrend"]), ["supertrend_dir"], ["supertrend"])
@@ -221,10 +237,10 @@ def sequence_match(spark, sf_dir):
 @register(f"""WITH {STATES}, rs AS (SELECT *, 100 * (rsi - {rolled('min', 'rsi', 14)}) / ({rolled('max', 'rsi', 14)} - {rolled('min', 'rsi', 14)} + 1e-10) AS f FROM st),
 x AS (SELECT *, {", ".join(f"CASE WHEN {rolled('max', 'high', n)} - {rolled('min', 'low', n)} <> 0 THEN 100 * (close - {rolled('min', 'low', n)}) / ({rolled('max', 'high', n)} - {rolled('min', 'low', n)}) END AS f{n}" for n in (5, 10, 20))},
   {rolled('avg', 'f', 3)} AS rk, CASE WHEN rn >= 20 THEN sum((high + low + close) / 3 * volume) {frame(-19, 0)} / (sum(volume) {frame(-19, 0)} + 1e-10) END AS vw FROM rs),
-y AS (SELECT *, {", ".join(f"{rolled('avg', f'f{n}', k)} AS k{n}" for n, k in ((5, 3), (10, 6), (20, 12)))}, {rolled('avg', 'rk', 3)} AS rd FROM x)
-SELECT {SHOWN}, (coalesce(sign(k5 - d5), 0) + coalesce(sign(k10 - d10), 0) + coalesce(sign(k20 - d20), 0) + coalesce(sign(rk - rd), 0) + coalesce(sign(close - vw), 0))::BIGINT AS votes
-FROM (SELECT *, {", ".join(f"{rolled('avg', f'k{n}', k)} AS d{n}" for n, k in ((5, 3), (10, 6), (20, 12)))} FROM y)""")
+y AS (SELECT *, {", ".join(f"{rolled('avg', f'f{n}', k)} AS k{n}" for n, k in ((5, 3), (10, 6), (20, 12)))}, {rolled('avg', 'rk', 3)} AS rd FROM x),
+z AS (SELECT *, {", ".join(f"{rolled('avg', f'k{n}', k)} AS d{n}" for n, k in ((5, 3), (10, 6), (20, 12)))} FROM y),
+{SUPERTREND}, v AS (SELECT z.symbol, z.open_dt, (coalesce(sign(k5 - d5), 0) + coalesce(sign(k10 - d10), 0) + coalesce(sign(k20 - d20), 0) + coalesce(sign(rk - rd), 0) + coalesce(sign(z.close - vw), 0)
+  + CASE WHEN z.close > CASE WHEN s.onu THEN s.u ELSE s.l END THEN 1 ELSE -1 END)::BIGINT AS votes FROM z LEFT JOIN s USING (symbol, rn))
+SELECT {SHOWN}, votes, CASE WHEN votes >= 2 THEN 'bullish' WHEN votes <= -2 THEN 'bearish' ELSE 'neutral' END AS bias FROM v""")
 def trend_votes(spark, sf_dir):
-    """Votes without the Supertrend's, which has a query of its own."""
-    out = S.trend_votes(I.trend_frame(event_bars(spark, sf_dir)))
-    return show(out.withColumn("votes", F.col("votes") - F.col("supertrend_dir")), ["votes"], [])
+    return show(S.trend_votes(I.trend_frame(event_bars(spark, sf_dir))), ["votes", "bias"], [])

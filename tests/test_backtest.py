@@ -136,3 +136,24 @@ def test_mean_interval(spark):
 
     got = with_mean_interval(spark.createDataFrame([(1.0, 2.0, 10), (1.0, 0.0, 10), (1.0, None, 1), (None, None, 0)], "m double, s double, n int"), "m", "s", "n").collect()
     assert got[0].ci_upper - 1 == pytest.approx(2.2621571627 * 2 / 10**0.5) and got[1].ci_lower == 1 and got[2].ci_width == 0 and got[3].ci_lower is None
+
+
+def test_bootstrap_spreads_round_the_sum_and_needs_trades(spark):
+    few = B.bootstrap(_trades(spark, [0.1, 0.2, -0.1, 0.3]), 20).first()
+    assert few.n_trades == 4 and few.runs == 0 and few.mean_final_pnl is None and few.best_case is None
+    pnls = [0.1, -0.2, 0.05, 0.3, -0.1, 0.02, 0.07, -0.04]
+    many = _trades(spark, pnls)
+    a, b = (B.bootstrap(x, 400).first() for x in (many, many.repartition(3)))
+    assert [round(x, 9) if isinstance(x, float) else x for x in a] == [round(x, 9) if isinstance(x, float) else x for x in b]
+    sd = (sum((p - sum(pnls) / 8) ** 2 for p in pnls) / 8) ** 0.5
+    assert a.mean_final_pnl == pytest.approx(sum(pnls) * 100, abs=4 * 100 * sd * 8**0.5 / 400**0.5)
+    assert a.worst_case < a.ci_lower < a.mean_final_pnl < a.ci_upper < a.best_case
+    assert (a.ci_upper - a.ci_lower) / 100 == pytest.approx(2 * 1.96 * sd * 8**0.5, rel=0.25)
+
+
+def test_gate_by_the_higher_timeframe(spark):
+    rows = [(100, 101, 89, 90, 1.0), (90, 93, 89, 92, 1.0), (92, 96, 91, 95, 1.0), (95, 96, 80, 82, 1.0)]
+    df = bars(spark, rows).union(bars(spark, rows, "Y")).withColumns({"rsi_sma": F.lit(10.0), "uptrend": F.lit(True)})
+    sharpes = spark.createDataFrame([("X", 0.4), ("Y", 0.0)], "symbol string, sharpe double")
+    got = B.run_one_at_a_time(df, take_profit=5.0, stop_loss=5.0, pullback=5.0, sharpes=sharpes).collect()
+    assert [t.symbol for t in got] == ["X"]
