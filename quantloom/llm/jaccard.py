@@ -39,7 +39,9 @@ STEP = 16
 #: Pairs are dropped once the posterior probability of reaching the threshold is below this.
 TOLERANCE = 1e-7
 #: A block holds about so many documents and shingles at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
+#: Pairs left for each set at which all sets are compared at once instead of pair by pair, and shingles taken at a time.
+DENSE, DENSE_SHINGLES = 8, 4096
 
 _U32 = np.uint32
 
@@ -137,16 +139,46 @@ def verify_block(sig_a, sig_b, sets_a, sets_b, t: float, tolerance: float) -> tu
         a, b, equal = a[keep], b[keep], equal[keep]
         if not len(a):
             break
-    good = np.zeros(len(a), dtype=bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        u, v = sets_a[x], sets_b[y]
-        at = np.searchsorted(v, u)
-        at[at == len(v)] = 0
-        common = int((v[at] == u).sum())
-        good[i] = common >= t * (len(u) + len(v) - common) - 1e-9
+    if len(a) > DENSE * (len(sets_a) + len(sets_b)):
+        common = _common(sets_a, sets_b)[a, b]
+    else:
+        common = np.array([_shared(sets_a[x], sets_b[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=np.int64)
+    good = common >= t * (size_a[a] + size_b[b] - common) - 1e-9
     return a[good], b[good]
 
 
+def _shared(u: np.ndarray, v: np.ndarray) -> int:
+    at = np.searchsorted(v, u)
+    at[at == len(v)] = 0
+    return int((v[at] == u).sum())
+
+
+def _common(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share: products of incidence matrices, some shingles at a time."""
+    flat = [np.concatenate(x) for x in (sets_a, sets_b)]
+    both = np.intersect1d(*(np.unique(x) for x in flat))
+    out = np.zeros((len(sets_a), len(sets_b)), dtype=np.float32)
+    if not len(both):
+        return out.astype(np.int64)
+    entries = []
+    for hashes, sets in zip(flat, (sets_a, sets_b), strict=True):
+        column, row = np.searchsorted(both, hashes), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        column[column == len(both)] = 0
+        known = both[column] == hashes
+        column, row = column[known], row[known]
+        order = np.argsort(column, kind="stable")
+        entries.append((column[order], row[order], len(sets)))
+    for lo in range(0, len(both), DENSE_SHINGLES):
+        sides = []
+        for column, row, n in entries:
+            s = slice(*np.searchsorted(column, (lo, lo + DENSE_SHINGLES)))
+            side = np.zeros((n, min(DENSE_SHINGLES, len(both) - lo)), dtype=np.float32)
+            side[row[s], column[s] - lo] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T  # whole numbers below 2**24
+    return out.astype(np.int64)
+
+
 def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs that join two trees, in order: a spanning forest."""
     up: dict[int, int] = {}

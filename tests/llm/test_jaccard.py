@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quantloom.llm import jaccard
 
 
@@ -88,3 +90,17 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i % 9973}x{i // 7}" for i in range(200_000))
     docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "short")], "doc_id long, text string")
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
+def test_dense_and_single_comparison_agree(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < 0.95], rng.integers(0, 1 << 60, 10, dtype=np.uint64)])) for _ in range(40)] + [np.zeros(0, np.uint64)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    sig = jaccard.signatures(np.concatenate(sets), first, 160)
+    found = []
+    for dense, step in ((10**9, 4096), (0, 4096), (0, 7)):
+        monkeypatch.setattr(jaccard, "DENSE", dense)
+        monkeypatch.setattr(jaccard, "DENSE_SHINGLES", step)
+        found.append([x.tolist() for x in jaccard.verify_block(sig[:20], sig[20:], sets[:20], sets[20:], 0.8, 1e-7)])
+    assert found[0] == found[1] == found[2] and len(found[0][0]) > 50
