@@ -14,7 +14,13 @@ from quantloom.operators.joins import follow
 
 FACTORS = (0.7, 0.85, 1.0, 1.15, 1.35)
 #: Least and largest value, and decimals, of each parameter that is searched (fixed values).
-SPACE = {"take_profit": (0.1, 8.0, 2), "stop_loss": (0.1, 6.0, 2), "max_hold": (4, 800, 0)}
+SPACE = {
+    "take_profit": (0.1, 8.0, 2), "stop_loss": (0.1, 6.0, 2), "max_hold": (4, 800, 0), "rsi_level": (50, 90, 0), "fast_len": (3, 400, 0), "slow_len": (5, 1200, 0),
+    "adx_level": (5, 60, 0), "band_len": (5, 120, 0), "band_width": (0.5, 4.0, 2), "atr_len": (5, 120, 0), "keltner_width": (0.5, 4.0, 2), "volume_factor": (0.5, 10.0, 2),
+    "macd_fast": (4, 40, 0), "macd_slow": (8, 80, 0), "macd_signal": (3, 30, 0),
+}
+#: Lengths of which the second is longer than the first in every set.
+ORDERED = (("fast_len", "slow_len"), ("macd_fast", "macd_slow"))
 
 
 def grid(value: float, least: float, most: float, digits: int) -> list[float]:
@@ -31,6 +37,8 @@ def candidates(base: Mapping[str, float], trials: int = 18, seed: str = "") -> l
         if len(out) >= trials:
             break
         one = {k: rng.choice(v) for k, v in space.items()}
+        if any(a in one and b in one and one[a] >= one[b] for a, b in ORDERED):
+            continue
         if (key := tuple(sorted(one.items()))) not in seen:
             seen.add(key)
             out.append(one)

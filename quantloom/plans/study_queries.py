@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.functions import frames
 from quantloom.operators import events as E
 from quantloom.operators import indicators as I
 from quantloom.operators import patterns as P
 from quantloom.operators import scan as C
 from quantloom.operators import signals as S
-from quantloom.operators import sweep
+from quantloom.operators import signal_sweep, sweep
 from quantloom.operators.streak import with_odds
-from quantloom.plans.base import BB, EVENT_BARS, SHOWN, W, frame, register, rolled, s6, show
+from quantloom.plans.base import BB, EVENT_BARS, ORDER_BARS, SHOWN, W, frame, register, rolled, s6, show
 from quantloom.plans.indicator_queries import CUTLER, FRAME, SIG, STATES
 from quantloom.plans.streak_queries import ODDS, odds
-from quantloom.sources.bars import event_bars, part_bars
+from quantloom.sources.bars import event_bars, order_bars, part_bars
 
 
 @register(f"""WITH {EVENT_BARS}, {CUTLER}, x AS (SELECT *, (coalesce(rsi_sma >= 55, false) OR coalesce(rsi_sma <= 35, false)) AND coalesce(sum((close > open)::INT) {frame(-1, 0)} = 2, false) AND NOT coalesce(volume > 8, false) AS c, lead(close > open) OVER ({W}) AS nx FROM cu),
@@ -107,3 +108,67 @@ def latest_change_many_series(spark, sf_dir):
 
     bars = part_bars(spark, sf_dir)
     return show(C.latest(bars.withColumn("change", F.when(prev("close") != 0, (F.col("close") / prev("close") - 1) * 100))), [], ["change"])
+
+
+SWEPT = [
+    {"strategy": "ma_cross", "fast_len": 10, "slow_len": 30}, {"strategy": "ma_cross", "fast_len": 7, "slow_len": 60, "max_hold": 40, "take_profit": 20.0, "stop_loss": 30.0},
+    {"strategy": "band_breakout", "volume_factor": 0.9}, {"strategy": "band_breakout", "band_len": 15, "band_width": 1.2, "volume_factor": 0.8, "max_hold": 12},
+    {"strategy": "mean_reversion", "slow_len": 30, "band_width": 0.1, "rsi_level": 45}, {"strategy": "squeeze", "band_width": 1.0, "atr_len": 14},
+    {"strategy": "squeeze", "band_len": 25, "band_width": 1.2, "keltner_width": 1.0, "stop_loss": 4.0}, {"strategy": "trend", "adx_level": 12}, {"strategy": "trend", "fast_len": 50, "adx_level": 15},
+    {"strategy": "turtle", "slow_len": 50}, {"strategy": "turtle", "channel_len": 33, "slow_len": 100, "max_hold": 60, "take_profit": 60.0, "stop_loss": 50.0},
+]
+
+
+def _swept_sql() -> tuple[str, str]:
+    """The columns that the sets read, as frames of each length, and the condition of each set."""
+    sets = [signal_sweep.USUAL | s for s in SWEPT]
+    n_of = lambda *names: sorted({s[n] for s in sets for n in names})
+    columns = [f"{rolled('avg', 'close', n)} AS m{n}" for n in n_of("fast_len", "slow_len", "band_len")] + [f"{rolled('stddev_samp', 'close', n)} AS d{n}" for n in n_of("band_len")]
+    columns += [f"{rolled('avg', 'volume', n)} AS v{n}" for n in n_of("volume_len")] + [f"CASE WHEN rn > {n} THEN max(high) {frame(-n, -1)} END AS t{n}" for n in n_of("channel_len")]
+
+    def condition(s) -> str:
+        m, d, k = f"m{s['band_len']}", f"d{s['band_len']}", s["band_width"]
+        lag = lambda c: f"lag({c}) OVER ({W})"
+        on = f"coalesce({m} + {k} * {d} < {m} + {s['keltner_width']} * atr{s['atr_len']} AND {m} - {k} * {d} > {m} - {s['keltner_width']} * atr{s['atr_len']}, false)"
+        return {
+            "ma_cross": f"m{s['fast_len']} > m{s['slow_len']} AND {lag(f'm{s["fast_len"]}')} <= {lag(f'm{s["slow_len"]}')}",
+            "band_breakout": f"close > {m} + {k} * {d} AND {lag('close')} <= {lag(f'{m} + {k} * {d}')} AND volume > {s['volume_factor']} * v{s['volume_len']}",
+            "mean_reversion": f"close > m{s['slow_len']} AND close < {m} - {k} * {d} AND rsi < {100 - s['rsi_level']}",
+            "squeeze": f"{lag(on)} AND NOT {on} AND close > {m}",
+            "trend": f"adx >= {s['adx_level']} AND close > m{s['fast_len']} AND macd > sig",
+            "turtle": f"close > t{s['channel_len']} AND close > m{s['slow_len']}",
+        }[s["strategy"]]
+
+    conditions = ", ".join(f"coalesce({condition(s)}, false) AS on{i}" for i, s in enumerate(sets))
+    events = " UNION ALL ".join(
+        f"SELECT symbol, rn, close AS ep, {i} AS param_id, {s['take_profit']!r}::DOUBLE AS tp, {s['stop_loss']!r}::DOUBLE AS sl, {s['max_hold']} AS mh FROM cn WHERE on{i}" for i, s in enumerate(sets)
+    )
+    return f"fr AS (SELECT *, {', '.join(columns)} FROM sx), cn AS (SELECT *, {conditions} FROM fr)", events
+
+
+_FRAMES, _EVENTS = _swept_sql()
+
+
+@register(f"""WITH {STATES}, {_FRAMES}, n AS (SELECT symbol, count(*) AS n, floor(count(*) * 0.7) AS cut FROM bars GROUP BY symbol), e1 AS ({_EVENTS}),
+e AS (SELECT e1.*, CASE WHEN rn > cut THEN 'test' WHEN rn + mh <= cut THEN 'train' END AS split FROM e1 JOIN n USING (symbol) WHERE rn + mh <= n),
+x AS (SELECT e.*, b.rn - e.rn AS o, b.low, b.high, b.close, ep * (1 - sl / 100) AS st, ep * (1 + tp / 100) AS tg FROM e JOIN bars b ON b.symbol = e.symbol AND b.rn > e.rn AND b.rn <= e.rn + mh),
+y AS (SELECT symbol, param_id, split, rn, arg_min((CASE WHEN low <= st THEN st WHEN high >= tg THEN tg ELSE close END - ep) / ep * 100, o) AS pnl FROM x WHERE low <= st OR high >= tg OR o = mh GROUP BY symbol, param_id, split, rn),
+z AS (SELECT symbol, param_id, split, pnl FROM y WHERE split IS NOT NULL UNION ALL SELECT symbol, param_id, 'full', pnl FROM y)
+SELECT symbol, param_id::BIGINT AS param_id, split, count(*) AS n_trades, {s6('count(*) FILTER (pnl > 0) / count(*)::DOUBLE * 100', 'win_rate')}, {s6('sum(pnl)', 'total_pnl')}, {s6('avg(pnl)', 'avg_pnl')} FROM z GROUP BY symbol, param_id, split""")
+def strategy_sweep(spark, sf_dir):
+    """Eleven sets of six strategies, with lengths and levels of their own, in one job."""
+    return show(signal_sweep.evaluate(event_bars(spark, sf_dir), SWEPT), ["param_id", "split", "n_trades"], ["win_rate", "total_pnl", "avg_pnl"], [])
+
+
+_FAR = (20, 500)
+
+
+@register(f"""WITH {ORDER_BARS} SELECT {SHOWN}, {", ".join(s6(rolled(f, c, n), f"{k}_{n}") for n in _FAR for k, f, c in (("top", "max", "high"), ("bottom", "min", "low"), ("mean", "avg", "close"), ("dev", "stddev_samp", "close")))},
+{", ".join(s6(f"max(high) {frame(1, n)}", f"ahead_{n}") for n in _FAR)} FROM bars""")
+def long_frames(spark, sf_dir):
+    """Channels, means and deviations of 20 and of 500 bars, and highs ahead, at the same price for a row."""
+    out = order_bars(spark, sf_dir)
+    for n in _FAR:
+        out = frames.last_bars(out, n, {f"top_{n}": ("max", "high"), f"bottom_{n}": ("min", "low"), f"mean_{n}": ("avg", "close"), f"dev_{n}": ("stddev", "close")})
+        out = frames.next_bars(out, n, {f"ahead_{n}": ("max", "high")})
+    return show(out, [], [f"{k}_{n}" for n in _FAR for k in ("top", "bottom", "mean", "dev", "ahead")])
