@@ -32,6 +32,11 @@ def floored(p: Column) -> Column:
     return F.greatest(p, F.lit(P_FLOOR))
 
 
+def is_floored(p: Column) -> Column:
+    """Whether ``floored`` raised a p; null for null."""
+    return p < P_FLOOR
+
+
 def bonferroni(tests: Column | int, alpha: float = 0.05) -> Column:
     """Significance level for each of several tests, to four places."""
     return F.bround(F.lit(alpha) / tests, 4)

@@ -70,8 +70,10 @@ def slow_stochastic(bars: DataFrame, n: int = 14, k: int = 3, d: int = 3, prefix
 
 
 def vwap(bars: DataFrame, n: int = 20) -> DataFrame:
-    """Adds vwap: typical price weighted by volume over n bars."""
+    """Adds vwap: typical price weighted by volume over n bars; its plain mean where there is no volume column."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    if "volume" not in bars.columns:
+        return bars.withColumn("_tp", typical).withColumn("vwap", sma("_tp", n)).drop("_tp")
     out = bars.withColumn("_tp", typical).withColumn("_tpv", typical * F.col("volume"))
     value = F.sum("_tpv").over(roll(n)) / (F.sum("volume").over(roll(n)) + 1e-10)
     return out.withColumn("vwap", full(value, F.col("_tpv"), n)).drop("_tp", "_tpv")
@@ -169,6 +171,22 @@ def trend_frame(bars: DataFrame) -> DataFrame:
     return out
 
 
+def frame_for(bars: DataFrame, mode: str = "backtest", **parameters) -> DataFrame:
+    """The columns that one kind of study reads: backtest, trend (on top of those), or live."""
+    if mode == "backtest":
+        return strategy_frame(bars, **parameters)
+    if mode == "trend":
+        return trend_frame(strategy_frame(bars, **parameters))
+    if mode == "live":
+        return live_frame(bars)
+    raise ValueError(f"unknown mode: {mode}")
+
+
+def streak_frame(bars: DataFrame, direction: str = "green") -> DataFrame:
+    """The columns that streak studies read: colours and bodies, RSI, ATR in percent, disparity and volume change."""
+    return disparity(atr_mean(rsi_cutler(directional(bars, direction))))
+
+
 def series_returns(bars: DataFrame, periods: float = 252.0) -> DataFrame:
     """Per series: bars up and down, mean candle and close returns, total return and annualised Sharpe ratio."""
     out = bars.withColumns({"_candle": F.when(F.col("open") != 0, F.col("close") / F.col("open") - 1), "_ret": F.when(prev("close") != 0, F.col("close") / prev("close") - 1)})

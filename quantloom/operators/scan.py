@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.scan import recursive
 from quantloom.functions.windows import KEYS
-from quantloom.operators.indicators import strategy_frame
-from quantloom.operators.signals import STRATEGIES, strategy_signals
+from quantloom.operators.indicators import live_frame, strategy_frame, trend_frame
+from quantloom.operators.signals import STRATEGIES, hybrid_signals, strategy_signals, trend_votes
+
 
 def latest(bars: DataFrame, n: int = 1, skip: int = 0) -> DataFrame:
     """The last n bars of each series after leaving out the newest ``skip`` (1 leaves out the bar in progress)."""
@@ -23,14 +24,38 @@ def strategy_scan(bars: DataFrame, skip: int = 1, **parameters) -> DataFrame:
     return last.select(*KEYS, "open_dt", rows)
 
 
-def preset_scan(bars: DataFrame, presets: DataFrame) -> DataFrame:
-    """Presets (name, coin, interval, strat_id, direction) whose signal is on in their series' latest closed bar."""
-    found = strategy_scan(bars)
+def preset_scan(bars: DataFrame, presets: DataFrame, **parameters) -> DataFrame:
+    """Presets (name, coin, interval, strat_id, direction) with ``on``: whether their signal is on in their series' latest closed bar."""
+    found = strategy_scan(bars, **parameters)
     p = presets.select("name", F.col("coin").alias("symbol"), "interval", F.lower("strat_id").alias("strategy"), F.lower("direction").alias("direction"))
     joined = p.join(found, ["symbol", "interval", "strategy"])
     return joined.withColumn("on", F.when(F.col("direction") == "short", F.col("short")).otherwise(F.col("long"))).drop("long", "short")
 
 
+#: The parts of each hybrid rule, over the columns of a ``live_frame``.
+HYBRID_PARTS = {
+    "sma_adx_strong": {"sma_20 above sma_50": "sma_20 > sma_50", "adx above 25": "adx_14 > 25"},
+    "macd_rsi_trend": {"macd_hist above 0": "macd_hist > 0", "rsi above 55": "rsi_14 > 55", "close above sma_200": "close > sma_200"},
+    "pure_trend": {"close above sma_200": "close > sma_200"},
+}
+
+
+def hybrid_live(bars: DataFrame, skip: int = 1) -> DataFrame:
+    """(symbol, interval, open_dt, close, strategy, is_active, part, holds): each hybrid rule and its parts on the latest
+    closed bar; a part that is not known yet is null, and its rule is off.  A series of one bar has no rows."""
+    last = latest(hybrid_signals(live_frame(bars)), skip=skip)
+    rows = [F.struct(F.lit(s).alias("strategy"), F.col(s).alias("is_active"), F.lit(name).alias("part"), F.expr(c).alias("holds")) for s, parts in HYBRID_PARTS.items() for name, c in parts.items()]
+    return last.select(*KEYS, "open_dt", "close", F.inline(F.array(*rows)))
+
+
+def dashboard(bars: DataFrame, n: int = 200) -> DataFrame:
+    """The last ``n`` bars of each series with the columns of the live and the trend view, votes and bias; is_latest marks
+    the bar in progress."""
+    out = latest(trend_votes(trend_frame(live_frame(bars))), n)
+    newest = F.max("open_dt").over(Window.partitionBy(*KEYS))
+    return out.withColumn("is_latest", F.col("open_dt") == newest)
+
+
 def _price_for_rsi(target: float, n: int = 14) -> Column:
     """Next close that makes Wilder's RSI the target, from the two mean states."""
     rs, up, down, close = target / (100 - target), F.col("avg_gain") * (n - 1), F.col("avg_loss") * (n - 1), F.col("close")

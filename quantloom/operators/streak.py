@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.stats import binomial_p, bonferroni, floored, reliability, wilson
+from quantloom.functions.stats import binomial_p, bonferroni, floored, is_floored, reliability, wilson
 from quantloom.functions.windows import KEYS, prev, roll, yes, series
 
 # Bin edges and thresholds of the studies.
@@ -17,9 +17,10 @@ RSI_OVERBOUGHT = 80
 
 
 def with_odds(df: DataFrame, k: str = "k", n: str = "n", tests: int = 1) -> DataFrame:
-    """Adds rate, Wilson bounds, exact p, reliability and whether p passes the level corrected for ``tests`` tests."""
+    """Adds rate, Wilson bounds, exact p and whether it was floored, reliability and whether p passes the level corrected for ``tests`` tests."""
     low, high = wilson(F.col(k), F.col(n))
-    out = df.withColumns({"rate": F.when(F.col(n) > 0, F.col(k) / F.col(n) * 100), "ci_lower": low, "ci_upper": high, "p_value": floored(binomial_p(F.col(k), F.col(n))), "reliability": reliability(F.col(n))})
+    out = df.withColumns({"rate": F.when(F.col(n) > 0, F.col(k) / F.col(n) * 100), "ci_lower": low, "ci_upper": high, "_p": binomial_p(F.col(k), F.col(n)), "reliability": reliability(F.col(n))})
+    out = out.withColumns({"p_value": floored(F.col("_p")), "p_floored": is_floored(F.col("_p"))}).drop("_p")
     return out.withColumn("significant", F.col("p_value") < bonferroni(F.lit(tests)))
 
 
