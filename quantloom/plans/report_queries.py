@@ -10,6 +10,7 @@ from quantloom.operators import indicators as I
 from quantloom.operators import joins as J
 from quantloom.operators import levels as L
 from quantloom.operators import patterns as P
+from quantloom.operators import rollup as R
 from quantloom.operators import scan as C
 from quantloom.operators import streak as K
 from quantloom.plans.base import BB, EVENT_BARS, SHOWN, W, frame, register, rolled, s6, show
@@ -110,3 +111,25 @@ def bars_at_events(spark, sf_dir):
     """The bars whose times a list of events names."""
     events = E.first_touches(_bands(spark, sf_dir), "upper").where("event")
     return show(J.semi(event_bars(spark, sf_dir), events), [], ["close"])
+
+
+_LEVELS = ((("symbol", "period"), "symbol, period"), (("symbol",), "symbol"), (("period",), "period"), ((), ""))
+
+
+@register("WITH t AS (SELECT event_type AS symbol, date_trunc('week', ts)::DATE AS period, value, user_id FROM events WHERE value IS NOT NULL) " + " UNION ALL ".join(
+    f"""SELECT {'symbol' if 'symbol' in keys else 'NULL::VARCHAR AS symbol'}, {'period::VARCHAR AS period' if 'period' in keys else 'NULL::VARCHAR AS period'}, '{','.join(keys)}' AS level, count(*) AS n, {s6('min(value)', 'least')}, {s6('max(value)', 'most')},
+    {s6('sum(value)', 'total')}, true AS quartiles_hold, true AS distinct_holds FROM t {f'GROUP BY {group}' if group else ''}""" for keys, group in _LEVELS))
+def rollup_sketches(spark, sf_dir):
+    """Weeks and totals of each and of all series from day rows; the estimates are held against the exact figures."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "symbol")
+    out = R.estimated(R.merged(R.day_rows(ticks, ["symbol"], "ts", "value", "user_id"), ["symbol"], "week"))
+    known = ticks.where("value IS NOT NULL").withColumn("period", F.date_trunc("week", F.col("ts")).cast("date"))
+    near = [F.percentile("value", min(1.0, max(0.0, q + d))).alias(f"q{round(q * 100)}_{i}") for q in (0.25, 0.5, 0.75) for i, d in enumerate((-0.05, 0.05))]
+    sets = [[F.col(c) for c in keys] for keys, _ in _LEVELS]
+    exact = known.groupingSets(sets, F.col("symbol"), F.col("period")).agg(F.count_distinct("user_id").alias("exact"), *near)
+    both = out.join(exact.withColumnsRenamed({"symbol": "_s", "period": "_p"}), F.expr("symbol <=> _s AND period <=> _p"))
+    hold = F.lit(True)
+    for q in (25, 50, 75):
+        hold = hold & F.col(f"p{q}").between(F.col(f"q{q}_0"), F.col(f"q{q}_1"))
+    both = both.withColumns({"quartiles_hold": hold, "distinct_holds": F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")})
+    return show(both.withColumn("period", F.col("period").cast("string")), ["period", "level", "n", "quartiles_hold", "distinct_holds"], ["least", "most", "total"], [])
