@@ -40,6 +40,11 @@ HINTS = frozenset(
 NEUTRAL = frozenset("area bar block body bottom box button buttons col column container first form global group inner item items last left link links list main outer panel posts primary right secondary section site text top wrap wrapper".split())
 #: Hints that also name layouts, and forms: such an element that holds most of the page's text is no boilerplate.
 LAYOUT = frozenset("form nav navbar navigation menu menus masthead header footer banner sidebar sidebars aside widget widgets toolbar search pager".split())
+#: Beginnings of words that name boilerplate whatever stands beside them ('article-comments', 'commentlist'), and whole words that do.
+STRONG = ("comment", "disqus", "advert", "sponsor", "cookie", "gdpr", "newsletter", "popup")
+STRONG_WORDS = frozenset("ad ads consent notice notices related recommended replies respond subscribe promo".split())
+#: Words that turn a name into a statement about a layout or the like ('has-sidebar', 'without-comments').
+NEGATIONS = frozenset("has have no non not with without hide hides layout free open closed enabled disabled allow allowed".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Start tags that end an open element of the second kind, within the nearest container.
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -50,6 +55,9 @@ _STOP = frozenset("html body table ul ol dl div section article main aside nav h
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|$)|!\[CDATA\[(.*?)(?:\]\]>|$)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))|=)*+)>?)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
 _WORD = re.compile(r"[a-z]+")
+_HEADING = re.compile("h[1-6]")
+#: Marks boilerplate in which headings are none: the header of an article.
+_TITLES = 2
 _SPACE = re.compile(r"\s+")
 
 
@@ -136,17 +144,21 @@ class Block:
 
 
 def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
-    return tag in BOILERPLATE or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I)
+    return tag in BOILERPLATE or attributes.get("role", "").lower() in ROLES or bool(hidden)
 
 
 def _hints(attributes: dict[str, str]) -> set[str]:
-    """Hint words of the classes and the id that name boilerplate as a whole ('cookie-notice', not 'has-sidebar')."""
+    """Hint words of the classes and the id that name boilerplate: as a whole ('top-nav', not 'nav-story'), or by a word that
+    always does ('google-ad'), unless a word beside it says otherwise ('has-sidebar', 'ad-free')."""
     found = set()
     for part in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower()))
         hints = words & HINTS or words & {"header"}
         if hints and words <= HINTS | NEUTRAL | {"header"}:
             found |= words & (HINTS | {"header"})
+        elif not words & NEGATIONS and (strong := {w for w in words if w in STRONG_WORDS or w.startswith(STRONG)}):
+            found |= strong
     return found
 
 
@@ -188,8 +200,8 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order."""
     out: list[Block] = []
     tree = Tree()
-    # Open elements: tag, boilerplate within, innermost element named boilerplate, innermost container, path.
-    stack: list[tuple[str, bool, int, int, int]] = [("", False, -1, -1, 0)]
+    # Open elements: tag, boilerplate within (or ``_TITLES``), innermost element named boilerplate, innermost container, path.
+    stack: list[tuple[str, bool | int, int, int, int]] = [("", False, -1, -1, 0)]
     count: dict[str, int] = {}  # open elements by tag
     marks: list[int] = []
     text: list[str] = []
@@ -200,7 +212,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             joined = _SPACE.sub(" ", html_lib.unescape("".join(text))).strip()
             if joined:
-                out.append(Block(joined, min(links, len(joined)), stack[-1][1], stack[-1][3], tree))
+                out.append(Block(joined, min(links, len(joined)), bool(stack[-1][1]), stack[-1][3], tree))
                 marks.append(stack[-1][2])
             text.clear()
         links = 0
@@ -265,7 +277,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in _CLOSES_P:
             close_within({"p"}, _STOP)
-            if re.fullmatch("h[1-6]", tag):
+            if _HEADING.fullmatch(tag):
                 close_within({"h1", "h2", "h3", "h4", "h5", "h6"}, _STOP | {"p"})
         elif tag in _SAME:
             close_within(_SAME[tag], {"table", "ul", "ol", "dl", "select"})
@@ -281,7 +293,9 @@ def blocks_of(page: str) -> list[Block]:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end  # raw text is no content
             continue
-        boiler = boiler or _is_boilerplate(tag, attributes)
+        if boiler == _TITLES and _HEADING.fullmatch(tag):
+            boiler = False  # an article's header has its title
+        boiler = boiler or _is_boilerplate(tag, attributes) and (_TITLES if tag == "header" and count.get("article") else True)
         hints = _hints(attributes) if attributes and tag not in ("body", "html") else set()
         if tag == "form":
             hints = hints | {"form"}

@@ -95,3 +95,22 @@ def test_pages_of_known_parts(spark):
     rows += [rows[3], rows[3]]
     got = E.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_named_parts_inside_the_article():
+    """Comments, adverts, notices and hidden parts go by names that no list has as a whole; names of layouts stay."""
+    noise = "A reader says so, and says it again. " * 8
+    names = ["class='user-comments'", "class='article-comments'", "class='fb-comments'", "id='disqus_thread'", "class='google-ad'", "class='ad-slot'", "class='privacy-notice'", "class='gdpr'", "class='related-stories'", "style='display:none'", "style='color:red; DISPLAY : none'"]
+    for shell in ("<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>"):
+        for name in names:
+            page = "<body>" + shell.format(f"<h1>Title</h1><p>{GOOD}</p><div {name}><p>{noise}</p></div><p>The end.</p>") + "</body>"
+            assert E.extract(page) == f"Title\n\n{GOOD.strip()}\n\nThe end.", (shell, name)
+        page = "<body>" + shell.format(f"<p>{GOOD}</p><ol class='commentlist'><li>{noise}</ol>") + "</body>"
+        assert E.extract(page) == GOOD.strip()
+        for name in ("class='has-ads'", "class='ad-free'", "class='without-comments'", "class='comments-open'", "class='no-cookie'"):
+            assert E.extract("<body>" + shell.format(f"<div {name}><p>{GOOD}</p></div>") + "</body>") == GOOD.strip(), (shell, name)
+
+
+def test_title_in_the_articles_own_header():
+    page = f"<body><header><h1>Site name</h1></header><article><header><h1>Title</h1><p>By somebody, today.</p></header><p>{GOOD}</p><footer>Filed under.</footer></article></body>"
+    assert E.extract(page) == f"Title\n\n{GOOD.strip()}"
