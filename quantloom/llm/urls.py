@@ -8,6 +8,7 @@ not.  Scoring is a row's work: no shuffle.
 from __future__ import annotations
 
 import csv
+import hashlib
 from pathlib import Path
 from typing import NamedTuple
 
@@ -20,7 +21,7 @@ from quantloom.llm.extraction import host_of
 from quantloom.llm.quality import _let
 
 GRAMS = (3, 4, 5)
-FEATURES = 1 << 18
+FEATURES = 1 << 17
 #: Rows of the labelled table that a model is fitted on, at most; the first by url and label.
 MAX_LABELLED = 20_000
 BLOCK_AT = 0.5
@@ -111,6 +112,17 @@ def judge_urls(pages: DataFrame, model: LogisticRegressionModel, rules: tuple[Ru
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(score >= block_at, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
 
 
+_FITTED: dict[tuple[str, str], LogisticRegressionModel] = {}
+
+
+def default_model(spark: SparkSession) -> LogisticRegressionModel:
+    """The model of ``LABELLED``, fitted once for each content of the file in a Spark application."""
+    key = spark.sparkContext.applicationId, hashlib.sha256(LABELLED.read_bytes()).hexdigest()
+    if key not in _FITTED:
+        _FITTED[key] = train(labelled_urls(spark))
+    return _FITTED[key]
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """The verdict on every page's url, null and repeated ones too."""
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), train(labelled_urls(spark)))
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), default_model(spark))

@@ -76,7 +76,7 @@ def test_held_out_precision_and_recall(spark):
     precision = hit[1, "block"] / (hit[1, "block"] + hit[0, "block"])
     recall = hit[1, "block"] / (hit[1, "block"] + hit[1, "allow"])
     print(precision, recall)
-    assert precision >= 0.75 and recall >= 0.45, (precision, recall)
+    assert precision >= 0.85 and recall >= 0.7, (precision, recall)
 
 
 def test_table_leaves_the_test_hosts_out(spark):
