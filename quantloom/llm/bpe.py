@@ -50,6 +50,10 @@ class ForcedBoundaryBpe(dict):
         kind = spec["pre_tokenizer"]
         if spec["normalizer"] or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"]:
             raise ValueError("only byte-level vocabularies without normalizer and prefix space are supported")
+        model = spec["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model["type"] != "BPE" or odd:
+            raise ValueError(f"only plain byte-pair models are supported, without {', '.join(odd) or model['type']}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens must match plainly")
@@ -135,9 +139,13 @@ def encode_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """Columns ``keep`` of every row, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>).
 
     Null counts as empty (no tokens).  Rows are handled alone: repeated rows give repeated results, an empty table an
-    empty one, and a text of any length is encoded whole.  ``path`` must be readable on every executor.
+    empty one, and a text of any length is encoded whole.  ``path`` must be readable on every executor.  A kept column may not
+    have the name of a new one; other columns are not read, whatever their names.
     """
     path = path or vocabulary_path()
+    new = {"n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids}
+    if clash := sorted(new & set(keep)):
+        raise ValueError(f"columns that are made here cannot be kept: {clash}")
     kept = docs.select(*[f"`{c}`" for c in keep], docs[text].alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
     schema += (", " if schema else "") + "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -178,4 +186,6 @@ def decode_ids(rows: DataFrame, ids: str = "ids", path: str | None = None) -> Da
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document's tokens counted, with digests of their ids and of the text decoded from them; null counts as empty,
+    other cases are those of ``encode_texts``."""
     return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)

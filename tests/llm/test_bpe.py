@@ -40,3 +40,20 @@ def test_cuts_are_certain():
     parts = b.fragments(raw)
     assert b"".join(parts) == raw and len(parts) > 1
     assert all(not b.inside[x[-1], y[0]] for x, y in zip(parts, parts[1:], strict=False))
+
+
+def test_other_models_and_clashing_names_are_refused(spark, tmp_path):
+    import json
+
+    import pytest
+
+    with open(bpe.vocabulary_path(), encoding="utf-8") as file:
+        spec = json.load(file)
+    for key, value in (("ignore_merges", True), ("byte_fallback", True), ("dropout", 0.1), ("continuing_subword_prefix", "##"), ("type", "WordPiece")):
+        (tmp_path / "m.json").write_text(json.dumps(spec | {"model": spec["model"] | {key: value}}), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.ForcedBoundaryBpe(str(tmp_path / "m.json"))
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n_tokens int")
+    with pytest.raises(ValueError):
+        bpe.encode_texts(docs, keep=("doc_id", "n_tokens"))
+    assert bpe.encode_texts(docs).first().n_tokens == 1
