@@ -4,18 +4,21 @@ A text and an item are words: runs of characters other than white space and ASCI
 letters in lower case.  A document is contaminated by an item of n words if some n-word window of it, ended at up to k
 words more or fewer, is within edit distance k = floor(``max_edits`` n) of the item (insert, delete, replace a word).
 
-A window can be that close only if it keeps all but k of the item's words, so an index of the items' rarer words names
-the starts worth a look; this count filter loses nothing.  Those windows are embedded by the CGK random walk: step j
-writes the current word and moves on if a random bit of (j, word) says so, so close edit distance becomes close Hamming
-distance.  The walk's hash of ``SAMPLED`` random positions settles the windows equal to an item, which always meet it.
-How often other close pairs meet falls with the item's length (a chance near 0.2 at 50 words and 0.02 at 1000), so no number
-of repetitions bounds what is missed: the windows left are compared with their items directly, and none is missed.
-
-Items are held in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for each block.
+A window can be that close only if it keeps all but k of the item's words, so an index of the items' rarer words first
+leaves out the starts that cannot be; this count filter loses nothing.  What it leaves is embedded by the CGK random walk:
+step j writes the current word and moves on if a random bit of (j, word) says so, so close edit distance becomes close
+Hamming distance.  Each of an item's repetitions has a walk of its own and samples one position of it; a window is a
+candidate for the item if its walk holds the item's word at one of the sampled positions, and only candidates get an exact
+edit distance.  The chance to agree at a position falls with the root of the item's length, so longer items get more
+repetitions, as many as a miss of ``MISS`` asks for at the edit bound; equal windows are never missed, and a leak usually
+offers several windows.  With ``exact`` every window that passes the count filter is compared.
+
+Items are dealt into blocks of about ``BLOCK_WORDS`` words at most, one pass over the documents for each block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,8 @@ from quantloom.llm.scratch import table
 from quantloom.llm.words import CHUNK_BYTES, mix, split_words, text_buffer
 
 MAX_EDITS = 0.2
-#: Positions of a walk that are hashed.
-SAMPLED = 2
+#: The chance to miss a window at the edit bound that repetitions are chosen for, and the most of them.
+MISS, MOST_REPEATS = 1e-3, 64
 #: Words of more items than this are left out of an item's count, if enough others remain to ask for ``MIN_HITS`` of them.
 RARE_ITEMS, MIN_HITS = 4, 3
 #: Words of items held by a task at once.
@@ -67,16 +70,25 @@ def folded_words(text: str) -> np.ndarray:
     return split_words(data, np.array([0, len(data)], dtype=np.int64)).hashes
 
 
-def embed(windows: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK walks over rows of word hashes (columns past a row's length are padding)."""
-    n = len(windows)
-    at, row = np.zeros(n, dtype=np.int64), np.arange(n)
-    out = np.zeros((n, steps), dtype=np.uint64)
-    limit = windows.shape[1] - 1
-    for j in range(steps):
-        word = np.where(at < lengths, windows[row, np.minimum(at, limit)], _U(0))
-        out[:, j] = word
-        at += (mix(word + _U((seed * 0x9E3779B1 + j * 0x85EBCA77 + 1) & 0xFFFFFFFFFFFFFFFF)) & _U(1)).astype(np.int64)
+def repeats_for(size: np.ndarray) -> np.ndarray:
+    """Repetitions for items of these sizes; agreement at the bound was measured from 0.4 at 50 words to 0.14 at 1000."""
+    agree = np.minimum(0.4, 4.4 / np.sqrt(np.maximum(size, 1)))
+    return np.minimum(MOST_REPEATS, np.ceil(np.log(MISS) / np.log1p(-agree))).astype(np.int64)
+
+
+def walked(windows: np.ndarray, lengths: np.ndarray, row: np.ndarray, repeat: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """For each (row of ``windows``, repetition): the word that the repetition's CGK walk holds at its sampled position;
+    0 past the row's length."""
+    order = np.argsort(-spot, kind="stable")
+    row, salt, spot = row[order], repeat[order].astype(np.uint64) * _U(0x9E3779B1), spot[order]
+    at, limit = np.zeros(len(row), dtype=np.int64), windows.shape[1] - 1
+    out = np.zeros(len(row), dtype=np.uint64)
+    for j in range(int(spot[0]) + 1 if len(spot) else 0):
+        n = int(np.searchsorted(-spot, -j, side="right"))  # walks that go on to step j
+        word = np.where(at[:n] < lengths[row[:n]], windows[row[:n], np.minimum(at[:n], limit)], _U(0))
+        ends = spot[:n] == j
+        out[order[:n][ends]] = word[ends]
+        at[:n] += (mix(word + salt[:n] + _U(j * 0x85EBCA77 + 1)) & _U(1)).astype(np.int64)
     return out
 
 
@@ -99,7 +111,8 @@ def edit_distances(windows: np.ndarray, lengths: np.ndarray, items: np.ndarray,
 class ItemBlock:
     """Items of a block with an index of their rare words and an LSH table."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], max_edits: float) -> None:
+    def __init__(self, items: list[tuple[int, np.ndarray]], max_edits: float, exact: bool = False) -> None:
+        self.exact = exact
         self.items = [(i, w) for i, w in items if len(w)]
         self.size = np.array([len(w) for _, w in self.items], dtype=np.int64)
         self.most = (max_edits * self.size + 1e-9).astype(np.int64)  # edits allowed
@@ -108,9 +121,28 @@ class ItemBlock:
         for r, (_, w) in enumerate(self.items):
             self.padded[r, : len(w)] = w
         self._index()
-        key = self._key(self.padded, self.size, self.size) if self.items else np.zeros(0, dtype=np.uint64)
-        self.order = np.argsort(key, kind="stable")
-        self.known = key[self.order]
+        self.repeats = repeats_for(self.size)
+        self.places = np.random.default_rng(0).random(MOST_REPEATS) * 2  # in item lengths: walks mostly end after two
+        row, repeat = self._turns(np.arange(len(self.items)))
+        #: The LSH table: an item's word at each of its repetitions' sampled positions.
+        self.sampled = np.zeros((len(self.items), MOST_REPEATS), dtype=np.uint64)
+        self.sampled[row, repeat] = walked(self.padded, self.size, row, repeat, self._spots(row, repeat))
+
+    def _turns(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``items``, repetition) for each repetition of each of them."""
+        n = self.repeats[items]
+        return np.repeat(np.arange(len(items)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def _spots(self, items: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+        return (self.places[repeat] * self.size[items]).astype(np.int64)
+
+    def _candidates(self, windows: np.ndarray, rest: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which item-sized windows agree with their item at a sampled position of some repetition."""
+        row, repeat = self._turns(items)
+        word = walked(windows, np.minimum(self.size[items], rest), row, repeat, self._spots(items[row], repeat))
+        out = np.zeros(len(items), dtype=bool)
+        out[row[(word == self.sampled[items[row], repeat]) & (word != 0)]] = True
+        return out
 
     def _index(self) -> None:
         """(word, item) pairs sorted by word; words of many items count only for items that have too few others."""
@@ -133,16 +165,6 @@ class ItemBlock:
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[(self.words & _U((1 << 20) - 1)).astype(np.int64)] = True
 
-    def _key(self, windows: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Each window's key; ``sizes`` are the lengths of the items looked for."""
-        places = np.random.default_rng(0).random(SAMPLED) * 2  # in item lengths: walks mostly end after two
-        spots = (places[None, :] * sizes[:, None]).astype(np.int64)
-        walk = embed(windows, lengths, int(spots.max()) + 1, 0)
-        key = mix(sizes.astype(np.uint64))
-        for j in range(SAMPLED):
-            key = mix(key * _U(0xD6E8FEB86659FD93) + walk[np.arange(len(walk)), spots[:, j]])
-        return key
-
     def starts(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, start word) of each window that has enough words of the item to be close to it."""
         at = np.flatnonzero(self.bits[(hashes & _U((1 << 20) - 1)).astype(np.int64)])
@@ -200,22 +222,12 @@ class ItemBlock:
         windows, rest, items, at, doc = windows[keep], rest[keep], items[keep], at[keep], doc[keep]
         if not len(at):
             return
-        # Equal windows meet here, so a document and item with distance 0 have their answer.
-        sizes = self.size[items]
-        key = self._key(windows, np.minimum(sizes, rest), sizes)
-        lo = np.searchsorted(self.known, key, side="left")
-        n = np.searchsorted(self.known, key, side="right") - lo
-        row = np.repeat(np.arange(len(at)), n)
-        item = self.order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        done = np.zeros(0, np.int64)
-        if len(row):
-            d, used = self._compare(windows[row], rest[row], item)
-            yield from self._close(doc[row], at[row], item, d, used)
-            done = np.unique((doc[row] * len(self.items) + item)[d == 0])
-        live = np.flatnonzero(~np.isin(doc * len(self.items) + items, done))
-        if len(live):
-            d, used = self._compare(windows[live], rest[live], items[live])
-            yield from self._close(doc[live], at[live], items[live], d, used)
+        if not self.exact:
+            named = self._candidates(windows, rest, items)
+            windows, rest, items, at, doc = windows[named], rest[named], items[named], at[named], doc[named]
+        if len(at):
+            d, used = self._compare(windows, rest, items)
+            yield from self._close(doc, at, items, d, used)
 
     def _compare(self, windows: np.ndarray, rest: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edit distances of each window's prefixes to its item; windows of items of one size are compared at once."""
@@ -233,34 +245,37 @@ class ItemBlock:
             yield int(doc[x]), self.items[item[x]][0], int(at[x]), int(used[x]), int(d[x])
 
 
+#: A word of an item, as ``folded_words`` finds it.
+_ITEM_WORD = r"[^\x09-\x0D !-/:-@\[-`{-~]+"
+
+
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
+    """Items by block: dealt by hash into so many that each has half of ``BLOCK_WORDS`` in the mean, or all in one."""
     rows = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    for i, t in rows.orderBy("i", "t").toLocalIterator():
-        block.append((i, t))
-        size += 1 + t.count(" ")
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    words = rows.agg(F.sum(F.regexp_count("t", F.lit(_ITEM_WORD)))).first()[0]
+    if words is None:
+        return
+    parts = 1 if words <= BLOCK_WORDS else math.ceil(2 * words / BLOCK_WORDS)
+    for part in range(parts):
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS, exact: bool = False) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, edits): the closest, then first, window of each document and item.
 
     Null or empty texts and items match nothing, null ids are skipped, repeated rows give one result, empty tables an
     empty one.  Of windows equally close the first counts, then the shortest; items of equal text are found each.  A very
-    long text is searched whole in one task, a longer item than a block is a block; other columns are not read.
+    long text is searched whole in one task, a longer item than a block is a block; other columns are not read.  ``exact`` compares
+    every window that passes the count filter, without embedding.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL")
     schema = "doc_id long, item_id long, start_word long, n_words long, edits long"
     out = None
     for block in _blocks(benchmark, item_id, item_text):
-        sent = rows.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one item
+        sent = rows.sparkSession.sparkContext.broadcast(block)  # about BLOCK_WORDS words at most, or one item
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = ItemBlock([(i, folded_words(t)) for i, t in sent.value], max_edits)
+            items = ItemBlock([(i, folded_words(t)) for i, t in sent.value], max_edits, exact)
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
