@@ -15,7 +15,7 @@ One earlier similar set is enough to remove a set, so not all pairs of a large g
 
 1. Sets that agree in their two smallest, two largest or outermost token hashes look at the one of the smallest doc_id under such a
    key first.  Where parity and sizes say that the two are similar, the set is led and looks no further.
-2. All other sets are joined with all earlier sets by the filters above.
+2. All other sets are joined with all earlier sets by the filters above, a part of the tokens at a time.
 3. The pairs of both steps are verified on token arrays, fetched for these sets only.
 4. A set whose lead does not hold is joined with all earlier sets after all, so the result is exact.
 
@@ -24,6 +24,8 @@ Postings name tokens by 32-bit hashes: those route only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from quantloom.llm.reduce import split
 from quantloom.llm.scratch import table
 
 THRESHOLD = 0.8
+#: Passes over the postings: disk for their shuffle is a part of what one pass would take.
+PASSES = 4
 BUCKETS = 1 << 18
 #: Bits of a token number that hold its hash; the bits above hold its rank, 0..62.
 _HASH_BITS = 57
@@ -199,8 +203,12 @@ def _judged(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
     sets = _marked(wide.where(F.size("p") > 0).select("sid", "doc_id", "n", "sig", "some", "p", "keys"), copies.select("sid"), "copy").where("not copy").drop("copy")
 
     led = table(_led(sets, t), "led")
-    postings = _postings(_marked(sets.drop("keys"), led.select(F.col("a").alias("sid")), "led").withColumn("open", ~F.col("led")))
-    rest = table(_candidates(postings, postings, t), "rest")
+    marked = _marked(sets.drop("keys"), led.select(F.col("a").alias("sid")), "led").withColumn("open", ~F.col("led"))
+    parts = []
+    for part in range(PASSES):  # only a part of the postings is shuffled at a time
+        postings = _postings(marked).where(F.pmod("w", F.lit(PASSES)) == part)
+        parts.append(table(_candidates(postings, postings, t), "rest"))
+    rest = table(reduce(DataFrame.union, parts).distinct(), "rest")
     near = table(_verified(led.union(rest), docs, wide, doc_id, text, t), "near")
     misled = table(led.select(F.col("a").alias("sid")).join(near, "sid", "left_anti"), "misled")
     if not misled.isEmpty():
