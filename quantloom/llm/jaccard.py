@@ -7,7 +7,8 @@
    small component is one group.  A larger one is cut into blocks of bounded size, by set size (only sizes within the
    threshold's ratio can match) and by the first of a document's buckets, so that documents of one bucket mostly sit
    together.  Two blocks are a group only if some bucket has documents of both, so a component that is long because its
-   buckets form a chain costs no more than its buckets do.
+   buckets form a chain costs no more than its buckets do.  One whose buckets overlap much, as those of many variants of
+   one text do, is cut into fewer blocks by plain hashes, of which each two of neighbouring sizes meet.
 4. In a group, pairs compare MinHash values step by step.  With m values compared and k equal, the posterior of
    similarity >= t under a uniform prior is 1 - I_t(k + 1, m - k + 1); pairs below ``tolerance`` are dropped.  The rest
    are verified exactly on their shingle sets.
@@ -23,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import connected_components
@@ -229,21 +230,51 @@ def _small_seats(members: DataFrame) -> DataFrame:
     return members.select("rep", "copies", F.lit(False).alias("cut"), F.col("comp").alias("g1"), F.col("comp").alias("g2"), F.lit(0).alias("side"))
 
 
+def _seats(placed: DataFrame, met: DataFrame) -> DataFrame:
+    """Seats of the members of blocks (``placed``) in the groups of each two blocks (``met``: g1 <= g2)."""
+    left = placed.join(met.withColumnRenamed("g1", "block"), "block").select("rep", "copies", F.lit(True).alias("cut"), F.col("block").alias("g1"), "g2", F.lit(0).alias("side"))
+    right = placed.join(met.where("g1 <> g2").withColumnRenamed("g2", "block"), "block").select("rep", "copies", F.lit(True).alias("cut"), "g1", F.col("block").alias("g2"), F.lit(1).alias("side"))
+    return left.union(right)
+
+
+def _parts(docs: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(shingles / BLOCK_SHINGLES))
+
+
 def _block_seats(members: DataFrame, keys: DataFrame, buckets: DataFrame) -> DataFrame:
-    """The same for large components: a group for each two blocks, or one, that have documents in a common bucket."""
+    """The same for large components: a group for each two blocks, or one, that have documents in a common bucket.
+
+    Where a component's buckets overlap so much that this seats its documents more often than blocks of plain hashes would
+    if each two of neighbouring classes met, it gets those instead.
+    """
     held = table(keys.join(members.select("rep"), "rep").join(buckets.select("key"), "key"), "held_buckets")
     homes = held.groupBy("rep").agg(F.min(F.xxhash64("key")).alias("home"))
     at_home = members.select("rep", "copies", "comp", "class", "n").join(homes, "rep")
-    size = at_home.groupBy("comp", "class", "home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    size = at_home.groupBy("comp", "class", "home").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
     block = F.xxhash64("comp", "class", "home", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    placed = table(at_home.join(size, ["comp", "class", "home"]).select("rep", "copies", "class", block.alias("block")), "placed")
+    placed = table(at_home.join(size, ["comp", "class", "home"]).select("rep", "copies", "comp", "class", "n", block.alias("block")), "placed")
     present = table(held.join(placed.select("rep", "class", "block"), "rep").select("key", "class", "block").distinct(), "present")
     x, y = present.alias("x"), present.alias("y")
     fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.class") - F.col("y.class")) <= 1)
     met = table(x.join(y, fits).select(F.col("x.block").alias("g1"), F.col("y.block").alias("g2")).distinct(), "block_pairs")
-    left = placed.join(met.withColumnRenamed("g1", "block"), "block").select("rep", "copies", F.lit(True).alias("cut"), F.col("block").alias("g1"), "g2", F.lit(0).alias("side"))
-    right = placed.join(met.where("g1 <> g2").withColumnRenamed("g2", "block"), "block").select("rep", "copies", F.lit(True).alias("cut"), "g1", F.col("block").alias("g2"), F.lit(1).alias("side"))
-    return left.union(right)
+
+    # Seats that either way takes, by component; blocks and classes are few against documents.
+    sizes = placed.groupBy("comp", "block").agg(F.count(F.lit(1)).alias("c"))
+    ends = met.select(F.col("g1").alias("block")).union(met.where("g1 <> g2").select(F.col("g2").alias("block")))
+    by_bucket = ends.join(sizes, "block").groupBy("comp").agg(F.sum("c").alias("seats"))
+    classes = table(placed.groupBy("comp", "class").agg(F.count(F.lit(1)).alias("c"), _parts(F.count(F.lit(1)), F.sum("n")).alias("parts")), "size_classes")
+    near = classes.alias("x").join(classes.alias("y"), (F.col("x.comp") == F.col("y.comp")) & (F.abs(F.col("x.class") - F.col("y.class")) <= 1))
+    by_hash = near.groupBy(F.col("x.comp").alias("comp")).agg(F.sum(F.col("x.c") * F.col("y.parts")).alias("plain"))
+    plain = table(by_bucket.join(by_hash, "comp").where("plain < seats").select("comp"), "plain_components")
+    blocks = classes.join(plain, "comp", "left_semi").select("comp", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.select("comp", "class", F.xxhash64("comp", "class", "part").alias("block"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    fits = (F.col("x.comp") == F.col("y.comp")) & (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.class") - F.col("y.class")) <= 1)
+    plain_met = table(x.join(y, fits).select(F.col("x.block").alias("g1"), F.col("y.block").alias("g2")).distinct(), "plain_pairs")
+    dealt = placed.join(plain, "comp", "left_semi").join(classes.select("comp", "class", "parts"), ["comp", "class"])
+    dealt = dealt.select("rep", "copies", F.xxhash64("comp", "class", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+    kept = placed.join(plain, "comp", "left_anti").select("rep", "copies", "block")
+    return _seats(kept, met).union(_seats(dealt, plain_met))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:

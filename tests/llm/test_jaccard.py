@@ -104,3 +104,23 @@ def test_dense_and_single_comparison_agree(monkeypatch):
         monkeypatch.setattr(jaccard, "DENSE_SHINGLES", step)
         found.append([x.tolist() for x in jaccard.verify_block(sig[:20], sig[20:], sets[:20], sets[20:], 0.8, 1e-7)])
     assert found[0] == found[1] == found[2] and len(found[0][0]) > 50
+
+
+def test_many_variants_of_one_text_take_few_seats(spark, monkeypatch):
+    """Variants share most buckets but not all: their component is cut into few blocks, and no link is lost."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(300):
+        words = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((d, " ".join(words)))
+    seen = {}
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 32)
+    seats = jaccard._block_seats
+    monkeypatch.setattr(jaccard, "_block_seats", lambda *a: seen.setdefault("seats", seats(*a)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()} == _brute(rows)
+    most = seen["seats"].groupBy("rep").count().agg({"count": "max"}).first()[0]
+    assert most <= 3 * -(-300 // 32)
