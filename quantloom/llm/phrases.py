@@ -40,7 +40,8 @@ SLICE_BYTES = 2 << 20
 #: Parts in which a language's candidates are ranked first.
 SALTS = 64
 
-_ROW = "lang string, phrase string, n long"
+#: A counted phrase: its words, a line break (no phrase has one), its language; one column keeps the counting maps small.
+_ROW = "key string, n long"
 _BREAK = np.array([i in b".,;:!?\n\x0b\x0c\r" for i in range(256)])
 _GAP = np.array([i in b" \t" for i in range(256)])
 _BLOCK = 16  # a row of the bit table has 2**16 bits
@@ -126,7 +127,8 @@ def _counted(rows: DataFrame, k: int, bits) -> DataFrame:
         parts = [words.take(pa.array(code[p])) for p in (first, *reversed(parts))]
         phrases = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
         tongue = pa.DictionaryArray.from_arrays(pa.array(lang[first].astype(np.int32)), pa.array(langs, pa.string())).cast(pa.string())
-        return pa.RecordBatch.from_arrays([tongue, phrases.cast(pa.string()), pa.array(counts)], names=["lang", "phrase", "n"])
+        keyed = pc.binary_join_element_wise(phrases.cast(pa.string()), tongue, "\n")
+        return pa.RecordBatch.from_arrays([keyed, pa.array(counts)], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,15 +142,22 @@ def _counted(rows: DataFrame, k: int, bits) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
+def _added(counted: DataFrame, least: int = 0) -> DataFrame:
+    """(lang, phrase, n): the counts of all slices, those of ``least`` or more."""
+    out = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    phrase = F.substring_index("key", "\n", 1)
+    return out.select(F.substring("key", F.length(phrase) + 2, F.length("key")).alias("lang"), phrase.alias("phrase"), "n")
+
+
 def levels(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, least: int = LEAST) -> tuple[DataFrame, list[DataFrame]]:
-    """((lang, n) of all words, the level tables): ``_ROW`` of the phrases of 1, 2, ... words found ``least`` times or more."""
+    """((lang, n) of all words, the level tables): (lang, phrase, n) of the phrases of 1, 2, ... words found ``least`` times or more."""
     rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    first = table(_counted(rows, 1, None).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
+    first = table(_added(_counted(rows, 1, None)), "words")
     total = table(first.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     found = [table(first.where(F.col("n") >= least), "level")]
     for k in range(2, words + 1):
         bits = docs.sparkSession.sparkContext.broadcast(bit_table(found[-1], k - 1))
-        found.append(table(_counted(rows, k, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "level"))
+        found.append(table(_added(_counted(rows, k, bits), least), "level"))
         bits.destroy()
     return total, found
 

@@ -34,7 +34,7 @@ def _rows():
     rows = []
     for _ in range(150):
         parts = [rng.choice(phrases_) if rng.random() < 0.4 else rng.choice(words) for _ in range(rng.randrange(0, 40))]
-        rows.append(("".join(p + rng.choice([" ", " ", " ", "  ", "\t", ".", ", ", "\n", "\r\n", "?!"]) for p in parts), rng.choice(["en", "en", "en", "de", None, "und", ""])))
+        rows.append(("".join(p + rng.choice([" ", " ", " ", "  ", "\t", ".", ", ", "\n", "\r\n", "?!"]) for p in parts), rng.choice(["en", "en", "en", "de", None, "und", "", "a\nb"])))
     return [*rows, (None, "en"), ("", "en"), (" \n", None), ("lonely words", "fr"), rows[3], rows[3], ("new york " * 3000, "en")]
 
 
@@ -55,10 +55,10 @@ def test_levels_emit_only_phrases_of_frequent_parts(spark):
     rows = docs.select("lang", "text")
     _, found = phrases.levels(docs)
     bits = spark.sparkContext.broadcast(phrases.bit_table(found[0], 1))
-    pairs = {r.phrase: r.n for r in phrases._counted(rows, 2, bits).collect()}
+    pairs = {r.phrase: r.n for r in phrases._added(phrases._counted(rows, 2, bits)).collect()}
     assert pairs == {"a b": 11, "b c": 11, "c d": 10}  # x, y and z are rare
     bits = spark.sparkContext.broadcast(phrases.bit_table(found[1], 2))
-    assert {r.phrase: r.n for r in phrases._counted(rows, 3, bits).collect()} == {"a b c": 10, "b c d": 10}
+    assert {r.phrase: r.n for r in phrases._added(phrases._counted(rows, 3, bits)).collect()} == {"a b c": 10, "b c d": 10}
 
 
 def test_scores_past_64_bits(spark):
