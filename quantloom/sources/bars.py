@@ -61,13 +61,19 @@ def part_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_ticks(ticks, "symbol", "l_shipdate", "l_extendedprice", "tie", "week", "1w")
 
 
+#: A comma with an even number of quotes after it.
+_OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Files named ``{COIN}USDT-{interval}-merged.csv``; symbol and interval come from the name.
 
     Each file's own header says which column is which, in any order, spelling and spacing of letters aside; others are
     ignored.  Times are epochs or timestamps under one of the names ``TIMES``.  A file that lacks a column is an error.
+    A comma between quotes does not end a cell.
     """
-    parts = F.transform(F.split("value", ","), lambda x: F.btrim(x, F.lit(' "\t\r\ufeff')))
+    cells = F.when(F.contains("value", F.lit('"')), F.split("value", _OUTSIDE_QUOTES)).otherwise(F.split("value", ","))
+    parts = F.transform(cells, lambda x: F.btrim(x, F.lit(' "\t\r\ufeff')))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), parts.alias("cells"))
     names = F.transform("cells", lambda x: F.lower(x))
     is_header = F.arrays_overlap(names, F.array(*map(F.lit, TIMES)))
@@ -82,7 +88,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
     rows = lines.where(~is_header).join(headers.select("file", "names"), "file")  # a header for each file
     time = F.coalesce(*[F.when(F.array_contains("names", F.lit(t)), cell(t)) for t in TIMES])
-    known = r"([^/]+)USDT-([^/]+)-merged\.csv$"
+    known = r"([^/]+)USDT-([^/]+)-merged\.csv$"  # fixed value: how files are named
     interval = F.regexp_extract("file", known, 2)
     number = lambda c: cell(c).try_cast("double")
     bars = rows.select(

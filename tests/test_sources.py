@@ -207,3 +207,9 @@ def test_journal_is_a_log(spark, tmp_path):
     assert j.rows().where("symbol = 'D'").first().id == 2002
     j.insert(spark.createDataFrame([], "symbol string, pnl_pct double"))
     assert j.rows().count() == 2000
+
+
+def test_quoted_commas_stay_in_their_cell(spark, tmp_path):
+    (tmp_path / "BTCUSDT-1h-merged.csv").write_text('open_time,"note, long",open,high,low,close,volume\n1704067200000,"a, b, c",1,2,0.5,1.5,10\n1704070800000,plain,"2",3,1.5,2.5,20\n')
+    got = [(r.open, r.high, r.low, r.close, r.volume) for r in S.read_csv(spark, str(tmp_path / "*.csv")).orderBy("open_dt").collect()]
+    assert got == [(1, 2, 0.5, 1.5, 10), (2, 3, 1.5, 2.5, 20)]
