@@ -17,7 +17,7 @@ A value that is missing leaves the mean as it is and weighs the next value more:
 
 from __future__ import annotations
 
-import math
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -186,17 +186,20 @@ COLUMNS = {"macd": ("macd", "macd_signal", "macd_hist"), "stoch_rsi": ("stoch_rs
 _KINDS = ("ema", "rsi", "atr", "adx")
 
 
-def _parsed(name: str) -> tuple[str, int]:
+def _parsed(name: str) -> tuple[str, int | tuple[int, ...]]:
     kind, _, n = name.partition("_")
     if name in COLUMNS:
         return name, 0
+    if kind == "signal" and re.fullmatch(r"\d+_\d+_\d+", n):
+        return kind, tuple(map(int, n.split("_")))
     if kind not in _KINDS or not n.isdigit():
         raise ValueError(f"unknown recursive column: {name}")
     return kind, int(n)
 
 
 def recursive(bars: DataFrame, names: list[str]) -> DataFrame:
-    """``bars`` with the named recursive columns: ema_n, rsi_n, atr_n, adx_n, macd, stoch_rsi, rma_state.
+    """``bars`` with the named recursive columns: ema_n, rsi_n, atr_n, adx_n, macd, stoch_rsi, rma_state, and signal_f_s_n, the
+    mean over n of the difference of the means over f and s.
 
     Means of means (MACD's signal, ADX) take a second scan; all others share the first.  Values that are not there yet
     are null; a missing price leaves the means that need it as they are.
@@ -211,14 +214,14 @@ def recursive(bars: DataFrame, names: list[str]) -> DataFrame:
     first |= {f"_{c}_{n}": rma(f"_{c}_{n}", of, n) for n in moves for c, of in (("gain", GAIN), ("loss", LOSS))}
     first |= {f"_tr_{n}": rma(f"_tr_{n}", TRUE_RANGE, n) for n in ranges}
     first |= {f"_{c}_{n}": rma(f"_{c}_{n}", of, n) for k, n in asked if k == "adx" for c, of in (("plus", PLUS), ("minus", MINUS))}
-    if "macd" in kinds:
-        first |= {f"_ema_{n}": ema(f"_ema_{n}", "_close", n) for n in (12, 26)}
+    signals = [n for k, n in asked if k == "signal"] + [(12, 26, 9)] * ("macd" in kinds)
+    first |= {f"_ema_{n}": ema(f"_ema_{n}", "_close", n) for fast, slow, _ in signals for n in (fast, slow)}
     out = with_means(out, list(first.values()))
     second: list[Mean] = []
     columns: dict[str, Column] = {}
-    if "macd" in kinds:
-        columns["_macd"] = F.col("_ema_12") - F.col("_ema_26")
-        second.append(ema("_signal", "_macd", 9))
+    for fast, slow, n in dict.fromkeys(signals):
+        columns[f"_line_{fast}_{slow}"] = F.col(f"_ema_{fast}") - F.col(f"_ema_{slow}")
+        second.append(ema(f"_signal_{fast}_{slow}_{n}", f"_line_{fast}_{slow}", n))
     for n in {n for k, n in asked if k == "adx"}:
         wide = F.when(F.col(f"_tr_{n}") != 0, F.col(f"_tr_{n}"))
         plus, minus = 100 * F.col(f"_plus_{n}") / wide, 100 * F.col(f"_minus_{n}") / wide
@@ -235,7 +238,10 @@ def recursive(bars: DataFrame, names: list[str]) -> DataFrame:
         elif kind == "rsi":
             values[name] = _index(n)
         elif kind == "macd":
-            values |= {"macd": F.col("_macd"), "macd_signal": F.col("_signal"), "macd_hist": F.col("_macd") - F.col("_signal")}
+            line, signal = F.col("_line_12_26"), F.col("_signal_12_26_9")
+            values |= {"macd": line, "macd_signal": signal, "macd_hist": line - signal}
+        elif kind == "signal":
+            values[name] = F.col(f"_{name}")
         elif kind == "rma_state":
             values |= {"avg_gain": F.col("_gain_14"), "avg_loss": F.col("_loss_14")}
     if "stoch_rsi" in kinds:

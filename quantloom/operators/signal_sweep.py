@@ -94,7 +94,7 @@ def _signal(p: Mapping) -> Column:
             return F.lag(on).over(series()) & ~on & (close > middle)
         case "trend":
             line = F.col(f"ema_{p['macd_fast']}") - F.col(f"ema_{p['macd_slow']}")
-            return (F.col("adx_14") >= p["adx_level"]) & (close > mean(p["fast_len"])) & (line > F.col(f"_signal_{p['macd_fast']}_{p['macd_slow']}_{p['macd_signal']}"))
+            return (F.col("adx_14") >= p["adx_level"]) & (close > mean(p["fast_len"])) & (line > F.col(f"signal_{p['macd_fast']}_{p['macd_slow']}_{p['macd_signal']}"))
         case "turtle":
             return (close > prev(f"_top_{p['channel_len']}")) & (close > mean(p["slow_len"]))
     raise ValueError(f"unknown strategy: {p['strategy']}")
@@ -105,12 +105,8 @@ def frame(bars: DataFrame, sets: Sequence[Mapping]) -> DataFrame:
     of = lambda name, *which: sorted({int(s[name]) for s in sets if s["strategy"] in which})
     names = [f"ema_{n}" for n in sorted({*of("macd_fast", "trend"), *of("macd_slow", "trend")})] + [f"atr_{n}" for n in of("atr_len", "squeeze")]
     names += ["rsi_14"] * bool(of("rsi_level", "mean_reversion")) + ["adx_14"] * bool(of("adx_level", "trend"))
+    names += [f"signal_{a}_{b}_{c}" for a, b, c in sorted({(int(s["macd_fast"]), int(s["macd_slow"]), int(s["macd_signal"])) for s in sets if s["strategy"] == "trend"})]
     out = scan.recursive(bars, names) if names else bars
-    triples = sorted({(int(s["macd_fast"]), int(s["macd_slow"]), int(s["macd_signal"])) for s in sets if s["strategy"] == "trend"})
-    if triples:
-        pairs = sorted({t[:2] for t in triples})
-        lined = scan.blocked(out.withColumns({f"_line_{a}_{b}": F.col(f"ema_{a}") - F.col(f"ema_{b}") for a, b in pairs}))
-        out = scan.unblocked(scan.with_means(lined, [scan.ema(f"_signal_{a}_{b}_{c}", f"_line_{a}_{b}", c) for a, b, c in triples]))
     banded = of("band_len", "band_breakout", "mean_reversion", "squeeze")
     means = sorted({*of("fast_len", "ma_cross", "trend"), *of("slow_len", "ma_cross", "mean_reversion", "turtle"), *banded})
     volumes, channels = of("volume_len", "band_breakout"), of("channel_len", "turtle")
