@@ -121,3 +121,12 @@ def test_long_items_at_the_edit_bound():
         leak[bad] = word(len(bad))
         text = np.concatenate([word(30), leak, word(30)])
         assert {x[1] for x in block.search(text, np.array([0, len(text)]))} == {i}
+
+
+def test_clashing_names_and_items_of_equal_text(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e f g y", 5, "r"), (2, "nothing here", 6, "s")], "doc_id long, text string, _bad int, item_id string")
+    bench = spark.createDataFrame([(7, "a b c d e f g"), (8, "A, b c d e f g"), (9, "a b c d e f h")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.edits) for r in C.contaminated(docs, bench).collect())
+    assert got[:2] == [(1, 7, 1, 7, 0), (1, 8, 1, 7, 0)] and got[2][:2] == (1, 9) and got[2][4] == 1
+    left = C.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "nothing here", 6, "s")]

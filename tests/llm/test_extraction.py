@@ -114,3 +114,11 @@ def test_named_parts_inside_the_article():
 def test_title_in_the_articles_own_header():
     page = f"<body><header><h1>Site name</h1></header><article><header><h1>Title</h1><p>By somebody, today.</p></header><p>{GOOD}</p><footer>Filed under.</footer></article></body>"
     assert E.extract(page) == f"Title\n\n{GOOD.strip()}"
+
+
+def test_null_urls_repeat_and_names_clash(spark):
+    page = f"<body><article><p>{GOOD}</p></article></body>"
+    rows = [(1, None, page, "x", 1), (1, None, page, "y", 2), (2, None, None, "z", 3), (3, "no url", page, "w", 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r.page_id, r.url or "", r.text, r.n_chars) for r in E.extract_pages(pages).collect())
+    assert got == [(1, "", GOOD.strip(), len(GOOD.strip())), (1, "", GOOD.strip(), len(GOOD.strip())), (2, "", "", 0), (3, "no url", GOOD.strip(), len(GOOD.strip()))]

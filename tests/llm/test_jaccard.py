@@ -124,3 +124,9 @@ def test_many_variants_of_one_text_take_few_seats(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()} == _brute(rows)
     most = seen["seats"].groupBy("rep").count().agg({"count": "max"}).first()[0]
     assert most <= 3 * -(-300 // 32)
+
+
+def test_extra_columns_pass_through(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(2, text, 1, "a"), (1, text, 2, "b"), (None, text, 3, "c"), (9, None, 4, "d")], "doc_id long, text string, class_id int, n_links string")
+    assert sorted(r.class_id for r in jaccard.keep_one(docs).collect()) == [2, 3, 4]

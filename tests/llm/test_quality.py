@@ -60,3 +60,13 @@ def test_hosts(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality.judge(docs).count() == 0
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, long, "a", 7, False), (2, "# " * 100_000, "a", 8, True), (3, None, "b", 9, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, kept boolean")
+    got = {r["_row"].doc_id: r for r in quality.judge(docs).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].base_failed) == (120_000, 0, False)
+    assert (got[2].n_words, got[2].n_symbols, got[2].n_repeat_words, got[2].base_failed) == (100_000, 100_000, 100_000, True)
+    assert got[3].n_words == 0 and got[3].base_failed and [tuple(got[i]["_row"]) for i in (1, 2, 3)] == rows

@@ -88,3 +88,11 @@ def test_table_leaves_the_test_hosts_out(spark):
 def test_very_long_url(spark):
     pages = spark.createDataFrame([(1, "http://a.org/" + "library/" * 50_000)], "page_id long, url string")
     assert urls.judge_urls(pages, urls.train(urls.labelled_urls(spark))).first().path.startswith("/library/")
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "https://a.net/de/9", "h", 2), (1, "https://a.net/de/9", "h", 2), (1, None, "h", 3), (None, "HTTP://X.Example.COM/en/7a", "h", 4), (5, "no scheme", "h", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, score int")
+    got = [(r.page_id, r.host, r.path, r.rule) for r in urls.judge_urls(pages, urls.default_model(spark)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a.net", "/de/9", "net/de/")] * 2 + [(1, "", "", None), (None, "x.example.com", "/en/7a", "example.com/en/7"), (5, "", "", None)], key=str)
+    assert urls.default_model(spark) is urls.default_model(spark)
