@@ -48,8 +48,7 @@ class Lookups:
         here, w = F.col(f"_{kind}_{c}"), series()
         before = F.coalesce(F.lag(here, n).over(w), F.lit(0))
         rest = F.when(F.lag("_seg", n).over(w) != F.col("_seg"), F.lag(f"_{kind}_{c}_all", n).over(w)).otherwise(F.lit(0))
-        begins = (F.col("bar_no") - 1) % SEGMENT == SEGMENT - 1  # a frame of a whole segment
-        return F.when(begins & F.lit(n == SEGMENT), here).otherwise(here + rest - before)
+        return here + (rest - before)
 
     def _full(self, c: str, n: int) -> Column:
         return (F.col("bar_no") >= n) & (self._total("n", c, n) == n)
