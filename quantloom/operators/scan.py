@@ -17,6 +17,12 @@ def latest(bars: DataFrame, n: int = 1, skip: int = 0) -> DataFrame:
     return out.where((F.col("_n") > skip) & (F.col("_n") <= skip + n)).drop("_n")
 
 
+def tail(bars: DataFrame, columns: list[str], n: int = 500) -> DataFrame:
+    """The last n bars of each series with its keys, open_dt and those of the ``columns`` that exist, in the order asked for."""
+    there = [c for c in dict.fromkeys(columns) if c in bars.columns and c not in (*KEYS, "open_dt")]
+    return latest(bars.select(*KEYS, "open_dt", *[f"`{c}`" for c in there]), n)
+
+
 def strategy_scan(bars: DataFrame, skip: int = 1, **parameters) -> DataFrame:
     """(symbol, interval, open_dt, strategy, long, short): which strategies signal on each series' latest closed bar."""
     last = latest(strategy_signals(strategy_frame(bars, **parameters), main=f"sma_{parameters.get('main', 200)}"), skip=skip)

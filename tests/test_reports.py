@@ -56,3 +56,10 @@ def test_live_rules_need_a_closed_bar(spark):
     assert C.hybrid_live(bars(spark, wave(1))).count() == 0
     got = C.hybrid_live(bars(spark, wave(5))).collect()
     assert len(got) == 6 and not any(r.is_active for r in got) and all(r.holds is None for r in got if "sma_200" in r.part)
+
+
+def test_tail_has_the_columns_that_exist(spark):
+    df = bars(spark, wave(9)).union(bars(spark, wave(2), "Y"))
+    out = C.tail(df, ["close", "absent", "open_dt", "volume", "close"], 3)
+    assert out.columns == ["symbol", "interval", "open_dt", "close", "volume"]
+    assert sorted((r.symbol, r.open_dt.hour) for r in out.collect()) == [("X", 6), ("X", 7), ("X", 8), ("Y", 0), ("Y", 1)]
