@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +46,8 @@ def yes(condition: Column) -> Column:
 def bar_no() -> Column:
     """Position of a bar in its series, from 1."""
     return F.row_number().over(series())
+
+
+def share(n: Column, part: float) -> Column:
+    """The whole bars in a ``part`` of n, by the part's decimal digits: 0.7 of 720 are 504, which products of doubles miss."""
+    return F.floor(n * F.lit(Decimal(str(part)))).cast("long")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import profit_factor, sharpe, sortino, t_statistic
-from quantloom.functions.windows import KEYS, bar_no, yes
+from quantloom.functions.windows import KEYS, bar_no, share, yes
 from quantloom.operators.passage import first_passage
 
 TRADE = "symbol string, interval string, signal_dt timestamp_ntz, entry_dt timestamp_ntz, exit_dt timestamp_ntz, entry_price double, exit_price double, outcome string, direction string, regime string, pnl double"
@@ -236,4 +236,4 @@ def splits(bars: DataFrame, train: float = 0.7, warm_up: int = 0) -> DataFrame:
     out = bars.withColumns({"_no": bar_no(), "_n": n})
     out = out.where((F.col("_n") <= warm_up) | (F.col("_no") > warm_up))
     skipped = F.when(F.col("_n") > warm_up, F.lit(warm_up)).otherwise(F.lit(0))
-    return out.withColumn("split", F.when(F.col("_no") - skipped <= F.floor((F.col("_n") - skipped) * train), "train").otherwise("test")).drop("_no", "_n")
+    return out.withColumn("split", F.when(F.col("_no") - skipped <= share(F.col("_n") - skipped, train), "train").otherwise("test")).drop("_no", "_n")

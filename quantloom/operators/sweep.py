@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import KEYS, bar_no, yes
+from quantloom.functions.windows import KEYS, bar_no, share, yes
 from quantloom.operators.joins import follow
 
 FACTORS = (0.7, 0.85, 1.0, 1.15, 1.35)
@@ -53,6 +53,15 @@ def _parameter_rows(sets: Sequence[Mapping[str, float]]) -> Column:
     ])
 
 
+def trade_figures() -> list[Column]:
+    """n_trades, win_rate, total_pnl and avg_pnl of rows with a pnl.
+
+    What a sum of doubles owes to the order of its rows is rounded off the total, so sets of equal trades score equally.
+    """
+    n, total = F.count(F.lit(1)), F.round(F.sum("pnl"), 9)
+    return [n.alias("n_trades"), (F.count_if(F.col("pnl") > 0) / n * 100).alias("win_rate"), total.alias("total_pnl"), (total / n).alias("avg_pnl")]
+
+
 def evaluate(bars: DataFrame, signal: str, sets: Sequence[Mapping[str, float]], train: float = 0.7) -> DataFrame:
     """(series, param_id, split, n_trades, win_rate, total_pnl, avg_pnl) of close-entry long trades under every set.
 
@@ -63,7 +72,7 @@ def evaluate(bars: DataFrame, signal: str, sets: Sequence[Mapping[str, float]],
     longest = max(int(s["max_hold"]) for s in sets)
     own = bars.withColumns({"bar_no": bar_no()})
     size = bars.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.floor(F.col("_n") * train)
+    cut = share(F.col("_n"), train)
     events = own.where(yes(F.col(signal))).select(*KEYS, "bar_no", F.col("open_dt").alias("entry_dt"), F.col("close").alias("entry_price")).join(size, KEYS)
     events = events.withColumn("split", F.when(F.col("bar_no") <= cut, "train").otherwise("test")).withColumn("_end", F.when(F.col("split") == "train", cut).otherwise(F.col("_n")))
     step = F.struct("offset", F.col("f_high").alias("high"), F.col("f_low").alias("low"), F.col("f_close").alias("close"))
@@ -79,9 +88,7 @@ def evaluate(bars: DataFrame, signal: str, sets: Sequence[Mapping[str, float]],
     trials = paths.select(*KEYS, "bar_no", "_n", "_end", "split", F.inline(F.transform(_parameter_rows(sets), trade))).where("pnl IS NOT NULL")
     inside = lambda end: F.col("bar_no") + F.col("max_hold") <= F.col(end)
     trials = trials.select(*KEYS, "param_id", "pnl", F.explode(F.array_compact(F.array(F.when(inside("_end"), F.col("split")), F.when(inside("_n"), "full")))).alias("split"))
-    return trials.groupBy(*KEYS, "param_id", "split").agg(
-        F.count(F.lit(1)).alias("n_trades"), (F.count_if(F.col("pnl") > 0) / F.count(F.lit(1)) * 100).alias("win_rate"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("avg_pnl")
-    )
+    return trials.groupBy(*KEYS, "param_id", "split").agg(*trade_figures())
 
 
 def score(total: Column, mean: Column, win_rate: Column, trades: Column, liquidations: Column | None = None) -> Column:
