@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import scan
-from quantloom.functions.windows import KEYS, bar_no, prev, series, yes
+from quantloom.functions.windows import KEYS, bar_no, prev, series, share, yes
 from quantloom.operators.passage import first_passage
+from quantloom.operators.sweep import trade_figures
 
 #: Bars over which prefix sums run before they start again, so that differences lose few digits; no length is longer.
 SEGMENT = 4096
@@ -135,9 +136,7 @@ def evaluate(bars: DataFrame, sets: Sequence[Mapping], train: float = 0.7) -> Da
     plain = bars.select(*KEYS, "open_dt", "high", "low", "close").withColumn("bar_no", bar_no())
     found = first_passage(events, plain, max(int(s["max_hold"]) for s in sets), stop, target, ["high", "low", "close"])
     price = F.when(F.col("f_low") <= stop, stop).when(F.col("f_high") >= target, target).otherwise(F.col("f_close"))
-    cut = F.floor(F.col("_n") * train)
+    cut = share(F.col("_n"), train)
     split = F.when(F.col("bar_no") > cut, "test").when(F.col("_to") <= cut, "train")
     trials = found.select(*KEYS, "param_id", ((price - e) / e * 100).alias("pnl"), F.explode(F.array_compact(F.array(split, F.lit("full")))).alias("split"))
-    return trials.groupBy(*KEYS, "param_id", "split").agg(
-        F.count(F.lit(1)).alias("n_trades"), (F.count_if(F.col("pnl") > 0) / F.count(F.lit(1)) * 100).alias("win_rate"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("avg_pnl")
-    )
+    return trials.groupBy(*KEYS, "param_id", "split").agg(*trade_figures())

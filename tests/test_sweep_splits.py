@@ -11,7 +11,7 @@ from helpers import START, bars, wave
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import share
-from quantloom.operators import backtest, sweep
+from quantloom.operators import backtest, signal_sweep, sweep
 from quantloom.plans.registry import ORACLES, QUERIES
 
 #: Flat but for one bar, the 57th, whose time-out is bar 63, the last one to train on.
@@ -29,6 +29,11 @@ def test_exit_sweep_trains_up_to_the_cut(spark):
     assert {(r.split, r.n_trades) for r in got} == {("train", 1), ("full", 1)}
 
 
+def test_signal_sweep_trains_up_to_the_cut(spark):
+    got = signal_sweep.evaluate(bars(spark, SPIKE), [{"strategy": "turtle", "channel_len": 2, "slow_len": 3}]).collect()
+    assert {(r.split, r.n_trades) for r in got} == {("train", 1), ("full", 1)}
+
+
 def test_back_test_splits_at_the_cut(spark):
     assert backtest.splits(bars(spark, wave(90))).where("split = 'train'").count() == 63
 
@@ -38,7 +43,7 @@ def test_totals_do_not_depend_on_order(spark):
     assert (r.n_trades, r.total_pnl, r.avg_pnl) == (256, -35.24, -35.24 / 256)
 
 
-@pytest.mark.parametrize("name", ["parameter_sweep"])
+@pytest.mark.parametrize("name", ["parameter_sweep", "strategy_sweep"])
 def test_sweeps_of_90_bars_equal_sql(spark, tmp_path, name):
     ticks = [(4 * i + j, START + dt.timedelta(hours=i, minutes=j), "view", float(round(p, 2))) for i, r in enumerate(wave(90)) for j, p in enumerate((r[0], r[1], r[2], r[3]))]
     spark.createDataFrame(ticks, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
