@@ -43,7 +43,7 @@ def test_totals_do_not_depend_on_order(spark):
     assert (r.n_trades, r.total_pnl, r.avg_pnl) == (256, -35.24, -35.24 / 256)
 
 
-@pytest.mark.parametrize("name", ["parameter_sweep", "strategy_sweep"])
+@pytest.mark.parametrize("name", ["parameter_sweep", "strategy_sweep", "sweep_best"])
 def test_sweeps_of_90_bars_equal_sql(spark, tmp_path, name):
     ticks = [(4 * i + j, START + dt.timedelta(hours=i, minutes=j), "view", float(round(p, 2))) for i, r in enumerate(wave(90)) for j, p in enumerate((r[0], r[1], r[2], r[3]))]
     spark.createDataFrame(ticks, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
