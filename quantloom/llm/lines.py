@@ -74,14 +74,14 @@ def _exploded(rows: DataFrame) -> DataFrame:
 
 
 def rarity_table(docs: DataFrame, text: str) -> DataFrame:
-    """One row, ``ranks``: the rank (0..62, rare first) of each hash bucket, from counts over all words of ``docs``."""
+    """One row, ``ranks``: the rank (0..62, rare first) of each hash bucket, in the bits above a hash, from counts over all words of ``docs``."""
     value = F.col(f"`{text}`")
     lines = _exploded(docs.select(_plain(value).alias("plain"), F.split(value, "\n").alias("lines")))
     words = lines.select(F.explode_outer(_words(F.col("line"), F.col("plain"))).alias("w")).where("w IS NOT NULL")
     counts = table(words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count(), "counts")  # at most BUCKETS rows
     rank = F.coalesce(F.least(F.lit(62), (2 * F.log2("count")).cast("int")), F.lit(0)).cast("tinyint")
     every = docs.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", rank.alias("rank")).alias("r"))
-    return table(every.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.transform("r", lambda r: r["rank"]).alias("ranks")), "ranks")
+    return table(every.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.transform("r", lambda r: F.shiftleft(r["rank"].cast("long"), _HASH_BITS)).alias("ranks")), "ranks")
 
 
 def _wide(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
@@ -90,8 +90,7 @@ def _wide(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
     lines = _lines(docs, doc_id, text).select("doc_id", "tk", "line_no", F.monotonically_increasing_id().alias("sid"), _tokens(F.col("line"), F.col("plain")).alias("u"))
 
     def number(h: Column) -> Column:
-        rank = F.get(F.col("ranks"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+        return F.get(F.col("ranks"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
     # The subquery's column is used once, and row numbers keep it apart from the tokens, so it becomes a part of the
     # expression and is not copied into each row.
@@ -131,7 +130,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, doc_id: str, t
 #: The parity of the tokens that fall on each of 64 bits, and of those among them with another bit set: together the parities
 #: of 128 classes.  Two sets differ in as many tokens as such parities, or more.
 _PARITY = "aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
-_PARITY_OF_SOME = "aggregate(s, 0L, (a, x) -> a ^ shiftleft(shiftright(x, 6) & 1L, cast(x & 63 as int)))"
+_SOME = ", ".join(["0L"] * 64 + [f"shiftleft(1L, {i})" for i in range(64)])  # a constant: one look a token is cheaper than shifts
+_PARITY_OF_SOME = f"aggregate(s, 0L, (a, x) -> a ^ get(array({_SOME}), cast(x & 127 as int)))"
 _LOW = (1 << 24) - 1
 #: Marks postings of sets that look for earlier ones.
 _OPEN = 1 << 62
@@ -203,7 +203,11 @@ def _judged(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
     sets = _marked(wide.where(F.size("p") > 0).select("sid", "doc_id", "n", "sig", "some", "p", "keys"), copies.select("sid"), "copy").where("not copy").drop("copy")
 
     led = table(_led(sets, t), "led")
-    marked = _marked(sets.drop("keys"), led.select(F.col("a").alias("sid")), "led").withColumn("open", ~F.col("led"))
+    # Copies and led sets are told apart in one go, and each pass reads the outcome once instead of both sides of the mark.
+    told = table(copies.select("sid", F.lit(True).alias("copy")).union(led.select("a", F.lit(False))), "told")
+    maybe, others = split(wide.where(F.size("p") > 0).select("sid", "doc_id", "n", "sig", "some", "p"), ["sid"], told)
+    opened = maybe.join(told, "sid", "left").where("copy IS NULL OR NOT copy").withColumn("open", F.col("copy").isNull()).drop("copy")
+    marked = table(opened.union(others.withColumn("open", F.lit(True))), "marked")
     parts = []
     for part in range(PASSES):  # only a part of the postings is shuffled at a time
         postings = _postings(marked).where(F.pmod("w", F.lit(PASSES)) == part)
@@ -212,9 +216,9 @@ def _judged(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
     near = table(_verified(led.union(rest), docs, wide, doc_id, text, t), "near")
     misled = table(led.select(F.col("a").alias("sid")).join(near, "sid", "left_anti"), "misled")
     if not misled.isEmpty():
-        again = _marked(sets.drop("keys"), misled, "open")
-        x = table(_postings(again.where("open")), "misled_postings")
-        y, _ = split(_postings(again), ["w"], x.select("w").distinct())
+        asking = split(marked, ["sid"], misled)[0].join(misled, "sid", "left_semi")
+        x = table(_postings(asking.withColumn("open", F.lit(True))), "misled_postings")
+        y, _ = split(_postings(marked), ["w"], x.select("w").distinct())
         again = table(_candidates(x, y, t), "again")
         near = table(near.union(_verified(again, docs, wide, doc_id, text, t)).distinct(), "near")
     gone = copies.where("later").select("doc_id", "tk", "line_no")

@@ -77,3 +77,11 @@ def test_null_texts_have_no_lines_without_ansi(spark, tmp_path):
         assert {r.doc_id: r.n_lines for r in lines.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 2}
     finally:
         spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_passes_read_the_sets_once(spark, monkeypatch):
+    scans, candidates = [], lines._candidates
+    monkeypatch.setattr(lines, "_candidates", lambda x, y, t: scans.append(x._jdf.queryExecution().optimizedPlan().toString().count("Relation [")) or candidates(x, y, t))
+    rows = [(d, f"a b c d e f g{d}") for d in range(4)]
+    assert {r.doc_id for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {d for d, _ in _brute(rows)}
+    assert len(scans) >= lines.PASSES and set(scans[: lines.PASSES]) == {1}
