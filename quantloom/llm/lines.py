@@ -36,7 +36,10 @@ from quantloom.llm.scratch import table
 THRESHOLD = 0.8
 #: Passes over the postings: disk for their shuffle is a part of what one pass would take.
 PASSES = 4
-BUCKETS = 1 << 18
+#: As many counts as Spark's aggregation keeps in its fast map.
+BUCKETS = 1 << 16
+#: Characters of a text whose words are counted without parting its lines first.
+_SHORT = 1 << 20
 #: Bits of a token number that hold its hash; the bits above hold its rank, 0..62.
 _HASH_BITS = 57
 
@@ -60,9 +63,10 @@ def _tokens(line: Column, plain: Column) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, tk, plain, line_no, line) of rows with an id; line_no counts from 0, ``tk`` tells texts of one doc_id apart."""
+    """(doc_id, tk, n_lines, plain, line_no, line) of rows with an id; line_no counts from 0, ``tk`` tells texts of one doc_id apart."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return _exploded(rows.select("doc_id", F.xxhash64("text").alias("tk"), _plain(F.col("text")).alias("plain"), F.split("text", "\n").alias("lines")))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    return _exploded(rows.select("doc_id", F.xxhash64("text").alias("tk"), n_lines.alias("n_lines"), _plain(F.col("text")).alias("plain"), F.split("text", "\n").alias("lines")))
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
@@ -76,8 +80,9 @@ def _exploded(rows: DataFrame) -> DataFrame:
 def rarity_table(docs: DataFrame, text: str) -> DataFrame:
     """One row, ``ranks``: the rank (0..62, rare first) of each hash bucket, in the bits above a hash, from counts over all words of ``docs``."""
     value = F.col(f"`{text}`")
-    lines = _exploded(docs.select(_plain(value).alias("plain"), F.split(value, "\n").alias("lines")))
-    words = lines.select(F.explode_outer(_words(F.col("line"), F.col("plain"))).alias("w")).where("w IS NOT NULL")
+    parts = F.when(F.octet_length(value) <= _SHORT, F.array(F.replace(value, F.lit("\n"), F.lit(" ")))).otherwise(F.split(value, "\n"))
+    lines = _exploded(docs.select(_plain(value).alias("plain"), parts.alias("lines")))
+    words = lines.select(F.explode_outer(_words(F.col("line"), F.col("plain"))).alias("w")).where("w <> ''")
     counts = table(words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count(), "counts")  # at most BUCKETS rows
     rank = F.coalesce(F.least(F.lit(62), (2 * F.log2("count")).cast("int")), F.lit(0)).cast("tinyint")
     every = docs.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", rank.alias("rank")).alias("r"))
@@ -85,44 +90,46 @@ def rarity_table(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _wide(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
-    """A row for each line, numbered ``sid``: its size n, the hashes k, k2 and the parities of its set, its prefix p, and its keys."""
-    keep = ["doc_id", "tk", "line_no", "sid", "u"]
-    lines = _lines(docs, doc_id, text).select("doc_id", "tk", "line_no", F.monotonically_increasing_id().alias("sid"), _tokens(F.col("line"), F.col("plain")).alias("u"))
+    """A row for each line, numbered ``sid``: its text's n_lines, its size n, the hashes k, k2 and the parities of its set, its prefix p, and its keys."""
+    keep = ["doc_id", "tk", "n_lines", "line_no", "sid", "u"]
+    lines = _lines(docs, doc_id, text).select("doc_id", "tk", "n_lines", "line_no", F.monotonically_increasing_id().alias("sid"), _tokens(F.col("line"), F.col("plain")).alias("u"))
 
     def number(h: Column) -> Column:
         return F.get(F.col("ranks"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
     # The subquery's column is used once, and row numbers keep it apart from the tokens, so it becomes a part of the
     # expression and is not copied into each row.
-    rows = lines.select(*keep, rarity_table(docs, text).scalar().alias("ranks")).select(*keep, F.sort_array(F.transform("u", number)).alias("s"))
+    rows = lines.select(*keep, rarity_table(docs, text).scalar().alias("ranks"))
+    rows = rows.select(*keep, F.sort_array(F.transform("u", number)).alias("s"))
     n, u = F.size("u"), lambda i: F.get("u", i)
     prefix = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
     alone = (n == 0) | (n < (n + 1) * F.lit(t) - 1e-9)  # only equal sets are similar enough
     keys = F.array(F.xxhash64(u(F.lit(0)), u(F.lit(1))), F.xxhash64(u(n - 1), u(n - 2)), F.xxhash64(u(F.lit(0)), u(n - 1)))
     p = F.transform(F.slice("s", F.lit(1), F.when(alone, 0).otherwise(prefix)), lambda x: F.hash(x))
     return rows.select(
-        "doc_id", "tk", "line_no", "sid", n.alias("n"), F.xxhash64("u").alias("k"), F.xxhash64(F.lit(1), "u").alias("k2"), p.alias("p"),
+        "doc_id", "tk", "n_lines", "line_no", "sid", n.alias("n"), F.xxhash64("u").alias("k"), F.xxhash64(F.lit(1), "u").alias("k2"), p.alias("p"),
         F.expr(_PARITY).alias("sig"), F.expr(_PARITY_OF_SOME).alias("some"), F.when(~alone, keys).alias("keys"),
     )
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
-    """Of each pair (a, b) of lines with Jaccard >= t, on tokens fetched for these lines only, the later one as ``sid``."""
+    """Of each pair (a, b) of lines with Jaccard >= t, on tokens fetched for these lines only, the later one: (sid, doc_id, tk, line_no)."""
     needed = table(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "needed")
-    maybe, _ = split(wide.select("sid", "k", "doc_id", "line_no"), ["sid"], needed)
+    maybe, _ = split(wide.select("sid", "k", "doc_id", "tk", "line_no"), ["sid"], needed)
     places = table(maybe.join(needed, "sid", "left_semi"), "places")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows, _ = split(rows, ["doc_id"], places.select("doc_id").distinct())
     lines, _ = split(_exploded(rows.select("doc_id", _plain(F.col("text")).alias("plain"), F.split("text", "\n").alias("lines"))), ["doc_id", "line_no"], places)
     # Rows may repeat a doc_id with other texts: of such lines only those of the set itself count.
-    tokens = lines.join(places, ["doc_id", "line_no"]).select("sid", "k", F.struct("doc_id", "line_no").alias("f"), _tokens(F.col("line"), F.col("plain")).alias("u"))
+    tokens = lines.join(places, ["doc_id", "line_no"]).select("sid", "k", F.struct("doc_id", "line_no", "tk", "sid").alias("f"), _tokens(F.col("line"), F.col("plain")).alias("u"))
     tokens = table(tokens, "tokens").where(F.xxhash64("u") == F.col("k"))
-    common = F.size(F.array_intersect("ua", "ub"))
+    common, place = F.size(F.array_intersect("ua", "ub")), lambda f: F.struct(f"{f}.doc_id", f"{f}.line_no")
     return (
         pairs.join(tokens.select(F.col("sid").alias("a"), F.col("f").alias("fa"), F.col("u").alias("ua")), "a")
         .join(tokens.select(F.col("sid").alias("b"), F.col("f").alias("fb"), F.col("u").alias("ub")), "b")
-        .where((F.col("fb") != F.col("fa")) & (common >= t * (F.size("ua") + F.size("ub") - common) - 1e-9))
-        .select(F.when(F.col("fb") < F.col("fa"), F.col("a")).otherwise(F.col("b")).alias("sid"))
+        .where((place("fb") != place("fa")) & (common >= t * (F.size("ua") + F.size("ub") - common) - 1e-9))
+        .select(F.when(place("fb") < place("fa"), F.col("fa")).otherwise(F.col("fb")).alias("f"))
+        .select("f.sid", "f.doc_id", "f.tk", "f.line_no")
         .distinct()
     )
 
@@ -191,16 +198,16 @@ def _marked(rows: DataFrame, sids: DataFrame, name: str) -> DataFrame:
     return others.withColumn(name, F.lit(False)).union(told.select(*rows.columns, F.coalesce(name, F.lit(False)).alias(name)))
 
 
-def _judged(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
-    """(doc_id, tk, line_no) of every line to remove."""
-    wide = table(_wide(docs, doc_id, text, t), "wide_lines").where("n > 0")
+def _judged(docs: DataFrame, wide: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
+    """(doc_id, tk, line_no) of every line to remove, from the table of ``_wide``."""
+    wide = wide.where("n > 0")
     # The first line of each set of tokens stands for it; only sets that may have several lines are grouped.
     shared = table(wide.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "k2"), "shared_sets")
     several = table(split(wide.select("k", "k2", "doc_id", "tk", "line_no", "sid"), ["k", "k2"], shared)[0], "lines_of_shared_sets")
     firsts = several.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no", "sid")).alias("f"))
     copies = several.join(firsts, ["k", "k2"]).where(F.col("sid") != F.col("f.sid"))
     copies = table(copies.select("sid", "doc_id", "tk", "line_no", F.col("f.sid").alias("first"), (F.struct("f.doc_id", "f.line_no") < F.struct("doc_id", "line_no")).alias("later")), "copies")
-    sets = _marked(wide.where(F.size("p") > 0).select("sid", "doc_id", "n", "sig", "some", "p", "keys"), copies.select("sid"), "copy").where("not copy").drop("copy")
+    sets = _marked(wide.where("keys IS NOT NULL").select("sid", "doc_id", "n", "sig", "some", "keys"), copies.select("sid"), "copy").where("not copy").drop("copy")
 
     led = table(_led(sets, t), "led")
     # Copies and led sets are told apart in one go, and each pass reads the outcome once instead of both sides of the mark.
@@ -223,7 +230,7 @@ def _judged(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
         near = table(near.union(_verified(again, docs, wide, doc_id, text, t)).distinct(), "near")
     gone = copies.where("later").select("doc_id", "tk", "line_no")
     beside = copies.where("not later").join(near.select(F.col("sid").alias("first")), "first", "left_semi").select("doc_id", "tk", "line_no")  # rows that repeat a doc_id
-    return gone.union(beside).union(_marked(wide.select("doc_id", "tk", "line_no", "sid"), near, "near").where("near").select("doc_id", "tk", "line_no")).distinct()
+    return gone.union(beside).union(near.select("doc_id", "tk", "line_no")).distinct()
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD) -> DataFrame:
@@ -235,11 +242,11 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty texts and lines without a word are never removed; a very long text is one row of its lines; an empty table
     gives no rows.
     """
-    return _judged(docs, doc_id, text, t).select("doc_id", "line_no").distinct()
+    return _judged(docs, table(_wide(docs, doc_id, text, t), "wide_lines"), doc_id, text, t).select("doc_id", "line_no").distinct()
 
 
-def _removed(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
-    gone = _judged(docs, doc_id, text, t)
+def _removed(docs: DataFrame, wide: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
+    gone = _judged(docs, wide, doc_id, text, t)
     return table(gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tk").alias("_tk")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone")), "removed")
 
 
@@ -249,7 +256,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     A text of which every line goes becomes empty; an empty table stays empty.  Where rows share a doc_id but not their
     text, each loses its own repeated lines only.  Extra columns may have any name but ``_row``, ``_doc``, ``_tk`` and ``_gone``.
     """
-    removed = _removed(docs, doc_id, text, t)
+    removed = _removed(docs, table(_wide(docs, doc_id, text, t), "wide_lines"), doc_id, text, t)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").cast("long").alias("_doc"), F.xxhash64(F.col(f"`{text}`")).alias("_tk"))
     maybe, clean = split(d, ["_doc", "_tk"], removed)
     joined = maybe.join(removed, ["_doc", "_tk"], "left").select("_row", "_gone").union(clean.select("_row", F.lit(None).cast("array<int>").alias("_gone")))
@@ -262,8 +269,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
 def query(spark, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many of them go, and their numbers.  A null text has no lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    removed = _removed(docs, "doc_id", "text", THRESHOLD)
-    counts = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    wide = table(_wide(docs, "doc_id", "text", THRESHOLD), "wide_lines")
+    removed = _removed(docs, wide, "doc_id", "text", THRESHOLD)
+    # Every text has a first line, which tells their number; rows without an id or a text are not among the lines.
+    others = docs.where("doc_id IS NULL OR text IS NULL")
+    counts = others.select("doc_id", F.xxhash64("text").alias("tk"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    counts = counts.union(wide.where("line_no = 0").select("doc_id", "tk", F.col("n_lines").cast("long")))
     joined = counts.join(removed, (F.col("doc_id") == F.col("_doc")) & (F.col("tk") == F.col("_tk")), "left")
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))

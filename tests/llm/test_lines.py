@@ -85,3 +85,19 @@ def test_passes_read_the_sets_once(spark, monkeypatch):
     rows = [(d, f"a b c d e f g{d}") for d in range(4)]
     assert {r.doc_id for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {d for d, _ in _brute(rows)}
     assert len(scans) >= lines.PASSES and set(scans[: lines.PASSES]) == {1}
+
+
+def test_numbers_of_lines_come_with_the_lines(spark, tmp_path):
+    rows = [(1, "a b c d\nx"), (1, "a b c d\nx"), (2, ""), (3, None), (None, "a\nb\nc"), (4, "\n\na b c d\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = lines.query(spark, str(tmp_path))
+    assert "isnull(text" in got._jdf.queryExecution().optimizedPlan().toString()  # no other text is parted for the count
+    assert sorted(((r.doc_id or 0), r.n_lines, r.removed_lines) for r in got.collect()) == [(0, 3, ""), (1, 2, ""), (1, 2, ""), (2, 1, ""), (3, 0, ""), (4, 4, "2")]
+
+
+def test_words_are_counted_alike_in_short_and_long_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([("a b a\n\na c ",), (" d\te\n" * 40,), ("a f\n" * 40,), (None,), ("",)], "text string")
+    ranks = [lines.rarity_table(docs, "text").first().ranks]
+    monkeypatch.setattr(lines, "_SHORT", 0)
+    ranks.append(lines.rarity_table(docs, "text").first().ranks)
+    assert ranks[0] == ranks[1] and sorted(r >> 57 for r in ranks[0])[:7] == [0, 0, 10, 10, 10, 10, 62]  # b and c once, a 43 times, no word beyond f
