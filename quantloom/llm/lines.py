@@ -36,8 +36,7 @@ from quantloom.llm.scratch import table
 THRESHOLD = 0.8
 #: Passes over the postings: disk for their shuffle is a part of what one pass would take.
 PASSES = 4
-#: As many counts as Spark's aggregation keeps in its fast map.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Characters of a text whose words are counted without parting its lines first.
 _SHORT = 1 << 20
 #: Bits of a token number that hold its hash; the bits above hold its rank, 0..62.
