@@ -7,14 +7,15 @@ words out of the prefixes.
 
 For Jaccard >= t two sets of x and y tokens need x >= t y and an overlap of t/(1+t) (x+y), so they share one of their
 first x - ceil(t x) + 1 tokens (prefix filter), their sizes fit (length filter), and the places of that token leave
-room for the overlap (positional filter).  Parities of 128 classes of tokens bound the sets' difference from below and
-spare most other pairs the verification.  Sets of equal tokens collapse first, which is all that sets need of so few
+room for the overlap (positional filter).  Parities of 64 classes of tokens, 128 where both sets are large, bound the sets'
+difference from below and spare most other pairs the verification.  Sets of equal tokens collapse first, which is all that sets need of so few
 tokens that even one token more makes them differ too much (three at t = 0.8): they post nothing.
 
 One earlier similar set is enough to remove a set, so not all pairs of a large group need be met:
 
 1. Sets that agree in their two smallest, two largest or outermost token hashes look at the one of the smallest doc_id under such a
-   key first.  Where parity and sizes say that the two are similar, the set is led and looks no further.
+   key first.  Where parity and sizes say that the two are similar, the set is led and looks no further.  Keys are counted
+   before, and only sets with a key that another set has take part.
 2. All other sets are joined with all earlier sets by the filters above, a part of the tokens at a time.
 3. The pairs of both steps are verified on token arrays, fetched for these sets only.
 4. A set whose lead does not hold is joined with all earlier sets after all, so the result is exact.
@@ -107,7 +108,7 @@ def _wide(docs: DataFrame, doc_id: str, text: str, t: float) -> DataFrame:
     p = F.transform(F.slice("s", F.lit(1), F.when(alone, 0).otherwise(prefix)), lambda x: F.hash(x))
     return rows.select(
         "doc_id", "tk", "n_lines", "line_no", "sid", n.alias("n"), F.xxhash64("u").alias("k"), F.xxhash64(F.lit(1), "u").alias("k2"), p.alias("p"),
-        F.expr(_PARITY).alias("sig"), F.expr(_PARITY_OF_SOME).alias("some"), F.when(~alone, keys).alias("keys"),
+        F.expr(_PARITY).alias("sig"), F.when(n > _MANY, F.expr(_PARITY_OF_SOME)).alias("some"), F.when(~alone, keys).alias("keys"),
     )
 
 
@@ -134,7 +135,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, doc_id: str, t
 
 
 #: The parity of the tokens that fall on each of 64 bits, and of those among them with another bit set: together the parities
-#: of 128 classes.  Two sets differ in as many tokens as such parities, or more.
+#: of 128 classes.  Two sets differ in as many tokens as such parities, or more.  Sets of up to ``_MANY`` tokens have the first
+#: alone: they may differ in so few tokens that 64 classes tell.
+_MANY = 64
 _PARITY = "aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
 _SOME = ", ".join(["0L"] * 64 + [f"shiftleft(1L, {i})" for i in range(64)])  # a constant: one look a token is cheaper than shifts
 _PARITY_OF_SOME = f"aggregate(s, 0L, (a, x) -> a ^ get(array({_SOME}), cast(x & 127 as int)))"
@@ -144,9 +147,9 @@ _OPEN = 1 << 62
 
 
 def _parities(sig: Column, some: Column, other_sig: Column, other_some: Column) -> Column:
-    """How many of the 128 parities of two sets differ."""
-    differ = some.bitwiseXOR(other_some)
-    return F.bit_count(differ) + F.bit_count(sig.bitwiseXOR(other_sig).bitwiseXOR(differ))
+    """How many of the parities that two sets have in common differ, of 128 or of 64."""
+    every, differ = sig.bitwiseXOR(other_sig), some.bitwiseXOR(other_some)
+    return F.coalesce(F.bit_count(differ) + F.bit_count(every.bitwiseXOR(differ)), F.bit_count(every))
 
 
 def _sized(nx: Column, ny: Column, t: float) -> Column:
@@ -158,14 +161,19 @@ def _may_differ(nx: Column, ny: Column, t: float) -> Column:
     return (nx + ny) * F.lit((1 - t) / (1 + t)) + 1e-9
 
 
-def _led(sets: DataFrame, t: float) -> DataFrame:
+def _led(wide: DataFrame, copies: DataFrame, t: float) -> DataFrame:
     """(a, b): sets with one of the smallest doc_id under one of their keys that seems similar, one b for each a."""
-    keyed = sets.select("sid", "doc_id", "n", "sig", "some", F.explode("keys").alias("w"))
+    rows = wide.where("keys IS NOT NULL").select("sid", "doc_id", "n", "sig", "some", "keys")
+    sets = _marked(rows.select("sid", "keys"), copies.select("sid"), "copy").where("not copy")
+    shared = table(sets.select(F.explode("keys").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w"), "shared_keys")
+    maybe, _ = split(rows.select("sid", "doc_id", "n", "sig", "some", F.explode("keys").alias("w")), ["w"], shared)
+    keyed = table(maybe.join(copies.select("sid"), "sid", "left_anti"), "keyed")
     of_least = [F.min_by(c, "doc_id").alias(f"h_{c}") for c in ("sid", "n", "sig", "some")]
     heads = keyed.groupBy("w").agg(F.min("doc_id").alias("h_doc"), *of_least, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     bits = _parities(F.col("sig"), F.col("some"), F.col("h_sig"), F.col("h_some"))
-    # As many parities as so many tokens change in the mean.
-    seems = bits <= 64 * (1 - F.pow(F.lit(63 / 64), _may_differ(F.col("n"), F.col("h_n"), t))) + 1e-9
+    # As many parities as so many tokens change in the mean, of 128 or of 64.
+    half = F.when(F.col("some").isNull() | F.col("h_some").isNull(), 32.0).otherwise(64.0)
+    seems = bits <= half * (1 - F.pow(1 - 1 / half, _may_differ(F.col("n"), F.col("h_n"), t))) + 1e-9
     near = keyed.join(heads, "w").where((F.col("h_doc") <= F.col("doc_id")) & (F.col("sid") != F.col("h_sid")) & _sized(F.col("n"), F.col("h_n"), t) & seems)
     return near.groupBy(F.col("sid").alias("a")).agg(F.min_by("h_sid", bits.cast("long")).alias("b"))
 
@@ -206,9 +214,7 @@ def _judged(docs: DataFrame, wide: DataFrame, doc_id: str, text: str, t: float)
     firsts = several.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line_no", "sid")).alias("f"))
     copies = several.join(firsts, ["k", "k2"]).where(F.col("sid") != F.col("f.sid"))
     copies = table(copies.select("sid", "doc_id", "tk", "line_no", F.col("f.sid").alias("first"), (F.struct("f.doc_id", "f.line_no") < F.struct("doc_id", "line_no")).alias("later")), "copies")
-    sets = _marked(wide.where("keys IS NOT NULL").select("sid", "doc_id", "n", "sig", "some", "keys"), copies.select("sid"), "copy").where("not copy").drop("copy")
-
-    led = table(_led(sets, t), "led")
+    led = table(_led(wide, copies, t), "led")
     # Copies and led sets are told apart in one go, and each pass reads the outcome once instead of both sides of the mark.
     told = table(copies.select("sid", F.lit(True).alias("copy")).union(led.select("a", F.lit(False))), "told")
     maybe, others = split(wide.where(F.size("p") > 0).select("sid", "doc_id", "n", "sig", "some", "p"), ["sid"], told)

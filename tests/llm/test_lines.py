@@ -101,3 +101,34 @@ def test_words_are_counted_alike_in_short_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(lines, "_SHORT", 0)
     ranks.append(lines.rarity_table(docs, "text").first().ranks)
     assert ranks[0] == ranks[1] and sorted(r >> 57 for r in ranks[0])[:7] == [0, 0, 10, 10, 10, 10, 62]  # b and c once, a 43 times, no word beyond f
+
+
+def test_only_sets_with_a_shared_key_look_for_a_lead(spark, monkeypatch):
+    sizes, plain = {}, lines.table
+    rows = [(d, " ".join(f"w{d}x{j}" for j in range(12))) for d in range(200)] + [(900, " ".join(f"w7x{j}" for j in range(11)) + " other"), (901, " ".join(f"w7x{j}" for j in range(12))), (902, " ".join(f"w7x{j}" for j in range(12)))]
+
+    def noted(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "table", noted)
+    got = {tuple(r) for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute(rows) == {(900, 0), (901, 0), (902, 0)}
+    assert 0 < sizes["keyed"] <= 30  # of 603 keys of 201 sets; copies have none, others may pass the bit table
+
+
+def test_parities_of_sets_on_both_sides_of_the_bound(spark):
+    rng = random.Random(9)
+    pool = [[f"{rng.randrange(10**6)}" for _ in range(n)] for n in (58, 63, 64, 65, 66, 72, 80, 130)]
+    rows = [(-1, "\n".join(" ".join(x) for x in pool))]
+    for d in range(60):
+        x = list(rng.choice(pool))
+        for _ in range(rng.randrange(0, len(x) // 5)):
+            rng.choice([lambda: x.append(f"n{rng.random()}"), lambda: x.pop(rng.randrange(len(x))), lambda: x.__setitem__(rng.randrange(len(x)), f"n{rng.random()}")])()
+        rows.append((d, " ".join(x)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _brute(rows)
+    assert 10 < len(want) < 60 and {tuple(r) for r in lines.repeated_lines(docs).collect()} == want
+    wide = lines._wide(docs, "doc_id", "text", lines.THRESHOLD)
+    assert {(r.n > 64) == (r.some is not None) for r in wide.select("n", "some").collect()} == {True}
